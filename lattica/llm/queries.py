@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, common, exact_dedup, packing, quality, simhash, substring_dedup, token_file, warc
+from lattica.llm import bpe, common, exact_dedup, line_dedup, packing, quality, simhash, substring_dedup, token_file, url_rules, warc
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,28 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(common.table(spark, sf_dir, "documents")).drop("text_key")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_bpe, op3_token_file, op4_exact_dedup, op5_substring_dedup, op6_warc, op7_simhash, op8_quality)}
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.url_verdicts(pages, url_rules.labelled_urls(pages, common.table(spark, sf_dir, "labels")))
 
-ORACLES: dict[str, str] = {}
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(common.table(spark, sf_dir, "documents")).drop("text_key")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_bpe, op3_token_file, op4_exact_dedup, op5_substring_dedup, op6_warc, op7_simhash, op8_quality, op9_url_rules, op10_line_dedup)}
+
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(n.t) AS text_sha256
+FROM n JOIN g ON n.t = g.t""",
+    "op6_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT html, max(page_id) AS last FROM p GROUP BY html)
+SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(sha1(p.html), 1 + 5 * (k // 4), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS INTEGER), 1) FOR k IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p JOIN g ON p.html = g.html""",
+}
