@@ -159,7 +159,7 @@ def rust(text: str) -> Iterator[Fact]:
 
 def java(text: str) -> Iterator[Fact]:
     return braces(
-        text, r"\b(?:class|interface|enum|record)\s+(\w+)", r"(?m)^[ \t]+(?!return\b|new\b|throw\b|else\b|case\b|assert\b)(?:@\w+\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|default|native)\s+)*(?:<[^>]*>\s*)?(?:[\w.<>\[\], ?]+\s+)?(\w+)\s*\((?=[^)]*\)[^;{}]*[{;])",
+        text, r"\b(?:class|interface|enum|record)\s+(\w+)", r"(?m)^[ \t]++(?!return\b|new\b|throw\b|else\b|case\b|assert\b)(?:@\w+\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|default|native)\s+)*(?:<[^>]*>\s*)?(?:[\w.<>\[\], ?]+\s+)?(\w+)\s*\((?=[^)]*\)[^;{}]*[{;])",
         r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)", quotes="\"'", type_calls=False,
     )
 
