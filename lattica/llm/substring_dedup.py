@@ -101,9 +101,13 @@ def word_sequences(docs: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            split = [text.encode().split() for text in frame["text"]]
-            enough = np.array([len(w) >= WIDTH for w in split], bool)
-            of, seqs = frame[enough], [digest(w) for w, x in zip(split, enough) if x]
+            enough, seqs = np.zeros(len(frame), bool), []
+            for i, text in enumerate(frame["text"]):  # one document's words at a time
+                words = text.encode().split()
+                if len(words) >= WIDTH:
+                    enough[i] = True
+                    seqs.append(digest(words))
+            of = frame[enough]
             yield pd.DataFrame({"doc_id": of["doc_id"], "text_key": of["text_key"], "seq": seqs, "row_key": row_keys(of["doc_id"].to_numpy(), seqs).view(np.int64)})
 
     return docs.select("doc_id", "text_key", "text").mapInPandas(run, "doc_id long, text_key long, seq binary, row_key long")
