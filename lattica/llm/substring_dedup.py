@@ -90,14 +90,17 @@ def digest(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
+def halves(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), np.uint64)[::2]
+
+
 def row_keys(doc_ids: np.ndarray, digests: list[bytes]) -> np.ndarray:
     """A hash of each document's id and word sequence."""
-    seqs = np.frombuffer(b"".join(digests), np.uint64)[::2]
-    return mixed(np.asarray(doc_ids, np.int64).view(np.uint64) ^ mixed(seqs))
+    return mixed(np.asarray(doc_ids, np.int64).view(np.uint64) ^ mixed(halves(digests)))
 
 
 def word_sequences(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, seq (a digest of the word sequence) and row_key of the rows of WIDTH words and more."""
+    """doc_id, text_key, seq (a digest of the word sequence), its first half and row_key of the rows of WIDTH words and more."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -108,9 +111,9 @@ def word_sequences(docs: DataFrame) -> DataFrame:
                     enough[i] = True
                     seqs.append(digest(words))
             of = frame[enough]
-            yield pd.DataFrame({"doc_id": of["doc_id"], "text_key": of["text_key"], "seq": seqs, "row_key": row_keys(of["doc_id"].to_numpy(), seqs).view(np.int64)})
+            yield pd.DataFrame({"doc_id": of["doc_id"], "text_key": of["text_key"], "seq": seqs, "half": halves(seqs).view(np.int64), "row_key": row_keys(of["doc_id"].to_numpy(), seqs).view(np.int64)})
 
-    return docs.select("doc_id", "text_key", "text").mapInPandas(run, "doc_id long, text_key long, seq binary, row_key long")
+    return docs.select("doc_id", "text_key", "text").mapInPandas(run, "doc_id long, text_key long, seq binary, half long, row_key long")
 
 
 def blocks(seen: list[np.ndarray]) -> Iterator[pd.DataFrame]:
@@ -187,7 +190,7 @@ def sketch_of(docs: DataFrame, known, known_log2: int, log2: int) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, known, known_log2: int, sketch, log2: int) -> DataFrame:
-    """h1, h2, doc_id, seq, at: the windows estimated to start in two documents or more."""
+    """h1, h2, doc_id, half, at: the windows estimated to start in two documents or more. A document's id and half a digest of its words name it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -200,7 +203,7 @@ def candidates(docs: DataFrame, known, known_log2: int, sketch, log2: int) -> Da
                     keep &= in_bits(sketch.value, c + (r << log2))
                 if len(at := np.flatnonzero(keep)):
                     h1, h2 = (window_hashes(h, WIDTH, p)[at].view(np.int64) for p in MULTIPLIERS)
-                    out.append(pd.DataFrame({"h1": h1, "h2": h2, "doc_id": doc_id, "seq": seq, "at": at.astype(np.int32)}))
+                    out.append(pd.DataFrame({"h1": h1, "h2": h2, "doc_id": doc_id, "half": halves([seq]).view(np.int64)[0], "at": at.astype(np.int32)}))
                     size += len(at)
                 if size > 100_000:
                     yield pd.concat(out)
@@ -208,7 +211,7 @@ def candidates(docs: DataFrame, known, known_log2: int, sketch, log2: int) -> Da
             if out:
                 yield pd.concat(out)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "h1 long, h2 long, doc_id long, seq binary, at int")
+    return docs.select("doc_id", "text").mapInPandas(run, "h1 long, h2 long, doc_id long, half long, at int")
 
 
 def log2_for(n: int, max_log2: int) -> int:
@@ -228,9 +231,10 @@ def removals(docs: DataFrame, max_log2: int = 30) -> DataFrame:
     sketch = spark.sparkContext.broadcast(sketch_of(base, known, known_log2, log2))
     found = materialise(candidates(base, known, known_log2, sketch, log2), "candidate-windows")
     least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("h1", "h2", "least")
+    least = materialise(least, "repeated-windows")  # written, so that both sides of the join are plain shuffles, whose hot keys can be split
     again = found.join(least, ["h1", "h2"]).where("doc_id > least")
-    spots = again.groupBy("doc_id", "seq").agg(F.sort_array(F.collect_set("at")).alias("spots"))
-    told = marks.join(first.select("seq", "first_id"), "seq").join(spots, ["doc_id", "seq"], "left")
+    spots = again.groupBy("doc_id", "half").agg(F.sort_array(F.collect_set("at")).alias("spots"))
+    told = marks.join(first.select("seq", "first_id"), "seq").join(spots, ["doc_id", "half"], "left")
     whole = F.col("doc_id") > F.col("first_id")
     return told.where(whole | F.col("spots").isNotNull()).select("doc_id", "text_key", whole.alias("whole"), "spots").dropDuplicates(["doc_id", "text_key"])
 
