@@ -3,7 +3,7 @@
 A text is cut at single spaces between characters that aren't white space. No pre-tokenizer match reaches across such a
 space, so the ids of the cuts, joined, are the ids of the text. Each distinct cut is split into the pre-tokenizer's
 matches once, each distinct match goes through the library's model once, and repeats are a dictionary look-up. Both
-memories are emptied when they reach ``capacity`` entries, so a worker's memory has a bound.
+memories hold two generations of at most ``capacity`` entries, so a worker's memory has a bound.
 
 Two kinds of files are understood: byte-level BPE without a normalizer, and lower-cased BPE with word ends. Others are
 encoded text by text with the library's own pipeline.
@@ -45,21 +45,27 @@ def cuts(text: str) -> list[str]:
 
 
 class _Memory(dict):
+    """A function's values in two generations: a full one is kept, whole, until the next is full, and what is asked for of it moves on."""
+
     def __init__(self, of, capacity: int) -> None:
         super().__init__()
-        self.of, self.capacity = of, capacity
+        self.of, self.capacity, self.old = of, capacity, {}
 
     def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.of(key)
         if len(self) >= self.capacity:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.of(key)
+        self[key] = value
         return value
 
 
 class MemoTokenizer:
     """encode(text): the ids as little-endian unsigned 32-bit integers, equal to the library's without special tokens."""
 
-    def __init__(self, path: str, capacity: int = 600_000) -> None:
+    def __init__(self, path: str, capacity: int = 400_000) -> None:
         import json
 
         import public_tokenizers
@@ -80,7 +86,7 @@ class MemoTokenizer:
         if self.kind:
             self.matches = regex.compile(white(pattern)).findall
             self.alphabet, self.model, self.norm = byte_alphabet(), self.full.model, self.full.normalizer
-            self.by_match = _Memory(self._match, capacity)
+            self.by_match = _Memory(self._match, capacity // 2)
             self.by_cut = _Memory(self._cut, capacity)
 
     def _match(self, m: str) -> bytes:
