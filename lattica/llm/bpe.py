@@ -101,7 +101,7 @@ def encode(text: str, path: str, pattern: str) -> list[int]:
                 continue
         for m in matcher(pattern).finditer(part):
             piece = m[0].encode()
-            out += merge(piece, ranks(path)) if len(piece) > LONG else enc.encode_single_piece(piece)
+            out += merge(piece, ranks(path)) if len(piece) > LONG else enc.encode_ordinary(m[0])
     return out
 
 

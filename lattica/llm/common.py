@@ -64,3 +64,8 @@ def opened(path: str):
 def spread(files: DataFrame, most: int = 100_000) -> DataFrame:
     """A small table with a row a file, dealt to as many tasks; adaptive execution would put small rows into one."""
     return files.repartition(max(1, min(most, files.count())))
+
+
+def as_rows(docs: DataFrame) -> DataFrame:
+    """docs as one column, row, so that no name that an operator adds can clash with one of its."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import SPACES, WORD, materialise, text_key, words
+from lattica.llm.common import SPACES, WORD, as_rows, materialise, text_key, words
 
 BUCKETS = 17
 ROW = ["doc_id", "text_key"]
@@ -119,9 +119,10 @@ def line_dedup(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
 def remove_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """docs with all its columns, the text without the removed lines; texts that lose none are unchanged."""
-    gone = line_dedup(docs, similarity).where("n_removed > 0").dropDuplicates(ROW).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("removed_lines").alias("__gone"))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (text_key(docs["text"]) == gone["__key"]), "left")
-    parts = F.split(docs["text"], "\n")
-    keep = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
-    left = F.array_join(F.transform(keep, lambda i: F.get(parts, i)), "\n")
-    return joined.select(*[F.when(F.col("__gone").isNull(), docs["text"]).otherwise(left).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    gone, rows = line_dedup(docs, similarity).where("n_removed > 0").dropDuplicates(ROW).select(*ROW, "removed_lines"), as_rows(docs)
+    text = F.col("row.text")
+    joined = rows.join(gone, F.col("row.doc_id").eqNullSafe(gone["doc_id"]) & (text_key(text) == gone["text_key"]), "left").withColumn("parts", F.split(text, "\n"))
+    keep = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("removed_lines"))
+    left = F.array_join(F.transform(keep, lambda i: F.get("parts", i)), "\n")
+    new = F.when(F.col("removed_lines").isNull(), text).otherwise(left)
+    return joined.select(F.col("row").withField("text", new).alias("row")).select("row.*")

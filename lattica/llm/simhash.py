@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.llm.common import materialise
+from lattica.llm.common import as_rows, materialise
 
 BITS = 64
 
@@ -119,5 +119,5 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFrame:
     Texts without a word are a component of their own kind (fingerprint zero); of rows that repeat the smallest doc_id all stay.
     """
     found = simhash_components(docs, width, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = found.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
+    rows, ids = as_rows(docs), found.select("doc_id").distinct()
+    return rows.join(ids, F.col("row.doc_id").eqNullSafe(ids["doc_id"]), "left_semi").select("row.*")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import materialise, text_key
+from lattica.llm.common import as_rows, materialise, text_key
 
 WIDTH, GRAM, DEPTH, LOG2_BLOCK = 50, 20, 2, 16
 #: Odd multipliers of the polynomial hashes and of the sketch's rows.
@@ -269,8 +269,9 @@ def substring_dedup(docs: DataFrame, max_log2: int = 30) -> DataFrame:
     doc_id is compared with none; rows that repeat a doc_id are not compared with each other; texts under 50 words stay as
     they are; texts that lose nothing are returned unchanged; an empty table gives no rows.
     """
-    info = removals(docs, max_log2).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("whole").alias("__whole"), F.col("spots").alias("__spots"))
-    joined = docs.join(info, (docs["doc_id"] == info["__id"]) & (text_key(docs["text"]) == info["__key"]), "left")
-    hit = F.col("__id").isNotNull()
-    cut = F.pandas_udf(_without, "string")(F.when(hit, docs["text"]), F.when(hit, F.col("__whole")), F.when(hit, F.col("__spots")))
-    return joined.withColumn("__cut", cut).select(*[F.when(hit, F.col("__cut")).otherwise(docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    info, rows = removals(docs, max_log2), as_rows(docs)
+    text = F.col("row.text")
+    joined = rows.join(info, (F.col("row.doc_id") == info["doc_id"]) & (text_key(text) == info["text_key"]), "left")
+    hit = F.col("whole").isNotNull()
+    cut = F.pandas_udf(_without, "string")(F.when(hit, text), F.when(hit, F.col("whole")), F.when(hit, F.col("spots")))
+    return joined.withColumn("cut", cut).select(F.col("row").withField("text", F.when(hit, F.col("cut")).otherwise(text)).alias("row")).select("row.*")
