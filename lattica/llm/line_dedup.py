@@ -7,8 +7,8 @@ before the shuffle, so that a line that every document holds is one row a task.
   size, and the coarse logarithm of a word's counter, then its hash, is the order that all lines share;
 * prefix filter: sets with a Jaccard similarity of ``t`` share one of their first ``n - ceil(t * n) + 1`` tokens, the rarest;
 * length filter, positional filter (what is left behind the shared tokens must reach the overlap that is needed) and a
-  parity filter (each differing token flips one of 64 bits) are conditions of that join;
-* the pairs that remain are verified on the words of the texts themselves.
+  parity filter (each differing token flips one of 64 bits, of 256 for long lines) are conditions of that join;
+* the pairs that remain are verified on the words of the texts themselves, as 64-bit hashes.
 
 A line goes if its class occurs earlier, by (doc_id, line), or a similar class's first line is earlier. All lines are
 judged on the input. DataFrame functions only.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import SPACES, WORD, as_rows, materialise, text_key, words
 
-BUCKETS = 17
+BUCKETS, LONG = 17, 64
 ROW = ["doc_id", "text_key"]
 
 
@@ -48,26 +48,34 @@ def tokens(line: Column, levels: list[int]) -> Column:
 
 
 def lines_of(docs: DataFrame, similarity: float) -> DataFrame:
-    """A row per line with a word: doc_id, text_key, place, id (of its class), n (tokens), parity, prefix (31 bits of its tokens)."""
+    """A row per line with a word: doc_id, text_key, place, id (of its class), n (tokens), parity, wide (parity of long lines), prefix (31 bits of its tokens)."""
     levels = rarity(docs)
     rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.posexplode(F.split(F.lower("text"), "\n")).alias("place", "line")).where(F.col("line").rlike(WORD))
     sets = rows.select(*ROW, "place", tokens(F.col("line"), levels).alias("t"))
     n = F.size("t")
-    parity = F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    flipped = lambda t: F.aggregate(t, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    # lines of many tokens would fill 64 bits: they have 256, whose four parts fold into the 64
+    quarter = lambda k: flipped(F.filter("t", lambda t: t.bitwiseAND(F.lit(192)) == 64 * k))
+    wide = F.when(n > LONG, F.array(*[quarter(k) for k in range(4)]))
+    sets = sets.withColumn("wide", wide)
+    parity = F.when(n > LONG, F.get("wide", 0).bitwiseXOR(F.get("wide", 1)).bitwiseXOR(F.get("wide", 2)).bitwiseXOR(F.get("wide", 3))).otherwise(flipped("t"))
     prefix = F.transform(F.slice("t", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")), lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    return sets.select(*ROW, "place", F.xxhash64("t").alias("id"), n.alias("n"), parity.alias("parity"), prefix.alias("prefix"))
+    return sets.select(*ROW, "place", F.xxhash64("t").alias("id"), n.alias("n"), parity.alias("parity"), "wide", prefix.alias("prefix"))
 
 
 def similar(classes: DataFrame, similarity: float) -> DataFrame:
     """a, b: pairs of classes that pass the filters, a before b in the order of (n, id)."""
-    posts = classes.select(F.posexplode("prefix").alias("at", "token"), "id", "n", "parity")
-    x = posts.select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "at", "parity")])
-    y = posts.select("token", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "at", "parity")])
+    posts = classes.select(F.posexplode("prefix").alias("at", "token"), "id", "n", "parity", *[F.get("wide", k).alias(f"wide{k}") for k in range(4)])
+    columns = ("id", "n", "at", "parity", "wide0", "wide1", "wide2", "wide3")
+    x = posts.select("token", *[F.col(c).alias(f"x_{c}") for c in columns])
+    y = posts.select("token", *[F.col(c).alias(f"y_{c}") for c in columns])
     overlap = F.ceil(similarity / (1 + similarity) * (F.col("x_n") + F.col("y_n")) - 1e-9)
     order = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_id") < F.col("y_id")))
     length = F.col("x_n") >= similarity * F.col("y_n") - 1e-9
     behind = 1 + F.least("x_at", "y_at") + F.least(F.col("x_n") - F.col("x_at") - 1, F.col("y_n") - F.col("y_at") - 1)
-    differ = F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity"))) <= F.col("x_n") + F.col("y_n") - 2 * overlap
+    bits = lambda c: F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}")))
+    most = F.col("x_n") + F.col("y_n") - 2 * overlap
+    differ = (bits("parity") <= most) & (F.coalesce(bits("wide0") + bits("wide1") + bits("wide2") + bits("wide3"), F.lit(0)) <= most)
     return x.join(y, "token").where(order & length & (behind >= overlap) & differ).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
 
@@ -78,7 +86,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     wanted = spots.groupBy(*ROW).agg(F.collect_list(F.struct("place", "id")).alias("wanted")).withColumnsRenamed({"doc_id": "w_id", "text_key": "w_key"})
     rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.lower("text").alias("text"))
     held = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key")))
-    each = held.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("x")).select("x.id", F.array_distinct(words(F.get("lines", F.col("x.place")))).alias("w"))
+    each = held.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("x")).select("x.id", F.array_distinct(F.transform(words(F.get("lines", F.col("x.place"))), lambda w: F.xxhash64(w))).alias("w"))
     each = materialise(each.dropDuplicates(["id"]), "line-words")
     a, b = each.select(F.col("id").alias("a"), F.col("w").alias("wa")), each.select(F.col("id").alias("b"), F.col("w").alias("wb"))
     both = pairs.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("wa", "wb")))
@@ -89,7 +97,7 @@ def line_verdicts(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """A row per line with a word: doc_id, text_key, place, removed, n_links (of its class with other classes)."""
     lines = materialise(lines_of(docs, similarity), "lines")
     first = F.min(F.struct("doc_id", "text_key", "place")).alias("first")
-    classes = materialise(lines.groupBy("id", "n", "parity", "prefix").agg(first), "line-classes")
+    classes = materialise(lines.groupBy("id", "n", "parity", "wide", "prefix").agg(first), "line-classes")
     links = materialise(verified(materialise(similar(classes, similarity), "line-pairs"), classes, docs, similarity), "line-links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     of = classes.select("id", "first")
