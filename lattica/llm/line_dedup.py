@@ -7,7 +7,7 @@ before the shuffle, so that a line that every document holds is one row a task.
   size, and the coarse logarithm of a word's counter, then its hash, is the order that all lines share;
 * prefix filter: sets with a Jaccard similarity of ``t`` share one of their first ``n - ceil(t * n) + 1`` tokens, the rarest;
 * length filter, positional filter (what is left behind the shared tokens must reach the overlap that is needed) and a
-  parity filter (each differing token flips one of 64 bits, of 256 for long lines) are conditions of that join;
+  parity filter (each differing token flips one of 64 bits, of 128 for long lines) are conditions of that join;
 * the pairs that remain are verified on the words of the texts themselves, as 64-bit hashes.
 
 A line goes if its class occurs earlier, by (doc_id, line), or a similar class's first line is earlier. All lines are
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import SPACES, WORD, as_rows, materialise, text_key, words
 
-BUCKETS, LONG = 17, 64
+BUCKETS, LONG, LOG2_DOCS = 17, 96, 20
 ROW = ["doc_id", "text_key"]
 
 
@@ -54,19 +54,19 @@ def lines_of(docs: DataFrame, similarity: float) -> DataFrame:
     sets = rows.select(*ROW, "place", tokens(F.col("line"), levels).alias("t"))
     n = F.size("t")
     flipped = lambda t: F.aggregate(t, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
-    # lines of many tokens would fill 64 bits: they have 256, whose four parts fold into the 64
-    quarter = lambda k: flipped(F.filter("t", lambda t: t.bitwiseAND(F.lit(192)) == 64 * k))
-    wide = F.when(n > LONG, F.array(*[quarter(k) for k in range(4)]))
+    # lines of many tokens would fill 64 bits: they have 128, whose halves fold into the 64
+    half = lambda k: flipped(F.filter("t", lambda t: t.bitwiseAND(F.lit(64)) == 64 * k))
+    wide = F.when(n > LONG, F.array(half(0), half(1)))
     sets = sets.withColumn("wide", wide)
-    parity = F.when(n > LONG, F.get("wide", 0).bitwiseXOR(F.get("wide", 1)).bitwiseXOR(F.get("wide", 2)).bitwiseXOR(F.get("wide", 3))).otherwise(flipped("t"))
+    parity = F.when(n > LONG, F.get("wide", 0).bitwiseXOR(F.get("wide", 1))).otherwise(flipped("t"))
     prefix = F.transform(F.slice("t", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")), lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     return sets.select(*ROW, "place", F.xxhash64("t").alias("id"), n.alias("n"), parity.alias("parity"), "wide", prefix.alias("prefix"))
 
 
 def similar(classes: DataFrame, similarity: float) -> DataFrame:
     """a, b: pairs of classes that pass the filters, a before b in the order of (n, id)."""
-    posts = classes.select(F.posexplode("prefix").alias("at", "token"), "id", "n", "parity", *[F.get("wide", k).alias(f"wide{k}") for k in range(4)])
-    columns = ("id", "n", "at", "parity", "wide0", "wide1", "wide2", "wide3")
+    posts = classes.select(F.posexplode("prefix").alias("at", "token"), "id", "n", "parity", *[F.get("wide", k).alias(f"wide{k}") for k in range(2)])
+    columns = ("id", "n", "at", "parity", "wide0", "wide1")
     x = posts.select("token", *[F.col(c).alias(f"x_{c}") for c in columns])
     y = posts.select("token", *[F.col(c).alias(f"y_{c}") for c in columns])
     overlap = F.ceil(similarity / (1 + similarity) * (F.col("x_n") + F.col("y_n")) - 1e-9)
@@ -75,17 +75,30 @@ def similar(classes: DataFrame, similarity: float) -> DataFrame:
     behind = 1 + F.least("x_at", "y_at") + F.least(F.col("x_n") - F.col("x_at") - 1, F.col("y_n") - F.col("y_at") - 1)
     bits = lambda c: F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}")))
     most = F.col("x_n") + F.col("y_n") - 2 * overlap
-    differ = (bits("parity") <= most) & (F.coalesce(bits("wide0") + bits("wide1") + bits("wide2") + bits("wide3"), F.lit(0)) <= most)
+    differ = (bits("parity") <= most) & (F.coalesce(bits("wide0") + bits("wide1"), F.lit(0)) <= most)
     return x.join(y, "token").where(order & length & (behind >= overlap) & differ).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
 
+def rows_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows without most of those that aren't among wanted (doc_id, text_key of both): a bit map of 2 ** LOG2_DOCS hashed rows,
+    a literal of fixed size, keeps their texts out of a shuffle. None that is wanted is lost."""
+    spot = F.xxhash64(*ROW).bitwiseAND(F.lit((1 << LOG2_DOCS) - 1))
+    word = lambda c: F.shiftright(c, 5).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(31)).cast("int"))
+    marks = [0] * (1 << (LOG2_DOCS - 5))
+    for i, bits in wanted.select(spot.alias("spot")).groupBy(word(F.col("spot")).alias("i")).agg(F.bit_or(bit(F.col("spot")))).collect():
+        marks[i] = bits
+    known = F.from_json(F.lit(str(marks).replace(" ", "")), "array<long>")
+    return rows.where(F.get(known, word(spot)).bitwiseAND(bit(spot)) != 0)
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose words have the similarity: a, b."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    spots = classes.join(ids, "id").select("id", "first.*")
+    spots = materialise(classes.join(ids, "id").select("id", "first.*"), "line-spots")
     wanted = spots.groupBy(*ROW).agg(F.collect_list(F.struct("place", "id")).alias("wanted")).withColumnsRenamed({"doc_id": "w_id", "text_key": "w_key"})
     rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.lower("text").alias("text"))
-    held = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key")))
+    held = rows_in(rows, spots).join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key")))
     each = held.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("x")).select("x.id", F.array_distinct(F.transform(words(F.get("lines", F.col("x.place"))), lambda w: F.xxhash64(w))).alias("w"))
     each = materialise(each.dropDuplicates(["id"]), "line-words")
     a, b = each.select(F.col("id").alias("a"), F.col("w").alias("wa")), each.select(F.col("id").alias("b"), F.col("w").alias("wb"))
