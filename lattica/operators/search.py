@@ -126,7 +126,7 @@ def search(docs: DataFrame, query: str, kinds: Sequence[str] | None = None, repo
 
 def snippet(text: Column, words: Sequence[str], width: int = 150) -> Column:
     """About width characters around the first word sought, words sought in <b>, all else escaped; empty where none occurs."""
-    seek = "(?i)\\b(" + "|".join(words) + ")\\b"
+    seek = r"(?i)(?<![\p{L}\p{N}])(" + "|".join(words) + ")"
     at = F.regexp_instr(text, F.lit(seek))
     cut = F.substring(text, F.greatest(F.lit(1), at - 40), F.lit(width))
     for c, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
