@@ -13,22 +13,23 @@ IDENTITY = ["src", "dst", "kind", "location"]
 
 
 def parse_history(text: str) -> list[tuple[str, int, str, str, str, list[str]]]:
-    """sha, time, author, email, subject, paths of the records of a NUL-framed log: five headers, then paths until an empty token. Records with a bad sha or time are left out."""
+    """sha, time, author, email, subject, paths of the records of a NUL-framed log: five headers, then, behind an empty token or not,
+    paths, the first of which starts with a line feed, until an empty token or the next record. Records with a bad sha or time are left out."""
     tokens, out, i = text.split("\0"), [], 0
+    starts = lambda i: i + 4 < len(tokens) and _is_sha(tokens[i]) and tokens[i + 1].isdigit()
     while i + 4 < len(tokens):
         sha, time, author, email, subject = tokens[i : i + 5]
         i += 5
+        if i < len(tokens) and tokens[i] == "":
+            i += 1
         paths = []
-        while i < len(tokens) and tokens[i] != "":
-            path = tokens[i].removeprefix("\n") if not paths else tokens[i]
-            if not paths and _is_sha(tokens[i]) and i + 1 < len(tokens) and tokens[i + 1].isdigit():
-                break  # a commit without files: the next record follows at once
-            paths.append(path)
+        while i < len(tokens) and tokens[i] != "" and (paths or tokens[i].startswith("\n")) and not starts(i):
+            paths.append(tokens[i] if paths else tokens[i].removeprefix("\n"))
             i += 1
-        if i < len(tokens) and tokens[i] == "":
+        if paths and i < len(tokens) and tokens[i] == "":
             i += 1
         sha = sha.removeprefix("\n")
-        if _is_sha(sha) and time.strip().lstrip("-").isdigit():
+        if _is_sha(sha) and time.isdigit():
             out.append((sha, int(time), author, email, subject, [p for p in paths if p]))
     return out
 
