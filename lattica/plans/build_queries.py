@@ -9,7 +9,9 @@ from lattica.operators import build as B
 from lattica.plans import fixtures as X
 from lattica.plans import oracle_views as V
 from lattica.plans.registry import query
+from lattica.operators import search as S
 from lattica.sources import extract as E
+from lattica.sources import files as FS
 from lattica.streaming import stateful as T
 
 
@@ -228,3 +230,48 @@ def s_complete_fetch(spark, d):
     r = X.repos(spark, d).withColumn("state", F.when(F.col("repo_id") % 3 == 1, "excluded").otherwise("included"))
     _, wanted = T.complete_fetch(r.where("repo_id % 2 = 0").select("repo_id", F.lit("x").alias("commit_sha")), r, X.jobs(spark, d))
     return wanted.select("repo_id")
+
+
+@query("x_parse_history", "SELECT sha1(CAST(o_orderkey AS VARCHAR)) AS sha, CAST(epoch(o_orderdate) AS BIGINT) AS ct, o_orderpriority AS subject, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 2 END AS n_paths FROM orders WHERE o_orderkey % 10 <> 7")
+def x_parse_history(spark, d):
+    nul, key = F.lit("\0"), F.col("o_orderkey").cast("string")
+    sha = F.when(F.col("o_orderkey") % 10 == 7, "no sha").otherwise(F.sha1(key))
+    paths = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.concat(F.lit("\na/"), key, nul, F.lit("b"), nul))
+    log = F.concat(sha, nul, X.seconds("o_orderdate").cast("string"), nul, F.lit("A"), nul, F.lit("a@x"), nul, F.col("o_orderpriority"), nul, nul, paths)
+    parse = F.pandas_udf(lambda s: s.map(lambda t: [{"sha": r[0], "ct": r[1], "subject": r[4], "n_paths": len(r[5])} for r in B.parse_history(t)]), "array<struct<sha:string,ct:long,subject:string,n_paths:int>>")
+    return X.table(spark, d, "orders").select(F.explode(parse(log)).alias("r")).select("r.*")
+
+
+@query("x_write_graph", V.graph("SELECT kind, CAST(count(*) AS BIGINT) AS n, count(DISTINCT src) AS n_src FROM edges GROUP BY kind"))
+def x_write_graph(spark, d):
+    path = FS.scratch(spark, "graph")
+    X.edges(spark, d, with_calls=False).withColumns({"repo": F.lit("r"), "rev": F.lit("fixture-v7")}).write.mode("errorifexists").partitionBy("repo", "rev").parquet(path)
+    return spark.read.parquet(path).where("repo = 'r' AND rev = 'fixture-v7'").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src").alias("n_src"))
+
+
+@query("x_write_fts", r"WITH t AS (SELECT doc_id, unnest(string_split_regex(lower(regexp_replace(regexp_replace(text, '([\p{Lu}])([\p{Lu}][\p{Ll}])', '\1 \2', 'g'), '([^\p{Lu}])([\p{Lu}])', '\1 \2', 'g')), '[^\p{L}\p{N}]+')) AS tok FROM documents) SELECT tok, CAST(count(*) AS BIGINT) AS n, count(DISTINCT doc_id) AS df FROM t WHERE tok <> '' GROUP BY tok")
+def x_write_fts(spark, d):
+    path = FS.scratch(spark, "postings")
+    S.postings(X.file_docs(spark, d)).write.parquet(path)
+    return spark.read.parquet(path).groupBy("tok").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("node_id").alias("df"))
+
+
+def published(spark, d):
+    store = FS.Store(spark, FS.scratch(spark, "store"))
+    nodes = X.nodes(spark, d).withColumn("repo", F.lit("r"))
+    docs = S.search_docs(nodes, nodes.where("kind = 'File'").select(F.col("id").alias("node_id"), F.col("name").alias("content")))
+    return store, store.publish(1, "a" * 40, nodes, X.edges(spark, d, with_calls=False), docs)
+
+
+@query("x_publish", V.graph("SELECT 7 AS schema_version, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, 5 AS segments"))
+def x_publish(spark, d):
+    _, m = published(spark, d)
+    return spark.createDataFrame([(m["schema_version"], m["counts"]["nodes"], m["counts"]["edges"], len(m["segments"]))], "schema_version int, nodes long, edges long, segments int")
+
+
+@query("x_published_probe", "SELECT * FROM (VALUES ('whole', true), ('other', false), ('gone', false)) t(state, published)")
+def x_published_probe(spark, d):
+    store, _ = published(spark, d)
+    rows = [("whole", store.published(1, "a" * 40) is not None), ("other", store.published(1, "b" * 40) is not None)]
+    store.delete(1, store.revision("a" * 40, "syntactic"))
+    return spark.createDataFrame([*rows, ("gone", store.published(1, "a" * 40) is not None)], "state string, published boolean")

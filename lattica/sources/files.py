@@ -6,6 +6,8 @@ import hashlib
 import json
 import os
 import subprocess
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,12 @@ from lattica.operators.search import lengths, postings
 from lattica.schema import FILE_BYTES, SCHEMA_VERSION
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; where that is unset, as in tests, in a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="lattica-")
+    return f"{folder.rstrip('/')}/lattica/{what}-{uuid.uuid4().hex}"
+
+
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     """path, symlink of every entry below a local root that is no directory, by path; names that aren't UTF-8 are skipped."""
     rows = []

@@ -223,3 +223,54 @@ def test_fuzzy(spark):
 def test_cap_body():
     assert build.cap_body("aé".encode(), 2) == "a" and build.cap_body(b"\xff") is None and build.cap_body(b"") == "" and build.cap_body(None) is None
     assert ids.LANGUAGES["go"] == ("go",)
+
+
+@pytest.fixture
+def server():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            if self.path == "/repo":
+                fresh = self.headers.get("If-None-Match") == '"1"'
+                self.send_response(304 if fresh else 200)
+                self.send_header("ETag", '"1"')
+                self.end_headers()
+                if not fresh:
+                    self.wfile.write(b"head")
+                return
+            n = int(self.path.rpartition("=")[2])
+            self.send_response(200)
+            if n < 3:
+                self.send_header("Link", f'</list?page={n + 1}>; rel="next", </list?page=1>; rel="first"')
+            elif n == 8:
+                self.send_header("Link", '</list?page=8>; rel="next"')
+            self.end_headers()
+            self.wfile.write(json.dumps([{"full_name": f"o/{n}", "private": n == 2, **({"visibility": "internal"} if n == 3 else {})}]).encode())
+
+        def log_message(self, *_):
+            pass
+
+    s = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}"
+    s.shutdown()
+
+
+def test_http_sources(spark, server, tmp_path):
+    from lattica.sources import http
+
+    first = http.poll(f"{server}/repo", {})
+    assert first.changed and first.body == b"head" and http.poll(f"{server}/repo", first.validators) == http.Poll(False, None, first.validators, True)
+    with pytest.raises(VerbError):
+        list(http.listing(f"{server}/list?page=8"))
+    spark.dataSource.register(http.ListingSource)
+    spark.dataSource.register(http.PollSource)
+    got = spark.read.format("forge_listing").option("urls", f"{server}/list?page=1 {server}/list?page=9").load()
+    assert {tuple(r) for r in got.collect()} == {("o/1", "public"), ("o/2", "private"), ("o/3", "internal"), ("o/9", "public")}
+    q = spark.readStream.format("forge_poll").option("url", f"{server}/repo").load().writeStream.format("memory").queryName("polls").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert [r["body"] for r in spark.table("polls").collect()] == ["head"]
