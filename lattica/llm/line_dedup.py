@@ -8,7 +8,8 @@ before the shuffle, so that a line that every document holds is one row a task.
 * prefix filter: sets with a Jaccard similarity of ``t`` share one of their first ``n - ceil(t * n) + 1`` tokens, the rarest;
 * length filter, positional filter (what is left behind the shared tokens must reach the overlap that is needed) and a
   parity filter (each differing token flips one of 64 bits, of 128 for long lines) are conditions of that join;
-* the pairs that remain are verified on the words of the texts themselves, as 64-bit hashes.
+* what remains is verified on the words of the texts themselves, as 64-bit hashes, and no more of it than is needed to know
+  whether a line has an earlier one: variants of one line aren't all paired with each other.
 
 A line goes if its class occurs earlier, by (doc_id, line), or a similar class's first line is earlier. All lines are
 judged on the input. DataFrame functions only.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattica.llm.common import SPACES, WORD, as_rows, materialise, text_key, words
 
@@ -63,20 +65,35 @@ def lines_of(docs: DataFrame, similarity: float) -> DataFrame:
     return sets.select(*ROW, "place", F.xxhash64("t").alias("id"), n.alias("n"), parity.alias("parity"), "wide", prefix.alias("prefix"))
 
 
-def similar(classes: DataFrame, similarity: float) -> DataFrame:
-    """a, b: pairs of classes that pass the filters, a before b in the order of (n, id)."""
-    posts = classes.select(F.posexplode("prefix").alias("at", "token"), "id", "n", "parity", *[F.get("wide", k).alias(f"wide{k}") for k in range(2)])
-    columns = ("id", "n", "at", "parity", "wide0", "wide1")
-    x = posts.select("token", *[F.col(c).alias(f"x_{c}") for c in columns])
-    y = posts.select("token", *[F.col(c).alias(f"y_{c}") for c in columns])
+POST = ("id", "n", "at", "parity", "wide0", "wide1")
+
+
+def named(df: DataFrame, side: str) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{side}_{c}" for c in df.columns})
+
+
+def passing(similarity: float) -> Column:
+    """Whether a posting x and a posting y of one token pass the filters."""
     overlap = F.ceil(similarity / (1 + similarity) * (F.col("x_n") + F.col("y_n")) - 1e-9)
-    order = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_id") < F.col("y_id")))
-    length = F.col("x_n") >= similarity * F.col("y_n") - 1e-9
+    length = F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n") - 1e-9
     behind = 1 + F.least("x_at", "y_at") + F.least(F.col("x_n") - F.col("x_at") - 1, F.col("y_n") - F.col("y_at") - 1)
     bits = lambda c: F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}")))
     most = F.col("x_n") + F.col("y_n") - 2 * overlap
     differ = (bits("parity") <= most) & (F.coalesce(bits("wide0") + bits("wide1"), F.lit(0)) <= most)
-    return x.join(y, "token").where(order & length & (behind >= overlap) & differ).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+    return (F.col("x_token") == F.col("y_token")) & (F.col("x_id") != F.col("y_id")) & length & (behind >= overlap) & differ
+
+
+def involved(classes: DataFrame, similarity: float) -> DataFrame:
+    """The postings (token of a prefix with its class) that pass the filters with another: a semi-join, which gives each at most once however many it passes with."""
+    posts = classes.select(F.posexplode("prefix").alias("at", "token"), "id", "n", "parity", *[F.get("wide", k).alias(f"wide{k}") for k in range(2)]).select("token", *POST)
+    kept = named(posts, "x").join(named(posts, "y"), passing(similarity), "left_semi")
+    return kept.withColumnsRenamed({f"x_{c}": c for c in posts.columns}).join(classes.select("id", "first"), "id")
+
+
+def earlier(xs: DataFrame, ys: DataFrame, similarity: float) -> DataFrame:
+    """a, b: pairs that pass the filters, a's first line before b's."""
+    found = named(xs, "x").join(named(ys, "y"), passing(similarity) & (F.col("x_first") < F.col("y_first")))
+    return found.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
 
 def rows_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -92,55 +109,70 @@ def rows_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.where(F.get(known, word(spot)).bitwiseAND(bit(spot)) != 0)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose words have the similarity: a, b."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def line_words(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, w: the distinct words, hashed, of the first lines of classes, from the texts themselves."""
     spots = materialise(classes.join(ids, "id").select("id", "first.*"), "line-spots")
     wanted = spots.groupBy(*ROW).agg(F.collect_list(F.struct("place", "id")).alias("wanted")).withColumnsRenamed({"doc_id": "w_id", "text_key": "w_key"})
     rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.lower("text").alias("text"))
     held = rows_in(rows, spots).join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key")))
     each = held.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("x")).select("x.id", F.array_distinct(F.transform(words(F.get("lines", F.col("x.place"))), lambda w: F.xxhash64(w))).alias("w"))
-    each = materialise(each.dropDuplicates(["id"]), "line-words")
+    return each.dropDuplicates(["id"])
+
+
+def verified(pairs: DataFrame, each: DataFrame, similarity: float) -> DataFrame:
+    """id of the classes b that have the similarity with their a in words."""
     a, b = each.select(F.col("id").alias("a"), F.col("w").alias("wa")), each.select(F.col("id").alias("b"), F.col("w").alias("wb"))
     both = pairs.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("wa", "wb")))
-    return both.where(F.col("shared") >= similarity * (F.size("wa") + F.size("wb") - F.col("shared")) - 1e-9).select("a", "b")
+    return both.where(F.col("shared") >= similarity * (F.size("wa") + F.size("wb") - F.col("shared")) - 1e-9).select(F.col("b").alias("id")).distinct()
+
+
+def late_classes(classes: DataFrame, docs: DataFrame, similarity: float, leaders: int = 2) -> DataFrame:
+    """id of the classes whose first line comes after the first line of a similar class.
+
+    Whether there is one is asked, not which: each class meets the earliest classes of its tokens first, so that of a large
+    group of variants of one line most are settled by few pairs each. Only those that are left meet all earlier ones.
+    """
+    posts = materialise(involved(classes, similarity), "line-postings")
+    each = materialise(line_words(posts.select("id").distinct(), classes, docs), "line-words")
+    first = posts.withColumn("r", F.row_number().over(Window.partitionBy("token").orderBy("first", "id"))).where(F.col("r") <= leaders).drop("r")
+    tried = materialise(earlier(first, posts, similarity), "line-pairs")
+    late = materialise(verified(tried, each, similarity), "late-lines")
+    rest = earlier(posts, posts.join(late, "id", "left_anti"), similarity).join(tried, ["a", "b"], "left_anti")
+    return late.unionByName(verified(rest, each, similarity))
 
 
 def line_verdicts(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """A row per line with a word: doc_id, text_key, place, removed, n_links (of its class with other classes)."""
+    """A row per line with a word: doc_id, text_key, place, repeated (its words occur in an earlier line), similar (it is its class's first line and an earlier one is similar)."""
     lines = materialise(lines_of(docs, similarity), "lines")
     first = F.min(F.struct("doc_id", "text_key", "place")).alias("first")
     classes = materialise(lines.groupBy("id", "n", "parity", "wide", "prefix").agg(first), "line-classes")
-    links = materialise(verified(materialise(similar(classes, similarity), "line-pairs"), classes, docs, similarity), "line-links")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    of = classes.select("id", "first")
-    near = both.join(of.withColumnsRenamed({"id": "b", "first": "of_b"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("of_b").alias("near"), F.count(F.lit(1)).alias("n_links"))
-    known = of.join(near, "id", "left").select(F.col("id").alias("k_id"), "first", F.coalesce(F.col("near") < F.col("first"), F.lit(False)).alias("late"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    told = lines.join(known, lines.id == known.k_id)
+    late = late_classes(classes, docs, similarity).withColumn("late", F.lit(True))
+    known = classes.select("id", "first").join(late, "id", "left")
+    told = lines.select(*ROW, "place", "id").join(known, "id")
     own = F.struct("doc_id", "text_key", "place").eqNullSafe(F.col("first"))
-    return told.select(*ROW, "place", (~own | F.col("late")).alias("removed"), "n_links")
+    return told.select(*ROW, "place", (~own).alias("repeated"), (own & F.coalesce("late", F.lit(False))).alias("similar"))
 
 
 def line_dedup(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """One row per input row: doc_id, n_lines (with a word), n_removed, n_links, removed_lines (their numbers from 0), text_key.
+    """One row per input row: doc_id, n_lines (with a word), n_repeated, n_similar, removed_lines (their numbers from 0), text_key.
 
     Defined cases: a null text has no lines; lines without a word are never removed; a null doc_id is earlier than any
     other; rows that repeat doc_id and text get one verdict; sets of equal words are equal lines whatever their order; an
     empty table gives no rows; other columns are ignored.
     """
     each = line_verdicts(docs.select("doc_id", "text"), similarity).dropDuplicates([*ROW, "place"])
-    gone = F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("place"))))
-    by = each.groupBy(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum("n_links").alias("n_links"), gone.alias("gone"))
+    removed = F.sort_array(F.collect_list(F.when(F.col("repeated") | F.col("similar"), F.col("place"))))
+    by = each.groupBy(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")).agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("repeated").alias("n_repeated"), F.count_if("similar").alias("n_similar"), removed.alias("gone"))
     rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"))
     joined = rows.join(by, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_key") == F.col("g_key")), "left")
-    removed = F.coalesce("gone", F.array().cast("array<int>"))
     none = F.lit(0).cast("long")
-    return joined.select("doc_id", F.coalesce("n_lines", none).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.coalesce("n_links", none).alias("n_links"), removed.alias("removed_lines"), "text_key")
+    counts = [F.coalesce(c, none).alias(c) for c in ("n_lines", "n_repeated", "n_similar")]
+    return joined.select("doc_id", *counts, F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines"), "text_key")
 
 
 def remove_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """docs with all its columns, the text without the removed lines; texts that lose none are unchanged."""
-    gone, rows = line_dedup(docs, similarity).where("n_removed > 0").dropDuplicates(ROW).select(*ROW, "removed_lines"), as_rows(docs)
+    gone, rows = line_dedup(docs, similarity).where("n_repeated + n_similar > 0").dropDuplicates(ROW).select(*ROW, "removed_lines"), as_rows(docs)
     text = F.col("row.text")
     joined = rows.join(gone, F.col("row.doc_id").eqNullSafe(gone["doc_id"]) & (text_key(text) == gone["text_key"]), "left").withColumn("parts", F.split(text, "\n"))
     keep = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("removed_lines"))
