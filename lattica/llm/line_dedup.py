@@ -65,9 +65,6 @@ def lines_of(docs: DataFrame, similarity: float) -> DataFrame:
     return sets.select(*ROW, "place", F.xxhash64("t").alias("id"), n.alias("n"), parity.alias("parity"), "wide", prefix.alias("prefix"))
 
 
-POST = ("id", "n", "at", "parity", "wide0", "wide1")
-
-
 def named(df: DataFrame, side: str) -> DataFrame:
     return df.withColumnsRenamed({c: f"{side}_{c}" for c in df.columns})
 
@@ -85,7 +82,7 @@ def passing(similarity: float) -> Column:
 
 def involved(classes: DataFrame, similarity: float) -> DataFrame:
     """The postings (token of a prefix with its class) that pass the filters with another: a semi-join, which gives each at most once however many it passes with."""
-    posts = classes.select(F.posexplode("prefix").alias("at", "token"), "id", "n", "parity", *[F.get("wide", k).alias(f"wide{k}") for k in range(2)]).select("token", *POST)
+    posts = classes.select(F.posexplode("prefix").alias("at", "token"), "id", "n", "parity", *[F.get("wide", k).alias(f"wide{k}") for k in range(2)])  # both sides in this order of columns: then they are one shuffle
     kept = named(posts, "x").join(named(posts, "y"), passing(similarity), "left_semi")
     return kept.withColumnsRenamed({f"x_{c}": c for c in posts.columns}).join(classes.select("id", "first"), "id")
 
