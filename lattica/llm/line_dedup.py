@@ -65,32 +65,28 @@ def lines_of(docs: DataFrame, similarity: float) -> DataFrame:
     return sets.select(*ROW, "place", F.xxhash64("t").alias("id"), n.alias("n"), parity.alias("parity"), "wide", prefix.alias("prefix"))
 
 
-def named(df: DataFrame, side: str) -> DataFrame:
-    return df.withColumnsRenamed({c: f"{side}_{c}" for c in df.columns})
-
-
 def passing(similarity: float) -> Column:
     """Whether a posting x and a posting y of one token pass the filters."""
-    overlap = F.ceil(similarity / (1 + similarity) * (F.col("x_n") + F.col("y_n")) - 1e-9)
-    length = F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n") - 1e-9
-    behind = 1 + F.least("x_at", "y_at") + F.least(F.col("x_n") - F.col("x_at") - 1, F.col("y_n") - F.col("y_at") - 1)
-    bits = lambda c: F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}")))
-    most = F.col("x_n") + F.col("y_n") - 2 * overlap
+    overlap = F.ceil(similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    length = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
+    behind = 1 + F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at") - 1, F.col("y.n") - F.col("y.at") - 1)
+    bits = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
+    most = F.col("x.n") + F.col("y.n") - 2 * overlap
     differ = (bits("parity") <= most) & (F.coalesce(bits("wide0") + bits("wide1"), F.lit(0)) <= most)
-    return (F.col("x_token") == F.col("y_token")) & (F.col("x_id") != F.col("y_id")) & length & (behind >= overlap) & differ
+    return (F.col("x.token") == F.col("y.token")) & (F.col("x.id") != F.col("y.id")) & length & (behind >= overlap) & differ
 
 
 def involved(classes: DataFrame, similarity: float) -> DataFrame:
     """The postings (token of a prefix with its class) that pass the filters with another: a semi-join, which gives each at most once however many it passes with."""
-    posts = classes.select(F.posexplode("prefix").alias("at", "token"), "id", "n", "parity", *[F.get("wide", k).alias(f"wide{k}") for k in range(2)])  # both sides in this order of columns: then they are one shuffle
-    kept = named(posts, "x").join(named(posts, "y"), passing(similarity), "left_semi")
-    return kept.withColumnsRenamed({f"x_{c}": c for c in posts.columns}).join(classes.select("id", "first"), "id")
+    posts = classes.select(F.posexplode("prefix").alias("at", "token"), "id", "n", "parity", *[F.get("wide", k).alias(f"wide{k}") for k in range(2)])
+    # under aliases, not new names: then both sides are one shuffle
+    return posts.alias("x").join(posts.alias("y"), passing(similarity), "left_semi").select("x.*").join(classes.select("id", "first"), "id")
 
 
 def earlier(xs: DataFrame, ys: DataFrame, similarity: float) -> DataFrame:
     """a, b: pairs that pass the filters, a's first line before b's."""
-    found = named(xs, "x").join(named(ys, "y"), passing(similarity) & (F.col("x_first") < F.col("y_first")))
-    return found.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+    found = xs.alias("x").join(ys.alias("y"), passing(similarity) & (F.col("x.first") < F.col("y.first")))
+    return found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def rows_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
