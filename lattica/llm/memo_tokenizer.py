@@ -3,7 +3,8 @@
 A text is cut at single spaces between characters that aren't white space. No pre-tokenizer match reaches across such a
 space, so the ids of the cuts, joined, are the ids of the text. Each distinct cut is split into the pre-tokenizer's
 matches once, each distinct match goes through the library's model once, and repeats are a dictionary look-up. Both
-memories hold two generations of at most ``capacity`` entries, so a worker's memory has a bound.
+memories hold two generations of at most ``capacity`` entries, so a worker's memory has a bound, and they are given back
+when nothing has been encoded for ``IDLE`` seconds: Spark keeps idle workers for later stages, which need the room.
 
 Two kinds of files are understood: byte-level BPE without a normalizer, and lower-cased BPE with word ends. Others are
 encoded text by text with the library's own pipeline.
@@ -12,10 +13,14 @@ encoded text by text with the library's own pipeline.
 from __future__ import annotations
 
 import re
+import threading
+import time
+import weakref
 from array import array
 from functools import lru_cache
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
+IDLE = 4.0
 #: White space besides the space and the line feed.
 RARE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 #: Punctuation that, alone after letters, is a match of its own in both kinds of files.
@@ -62,6 +67,14 @@ class _Memory(dict):
         return value
 
 
+def _forget_when_idle(ref: weakref.ref) -> None:
+    while (t := ref()) is not None:
+        if time.monotonic() - t.used > IDLE:
+            t.forget()
+        del t
+        time.sleep(IDLE / 2)
+
+
 class MemoTokenizer:
     """encode(text): the ids as little-endian unsigned 32-bit integers, equal to the library's without special tokens."""
 
@@ -88,6 +101,13 @@ class MemoTokenizer:
             self.alphabet, self.model, self.norm = byte_alphabet(), self.full.model, self.full.normalizer
             self.by_match = _Memory(self._match, capacity // 2)
             self.by_cut = _Memory(self._cut, capacity)
+            self.used = time.monotonic()
+            threading.Thread(target=_forget_when_idle, args=(weakref.ref(self),), daemon=True).start()
+
+    def forget(self) -> None:
+        for memory in (self.by_match, self.by_cut):
+            memory.old = {}
+            memory.clear()
 
     def _match(self, m: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(m.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
@@ -104,6 +124,7 @@ class MemoTokenizer:
         return b"".join([self.by_match[m] for m in self.matches(lead + cut)])
 
     def encode(self, text: str) -> bytes:
+        self.used = time.monotonic()
         if self.kind == "words":
             # white space is never part of a match, so that any space is a safe cut
             return b"".join(map(self.by_cut.__getitem__, text.replace("\n", " ").split(" ")))
