@@ -33,24 +33,31 @@ FOOT = struct.Struct("<QQQ")  # blocks, documents, ids
 NO_ID = -(1 << 63)
 
 
+def lanes(width: int) -> tuple[str, int]:
+    """The smallest number type that holds width bits, and its bits."""
+    return (">u2", 16) if width <= 16 else (">u4", 32)
+
+
 def pack_block(ids: np.ndarray) -> bytes:
     low = int(ids.min())
     rest = (ids - low).astype(np.uint32)
-    widths = np.bincount(np.ceil(np.log2(rest.astype(np.float64) + 1)).astype(np.int64), minlength=33)
+    widths = np.bincount(np.frexp(rest.astype(np.float64))[1], minlength=33)  # of values by their bits
     width = int(np.searchsorted(np.cumsum(widths), SHARE * len(ids)))
     out = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
     kept = rest.copy()
     kept[out] = 0
-    bits = np.unpackbits(kept.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]
+    kind, room = lanes(width)
+    bits = np.unpackbits(kept.astype(kind).view(np.uint8)).reshape(-1, room)[:, room - width :]
     return HEAD.pack(low, len(ids), width, len(out)) + np.packbits(bits.ravel()).tobytes() + out.astype("<u2").tobytes() + rest[out].astype("<u4").tobytes()
 
 
 def unpack_block(raw: bytes) -> np.ndarray:
     low, n, width, outs = HEAD.unpack_from(raw)
     at, size = HEAD.size, (n * width + 7) // 8
-    bits = np.zeros((n, 32), np.uint8)
-    bits[:, 32 - width :] = np.unpackbits(np.frombuffer(raw, np.uint8, size, at), count=n * width).reshape(n, width)
-    ids = np.packbits(bits, axis=1).reshape(-1).view(">u4").astype(np.uint32)
+    kind, room = lanes(width)
+    bits = np.zeros((n, room), np.uint8)
+    bits[:, room - width :] = np.unpackbits(np.frombuffer(raw, np.uint8, size, at), count=n * width).reshape(n, width)
+    ids = np.packbits(bits.reshape(-1)).view(kind).astype(np.uint32)
     at += size
     ids[np.frombuffer(raw, "<u2", outs, at)] = np.frombuffer(raw, "<u4", outs, at + 2 * outs)
     return ids + np.uint32(low)
