@@ -1,13 +1,12 @@
 """Quality rules: base counts of a text, and the cross-document frequency of lines.
 
-Lines are normalised (lower case, white space as one space, digits as 0) and hashed. Per host the documents that hold a
-line are counted, where documents that agree on the line and on both its neighbours count once: copies of one document
-are no reason to take its lines for boilerplate. A line in more documents than the limit is removed, and a document that
-is depleted by that is rejected.
+Lines are normalised (lower case, white space as one space, digits as 0) and hashed. Per host the distinct texts that hold
+a line are counted, and the host's distinct texts: copies of one document are no reason to take its lines for boilerplate.
+A line in more documents than the limit is removed, and a document that is depleted by that is rejected.
 
 DataFrame functions only. All counts of a text are made in its row; what is shuffled are hashes of lines. A line's count
-is summed by (host, line, surroundings) and then by (host, line), each with partial sums before the shuffle, so that a
-line that a third of all documents hold is spread over its surroundings.
+is summed by (host, line, text) and then by (host, line), each with partial sums before the shuffle, so that a line that a
+third of all documents hold is spread over its texts.
 """
 
 from __future__ import annotations
@@ -59,21 +58,20 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """A row per line with a word: doc_id, text_key, host, place, line and around (hashes of it and of its neighbours), n_words."""
+    """A row per line with a word: doc_id, text_key, host, place, line (its hash), n (words)."""
     body = F.coalesce("text", F.lit(""))
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(body), r"[\x20\x09\x0B-\x0D]+", " "), "[0-9]", "0"))
     lines = F.filter(F.split(plain, " ?\n ?"), lambda line: line.rlike(WORD))
     marks = F.transform(lines, lambda line: F.struct(F.xxhash64(line).alias("line"), F.size(F.split(line, " ")).alias("n")))
     rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("source").alias("host"), marks.alias("marks"))
-    placed = F.transform("marks", lambda m, i: F.struct(i.alias("place"), m["line"].alias("line"), F.xxhash64(F.get("marks", i - 1)["line"], F.get("marks", i + 1)["line"]).alias("around"), m["n"].alias("n")))
-    return rows.select(*ROW, "host", F.explode(placed).alias("x")).select(*ROW, "host", "x.*")
+    return rows.select(*ROW, "host", F.posexplode("marks").alias("place", "x")).select(*ROW, "host", "place", "x.*")
 
 
 def frequent_lines(each: DataFrame, docs: DataFrame, share: float, least: int) -> DataFrame:
-    """host, line of the lines that more documents hold than least and than share of the host's; alike ones count once."""
-    alike = each.groupBy("host", "line", "around").agg(F.min("doc_id").alias("of"))
-    held = alike.groupBy("host", "line", "of").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
-    hosts = docs.groupBy(F.col("source").alias("of_host")).agg(F.count(F.lit(1)).alias("n_host"))
+    """host, line of the lines that more documents hold than least and than share of the host's; copies of a text count once in both."""
+    held = each.select("host", "line", "text_key").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    texts = docs.select(F.col("source").alias("of_host"), text_key(F.col("text")).alias("text_key")).distinct()
+    hosts = texts.groupBy("of_host").agg(F.count(F.lit(1)).alias("n_host"))
     return held.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("n") > share * F.col("n_host")).select("host", "line")
 
 

@@ -142,6 +142,18 @@ def test_quality_removes_boilerplate_but_spares_copies(spark):
     assert got == {d: k for d, _, _, k in rows}
 
 
+def test_quality_counts_documents_of_boilerplate_blocks(spark):
+    block = [f"{words(20 + k, 12)} line {k}" for k in range(4)]
+    poor = [(i, "\n".join([*block, f"own {words(i, 3)}"]), "s", False) for i in range(40)]
+    good = [(100 + i, f"{words(600 + i, 60)}\n{words(900 + i, 40)}", "s", True) for i in range(60)]
+    # many copies of one text must not lift the host's limit above what its other documents hold
+    copies = [(1000 + i, f"{words(9, 30)}\n{words(10, 30)}", "s", True) for i in range(900)]
+    rows = poor + good + copies
+    df = spark.createDataFrame([x[:3] for x in rows], "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["kept"], r["n_removed_words"]) for r in quality.quality_rules(df).collect()}
+    assert got == {d: (k, 0 if k else sum(len(x.split()) for x in block)) for d, _, _, k in rows}
+
+
 def brute_lines(rows, similarity=(4, 5)):
     lines = [(d, i, frozenset(x.lower().encode().split())) for d, t in rows for i, x in enumerate((t or "").split("\n")) if brute.WORD.search(x)]
     lines.sort(key=lambda x: x[:2])
