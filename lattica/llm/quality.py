@@ -58,13 +58,14 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """A row per line with a word: doc_id, text_key, host, place, line (its hash), n (words)."""
+    """A row per line with a word: doc_id, text_key, host, place (in the text, from 0), line (its hash), n (words)."""
     body = F.coalesce("text", F.lit(""))
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(body), r"[\x20\x09\x0B-\x0D]+", " "), "[0-9]", "0"))
-    lines = F.filter(F.split(plain, " ?\n ?"), lambda line: line.rlike(WORD))
-    marks = F.transform(lines, lambda line: F.struct(F.xxhash64(line).alias("line"), F.size(F.split(line, " ")).alias("n")))
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("source").alias("host"), marks.alias("marks"))
-    return rows.select(*ROW, "host", F.posexplode("marks").alias("place", "x")).select(*ROW, "host", "place", "x.*")
+    lines = F.filter(F.transform(F.split(plain, " ?\n ?"), lambda line, i: F.struct(line.alias("line"), i.alias("place"))), lambda x: x["line"].rlike(WORD))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("source").alias("host"), lines.alias("lines"))
+    # hashed in the explode: of a plain column a filter on its size would be inferred, and the lines made twice
+    marks = F.transform("lines", lambda x: F.struct(x["place"].alias("place"), F.xxhash64(x["line"]).alias("line"), F.size(F.split(x["line"], " ")).alias("n")))
+    return rows.select(*ROW, "host", F.explode(marks).alias("x")).select(*ROW, "host", "x.*")
 
 
 def frequent_lines(each: DataFrame, docs: DataFrame, share: float, least: int) -> DataFrame:
@@ -75,30 +76,39 @@ def frequent_lines(each: DataFrame, docs: DataFrame, share: float, least: int) -
     return held.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("n") > share * F.col("n_host")).select("host", "line")
 
 
-def quality_rules(docs: DataFrame, share: float = 0.1, least: int = 20, rest: float = 0.2) -> DataFrame:
-    """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words, text_key.
-
-    kept is false if the base rules fail (under 10 words, or over 20 % of the words in repeated windows of five) or if,
-    without the lines above the limits (in more than ``least`` documents and in more than ``share`` of the host's
-    documents), less than ``rest`` of the words are left.
-
-    Defined cases: a null text is empty and fails; a null source is a host of its own; a null doc_id stays null; rows
-    that repeat doc_id and text get the same row; an empty table gives no rows; other columns are ignored.
-    """
+def judged(docs: DataFrame, share: float, least: int, rest: float) -> DataFrame:
+    """What quality_rules gives, and removed_lines, the places of the lines above the limits (null for none)."""
     each = line_rows(docs)
     found = frequent_lines(each, docs, share, least).select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
     hits = each.join(found, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")), "left_semi")
-    gone = hits.select(*ROW, "place", "n").distinct().groupBy(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")).agg(F.sum("n").alias("n_removed_words"))
+    gone = hits.select(*ROW, "place", "n").distinct().groupBy(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")).agg(F.sum("n").alias("n_removed_words"), F.collect_list("place").alias("removed_lines"))
     base = materialise(base_counts(docs), "base-counts")  # written: a filter on its result would be pushed into its lambdas, and arrays made anew for every element
     joined = base.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_key") == F.col("g_key")), "left").drop("g_id", "g_key")
     removed = F.coalesce("n_removed_words", F.lit(0).cast("long"))
     left = F.col("n_words") - removed
     depleted = left < rest * F.col("n_words")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), removed.alias("n_removed_words"), "text_key")
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), removed.alias("n_removed_words"), "text_key", "removed_lines")
 
 
-def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of docs, with all their columns, that quality_rules keeps."""
-    good = quality_rules(docs, **limits).where("kept").select("doc_id", "text_key")
-    rows = as_rows(docs)
-    return rows.join(good, F.col("row.doc_id").eqNullSafe(good["doc_id"]) & (text_key(F.col("row.text")) == good["text_key"]), "left_semi").select("row.*")
+def quality_rules(docs: DataFrame, share: float = 0.1, least: int = 20, rest: float = 0.2) -> DataFrame:
+    """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words, text_key.
+
+    kept is false if the base rules fail (under 10 words, or over 20 % of the words in repeated windows of five) or if,
+    without the lines above the limits (in more than ``least`` documents and in more than ``share`` of the host's
+    documents), less than ``rest`` of the words are left.
+
+    Defined cases: a null text is empty and fails; a null source is a host of its own; a null doc_id stays null; rows
+    that repeat doc_id and text get the same row; an empty table gives no rows; other columns are ignored.
+    """
+    return judged(docs, share, least, rest).drop("removed_lines")
+
+
+def keep_good(docs: DataFrame, share: float = 0.1, least: int = 20, rest: float = 0.2) -> DataFrame:
+    """The rows of docs, with all their columns, that quality_rules keeps, the texts without the lines above the limits; texts that lose none are unchanged."""
+    good = judged(docs, share, least, rest).where("kept").select(*ROW, "removed_lines").dropDuplicates(ROW)
+    rows, text = as_rows(docs), F.col("row.text")
+    joined = rows.join(good, F.col("row.doc_id").eqNullSafe(good["doc_id"]) & (text_key(text) == good["text_key"])).withColumn("parts", F.split(text, "\n"))
+    keep = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("removed_lines"))
+    left = F.array_join(F.transform(keep, lambda i: F.get("parts", i)), "\n")
+    new = F.when(F.col("removed_lines").isNull(), text).otherwise(left)
+    return joined.select(F.col("row").withField("text", new).alias("row")).select("row.*")

@@ -154,6 +154,17 @@ def test_quality_counts_documents_of_boilerplate_blocks(spark):
     assert got == {d: (k, 0 if k else sum(len(x.split()) for x in block)) for d, _, _, k in rows}
 
 
+def test_quality_stage_cuts_lines_above_the_limits(spark):
+    import corpus_pipeline
+
+    common = "Subscribe to our   LETTER and never miss 7 news"
+    rows = [(i, f"{words(i, 60)}\n \n\t{common} \n{words(i + 500, 40)}\n", "s", 5) for i in range(60)]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, source string, n_chars long")
+    got = sorted(tuple(r) for r in corpus_pipeline.quality_stage(spark, df, "").collect())
+    cut = [(i, f"{words(i, 60)}\n \n{words(i + 500, 40)}\n", "s") for i in range(60)]
+    assert got == [(*x, len(x[1])) for x in [cut[0], *cut]]
+
+
 def brute_lines(rows, similarity=(4, 5)):
     lines = [(d, i, frozenset(x.lower().encode().split())) for d, t in rows for i, x in enumerate((t or "").split("\n")) if brute.WORD.search(x)]
     lines.sort(key=lambda x: x[:2])
