@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.llm.common import as_rows, materialise
+from lattica.llm.common import as_rows, materialise, text_key
+from lattica.llm.near_sets import late_rows
 
 BITS = 64
 
@@ -113,11 +114,14 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2) -> Data
     return marks.join(named, marks.fp == named.of_fp).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFrame:
-    """The rows of docs, with all their columns, of the document with the smallest doc_id in each component.
+def keep_one(docs: DataFrame, width: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, with all their columns, of the document with the smallest doc_id in each component, without those
+    whose shingle sets have the similarity with a smaller doc_id's: fingerprints alone miss most edited copies.
 
     Texts without a word are a component of their own kind (fingerprint zero); of rows that repeat the smallest doc_id all stay.
     """
+    late = late_rows(docs, width, similarity)
     found = simhash_components(docs, width, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     rows, ids = as_rows(docs), found.select("doc_id").distinct()
-    return rows.join(ids, F.col("row.doc_id").eqNullSafe(ids["doc_id"]), "left_semi").select("row.*")
+    first = rows.join(ids, F.col("row.doc_id").eqNullSafe(ids["doc_id"]), "left_semi")
+    return first.join(late, F.col("row.doc_id").eqNullSafe(late["doc_id"]) & (text_key(F.col("row.text")) == late["text_key"]), "left_anti").select("row.*")

@@ -118,6 +118,25 @@ def test_simhash(spark, texts):
     assert {tuple(x) for x in out.collect()} == brute.op7(rows)
 
 
+def test_near_copies_by_shingle_sets(spark):
+    r, rows = random.Random(11), []
+    for i in range(24):
+        base = words(100 + i, 250).split()
+        rows.append((10 * i, " ".join(base)))
+        for k in range(1, 8):  # one to some ten words changed: from similarity 0.96 to below 0.8
+            w = list(base)
+            for at in r.sample(range(250), r.randrange(1, 11)):
+                w[at] = "zz"
+            rows.append((10 * i + k, " ".join(w)))
+    rows += [(1000, "a b c"), (1001, "A  b c"), (1002, "a b d"), (None, rows[0][1]), (0, "quite another text under the first number")]
+    sets = [(d, frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))) for d, t in rows for w in [t.lower().split()]]
+    at = lambda d: (d is None, d or 0)
+    gone = [i for i, (d, s) in enumerate(sets) if any(at(e) < at(d) and 5 * len(s & z) >= 4 * len(s | z) for e, z in sets)]
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((at(x["doc_id"]), x["text"]) for x in out.collect()))
+    assert 60 < len(gone) < 160 and got == sorted((at(d), t) for i, (d, t) in enumerate(rows) if i not in gone)
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001)]
     random.Random(1).shuffle(edges)
