@@ -1,9 +1,11 @@
 """WARC archives: a writer with revisit records, and a reader that salvages damaged archives.
 
 The reader goes from record to record. After a failed check (a gzip member that doesn't inflate to its own checksum, a
-header without version line or length, a payload that isn't what its digest says) it searches for the next gzip member
-or version line from which a whole record can be read, goes on there, and reports the bytes between as a quarantined
-gap. It reads in steps and holds one record at a time, at most ``MOST`` bytes of it.
+header without version line, mandatory fields or length, header lines other than printable ``name: value``, a header or a
+block that isn't what its digest says) it searches for the next gzip member or version line from which a whole record can
+be read, goes on there, and reports the bytes between as a quarantined gap. A plain record has no checksum but its digests,
+so the writer adds one of the header lines. The reader reads in steps and holds one record at a time; its limit, ``MOST``
+bytes, is above what a value of Spark's can hold, so no record that was written from a table is beyond it.
 """
 
 from __future__ import annotations
@@ -23,10 +25,14 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import materialise, opened, scratch, spread, text_key
 
-STEP, MOST = 1 << 20, 1 << 30
+STEP, MOST = 1 << 20, (1 << 31) + (1 << 20)
+HEAD = 1 << 20  # a header that has not ended by then is damaged
 VERSION, MEMBER = b"WARC/1.", b"\x1f\x8b\x08"
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+SEAL = b"WARC-X-Header-Digest: sha1:"  # over the version line and all header lines before it
+LINE = re.compile(rb"([!#$%&'*+.^_`|~0-9A-Za-z-]+): ?([^\x00-\x08\x0a-\x1f\x7f]*)")
+NEEDED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -54,7 +60,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     else:
         head += [f"WARC-Refers-To: {urn(refers_to)}", f"WARC-Profile: {PROFILE}"]
     head += [f"WARC-Block-Digest: sha1:{base32_sha1(block)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    lines = "\r\n".join(head).encode()
+    return lines + b"\r\n" + SEAL + base32_sha1(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def member(raw: bytes, level: int = 4) -> bytes:
@@ -87,28 +94,36 @@ class Damaged(Exception):
     pass
 
 
-def parse(raw: bytes, whole: bool) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and size of the record at the start of raw. whole: raw is a member and ends with the record."""
-    if not raw.startswith(VERSION):
+def parse_head(raw: bytes) -> tuple[dict[str, str], int, int]:
+    """Headers (names in lower case), where the block starts, and its length, of the record at the start of raw."""
+    if not re.match(rb"WARC/1\.[01]\r\n", raw):
         raise Damaged("no version line")
-    head, gap, rest = raw.partition(b"\r\n\r\n")
-    if not gap:
+    end = raw.find(b"\r\n\r\n", 0, HEAD)
+    if end < 0:
         raise Damaged("its header does not end")
+    lines, seal, told = raw[:end].partition(b"\r\n" + SEAL)
+    if seal and told.decode("latin-1") != base32_sha1(lines):
+        raise Damaged("its header's digest differs")
     headers = {}
-    for line in head.split(b"\r\n")[1:]:
-        name, colon, value = line.decode("utf-8", "replace").partition(":")
-        if not colon:
-            raise Damaged("a header line without a colon")
-        headers[name.strip().lower()] = value.strip()
-    if not re.fullmatch(r"\d+", length := headers.get("content-length", "")):
-        raise Damaged("no length")
-    n = int(length)
-    if len(rest) < n + 4 or rest[n : n + 4] != b"\r\n\r\n" or whole and len(rest) != n + 4:
+    for line in raw[:end].split(b"\r\n")[1:]:
+        if not (m := LINE.fullmatch(line)):
+            raise Damaged("a header line that is no name and value")
+        headers[m[1].decode().lower()] = m[2].decode("utf-8", "replace").strip()
+    if lacking := [x for x in NEEDED if not headers.get(x)]:
+        raise Damaged(f"no {lacking[0]}")
+    if not re.fullmatch("[0-9]+", headers["content-length"]):
+        raise Damaged("its length is no number")
+    return headers, end + 4, int(headers["content-length"])
+
+
+def checked(headers: dict[str, str], rest: bytes, n: int) -> bytes:
+    """The block of n bytes that rest starts with, if it ends as it should and is what its digest says."""
+    if rest[n : n + 4] != b"\r\n\r\n":
         raise Damaged("it has another length than its header says")
     block = rest[:n]
     if (digest := headers.get("warc-block-digest", "")).startswith("sha1:") and digest[5:] != base32_sha1(block):
         raise Damaged("its digest differs")
-    return headers, block, len(head) + 4 + n + 4
+    return block
 
 
 class Salvage:
@@ -136,22 +151,21 @@ class Salvage:
                 if got > self.most:
                     raise Damaged("it is too large")
                 chunk = z.unconsumed_tail
-        headers, block, _ = parse(b"".join(out), True)
-        return Record(at, headers, block), pos - len(z.unused_data)
+        raw = b"".join(out)
+        headers, start, n = parse_head(raw)
+        if len(raw) != start + n + 4:
+            raise Damaged("its member has another length than its header says")
+        return Record(at, headers, checked(headers, raw[start:], n)), pos - len(z.unused_data)
 
     def _plain(self, at: int) -> tuple[Record, int]:
-        n = STEP
-        while True:
-            raw = self.file.read_at(min(n, self.size - at), at)
-            try:
-                headers, block, size = parse(raw, False)
-                return Record(at, headers, block), at + size
-            except Damaged:
-                m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", raw.partition(b"\r\n\r\n")[0])
-                need = len(raw.partition(b"\r\n\r\n")[0]) + 8 + int(m[1]) if m and raw.startswith(VERSION) else 0
-                if not len(raw) < need <= min(self.most, self.size - at):
-                    raise
-                n = need
+        raw = self.file.read_at(min(HEAD, self.size - at), at)
+        headers, start, n = parse_head(raw)
+        size = start + n + 4
+        if size > min(self.most, self.size - at):
+            raise Damaged("it is longer than the archive, or too large")
+        if size > len(raw):
+            raw += self.file.read_at(size - len(raw), at + len(raw))
+        return Record(at, headers, checked(headers, raw[start:size], n)), at + size
 
     def _record(self, at: int) -> tuple[Record, int]:
         start = self.file.read_at(min(8, self.size - at), at)
@@ -195,13 +209,16 @@ def write_warc(pages: DataFrame, folder: str | None = None, most: int = 64 << 20
     """Writes a record per page in gzip members to archives of about most bytes; returns a row an archive: file, records.
 
     Of equal payloads the page with the largest id is the response, smaller ones refer to it. Digests and ids alone decide that:
-    counted with partial sums before the shuffle, and only pages that refer to another are joined back.
+    counted with partial sums before the shuffle, and only pages that refer to another are joined back. Defined cases: a null
+    html is an empty payload; a null url has no target; a null page_id is always a response, named ``none``; an empty table
+    makes no archive; other columns are ignored.
     """
     folder = folder or scratch(pages.sparkSession, "warc")
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"))
     marks = rows.select("page_id", text_key(F.col("html")).alias("text_key"), F.sha1(F.col("html").cast("binary")).alias("digest"))
-    groups = marks.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # written, so that both sides of the join are plain shuffles, whose hot keys (empty payloads) can be split
+    groups = materialise(marks.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "warc-groups")
     refer = marks.join(groups, "digest").where("page_id < refers_to").select("page_id", "text_key", "refers_to").distinct()
     told = rows.withColumn("text_key", text_key(F.col("html"))).join(refer, ["page_id", "text_key"], "left").select("page_id", "url", "html", "refers_to")
 
@@ -234,6 +251,7 @@ def read_warc(files: DataFrame, with_payload: bool = True) -> DataFrame:
     """Records and gaps of archives (column file): file, offset, gap_bytes and gap_reason of gaps; of records page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
 
     A response whose payload isn't what its digest says is a gap too. A revisit's bytes and digest are the full payload's.
+    Defined cases: an archive of no bytes has no rows; one that holds no record is one gap; a table of no files gives no rows.
     """
     names = ["file", "offset", "gap_bytes", "gap_reason", "page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
     schema = "file string, offset long, gap_bytes long, gap_reason string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -282,4 +300,6 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
     makes no archive and gives no rows; other columns are ignored.
     """
     back = read_warc(write_warc(pages), with_payload=False)
-    return back.where("gap_bytes is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    lost = F.raise_error(F.concat(F.lit("an archive just written has a gap: "), F.col("file"), F.lit(" "), F.col("gap_reason"))).cast("long")
+    page_id = F.when(F.col("gap_bytes").isNull(), F.col("page_id")).otherwise(lost)
+    return back.select(page_id.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

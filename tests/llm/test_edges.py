@@ -326,6 +326,24 @@ def test_salvage(compressed):
         assert b"".join(gzip.decompress(p) for p in parts) == b"".join(raw)
 
 
+@pytest.mark.parametrize("compressed", [True, False])
+def test_salvage_with_any_byte_changed(compressed):
+    """Whatever byte is damaged, by whichever of two masks: what is returned is as it was written, and at most that one record goes."""
+    raw = [warc.record(i, f"http://a/{i}", b"y" * 9 * i, refers_to=7 if i == 1 else None) for i in range(3)]
+    parts = [warc.member(x) if compressed else x for x in raw]
+    whole, starts = b"".join(parts), np.cumsum([0, *map(len, parts)]).tolist()
+    read = lambda data: [(x.headers["warc-record-id"], x.headers["warc-type"], x.headers["warc-target-uri"], x.headers.get("warc-refers-to"), x.headers["warc-payload-digest"], x.payload()) for x in warc.Salvage(Bytes(data)) if isinstance(x, warc.Record)]
+    good = read(whole)
+    assert len(good) == 3
+    for at in range(len(whole)):
+        for mask in (0xFF, 0x01, 0x20):
+            bad = bytearray(whole)
+            bad[at] ^= mask
+            hit = next(i for i in range(3) if starts[i] <= at < starts[i + 1])
+            rest = [x for i, x in enumerate(good) if i != hit]
+            assert read(bytes(bad)) in (good, rest), (at, mask)
+
+
 def test_warc(spark):
     rows = [(1, "http://a", "same", "x"), (2, None, "same", "x"), (3, "http://c\nd", None, "x"), (4, "u", "", "x"), (None, "u", "same", "x"), (5, "u", "é" * 70_000, "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, file string")
@@ -333,6 +351,7 @@ def test_warc(spark):
     want = brute.op6([(p, h) for p, _, h, _ in rows if p is not None])
     assert {x for x in got if x[0] is not None} == want and [x[3] for x in got if x[0] is None] == ["response"]
     assert warc.warc_round_trip(df.where("page_id > 99")).count() == 0
+    assert warc.read_warc(spark.createDataFrame([], "file string")).count() == 0
 
 
 def host_path(url):
