@@ -70,19 +70,18 @@ SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
 FROM p JOIN g ON p.html = g.html""",
     "op8_quality": r"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 i AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w),
 r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i + 4]) AS n FROM i),
 c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM r WHERE n > 1) GROUP BY doc_id),
 b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)),
-l AS (SELECT doc_id, source, unnest(list_filter(list_transform(string_split(lower(t), chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'))), lambda x: x <> '')) AS line,
-  generate_subscripts(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')), 1) AS k FROM d),
-a AS (SELECT *, lag(line) OVER o AS before, lead(line) OVER o AS after FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
-m AS (SELECT source, line, before, after, min(doc_id) AS one FROM a GROUP BY ALL),
-f AS (SELECT source, line FROM m GROUP BY source, line HAVING count(DISTINCT one) > 20 AND count(DISTINCT one) > 0.1 * (SELECT count(*) FROM d WHERE d.source = m.source)),
-g AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS n FROM a JOIN f USING (source, line) GROUP BY doc_id)
+l AS (SELECT doc_id, source, text, unnest(list_filter(list_transform(string_split(lower(coalesce(text, '')), chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'))), lambda x: x <> '')) AS line FROM documents),
+h AS (SELECT source, count(DISTINCT coalesce('t' || text, '')) AS n_host FROM documents GROUP BY source),
+m AS (SELECT source, line, count(DISTINCT text) AS n FROM l GROUP BY source, line HAVING count(DISTINCT text) > 20),
+f AS (SELECT m.source, m.line FROM m JOIN h ON m.source IS NOT DISTINCT FROM h.source WHERE n > 0.1 * n_host),
+g AS (SELECT doc_id, sum(len(string_split(l.line, ' '))) AS n FROM l JOIN f ON l.source IS NOT DISTINCT FROM f.source AND l.line = f.line GROUP BY doc_id)
 SELECT b.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT n_words - coalesce(g.n, 0) < 0.2 * n_words AS kept, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed_words
 FROM b LEFT JOIN g USING (doc_id)""",
     "op5_substring_dedup": r"""

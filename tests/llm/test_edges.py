@@ -1,7 +1,12 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import gzip
+import math
 import random
+import re
+import time
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -386,6 +391,79 @@ def test_urls(spark):
     assert url_rules.url_verdicts(df.where("page_id > 999"), none).count() == 0
 
 
+def brute_tokens(url):
+    host, path = host_path(url)
+    labels = host.split(".")
+    query = url.split("#")[0].split("?", 1)[1] if "?" in url.split("#")[0] else ""
+    out = {"scheme:" + (re.match("[A-Za-z]*", url)[0] if re.match("[A-Za-z]*://", url) else ""), "extension:" + (re.search(r"\.([A-Za-z]{1,5})$", path) or ["", ""])[1]}
+    out |= {"host:" + ".".join(labels[i:]) for i in range(len(labels))}
+    out |= {"path:" + re.sub("[0-9]+", "#", x) for x in path.split("/") if x}
+    return out | {"query:" + x.split("=")[0] for x in query.split("&") if x}
+
+
+def brute_rules(labelled, support, confidence, least, margin, most):
+    """The mined rules by counting every set of every URL's picked tokens."""
+    rows = [(brute_tokens(u), b) for u, b in labelled]
+    total, bad = len(rows), sum(b for _, b in rows)
+    floor = max(least, math.ceil(support * total - 1e-9))
+    if bad < floor:
+        return {}
+    n, n_bad = Counter(t for ts, _ in rows for t in ts), Counter(t for ts, b in rows if b for t in ts)
+    sets = Counter()
+    for ts, b in rows:
+        if b:
+            items = sorted((t for t in ts if n_bad[t] >= floor), key=lambda t: (-n_bad[t] / n[t], -n_bad[t], t))[:most]
+            sets.update(frozenset(c) for k in range(1, len(items) + 1) for c in combinations(items, k))
+    found = {}
+    for s, freq in sets.items():
+        if freq >= floor:
+            a, k = sum(s <= ts for ts, _ in rows), sum(s <= ts for ts, b in rows if b)
+            p, z = k / a, 2.58
+            low = (p + z * z / (2 * a) - z * math.sqrt((p * (1 - p) + z * z / (4 * a)) / a)) / (1 + z * z / a)
+            if k >= confidence * a and low >= bad / total + margin:
+                found[s] = p
+    return {s: p for s, p in found.items() if not any(z < s and found[z] >= p for z in found)}
+
+
+def labelled_sample(n, seed=3):
+    r, out = random.Random(seed), []
+    for i in range(n):
+        host = r.choice(["a.shop.example.com", "shop.example.com", "b.news.example.org", "news.example.org", "c.example.net"])
+        path = "/".join(r.choices(["casino", "news", "win", f"p{i}", "de"], k=r.randrange(1, 5)))
+        url = f"{r.choice(['http', 'https'])}://{host}/{path}{r.choice(['', '.html', '/'])}{r.choice(['', '?ref=1', '?a=2&utm=x'])}"
+        bad = ("casino" in path and "shop" in host and r.random() < 0.95) or ("win" in path and "utm" in url and r.random() < 0.8) or r.random() < 0.05
+        out.append((url, bad))
+    return out + out[:20]
+
+
+@pytest.mark.parametrize("most", [10, 3])
+def test_mined_rules_and_verdicts(spark, most):
+    labelled = labelled_sample(500)
+    parameters = dict(support=0.02, confidence=0.6, least=8, margin=0.1, most=most)
+    want = brute_rules(labelled, **parameters)
+    frame = spark.createDataFrame(labelled, "url string, bad boolean")
+    got = {frozenset(r["tokens"]): r["confidence"] for r in url_rules.mined_rules(frame, **parameters).collect()}
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-12 for s in got) and len(got) > 2
+    rows = [(i, u) for i, u in enumerate([*URLS, *(u for u, _ in labelled_sample(200, 4))])]
+    out = url_rules.url_verdicts(spark.createDataFrame(rows, "page_id long, url string"), frame, **parameters)
+    fires = lambda u: any(s <= brute_tokens(u or "") for s in want)
+    expect = {(i, rule, v or ("block" if fires(u) else "allow"), fires(u)) for i, u in rows for rule, v in [verdict(*host_path(u))]}
+    assert {(r["page_id"], r["rule"], r["verdict"], r["mined"]) for r in out.collect()} == expect and any(x[3] for x in expect)
+
+
+def test_mined_rules_of_noise_and_of_very_long_urls(spark):
+    r = random.Random(9)
+    noise = [(f"http://h{r.randrange(4)}.example.com/{r.choice('abc')}/{i}", r.random() < 0.25) for i in range(600)]
+    assert url_rules.mined_rules(spark.createDataFrame(noise, "url string, bad boolean")).count() == 0
+    long = "http://h.example.com/" + "/".join(f"seg{'x' * i}" for i in range(200))
+    frame = spark.createDataFrame([(long, True)] * 30 + [(f"http://h.example.com/{i}", False) for i in range(60)], "url string, bad boolean")
+    began = time.time()
+    rules = url_rules.mined_rules(frame).collect()
+    assert {len(x["tokens"]) for x in rules} == {1} and len(rules) == 10 and time.time() - began < 60
+    n, bad, hits, right = url_rules.held_out(spark.createDataFrame(labelled_sample(800), "url string, bad boolean"), least=8)
+    assert n > 100 and hits > 0.3 * bad and right > 0.7 * hits
+
+
 def test_mined_urls(spark):
     labelled = [(f"http://h{i % 5}.example/{'casino' if i % 4 == 0 else 'news'}/{i}?{'ref' if i % 2 else 'page'}=1", i % 4 == 0 and i % 5 < 3) for i in range(400)]
     rules = url_rules.mined_rules(spark.createDataFrame(labelled, "url string, bad boolean"), 0.02, 0.9).collect()
