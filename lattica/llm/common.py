@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 #: Runs of the six ASCII white-space characters part words; Python's bytes.split() parts at the same ones.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
+#: Rows and number of the keys that are joined without a shuffle; bits of the bit map that keeps rows out of one.
+HEAVY_ROWS, MOST_HEAVY, LOG2_MARKS = 1000, 1024, 22
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where it is unset (tests, one machine) a temporary one is made."""
+    """The folder named in spark.checkpoint.dir. Only where it is unset on one machine, as in tests, a temporary one is made."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lattica-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
@@ -40,9 +44,37 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def marked(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose column isn't among wanted (its first column): a bit map of 2 ** LOG2_MARKS hashes, a
+    literal of fixed size, keeps them out of a shuffle. None that is wanted is lost."""
+    spot = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << LOG2_MARKS) - 1))
+    word = lambda c: F.shiftright(c, 5).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(31)).cast("int"))
+    marks = [0] * (1 << (LOG2_MARKS - 5))
+    spots = wanted.select(spot(F.col(wanted.columns[0])).alias("spot"))
+    for i, bits in spots.groupBy(word(F.col("spot")).alias("i")).agg(F.bit_or(bit(F.col("spot")))).collect():
+        marks[i] = bits
+    known = F.from_json(F.lit(str(marks).replace(" ", "")), "array<long>")
+    return rows.where(F.get(known, word(spot(F.col(column)))).bitwiseAND(bit(spot(F.col(column)))) != 0)
+
+
+def spread_join(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of known (written, unique by key, with a column rows: how many of rows hold the key), which is dropped.
+
+    The rows of the MOST_HEAVY keys of most rows stay where they are, as that list, of fixed length, is broadcast; the rest is an ordinary join.
+    """
+    heavy = materialise(known.where(F.col("rows") >= HEAVY_ROWS).orderBy(F.desc("rows"), key).limit(MOST_HEAVY), "heavy-keys")
+    keys = F.broadcast(heavy.select(key))
+    hot = rows.join(F.broadcast(heavy), key)
+    return hot.unionByName(rows.join(keys, key, "left_anti").join(known.join(keys, key, "left_anti"), key)).drop("rows")
+
+
 def words(text: Column) -> Column:
-    """The words of a text, in order; none for null."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
+    """The words of a text, in order; none for null. White space becomes spaces first: at one plain character texts are split without a regular expression."""
+    text = F.coalesce(text, F.lit(""))
+    for c in "\n\r\t\x0b\x0c":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def text_key(text: Column) -> Column:

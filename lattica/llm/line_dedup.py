@@ -8,52 +8,90 @@ before the shuffle, so that a line that every document holds is one row a task.
 * prefix filter: sets with a Jaccard similarity of ``t`` share one of their first ``n - ceil(t * n) + 1`` tokens, the rarest;
 * length filter, positional filter (what is left behind the shared tokens must reach the overlap that is needed) and a
   parity filter (each differing token flips one of 64 bits, of 128 for long lines) are conditions of that join;
+* postings of very frequent tokens are parted by the logarithm of their line's length, as similar lines are nearly as long;
 * what remains is verified on the words of the texts themselves, as 64-bit hashes, and no more of it than is needed to know
   whether a line has an earlier one: variants of one line aren't all paired with each other.
 
-A line goes if its class occurs earlier, by (doc_id, line), or a similar class's first line is earlier. All lines are
-judged on the input. DataFrame functions only.
+A line's position, one number in the order of (doc_id, line), stands for it wherever only order and identity are asked; a
+class is named by the position of its first line. A line goes if its class occurs earlier, or a similar class's first line
+is earlier. All lines are judged on the input. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.llm.common import SPACES, WORD, as_rows, materialise, text_key, words
+from lattica.llm.common import WORD, as_rows, marked, materialise, spread_join, text_key, words
 
-BUCKETS, LONG, LOG2_DOCS = 17, 96, 20
+BUCKETS, LONG = 17, 96
+#: Quarter-logarithm of the occurrences from which a token's postings are parted by length.
+FREQUENT = 4 * 22
 ROW = ["doc_id", "text_key"]
 
 
-def rarity(docs: DataFrame) -> list[int]:
-    """For each hashed counter the quarter-logarithm of its words' occurrences; 2 ** BUCKETS small numbers, whatever the input."""
-    each = docs.select(F.explode(words(F.lower("text"))).alias("w")).select(bucket(F.xxhash64("w")).alias("b"))
-    counts = each.groupBy("b").agg(F.floor(4 * F.log2(F.count(F.lit(1)) + 1)).cast("int").alias("level"))
+def bucket(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - BUCKETS).cast("int")
+
+
+def levels_of(hashes: DataFrame) -> Column:
+    """For each hashed counter the quarter-logarithm of the occurrences (column h), as a literal array: 2 ** BUCKETS small numbers, whatever the input."""
+    counts = hashes.groupBy(bucket(F.col("h")).alias("b")).agg(F.floor(4 * F.log2(F.count(F.lit(1)) + 1)).cast("int").alias("level"))
     out = [0] * (1 << BUCKETS)
     for b, level in counts.collect():
         out[b] = min(level, 127)
-    return out
+    return F.from_json(F.lit(str(out).replace(" ", "")), "array<int>")  # folded into a literal
 
 
-def bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - BUCKETS).cast("int")
+def ordered(hashes: Column, level: Column) -> Column:
+    """Distinct hashes as tokens, rarest first: a level in the high bits, a hash below."""
+    token = lambda h: F.shiftleft(F.get(level, bucket(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+    return F.sort_array(F.transform(hashes, token))
 
 
-def tokens(line: Column, levels: list[int]) -> Column:
-    """The distinct tokens of a line, rarest first: a level in the high bits, a hash below."""
-    level = F.from_json(F.lit(str(levels).replace(" ", "")), "array<int>")  # folded into a literal
-    token = lambda h: F.shiftleft(F.get(level, bucket(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
-    hashes = F.transform(F.array_remove(F.split(line, SPACES), ""), lambda w: F.xxhash64(w))
-    return F.sort_array(F.transform(F.array_distinct(hashes), token))
+def prefix(t: Column, similarity: float) -> Column:
+    """The prefix of ordered tokens as 31 bits each; the sign marks frequent ones."""
+    n = F.size(t)
+    small = lambda x: F.when(x >= F.lit(FREQUENT << 56), -1 - x.bitwiseAND(F.lit((1 << 31) - 1))).otherwise(x.bitwiseAND(F.lit((1 << 31) - 1))).cast("int")
+    return F.transform(F.slice(t, F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")), small)
+
+
+class Positions(NamedTuple):
+    """How (doc_id, text, line) becomes one number: a long where the ids' span and the longest text leave room and no id has two texts, else a decimal."""
+
+    low: int
+    bits: int
+    wide: bool
 
+    def of(self, doc_id: Column, key: Column, place: Column) -> Column:
+        """A null doc_id comes before any other; rows that share an id are told apart by 31 bits of their text's hash."""
+        if not self.wide:
+            return F.shiftleft(F.coalesce(doc_id.cast("long") - F.lit(self.low) + 1, F.lit(0).cast("long")), self.bits).bitwiseOR(place.cast("long"))
+        whole = lambda c: c.cast("decimal(20,0)")
+        two31 = F.lit(1 << 31).cast("decimal(10,0)")
+        of_text = whole(F.coalesce(doc_id.cast("long").cast("decimal(20,0)"), F.lit(Decimal(-(1 << 63) - 1)).cast("decimal(20,0)"))) * two31 + key.bitwiseAND(F.lit((1 << 31) - 1)).cast("decimal(10,0)")
+        return (of_text * two31 + place.cast("decimal(10,0)")).cast("decimal(38,0)")
 
-def lines_of(docs: DataFrame, similarity: float) -> DataFrame:
-    """A row per line with a word: doc_id, text_key, place, id (of its class), n (tokens), parity, wide (parity of long lines), prefix (31 bits of its tokens)."""
-    levels = rarity(docs)
+
+def positions(docs: DataFrame) -> Positions:
+    low, high, most = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long")), F.max(F.octet_length("text"))).first()
+    low, high, bits = low or 0, high or 0, max(1, (most or 0).bit_length())
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key")).distinct()
+    shared = rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    return Positions(low, bits, shared or (high - low + 2).bit_length() + bits > 62)
+
+
+def lines_of(docs: DataFrame, similarity: float, at: Positions) -> DataFrame:
+    """A row per line with a word: doc_id, text_key, place, pos, id (of its class), n (tokens), parity, wide (parity of long lines), prefix."""
+    level = levels_of(docs.select(F.explode(words(F.lower("text"))).alias("w")).select(F.xxhash64("w").alias("h")))
     rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.posexplode(F.split(F.lower("text"), "\n")).alias("place", "line")).where(F.col("line").rlike(WORD))
-    sets = rows.select(*ROW, "place", tokens(F.col("line"), levels).alias("t"))
+    hashes = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
+    sets = rows.select(*ROW, "place", at.of(F.col("doc_id"), F.col("text_key"), F.col("place")).alias("pos"), ordered(hashes, level).alias("t"))
     n = F.size("t")
     flipped = lambda t: F.aggregate(t, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
     # lines of many tokens would fill 64 bits: they have 128, whose halves fold into the 64
@@ -61,8 +99,18 @@ def lines_of(docs: DataFrame, similarity: float) -> DataFrame:
     wide = F.when(n > LONG, F.array(half(0), half(1)))
     sets = sets.withColumn("wide", wide)
     parity = F.when(n > LONG, F.get("wide", 0).bitwiseXOR(F.get("wide", 1))).otherwise(flipped("t"))
-    prefix = F.transform(F.slice("t", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")), lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    return sets.select(*ROW, "place", F.xxhash64("t").alias("id"), n.alias("n"), parity.alias("parity"), "wide", prefix.alias("prefix"))
+    return sets.select(*ROW, "place", "pos", F.xxhash64("t").alias("id"), n.alias("n"), parity.alias("parity"), "wide", prefix(F.col("t"), similarity).alias("prefix"))
+
+
+def postings(classes: DataFrame, similarity: float) -> DataFrame:
+    """A row per token of a prefix (id, n, parity, wide, prefix of classes): token, slot, at, n, parity, wide0, wide1, id.
+
+    slot is 0; of frequent tokens it is the number of the span of lengths, in two rows, so that lengths within the similarity share one.
+    """
+    posts = classes.select(F.posexplode("prefix").alias("at", "token"), "n", "parity", *[F.get("wide", k).alias(f"wide{k}") for k in range(2)], "id")
+    span = F.floor(F.log("n") / -math.log(similarity) + 1e-9).cast("int") if similarity < 1 else F.col("n")
+    slots = F.when(F.col("token") >= 0, F.array(F.lit(0))).otherwise(F.array(span + 1, span + 2))
+    return posts.select("token", F.explode(slots).alias("slot"), "at", "n", "parity", "wide0", "wide1", "id")
 
 
 def passing(similarity: float) -> Column:
@@ -73,43 +121,27 @@ def passing(similarity: float) -> Column:
     bits = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
     most = F.col("x.n") + F.col("y.n") - 2 * overlap
     differ = (bits("parity") <= most) & (F.coalesce(bits("wide0") + bits("wide1"), F.lit(0)) <= most)
-    return (F.col("x.token") == F.col("y.token")) & (F.col("x.id") != F.col("y.id")) & length & (behind >= overlap) & differ
+    return (F.col("x.token") == F.col("y.token")) & (F.col("x.slot") == F.col("y.slot")) & (F.col("x.id") != F.col("y.id")) & length & (behind >= overlap) & differ
 
 
-def involved(classes: DataFrame, similarity: float) -> DataFrame:
-    """The postings (token of a prefix with its class) that pass the filters with another: a semi-join, which gives each at most once however many it passes with."""
-    posts = classes.select(F.posexplode("prefix").alias("at", "token"), "id", "n", "parity", *[F.get("wide", k).alias(f"wide{k}") for k in range(2)])
+def involved(posts: DataFrame, similarity: float) -> DataFrame:
+    """The postings that pass the filters with another: a semi-join, which gives each at most once however many it passes with."""
     # under aliases, not new names: then both sides are one shuffle
-    return posts.alias("x").join(posts.alias("y"), passing(similarity), "left_semi").select("x.*").join(classes.select("id", "first"), "id")
+    return posts.alias("x").join(posts.alias("y"), passing(similarity), "left_semi").select("x.*")
 
 
-def earlier(xs: DataFrame, ys: DataFrame, similarity: float) -> DataFrame:
-    """a, b: pairs that pass the filters, a's first line before b's."""
-    found = xs.alias("x").join(ys.alias("y"), passing(similarity) & (F.col("x.first") < F.col("y.first")))
+def earlier(xs: DataFrame, ys: DataFrame, similarity: float, order: str) -> DataFrame:
+    """a, b: ids of pairs that pass the filters, a before b by the column order."""
+    found = xs.alias("x").join(ys.alias("y"), passing(similarity) & (F.col(f"x.{order}") < F.col(f"y.{order}")))
     return found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def rows_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rows without most of those that aren't among wanted (doc_id, text_key of both): a bit map of 2 ** LOG2_DOCS hashed rows,
-    a literal of fixed size, keeps their texts out of a shuffle. None that is wanted is lost."""
-    spot = F.xxhash64(*ROW).bitwiseAND(F.lit((1 << LOG2_DOCS) - 1))
-    word = lambda c: F.shiftright(c, 5).cast("int")
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(31)).cast("int"))
-    marks = [0] * (1 << (LOG2_DOCS - 5))
-    for i, bits in wanted.select(spot.alias("spot")).groupBy(word(F.col("spot")).alias("i")).agg(F.bit_or(bit(F.col("spot")))).collect():
-        marks[i] = bits
-    known = F.from_json(F.lit(str(marks).replace(" ", "")), "array<long>")
-    return rows.where(F.get(known, word(spot)).bitwiseAND(bit(spot)) != 0)
-
-
-def line_words(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, w: the distinct words, hashed, of the first lines of classes, from the texts themselves."""
-    spots = materialise(classes.join(ids, "id").select("id", "first.*"), "line-spots")
-    wanted = spots.groupBy(*ROW).agg(F.collect_list(F.struct("place", "id")).alias("wanted")).withColumnsRenamed({"doc_id": "w_id", "text_key": "w_key"})
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.lower("text").alias("text"))
-    held = rows_in(rows, spots).join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key")))
-    each = held.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("x")).select("x.id", F.array_distinct(F.transform(words(F.get("lines", F.col("x.place"))), lambda w: F.xxhash64(w))).alias("w"))
-    return each.dropDuplicates(["id"])
+def line_words(ids: DataFrame, docs: DataFrame, at: Positions) -> DataFrame:
+    """id, w: the distinct words, hashed, of the lines at positions ids, from the texts themselves. Lines are shuffled, not texts."""
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.posexplode(F.split(F.lower("text"), "\n")).alias("place", "line"))
+    lines = rows.select(at.of(F.col("doc_id"), F.col("text_key"), F.col("place")).alias("pos"), "line")
+    held = marked(lines, "pos", ids).join(ids.select(F.col("id").alias("pos")), "pos").dropDuplicates(["pos"])
+    return held.select(F.col("pos").alias("id"), F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("w"))
 
 
 def verified(pairs: DataFrame, each: DataFrame, similarity: float) -> DataFrame:
@@ -119,52 +151,58 @@ def verified(pairs: DataFrame, each: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.col("shared") >= similarity * (F.size("wa") + F.size("wb") - F.col("shared")) - 1e-9).select(F.col("b").alias("id")).distinct()
 
 
-def late_classes(classes: DataFrame, docs: DataFrame, similarity: float, leaders: int = 2) -> DataFrame:
-    """id of the classes whose first line comes after the first line of a similar class.
+def late_ids(posts: DataFrame, each: DataFrame, similarity: float, order: str, leaders: int = 2) -> DataFrame:
+    """id of the classes that come, by the column order, after a similar class; posts: what involved gives, each: their words.
 
     Whether there is one is asked, not which: each class meets the earliest classes of its tokens first, so that of a large
     group of variants of one line most are settled by few pairs each. Only those that are left meet all earlier ones.
     """
-    posts = materialise(involved(classes, similarity), "line-postings")
-    each = materialise(line_words(posts.select("id").distinct(), classes, docs), "line-words")
-    first = posts.withColumn("r", F.row_number().over(Window.partitionBy("token").orderBy("first", "id"))).where(F.col("r") <= leaders).drop("r")
-    tried = materialise(earlier(first, posts, similarity), "line-pairs")
-    late = materialise(verified(tried, each, similarity), "late-lines")
-    rest = earlier(posts, posts.join(late, "id", "left_anti"), similarity).join(tried, ["a", "b"], "left_anti")
+    first = posts.withColumn("r", F.row_number().over(Window.partitionBy("token", "slot").orderBy(order, "id"))).where(F.col("r") <= leaders).drop("r")
+    tried = materialise(earlier(first, posts, similarity, order), "set-pairs")
+    late = materialise(verified(tried, each, similarity), "late-sets")
+    rest = earlier(posts, posts.join(late, "id", "left_anti"), similarity, order).join(tried, ["a", "b"], "left_anti")
     return late.unionByName(verified(rest, each, similarity))
 
 
-def line_verdicts(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """A row per line with a word: doc_id, text_key, place, repeated (its words occur in an earlier line), similar (it is its class's first line and an earlier one is similar)."""
-    lines = materialise(lines_of(docs, similarity), "lines")
-    first = F.min(F.struct("doc_id", "text_key", "place")).alias("first")
-    classes = materialise(lines.groupBy("id", "n", "parity", "wide", "prefix").agg(first), "line-classes")
-    late = late_classes(classes, docs, similarity).withColumn("late", F.lit(True))
-    known = classes.select("id", "first").join(late, "id", "left")
-    told = lines.select(*ROW, "place", "id").join(known, "id")
-    own = F.struct("doc_id", "text_key", "place").eqNullSafe(F.col("first"))
-    return told.select(*ROW, "place", (~own).alias("repeated"), (own & F.coalesce("late", F.lit(False))).alias("similar"))
+def gone_lines(lines: DataFrame, docs: DataFrame, similarity: float, at: Positions) -> DataFrame:
+    """doc_id, text_key, place, repeated (its words occur in an earlier line) and similar (it is its class's first line and an earlier one is similar) of the lines that go."""
+    grouped = lines.groupBy("id", "n", "parity", "wide", "prefix").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("rows"))
+    classes = materialise(grouped, "line-classes")
+    posts = materialise(involved(postings(classes.drop("id").withColumnRenamed("first", "id"), similarity), similarity), "line-postings")
+    each = materialise(line_words(posts.select("id").distinct(), docs, at), "line-words")
+    late = late_ids(posts, each, similarity, "id").select(F.col("id").alias("first"), F.lit(True).alias("late"))
+    known = classes.select("id", "first", "rows").join(late, "first", "left").where("rows > 1 OR late").select("id", "first", "rows", F.coalesce("late", F.lit(False)).alias("late"))
+    known = materialise(known, "known-lines")
+    told = spread_join(lines.select(*ROW, "place", "pos", "id"), known, "id")
+    own = F.col("pos") == F.col("first")
+    return told.where(~own | F.col("late")).select(*ROW, "place", (~own).alias("repeated"), (own & F.col("late")).alias("similar"))
 
 
 def line_dedup(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """One row per input row: doc_id, n_lines (with a word), n_repeated, n_similar, removed_lines (their numbers from 0), text_key.
 
     Defined cases: a null text has no lines; lines without a word are never removed; a null doc_id is earlier than any
-    other; rows that repeat doc_id and text get one verdict; sets of equal words are equal lines whatever their order; an
-    empty table gives no rows; other columns are ignored.
+    other; rows that repeat doc_id and text get one verdict; of rows that share a doc_id and differ in text one comes first, by a hash;
+    sets of equal words are equal lines whatever their order; an empty table gives no rows; other columns are ignored.
     """
-    each = line_verdicts(docs.select("doc_id", "text"), similarity).dropDuplicates([*ROW, "place"])
-    removed = F.sort_array(F.collect_list(F.when(F.col("repeated") | F.col("similar"), F.col("place"))))
-    by = each.groupBy(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")).agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("repeated").alias("n_repeated"), F.count_if("similar").alias("n_similar"), removed.alias("gone"))
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"))
+    docs = docs.select("doc_id", "text")
+    at = positions(docs)
+    lines = materialise(lines_of(docs, similarity, at), "lines")
+    gone = gone_lines(lines, docs, similarity, at).dropDuplicates([*ROW, "place"])
+    by = gone.groupBy(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")).agg(F.count_if("repeated").alias("n_repeated"), F.count_if("similar").alias("n_similar"), F.sort_array(F.collect_list("place")).alias("gone"))
+    n_lines = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*"))  # from a line's first word to its end
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"))
     joined = rows.join(by, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_key") == F.col("g_key")), "left")
     none = F.lit(0).cast("long")
-    counts = [F.coalesce(c, none).alias(c) for c in ("n_lines", "n_repeated", "n_similar")]
-    return joined.select("doc_id", *counts, F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines"), "text_key")
+    return joined.select("doc_id", "n_lines", *[F.coalesce(c, none).alias(c) for c in ("n_repeated", "n_similar")], F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines"), "text_key")
 
 
 def remove_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """docs with all its columns, the text without the removed lines; texts that lose none are unchanged."""
+    """docs with all its columns, the text without the removed lines; texts that lose none are unchanged.
+
+    Defined cases: a null text stays null; a text of which all lines go becomes empty; a null doc_id and rows that repeat doc_id and text are
+    judged as in line_dedup; an empty table gives no rows; other columns stay, whatever their names.
+    """
     gone, rows = line_dedup(docs, similarity).where("n_repeated + n_similar > 0").dropDuplicates(ROW).select(*ROW, "removed_lines"), as_rows(docs)
     text = F.col("row.text")
     joined = rows.join(gone, F.col("row.doc_id").eqNullSafe(gone["doc_id"]) & (text_key(text) == gone["text_key"]), "left").withColumn("parts", F.split(text, "\n"))

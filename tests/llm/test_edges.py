@@ -11,7 +11,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from lattica.llm import bpe, exact_dedup, line_dedup, memo_tokenizer, packing, quality, simhash, substring_dedup, token_file, url_rules, warc
+from lattica.llm import bpe, common, exact_dedup, line_dedup, memo_tokenizer, packing, quality, simhash, substring_dedup, token_file, url_rules, warc
 
 from . import brute
 
@@ -142,6 +142,13 @@ def test_near_copies_by_shingle_sets(spark):
     assert 60 < len(gone) < 160 and got == sorted((at(d), t) for i, (d, t) in enumerate(rows) if i not in gone)
 
 
+def test_keep_one_judges_rows_by_id_and_text(spark):
+    a, b = words(300, 40), words(301, 40)
+    rows = [(3, a), (5, b), (5, a), (7, b), (None, a), (None, None), (9, "")]
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((x["doc_id"] or 0, x["text"]) for x in out)) == [(3, a), (5, b), (9, "")]
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001)]
     random.Random(1).shuffle(edges)
@@ -199,8 +206,13 @@ def brute_lines(rows, similarity=(4, 5)):
     return out
 
 
-def test_lines(spark, texts):
-    r, rows = random.Random(8), plain(texts)
+@pytest.mark.parametrize("shift,frequent", [(0, None), (1 << 60, None), (0, 4)])
+def test_lines(spark, texts, shift, frequent, monkeypatch):
+    """Positions as longs, as decimals (ids that span too much), and with the postings of frequent tokens parted by length."""
+    if frequent is not None:
+        monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
+        monkeypatch.setattr(common, "HEAVY_ROWS", 5)
+    r, rows = random.Random(8), [(d - 3 if d != -3 else d - shift, t) for d, t in plain(texts)]
     pool = [words(i, r.randrange(1, 14), 60) for i in range(60)]
     for i in range(80):
         lines = []
@@ -211,7 +223,20 @@ def test_lines(spark, texts):
             lines.append(" ".join(w))
         rows.append((100 + i, "\n".join(lines)))
     out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {x["doc_id"]: x["removed_lines"] for x in out.collect()} == brute_lines(rows)
+    out = {x["doc_id"]: x for x in out.collect()}
+    assert {d: x["removed_lines"] for d, x in out.items()} == brute_lines(rows)
+    assert {d: x["n_lines"] for d, x in out.items()} == {d: sum(1 for x in (t or "").split("\n") if brute.WORD.search(x)) for d, t in rows}
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    line = "one line of some words that is held by all of these documents"
+    rows = [(1, f"{line}\nfirst"), (1, f"{line}\nsecond"), (1, f"{line}\nsecond"), (None, f"third\n{line}"), (2, line)]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 5 and sorted((x["doc_id"] or 0, x["removed_lines"]) for x in out) == [(0, []), (1, [0]), (1, [0]), (1, [0]), (2, [0])]
+    left = line_dedup.remove_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"] or 0, x["text"]) for x in left) == [(0, f"third\n{line}"), (1, "first"), (1, "second"), (1, "second"), (2, "")]
+    own = [x for x in line_dedup.line_dedup(spark.createDataFrame(rows[:3], "doc_id long, text string")).collect() if not x["removed_lines"]]
+    assert len({x["text_key"] for x in own}) == 1  # of the texts under one id one comes first, in all its rows
 
 
 def test_bpe(spark, docs, texts):
