@@ -6,6 +6,8 @@ verified by the differing bits. Copies of a text share a fingerprint and enter o
 ball around it, so a group has at most ``1 + 64`` members (for radius 2) however many rows there are, and each member is
 linked with the group's smallest only: for even radii every two members of a group are within the radius of each other.
 
+Fingerprints reach no further than a few changed words. ``keep_one`` therefore also compares shingle sets (``near_sets``).
+
 Links become components by alternating large-star and small-star steps, each written to the shared folder. Neither links
 nor fingerprints ever come to the driver, only a count a step.
 """
@@ -17,32 +19,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.llm.common import as_rows, materialise, text_key
-from lattica.llm.near_sets import late_rows
-
-BITS = 64
-
-
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """64 bits: each set if it is set in over half of the shingles' XXH64. A-Z are lower-cased, words parted by ASCII white space."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    k = min(width, len(words))
-    of = xxhash.xxh64_intdigest
-    h = np.fromiter((of(line[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())), np.uint64, len(words) - k + 1)
-    counts = np.zeros(BITS, np.int64)
-    for i in range(0, len(h), 8192):  # bounded memory for very long texts
-        counts += np.unpackbits(h[i : i + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big")
+from lattica.llm.common import as_rows, materialise, spread_join, text_key
+from lattica.llm.near_sets import late_rows, sketches
+from lattica.llm.shingles import BITS, fingerprint, shingle_hashes
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -50,7 +33,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            fps = np.array([fingerprint(t, width) for t in frame["text"]], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(shingle_hashes(t, width)) for t in frame["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": fps})
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInPandas(run, "doc_id long, fp long")
@@ -98,6 +81,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
+def with_components(marks: DataFrame, radius: int) -> DataFrame:
+    """marks (written; doc_id, fp and others) with component_id; the rows of a fingerprint of very many copies aren't gathered."""
+    least = materialise(marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "classes")
+    roots = components(links(least.select("fp"), radius))
+    of = least.join(roots, least.fp == roots.node, "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
+    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    return spread_join(marks, materialise(of.join(ids, "root").select("fp", "rows", "component_id"), "components"), "fp")
+
+
 def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """One row per input row: doc_id, fingerprint, component_id.
 
@@ -105,23 +97,22 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2) -> Data
     than any other (component_id is null only where a component has no other); repeated rows share a component; an
     empty table gives no rows; other columns are ignored.
     """
-    marks = materialise(fingerprints(docs, width), "fingerprints")
-    least = materialise(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(least.select("fp"), radius))
-    of = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of.join(ids, "root").select(F.col("fp").alias("of_fp"), "component_id")
-    return marks.join(named, marks.fp == named.of_fp).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    told = with_components(materialise(fingerprints(docs, width), "fingerprints"), radius)
+    return told.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, with all their columns, of the document with the smallest doc_id in each component, without those
     whose shingle sets have the similarity with a smaller doc_id's: fingerprints alone miss most edited copies.
 
-    Texts without a word are a component of their own kind (fingerprint zero); of rows that repeat the smallest doc_id all stay.
+    Defined cases: texts without a word are a component of their own kind (fingerprint zero); rows that repeat doc_id and text
+    are judged alike, and of rows that share a doc_id and differ in text each is judged by its own; a null doc_id counts as larger than
+    any other; an empty table gives no rows; other columns stay, whatever their names.
     """
-    late = late_rows(docs, width, similarity)
-    found = simhash_components(docs, width, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    rows, ids = as_rows(docs), found.select("doc_id").distinct()
-    first = rows.join(ids, F.col("row.doc_id").eqNullSafe(ids["doc_id"]), "left_semi")
-    return first.join(late, F.col("row.doc_id").eqNullSafe(late["doc_id"]) & (text_key(F.col("row.text")) == late["text_key"]), "left_anti").select("row.*")
+    marks = materialise(sketches(docs, width), "sketches")
+    late = late_rows(marks, docs, width, similarity)
+    first = with_components(marks.select("doc_id", "text_key", "fp"), radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_key").distinct()
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
+    kept = materialise(first.join(late, same(first, late), "left_anti"), "kept")
+    rows = as_rows(docs)
+    return rows.join(kept, F.col("row.doc_id").eqNullSafe(kept["doc_id"]) & (text_key(F.col("row.text")) == kept["text_key"]), "left_semi").select("row.*")
