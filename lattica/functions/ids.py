@@ -61,14 +61,19 @@ def repo_qualifier(base_url: Column, slug: Column) -> Column:
     return F.concat(F.regexp_replace(bare, "/+$", ""), F.lit("/"), slug)
 
 
+def one_a_byte(text: Column) -> Column:
+    """A text with a character for every byte of it."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+
 def glob_regex(pattern: Column) -> Column:
-    """``*`` is any run, also across slashes, ``?`` one character; all else is meant literally."""
-    quoted = F.regexp_replace(pattern, r"([\\.\[\]{}()+^$|])", r"\\$1")
-    return F.concat(F.lit("(?s)^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    """For texts with a character a byte: ``*`` is any run, also across slashes, ``?`` one byte; all else is meant literally."""
+    quoted = F.regexp_replace(one_a_byte(pattern), r"([\\.\[\]{}()+^$|])", r"\\$1")
+    return F.concat(F.lit("(?s)^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("\\z"))
 
 
 def glob_matches(pattern: Column, text: Column) -> Column:
-    return F.rlike(text, glob_regex(pattern))
+    return F.rlike(one_a_byte(text), glob_regex(pattern))
 
 
 def glob_match_bytes(pattern: str, text: str) -> bool:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,26 +15,37 @@ from lattica.schema import BODY_BYTES, FILE_BYTES
 IDENTITY = ["src", "dst", "kind", "location"]
 
 
-def parse_history(text: str) -> list[tuple[str, int, str, str, str, list[str]]]:
+def parse_records(tokens: Iterator[str]) -> Iterator[tuple[str, int, str, str, str, list[str]]]:
     """sha, time, author, email, subject, paths of the records of a NUL-framed log: five headers, then, behind an empty token or not,
-    paths, the first of which starts with a line feed, until an empty token or the next record. Records with a bad sha or time are left out."""
-    tokens, out, i = text.split("\0"), [], 0
-    starts = lambda i: i + 4 < len(tokens) and _is_sha(tokens[i]) and tokens[i + 1].isdigit()
-    while i + 4 < len(tokens):
-        sha, time, author, email, subject = tokens[i : i + 5]
-        i += 5
-        if i < len(tokens) and tokens[i] == "":
-            i += 1
+    paths, the first of which starts with a line feed, until an empty token or the next record. Records with a bad sha or time are left out.
+    At most one record and the five tokens behind it are held."""
+    ahead: deque[str] = deque()
+
+    def have(n: int) -> bool:
+        while len(ahead) < n:
+            if (x := next(tokens, None)) is None:
+                return False
+            ahead.append(x)
+        return True
+
+    starts = lambda: have(5) and _is_sha(ahead[0]) and ahead[1].isdigit()
+    while have(5):
+        sha, time, author, email, subject = (ahead.popleft() for _ in range(5))
+        if have(1) and ahead[0] == "":
+            ahead.popleft()
         paths = []
-        while i < len(tokens) and tokens[i] != "" and (paths or tokens[i].startswith("\n")) and not starts(i):
-            paths.append(tokens[i] if paths else tokens[i].removeprefix("\n"))
-            i += 1
-        if paths and i < len(tokens) and tokens[i] == "":
-            i += 1
+        while have(1) and ahead[0] != "" and (paths or ahead[0].startswith("\n")) and not starts():
+            paths.append(ahead.popleft() if paths else ahead.popleft().removeprefix("\n"))
+        if paths and have(1) and ahead[0] == "":
+            ahead.popleft()
         sha = sha.removeprefix("\n")
         if _is_sha(sha) and time.isdigit():
-            out.append((sha, int(time), author, email, subject, [p for p in paths if p]))
-    return out
+            yield sha, int(time), author, email, subject, [p for p in paths if p]
+
+
+def parse_history(text: str) -> list[tuple[str, int, str, str, str, list[str]]]:
+    """The records of a log that is held whole."""
+    return list(parse_records(iter(text.split("\0"))))
 
 
 def _is_sha(text: str) -> bool:

@@ -9,13 +9,18 @@ from pyspark.sql.window import Window
 from lattica.functions import ids
 from lattica.schema import JOB_KINDS
 
+MAX_RULES = 10_000
+
 
 def rule_precedence(repos: DataFrame, rules: DataFrame) -> DataFrame:
     """repo_id, rule_id, state: the rule with the longest matching pattern, then the newest, then the largest id, decides; private
     repositories consider rules that apply to them only. Without a rule private ones are discovered, others included.
 
-    The rules, a short list, are gathered in one row's array, ordered by precedence; a repository takes the first that matches.
+    The rules, a short list (more than MAX_RULES are an error), are gathered in one row's array, ordered by precedence; a repository takes the
+    first that matches.
     """
+    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
     order = F.struct((-F.length("pattern")).alias("a"), (-F.col("created_at")).alias("b"), (-F.col("rule_id")).alias("c"), "rule_id", "pattern", "action", "applies_to_private")
     ordered = rules.agg(F.sort_array(F.collect_list(order)).alias("rules"))
     private = F.col("visibility") == "private"
@@ -41,6 +46,50 @@ def enqueue(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("repo_id", "kind").distinct().join(jobs.where("state <> 'done'"), ["repo_id", "kind"], "left_anti")
 
 
+def _held(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """jobs with the columns of results (job_id, token and others); fits tells whether the job is still leased under the token, the end of the lease that was claimed."""
+    told = results.withColumnsRenamed({c: f"r_{c}" for c in results.columns})
+    joined = jobs.join(told, jobs["job_id"] == told["r_job_id"], "left")
+    return joined.withColumn("fits", F.coalesce((F.col("state") == "leased") & (F.col("lease_until") == F.col("r_token")), F.lit(False)))
+
+
+def _changed(held: DataFrame, jobs: DataFrame, new: dict[str, Column]) -> DataFrame:
+    return held.select(*[F.when(F.col("fits"), new[c]).otherwise(F.col(c)).cast(jobs.schema[c].dataType).alias(c) if c in new else F.col(c) for c in jobs.columns], F.when(F.col("r_job_id").isNotNull(), F.col("fits")).alias("applied"))
+
+
+def renew(jobs: DataFrame, heartbeats: DataFrame, now: int, lease: int = 300) -> DataFrame:
+    """jobs after heartbeats (job_id, token, one a job): a lease that still holds lasts from now on, and its end is the new token.
+
+    applied: null without a heartbeat, false where the lease had gone to another worker or had ended otherwise.
+    """
+    return _changed(_held(jobs, heartbeats), jobs, {"lease_until": F.lit(now + lease)})
+
+
+def settle_jobs(jobs: DataFrame, results: DataFrame, now: int) -> DataFrame:
+    """jobs (attempts, last_error, finished_at among their columns) after results (job_id, token, outcome, error, one a job) of their workers.
+
+    outcome is done (finished), released (queued at once, with a clean slate) or failed (queued after a backoff that doubles with each attempt).
+    A result whose lease no longer holds is discarded; applied is false then, and null without a result.
+    """
+    held, is_ = _held(jobs, results), lambda x: F.col("r_outcome") == x
+    later = F.lit(now) + F.when(is_("failed"), ids.backoff_seconds(F.col("attempts"))).otherwise(0)
+    return _changed(held, jobs, {
+        "state": F.when(is_("done"), "done").otherwise("queued"), "lease_until": F.lit(None), "run_after": later,
+        "attempts": F.when(is_("done"), F.col("attempts")).when(is_("failed"), F.col("attempts") + 1).otherwise(0),
+        "last_error": F.when(is_("failed"), F.col("r_error")).when(is_("done"), F.col("last_error")), "finished_at": F.when(is_("done"), F.lit(now)),
+    })
+
+
+def reclaim(shards: DataFrame, pointers: DataFrame, deleted: DataFrame, now: int, grace: int = 3600) -> DataFrame:
+    """shards (shard_id, state, published_at, superseded_at) after a round of garbage collection: eligible published ones are reclaiming, and
+    reclaiming ones whose objects are gone (deleted: shard_id) are reaped. What a pointer (shard_id) names meanwhile is left as it is."""
+    named, gone = (x.select("shard_id").distinct().withColumn(c, F.lit(True)) for x, c in ((pointers, "named"), (deleted, "gone")))
+    told = shards.join(named, "shard_id", "left").join(gone, "shard_id", "left")
+    free, due = F.col("named").isNull(), F.coalesce("superseded_at", "published_at") < now - grace
+    reaped = free & (F.col("state") == "reclaiming") & F.col("gone").isNotNull()
+    return told.where(~F.coalesce(reaped, F.lit(False))).withColumn("state", F.when(free & due & (F.col("state") == "published"), "reclaiming").otherwise(F.col("state"))).select(shards.columns)
+
+
 def queue_depth(jobs: DataFrame) -> DataFrame:
     counts = jobs.where("state <> 'done'").groupBy("kind").agg(F.count(F.lit(1)).alias("depth"))
     kinds = jobs.sparkSession.createDataFrame([(k,) for k in JOB_KINDS], "kind string")

@@ -1,8 +1,15 @@
-"""Bounded reads of the graph: a node with its edge summary, and breadth-first neighbourhood pages."""
+"""Bounded reads of the graph: a node with its edge summary, and breadth-first neighbourhood pages.
+
+A graph is read in two layouts of its edges, by source and by target, and by the nodes' ids. Written ones are dealt to
+directories by a hash of that key, and sorted by it within, so that a read of a few nodes opens only their directories;
+the files of a node of very many edges are split by the edges' order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +17,66 @@ from pyspark.sql.window import Window
 
 from lattica.functions import ids
 from lattica.schema import BUDGET, DIRECTIONS, EDGE_KINDS, MAX_DEPTH, MAX_LIMIT, NODE_CAP, PAGE_EDGE_CAP, VerbError
+from lattica.sources.scratch import settle
 
 EDGE = ["edge_seq", "src", "dst", "kind", "provenance", "confidence", "location"]
+NODE = ["id", "kind", "name", "path", "committed_at"]
+MAX_PARTS, ROWS_A_PART = 4096, 2_000_000
+
+
+class Graph(NamedTuple):
+    """nodes; out and back: a row per edge with near (its source or its target), far, out (whether near is the source) and the edge.
+
+    parts: into how many directories they are dealt; None for frames that are not written.
+    """
+
+    nodes: DataFrame
+    out: DataFrame
+    back: DataFrame
+    parts: int | None = None
+
+    @property
+    def edges(self) -> DataFrame:
+        return self.out.select(*EDGE)
+
+    def of_kinds(self, kinds: Sequence[str] | None) -> Graph:
+        if kinds is None:
+            return self
+        chosen = F.col("kind").isin(list(kinds))
+        return self._replace(out=self.out.where(chosen), back=self.back.where(chosen))
+
+    def at(self, frame: DataFrame, wanted: DataFrame) -> DataFrame:
+        """frame without the directories in which no node of wanted (column id) can be; at most MAX_PARTS numbers come to the driver."""
+        if self.parts is None:
+            return frame.drop("part")
+        hit = [r[0] for r in wanted.select(part(F.col("id"), self.parts)).distinct().collect()]
+        return (frame if len(hit) == self.parts else frame.where(F.col("part").isin(hit))).drop("part")
+
+
+def part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")
+
+
+def _sided(edges: DataFrame, near: str, far: str) -> DataFrame:
+    return edges.select(F.col(near).alias("near"), F.col(far).alias("far"), F.lit(near == "src").alias("out"), *EDGE)
+
+
+def plain(nodes: DataFrame, edges: DataFrame) -> Graph:
+    """A graph of frames as they are."""
+    return Graph(nodes, _sided(edges, "src", "dst"), _sided(edges, "dst", "src"))
+
+
+def write(nodes: DataFrame, edges: DataFrame, folder: str, parts: int | None = None) -> Graph:
+    """Writes a graph and reads it; the number of directories follows the number of edges."""
+    spark, edges = nodes.sparkSession, settle(edges.select(*EDGE), "edges")
+    parts = parts or min(MAX_PARTS, max(8, edges.count() // ROWS_A_PART))
+    tables = {"nodes": (nodes.select(*NODE), ["id"]), "out": (_sided(edges, "src", "dst"), ["near", "edge_seq"]), "back": (_sided(edges, "dst", "src"), ["near", "edge_seq"])}
+    found = []
+    for name, (df, order) in tables.items():
+        dealt = df.withColumn("part", part(F.col(order[0]), parts)).repartitionByRange(parts, "part", *order).sortWithinPartitions("part", *order)
+        dealt.write.partitionBy("part").parquet(f"{folder}/{name}")
+        found.append(spark.read.schema(dealt.schema).parquet(f"{folder}/{name}"))
+    return Graph(*found, parts)
 
 
 def validate(direction: str, kinds: Sequence[str] | None, depth: int, limit: int) -> None:
@@ -23,30 +88,38 @@ def validate(direction: str, kinds: Sequence[str] | None, depth: int, limit: int
         raise VerbError("bad_request", "depth or limit out of range")
 
 
-def node(nodes: DataFrame, node_id: str) -> DataFrame:
-    return nodes.where(F.col("id") == node_id)
+def node(graph: Graph, node_id: str) -> DataFrame:
+    one = graph.nodes.where(F.col("id") == node_id)
+    return one.drop("part") if graph.parts is None else one.where(F.col("part") == part(F.lit(node_id), graph.parts)).drop("part")
 
 
-def sides(edges: DataFrame, of: DataFrame) -> DataFrame:
-    """Edges on either side of the nodes of (column id): near, far, out (whether near is the source) and the edge; a self-loop has two rows."""
-    out = edges.join(of.select(F.col("id").alias("src")), "src").select(F.col("src").alias("near"), F.col("dst").alias("far"), F.lit(True).alias("out"), *EDGE)
-    back = edges.join(of.select(F.col("id").alias("dst")), "dst").select(F.col("dst").alias("near"), F.col("src").alias("far"), F.lit(False).alias("out"), *EDGE)
-    return out.unionByName(back)
+def hydrate(graph: Graph, page: DataFrame) -> DataFrame:
+    """page (column id, at most some thousand rows) with kind, name and path of its nodes; one that is missing is an error."""
+    found = graph.at(graph.nodes, page).select("id", "kind", "name", "path")
+    lost = F.raise_error(F.concat(F.lit("a node of an edge is missing: "), F.col("id"))).cast("string")
+    return page.join(found, "id", "left").withColumn("kind", F.coalesce("kind", lost))
 
 
-def edge_summary(edges: DataFrame, of: DataFrame) -> DataFrame:
+def sides(graph: Graph, of: DataFrame) -> DataFrame:
+    """Edges on either side of the nodes of (column id): near, far, out and the edge; a self-loop has two rows."""
+    both = graph.at(graph.out, of).unionByName(graph.at(graph.back, of))
+    return both.join(of.select(F.col("id").alias("near")), "near", "left_semi")
+
+
+def edge_summary(graph: Graph, of: DataFrame) -> DataFrame:
     """id, direction, kind, count, provenance (a map from provenance to count) of the nodes of."""
-    each = sides(edges, of).groupBy(F.col("near").alias("id"), F.when(F.col("out"), "out").otherwise("in").alias("direction"), "kind", "provenance").agg(F.count(F.lit(1)).alias("n"))
+    each = sides(graph, of).groupBy(F.col("near").alias("id"), F.when(F.col("out"), "out").otherwise("in").alias("direction"), "kind", "provenance").agg(F.count(F.lit(1)).alias("n"))
     return each.groupBy("id", "direction", "kind").agg(F.sum("n").alias("count"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("provenance", "n")))).alias("provenance"))
 
 
-def incident_edges(edges: DataFrame, of: DataFrame, cap: int = NODE_CAP) -> DataFrame:
-    """Per node its first cap incident edges by edge_seq, each once; capped tells whether there are more. Row numbers are cut on each side before the sides meet."""
-    by_side = Window.partitionBy("near", "out").orderBy("edge_seq")
-    first = sides(edges, of).withColumn("r", F.row_number().over(by_side)).where(F.col("r") <= cap + 1)
-    both = Window.partitionBy("near").orderBy("edge_seq")
-    once = first.withColumn("again", F.row_number().over(Window.partitionBy("near", "edge_seq").orderBy(F.desc("out")))).where("again = 1").withColumn("r", F.row_number().over(both))
-    return once.withColumn("capped", F.max(F.col("r")).over(Window.partitionBy("near")) > cap).where(F.col("r") <= cap).drop("r", "again")
+def incident_edges(graph: Graph, of: DataFrame, cap: int = NODE_CAP) -> DataFrame:
+    """Per node its first cap incident edges by edge_seq, each once; capped tells whether there are more.
+
+    The cut by row number is made before the shuffle too, so that of a node of very many edges each task sends at most cap + 1.
+    """
+    each = sides(graph, of).where("out OR src <> dst")
+    first = each.withColumn("r", F.row_number().over(Window.partitionBy("near").orderBy("edge_seq"))).where(F.col("r") <= cap + 1)
+    return first.withColumn("capped", F.max("r").over(Window.partitionBy("near")) > cap).where(F.col("r") <= cap).drop("r")
 
 
 def follows(direction: str) -> Column:
@@ -54,56 +127,76 @@ def follows(direction: str) -> Column:
     return {"out": F.col("src") == F.col("near"), "in": F.col("dst") == F.col("near"), "both": F.lit(True)}[direction]
 
 
-def discover(edges: DataFrame, origin: DataFrame, direction: str = "both", kinds: Sequence[str] | None = None, depth: int = 1, repo: str = "", budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
-    """(id, depth, ext) of the nodes reached, the origin at depth 0 with them, and the edges examined with the flags capped and spent.
+class Reach(NamedTuple):
+    """seen: id, depth, ext of the nodes reached, the origin at depth 0 with them; examined: the edges looked at, with level, n (their number) and capped; spent: whether there were more than the budget."""
+
+    seen: DataFrame
+    examined: DataFrame
+    spent: bool
+
 
-    Each level examines the incident edges of its frontier in the order of (frontier, src, dst, kind, location, edge_seq) until the budget is spent.
-    The levels, at most three, are unrolled joins; a frontier has at most budget nodes.
+def discover(graph: Graph, origin: DataFrame, direction: str = "both", kinds: Sequence[str] | None = None, depth: int = 1, repo: str = "", budget: int = BUDGET) -> Reach:
+    """Breadth-first levels, at most three, each written: a frontier has at most budget nodes and is broadcast.
+
+    Each level examines the incident edges of its frontier in the order of (frontier, src, dst, kind, location, edge_seq) until the budget is
+    spent. Where a node's edges start in that order are sums over the frontier's counts; only nodes that start within the budget are numbered.
     """
-    chosen = edges if kinds is None else edges.where(F.col("kind").isin(list(kinds)))
+    graph = graph.of_kinds(kinds)
     ext = lambda c: ids.qualify(F.col(c), F.lit(repo)) if repo else F.col(c)
-    seen = origin.select("id", F.lit(0).alias("depth")).withColumn("ext", ext("id"))
-    frontier, examined, used = seen, None, None
+    frontier = settle(origin.select("id", F.lit(0).alias("depth")).withColumn("ext", ext("id")), "frontier")
+    seen, levels, used, spent = [frontier], [], 0, False
     for level in range(1, depth + 1):
-        each = incident_edges(chosen, frontier.select("id")).join(frontier.select(F.col("id").alias("near"), F.col("ext").alias("near_ext")), "near")
-        each = each.withColumn("far", F.when(F.col("src") == F.col("near"), F.col("dst")).otherwise(F.col("src")))
-        # a frontier has at most budget nodes of at most NODE_CAP edges: the running number is over a bounded set
-        order = Window.orderBy("near_ext", "src", "dst", "kind", F.asc_nulls_first("location"), "edge_seq")
-        each = each.withColumn("n", F.row_number().over(order))
-        if used is not None:
-            each = each.crossJoin(used).withColumn("n", F.col("n") + F.col("used")).drop("used")
-        each = each.withColumn("level", F.lit(level)).withColumn("spent", F.col("n") > budget)
-        found = each.where(~F.col("spent") & follows(direction)).select(F.col("far").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        frontier = found.withColumn("depth", F.lit(level)).withColumn("ext", ext("id")).select("id", "depth", "ext")
-        seen = seen.unionByName(frontier)
-        examined = each if examined is None else examined.unionByName(each)
-        used = examined.agg(F.least(F.count(F.lit(1)), F.lit(budget)).alias("used"))
-    return seen, examined
+        of = F.broadcast(frontier.select("id"))
+        names = F.broadcast(frontier.select(F.col("id").alias("near"), F.col("ext").alias("near_ext")))
+        each = settle(incident_edges(graph, of).join(names, "near"), "incident")
+        # a row a node of the frontier, at most budget
+        starts = each.groupBy("near", "near_ext").agg(F.count(F.lit(1)).alias("size")).withColumn("start", F.sum("size").over(Window.orderBy("near_ext")) - F.col("size"))
+        order = Window.partitionBy("near").orderBy("src", "dst", "kind", F.asc_nulls_first("location"), "edge_seq")
+        within = each.join(F.broadcast(starts.where(F.col("start") < budget - used).select("near", "start")), "near")
+        numbered = within.withColumn("n", used + F.col("start") + F.row_number().over(order)).where(F.col("n") <= budget).drop("start")
+        looked = settle(numbered.withColumn("level", F.lit(level)), "examined")
+        total = each.count()
+        spent, used = spent or used + total > budget, min(budget, used + total)
+        levels.append(looked)
+        found = looked.where(follows(direction)).select(F.col("far").alias("id")).distinct()
+        for before in seen:  # at most budget nodes each
+            found = found.join(F.broadcast(before.select("id")), "id", "left_anti")
+        frontier = settle(found.withColumn("depth", F.lit(level)).withColumn("ext", ext("id")).select("id", "depth", "ext"), "frontier")
+        seen.append(frontier)
+    return Reach(reduce(DataFrame.unionByName, seen), reduce(DataFrame.unionByName, levels), spent)
+
+
+def ranked(seen: DataFrame) -> DataFrame:
+    """seen with rank, the origin's 0, in the order of (depth, ext); at most a budget of rows."""
+    return seen.withColumn("rank", F.row_number().over(Window.orderBy("depth", "ext")) - 1)
 
 
 def page(seen: DataFrame, limit: int, after: tuple[int, str] | None = None) -> DataFrame:
-    """The nodes of a page: depth, ext, id, rank (the origin has 0) in the order of (depth, ext), after a position that needn't exist; more tells whether there are further ones."""
-    ranked = seen.withColumn("rank", F.row_number().over(Window.orderBy("depth", "ext")) - 1).where("depth > 0")
+    """The nodes of a page: depth, ext, id, rank in the order of (depth, ext), after a position that needn't exist; more tells whether there are further ones."""
+    rows = ranked(seen).where("depth > 0")
     if after is not None:
-        ranked = ranked.where((F.col("depth") > after[0]) | ((F.col("depth") == after[0]) & (F.col("ext") > after[1])))
-    first = ranked.orderBy("rank").limit(limit + 1)
+        rows = rows.where((F.col("depth") > after[0]) | ((F.col("depth") == after[0]) & (F.col("ext") > after[1])))
+    first = rows.orderBy("rank").limit(limit + 1)
     numbered = first.withColumn("i", F.row_number().over(Window.orderBy("rank")))
     return numbered.withColumn("more", F.max("i").over(Window.partitionBy(F.lit(1))) > limit).where(F.col("i") <= limit).drop("i")
 
 
-def page_edges(edges: DataFrame, seen: DataFrame, paged: DataFrame, kinds: Sequence[str] | None = None, cap: int = PAGE_EDGE_CAP) -> DataFrame:
-    """The edges among the nodes seen that belong to a page: to the page of the end that ranks later; self-loops to their node's, the origin's to the first."""
-    chosen = edges if kinds is None else edges.where(F.col("kind").isin(list(kinds)))
-    rank = seen.withColumn("rank", F.row_number().over(Window.orderBy("depth", "ext")) - 1).select("id", "rank")
-    both = chosen.join(rank.withColumnsRenamed({"id": "src", "rank": "src_rank"}), "src").join(rank.withColumnsRenamed({"id": "dst", "rank": "dst_rank"}), "dst")
-    later = F.greatest(F.lit(1), "src_rank", "dst_rank")
-    mine = both.withColumn("rank", later).join(paged.select("rank"), "rank", "left_semi")
-    order = Window.orderBy("rank", "src", "dst", "kind", F.asc_nulls_first("location"), "edge_seq")
-    return mine.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap).select(*EDGE, "rank")
+def page_edges(graph: Graph, seen: DataFrame, paged: DataFrame, kinds: Sequence[str] | None = None, cap: int = PAGE_EDGE_CAP) -> DataFrame:
+    """The edges among the nodes seen that belong to a page: to the page of the end that ranks later; self-loops to their node's, the origin's to the first.
+
+    Read from the page's nodes, so each edge comes from the end that ranks later; the other end is looked up among the nodes seen, at most a budget.
+    """
+    rank = settle(ranked(seen).select("id", "rank"), "ranks")
+    origin = rank.where("rank = 0").join(paged.where("rank = 1").select(F.lit(True)), how="left_semi")
+    of = settle(paged.select("id", "rank").unionByName(origin), "page")
+    each = sides(graph.of_kinds(kinds), F.broadcast(of)).where("out OR src <> dst")
+    near, far = (F.broadcast(x.withColumnsRenamed({"id": k, "rank": f"{k}_rank"})) for x, k in ((of, "near"), (rank, "far")))
+    mine = each.join(near, "near").join(far, "far").where("near_rank > far_rank OR src = dst").withColumn("rank", F.greatest(F.lit(1), "near_rank"))
+    return mine.orderBy("rank", "src", "dst", "kind", F.asc_nulls_first("location"), "edge_seq").limit(cap).select(*EDGE, "rank")
 
 
-def neighbors(nodes: DataFrame, edges: DataFrame, node_id: str, direction: str = "both", kinds: Sequence[str] | None = None, depth: int = 1, limit: int = 100, after: tuple[int, str] | None = None, repo: str = "") -> DataFrame:
+def neighbors(graph: Graph, node_id: str, direction: str = "both", kinds: Sequence[str] | None = None, depth: int = 1, limit: int = 100, after: tuple[int, str] | None = None, repo: str = "") -> DataFrame:
     """A page of the neighbourhood of a node: depth, ext, id, kind, name, path, rank, more."""
     validate(direction, kinds, depth, limit)
-    seen, _ = discover(edges, node(nodes, node_id), direction, kinds, depth, repo)
-    return page(seen, limit, after).join(nodes.select("id", "kind", "name", "path"), "id")
+    reach = discover(graph, node(graph, node_id), direction, kinds, depth, repo)
+    return hydrate(graph, settle(page(reach.seen, limit, after), "page"))

@@ -6,18 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import ids
+from lattica.operators.graph import Graph, part
+from lattica.sources.scratch import settle
 
 
-def history(nodes: DataFrame, edges: DataFrame, file_id: str, limit: int = 50, since: int | None = None, after: tuple[int, str] | None = None) -> DataFrame:
-    """The commits that touch a file, newest first, ids breaking ties: id, name, committed_at, date, author_id, author_name, one more row than limit if there are more."""
-    commits = nodes.where("kind = 'Commit'").select("id", "name", "committed_at")
+def history(graph: Graph, file_id: str, limit: int = 50, since: int | None = None, after: tuple[int, str] | None = None) -> DataFrame:
+    """The commits that touch a file, newest first, ids breaking ties: id, name, committed_at, date, author_id, author_name, one more row than limit if there are more.
+
+    Only the file's edges, the page's and its authors' are read where the graph is written.
+    """
+    commits = graph.nodes.where("kind = 'Commit'").select("id", "name", "committed_at")
     if since is not None:
         commits = commits.where(F.col("committed_at") >= since)
     if after is not None:
         at, last = after
         commits = commits.where((F.col("committed_at") < at) | ((F.col("committed_at") == at) & (F.col("id") > last)))
-    touched = edges.where((F.col("kind") == "TOUCHES") & (F.col("dst") == file_id)).select(F.col("src").alias("id"))
-    page = touched.join(commits, "id").orderBy(F.desc("committed_at"), "id").limit(limit + 1)
-    authors = edges.where("kind = 'AUTHORED'").select(F.col("dst").alias("id"), F.col("src").alias("author_id"))
-    names = nodes.where("kind = 'Contributor'").select(F.col("id").alias("author_id"), F.col("name").alias("author_name"))
-    return page.join(authors, "id", "left").join(names, "author_id", "left").select("id", "name", "committed_at", ids.render_date(F.col("committed_at")).alias("date"), "author_id", "author_name")
+    back = graph.back if graph.parts is None else graph.back.where(F.col("part") == part(F.lit(file_id), graph.parts))
+    touched = back.where((F.col("kind") == "TOUCHES") & (F.col("near") == file_id)).select(F.col("far").alias("id"))
+    page = settle(touched.join(commits, "id").orderBy(F.desc("committed_at"), "id").limit(limit + 1), "history")
+    authors = graph.at(graph.back.where("kind = 'AUTHORED'"), page).select(F.col("near").alias("id"), F.col("far").alias("author_id"))
+    told = settle(page.join(authors, "id", "left"), "history")  # a page's rows
+    people = graph.at(graph.nodes.where("kind = 'Contributor'"), told.where("author_id IS NOT NULL").select(F.col("author_id").alias("id")))
+    names = people.select(F.col("id").alias("author_id"), F.col("name").alias("author_name"))
+    return told.join(names, "author_id", "left").select("id", "name", "committed_at", ids.render_date(F.col("committed_at")).alias("date"), "author_id", "author_name")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.schema import IMPLEMENTS_CONFIDENCE, SPREAD
+from lattica.sources.scratch import settle
 
 
 def _edges(found: DataFrame, confidence: Column) -> DataFrame:
@@ -87,16 +88,19 @@ def implements(methods: DataFrame, interfaces: DataFrame) -> DataFrame:
 def interface_closure(direct: DataFrame, embeds: DataFrame, blocked: DataFrame, rounds: int = 32) -> DataFrame:
     """iface_id, name of all methods of an interface with those of what it embeds; interfaces that are blocked, or embed one that is, or lie on a cycle, have none.
 
-    direct: iface_id, name; embeds: iface_id, embedded; blocked: iface_id. A fixed point over the embedding, which is as deep as interfaces nest.
+    direct: iface_id, name; embeds: iface_id, embedded; blocked: iface_id. A fixed point over the embedding; paths double with each round,
+    so that rounds are the logarithm of how deep interfaces nest, and one that isn't reached is an error.
     """
-    reach = embeds.select("iface_id", "embedded").distinct()
-    size = -1
+    reach = settle(embeds.select("iface_id", "embedded").distinct(), "embeddings")
+    size = reach.count()
     for _ in range(rounds):
-        further = reach.join(embeds.select(F.col("iface_id").alias("embedded"), F.col("embedded").alias("next")), "embedded").select("iface_id", F.col("next").alias("embedded"))
-        reach = reach.unionByName(further).distinct().checkpoint() if reach.sparkSession.sparkContext.getCheckpointDir() else reach.unionByName(further).distinct().cache()
-        if (now := reach.count()) == size:
+        further = reach.join(reach.select(F.col("iface_id").alias("embedded"), F.col("embedded").alias("next")), "embedded").select("iface_id", F.col("next").alias("embedded"))
+        reach = settle(reach.unionByName(further).distinct(), "embeddings")
+        before, size = size, reach.count()
+        if before == size:
             break
-        size = now
+    else:
+        raise RuntimeError(f"no fixed point after {rounds} rounds")
     bad = blocked.select("iface_id").unionByName(reach.where("iface_id = embedded").select("iface_id")).distinct()
     bad = bad.unionByName(reach.join(bad.select(F.col("iface_id").alias("embedded")), "embedded").select("iface_id")).distinct()
     inherited = reach.join(direct.select(F.col("iface_id").alias("embedded"), "name"), "embedded").select("iface_id", "name")

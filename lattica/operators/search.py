@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.functions.query import FIELDS, Clause, parse
-from lattica.functions.tokenize import code_tokens
+from lattica.functions.tokenize import code_tokens, whole_tokens
 from lattica.schema import FUZZY_CAP, MAX_OFFSET, NODE_KINDS, SPREAD, TOP_K, UNADDRESSABLE, VerbError
+from lattica.sources.scratch import settle
 
 K1, B = 1.2, 0.75
 
@@ -22,61 +25,66 @@ def search_docs(nodes: DataFrame, bodies: DataFrame) -> DataFrame:
     return joined.select("repo", "node_id", "kind", "name", "path", F.when(F.col("kind") == "File", F.coalesce("body", F.lit(""))).otherwise("").alias("content"))
 
 
-def postings(docs: DataFrame, field: str = "content") -> DataFrame:
-    """repo, node_id, pos, tok of a field."""
-    return docs.select("repo", "node_id", F.posexplode(code_tokens(F.coalesce(field, F.lit("")))).alias("pos", "tok"))
+def tokens(field: str) -> Column:
+    """The tokens of a field: its column's parts of identifiers, or (``_whole``) its whole words."""
+    text = F.coalesce(F.col(field.removesuffix("_whole")), F.lit(""))
+    return whole_tokens(text) if field.endswith("_whole") else code_tokens(text)
 
 
-def lengths(docs: DataFrame, field: str = "content") -> DataFrame:
-    return docs.select("repo", "node_id", F.size(code_tokens(F.coalesce(field, F.lit("")))).cast("long").alias("dl"))
+def postings(docs: DataFrame, fields: Sequence[str] = ("content",)) -> DataFrame:
+    """repo, node_id, field, pos, tok."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(f).alias("t")) for f in fields])).alias("x")
+    return docs.select("repo", "node_id", each).select("repo", "node_id", "x.field", F.posexplode("x.t").alias("pos", "tok"))
 
 
-def matches(docs: DataFrame, clause: Clause, field: str) -> DataFrame:
-    """repo, node_id, tf of the documents whose field has the clause's words, side by side if several.
+def lengths(docs: DataFrame, fields: Sequence[str] = ("content",)) -> DataFrame:
+    """repo, node_id, field, dl."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(tokens(f)).cast("long").alias("dl")) for f in fields])).alias("x")
+    return docs.select("repo", "node_id", each).select("repo", "node_id", "x.*")
 
-    The words sought are compared inside the row's token array: only documents that hold them leave the scan.
-    """
-    tokens = code_tokens(F.coalesce(field, F.lit("")))
-    rows = docs.select("repo", "node_id", tokens.alias("t")).where(F.array_contains("t", clause.words[0]))
-    if len(clause.words) == 1:
-        tf = F.size(F.filter("t", lambda t: t == clause.words[0]))
-    else:
-        hit = lambda i: F.array(*[F.get("t", i + k) for k in range(len(clause.words))]) == F.array(*map(F.lit, clause.words))
-        tf = F.size(F.filter(F.sequence(F.lit(0), F.size("t") - 1), hit))
-    return rows.select("repo", "node_id", tf.cast("long").alias("tf")).where("tf > 0")
+
+def occurrences(t: Column, words: Sequence[str]) -> Column:
+    """How often the words occur in an array of tokens, side by side if several."""
+    if len(words) == 1:
+        return F.size(t) - F.size(F.array_remove(t, words[0]))
+    hit = lambda i: F.array(*[F.get(t, i + k) for k in range(len(words))]) == F.array(*map(F.lit, words))
+    return F.when(F.array_contains(t, words[0]), F.size(F.filter(F.sequence(F.lit(0), F.size(t) - 1), hit))).otherwise(0)
+
+
+def term_counts(docs: DataFrame, clauses: Sequence[Clause], fields: Sequence[str]) -> DataFrame:
+    """A row per document, in one pass over its text: repo, node_id, kind if there is one, dl_<field>, and tf_<i>_<field> of the clauses that apply to it."""
+    keys = [c for c in ("repo", "node_id", "kind") if c in docs.columns]
+    split = docs.select(*keys, *[tokens(f).alias(f"t_{f}") for f in fields])
+    tf = [occurrences(F.col(f"t_{f}"), c.sought(f)).alias(f"tf_{i}_{f}") for i, c in enumerate(clauses) for f in fields if c.field in (None, f)]
+    return split.select(*keys, *[F.size(f"t_{f}").alias(f"dl_{f}") for f in fields], *tf)
 
 
 def bm25(docs: DataFrame, clauses: Sequence[Clause], fields: dict[str, float] | None = None) -> DataFrame:
-    """repo, node_id, score: BM25 with exact lengths per field and repository, boosted and summed; must and must_not clauses restrict.
+    """repo, node_id, score (and kind): BM25 with exact lengths per field and repository, boosted and summed; must and must_not clauses restrict.
 
-    Statistics (documents, mean length) and document frequencies are small aggregates by repository, joined to the hits.
+    Texts are tokenised once: counts and lengths of all documents are written. Statistics (documents, mean lengths, document
+    frequencies) are one aggregate by repository, written too, so that a repository of very many documents can be split in the join.
     """
-    fields = fields or FIELDS
-    parts = []
-    for field, boost in fields.items():
-        dl = lengths(docs, field)
-        stats = dl.groupBy("repo").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-        for i, c in enumerate(clauses):
-            if c.field in (None, field):
-                parts.append(_scored(matches(docs, c, field), dl, stats, boost).withColumn("clause", F.lit(i)))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    by = hits.groupBy("repo", "node_id").agg(F.sum(F.when(F.col("clause").isin([i for i, c in enumerate(clauses) if c.occur != "must_not"] or [-1]), F.col("score"))).alias("score"), F.collect_set("clause").alias("got"))
+    fields = {f: b for f, b in (fields or FIELDS).items() if any(c.field in (None, f) for c in clauses)}
+    if not fields:
+        raise VerbError("bad_request", "no field of the query is searched")
+    counted = settle(term_counts(docs, clauses, list(fields)), "term-counts")
+    terms = [(i, f) for i, c in enumerate(clauses) for f in fields if c.field in (None, f)]
+    stats = settle(counted.groupBy("repo").agg(F.count(F.lit(1)).alias("n_docs"), *[F.avg(f"dl_{f}").alias(f"avg_{f}") for f in fields], *[F.count_if(F.col(f"tf_{i}_{f}") > 0).alias(f"df_{i}_{f}") for i, f in terms]), "term-stats")
+    got = lambda i: reduce(or_, [F.col(f"tf_{j}_{f}") > 0 for j, f in terms if j == i], F.lit(False))
+    asked = [i for i, c in enumerate(clauses) if c.occur != "must_not"]
+    held = reduce(or_, map(got, asked), F.lit(False))
     for i, c in enumerate(clauses):
-        if c.occur == "must":
-            by = by.where(F.array_contains("got", i))
-        elif c.occur == "must_not":
-            by = by.where(~F.array_contains("got", i))
-    return by.where("score IS NOT NULL").select("repo", "node_id", "score")
+        held = held & (got(i) if c.occur == "must" else ~got(i) if c.occur == "must_not" else F.lit(True))
 
+    def part(i: int, f: str) -> Column:
+        tf, df, dl, mean = (F.col(f"{x}_{f}") for x in (f"tf_{i}", f"df_{i}", "dl", "avg"))
+        idf = F.log(1 + (F.col("n_docs") - df + 0.5) / (df + 0.5))
+        norm = F.when(mean > 0, dl / mean).otherwise(1.0)
+        return F.when(tf > 0, fields[f] * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * norm))).otherwise(0.0)
 
-def _scored(tf: DataFrame, dl: DataFrame, stats: DataFrame, boost: float) -> DataFrame:
-    df = tf.groupBy("repo").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(1.0)
-    score = boost * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * norm))
-    return tf.join(dl, ["repo", "node_id"]).join(df, "repo").join(stats, "repo").select("repo", "node_id", score.alias("score"))
+    score = reduce(add, [part(i, f) for i, f in terms if i in asked], F.lit(0.0))
+    return counted.where(held).join(stats, "repo").select(*[c for c in ("repo", "node_id", "kind") if c in counted.columns], score.alias("score"))
 
 
 def top_k(scores: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -117,15 +125,17 @@ def search(docs: DataFrame, query: str, kinds: Sequence[str] | None = None, repo
     clauses = parse(query)
     scores = bm25(docs, clauses)
     if kinds is not None:
-        scores = scores.join(kind_filter(docs, kinds).select("repo", "node_id"), ["repo", "node_id"], "left_semi")
-    page = merge_page(normalize(top_k(scores), 6), offset, limit)
-    words = [w for c in clauses for w in c.words]
+        scores = kind_filter(scores, kinds)
+    page = merge_page(normalize(top_k(scores.select("repo", "node_id", "score")), 6), offset, limit)
+    words = sorted({w for c in clauses if c.occur != "must_not" for f in ("content", "content_whole") for w in c.sought(f)})
     # late: only the page's documents meet their texts
     return page.join(docs, ["repo", "node_id"]).withColumn("snippet", snippet(F.coalesce("content", F.lit("")), words)).drop("content")
 
 
 def snippet(text: Column, words: Sequence[str], width: int = 150) -> Column:
     """About width characters around the first word sought, words sought in <b>, all else escaped; empty where none occurs."""
+    if not words:
+        return F.lit("")
     seek = r"(?i)(?<![\p{L}\p{N}])(" + "|".join(words) + ")"
     at = F.regexp_instr(text, F.lit(seek))
     cut = F.substring(text, F.greatest(F.lit(1), at - 40), F.lit(width))

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattica.functions import ids
+from lattica.functions.query import FIELDS
 from lattica.operators import build as B
 from lattica.plans import fixtures as X
 from lattica.plans import oracle_views as V
+from lattica.plans import text_queries as T0
 from lattica.plans.registry import query
 from lattica.operators import search as S
 from lattica.sources import extract as E
 from lattica.sources import files as FS
+from lattica.sources.scratch import scratch
 from lattica.streaming import stateful as T
 
 
@@ -94,7 +97,7 @@ def x_history_graph(spark, d):
 
 @query("x_merge_history", V.graph("SELECT src, dst, kind FROM edges WHERE kind <> 'TOUCHES' UNION ALL SELECT src, dst, kind FROM edges WHERE kind = 'TOUCHES' AND regexp_extract(dst, '/(\\d+)\\.go', 1)::BIGINT % 2 = 0"))
 def x_merge_history(spark, d):
-    e = X.edges(spark, d, with_calls=False).select("src", "dst", "kind")
+    e = X.edges(spark, d).select("src", "dst", "kind")
     files = X.parts(spark, d).where("p_partkey % 2 = 0").select(F.col("file_id").alias("id"))
     history = e.where("kind IN ('TOUCHES', 'AUTHORED')")
     return B.merge_history(e.where("kind NOT IN ('TOUCHES', 'AUTHORED')"), history, files)
@@ -151,18 +154,18 @@ def x_extends(spark, d):
     return B.extends(s.select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").cast("long").alias("dst")), faces)
 
 
-@query("x_emit_edges", V.graph("SELECT src, dst, row_number() OVER (ORDER BY phase, path, site, dst) AS place FROM (SELECT 0 AS phase, src AS path, 0 AS site, src, dst FROM edges WHERE kind = 'IMPORTS' UNION ALL SELECT 1, src, 0, src, dst FROM edges WHERE kind = 'DEFINES')"))
-def x_emit_edges(spark, d):
-    from pyspark.sql.window import Window
+PHASES = ("IMPORTS", "CALLS", "DEFINES")
+
 
-    e = X.edges(spark, d, with_calls=False).withColumns({"path": F.col("src"), "site": F.lit(0)})
-    out = B.emit(e.where("kind = 'IMPORTS'").select("path", "site", "src", "dst"), e.where("kind = 'DEFINES'").select("path", "site", "src", "dst"))
-    return out.select("src", "dst", F.row_number().over(Window.orderBy("edge_seq")).cast("long").alias("place"))
+@query("x_emit_edges", V.graph("SELECT src, dst, location, concat_ws(chr(1), lpad((list_position(['IMPORTS', 'CALLS', 'DEFINES'], kind) - 1)::VARCHAR, 3, '0'), src, '0000000000', dst) AS edge_seq FROM edges WHERE kind IN ('IMPORTS', 'CALLS', 'DEFINES')"))
+def x_emit_edges(spark, d):
+    e = X.edges(spark, d).withColumns({"path": F.col("src"), "site": F.lit(0)})
+    return B.emit(*[e.where(F.col("kind") == k).select("path", "site", "src", "dst", "location") for k in PHASES]).select("src", "dst", "location", "edge_seq")
 
 
 @query("x_counts", V.graph("SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges"))
 def x_counts(spark, d):
-    return B.counts(X.nodes(spark, d), X.edges(spark, d, with_calls=False))
+    return B.counts(X.nodes(spark, d), X.edges(spark, d))
 
 
 def sources(spark, d, language: str, template: str):
@@ -244,23 +247,22 @@ def x_parse_history(spark, d):
 
 @query("x_write_graph", V.graph("SELECT kind, CAST(count(*) AS BIGINT) AS n, count(DISTINCT src) AS n_src FROM edges GROUP BY kind"))
 def x_write_graph(spark, d):
-    path = FS.scratch(spark, "graph")
-    X.edges(spark, d, with_calls=False).withColumns({"repo": F.lit("r"), "rev": F.lit("fixture-v7")}).write.mode("errorifexists").partitionBy("repo", "rev").parquet(path)
-    return spark.read.parquet(path).where("repo = 'r' AND rev = 'fixture-v7'").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src").alias("n_src"))
+    return X.graph(spark, d).back.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src").alias("n_src"))
 
 
-@query("x_write_fts", r"WITH t AS (SELECT doc_id, unnest(string_split_regex(lower(regexp_replace(regexp_replace(text, '([\p{Lu}])([\p{Lu}][\p{Ll}])', '\1 \2', 'g'), '([^\p{Lu}])([\p{Lu}])', '\1 \2', 'g')), '[^\p{L}\p{N}]+')) AS tok FROM documents) SELECT tok, CAST(count(*) AS BIGINT) AS n, count(DISTINCT doc_id) AS df FROM t WHERE tok <> '' GROUP BY tok")
+@query("x_write_fts", f"""WITH {T0.DOCS} f(field) AS (VALUES ('name'), ('path'), ('content'), ('name_whole'), ('path_whole'), ('content_whole')),
+t AS (SELECT field, node_id, unnest({T0.SPLIT}) AS tok FROM docs, f) SELECT field, tok, CAST(count(*) AS BIGINT) AS n, count(DISTINCT node_id) AS df FROM t GROUP BY ALL""")
 def x_write_fts(spark, d):
-    path = FS.scratch(spark, "postings")
-    S.postings(X.file_docs(spark, d)).write.parquet(path)
-    return spark.read.parquet(path).groupBy("tok").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("node_id").alias("df"))
+    path = scratch(spark, "postings")
+    S.postings(X.file_docs(spark, d), list(FIELDS)).write.parquet(path)
+    return spark.read.parquet(path).groupBy("field", "tok").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("node_id").alias("df"))
 
 
 def published(spark, d):
-    store = FS.Store(spark, FS.scratch(spark, "store"))
+    store = FS.Store(spark, scratch(spark, "store"))
     nodes = X.nodes(spark, d).withColumn("repo", F.lit("r"))
     docs = S.search_docs(nodes, nodes.where("kind = 'File'").select(F.col("id").alias("node_id"), F.col("name").alias("content")))
-    return store, store.publish(1, "a" * 40, nodes, X.edges(spark, d, with_calls=False), docs)
+    return store, store.publish(1, "a" * 40, nodes, X.edges(spark, d), docs)
 
 
 @query("x_publish", V.graph("SELECT 7 AS schema_version, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, 5 AS segments"))

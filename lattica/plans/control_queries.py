@@ -18,12 +18,14 @@ def c_qualifier(spark, d):
     return X.repos(spark, d).select("repo_id", "qualifier")
 
 
-@query("c_glob", V.control("SELECT repo_id, rule_id FROM repos, rules WHERE regexp_full_match(slug, replace(replace(pattern, '*', '.*'), '?', '.'), 's')"))
+@query("c_glob", V.control("""named AS (SELECT repo_id, CASE WHEN repo_id % 3 = 0 THEN replace(slug, '/', 'é/') ELSE slug END AS slug FROM repos),
+globs(rule_id, pattern) AS (SELECT rule_id, pattern FROM rules UNION ALL VALUES (7, '*??/*'), (8, 'canad?/*'), (9, 'canad??/*'), (10, '*é/?'))
+SELECT repo_id, rule_id FROM named, globs WHERE regexp_full_match(hex(encode(slug)), replace(replace(hex(encode(pattern)), '2A', '(..)*'), '3F', '..'))"""))
 def c_glob(spark, d):
-    rules = [r["pattern"] for r in X.rules(spark).orderBy("rule_id").collect()]
-    each = X.repos(spark, d).select("repo_id", *[ids.glob_matches(F.lit(p), F.col("slug")).alias(f"r{i}") for i, p in enumerate(rules, 1)])
-    hit = F.filter(F.array(*[F.when(F.col(f"r{i}"), F.lit(i).cast("long")) for i in range(1, len(rules) + 1)]), lambda x: x.isNotNull())
-    return each.select("repo_id", F.explode(hit).alias("rule_id"))
+    globs = X.rules(spark).select("rule_id", "pattern").unionByName(spark.createDataFrame([(7, "*??/*"), (8, "canad?/*"), (9, "canad??/*"), (10, "*é/?")], "rule_id long, pattern string"))
+    slug = F.when(F.col("repo_id") % 3 == 0, F.replace("slug", F.lit("/"), F.lit("é/"))).otherwise(F.col("slug"))
+    each = X.repos(spark, d).select("repo_id", slug.alias("slug")).join(F.broadcast(globs), ids.glob_matches(F.col("pattern"), F.col("slug")))  # ten patterns
+    return each.select("repo_id", "rule_id")
 
 
 PRECEDENCE = """x0 AS (SELECT repo_id, rule_id, action, row_number() OVER (PARTITION BY repo_id ORDER BY length(pattern) DESC, created_at DESC, rule_id DESC) AS r FROM repos, rules WHERE regexp_full_match(slug, replace(replace(pattern, '*', '.*'), '?', '.'), 's') AND (visibility <> 'private' OR applies_to_private)),

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.functions import ids
+from lattica.operators import graph as G
 from lattica.operators import resolve
+from lattica.sources.scratch import scratch
 
 REPO = "star.example/tpch/orders"
 NOW = 883612800  # 1998-01-01, instead of the clock
@@ -64,7 +66,7 @@ def edge(src: Column, dst: Column, kind: str, provenance: str, confidence: Colum
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The references to resolve: an order's next part is called from the one before. ref_id, caller_id, file_id, dir, callee, location."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    lines = table(spark, sf_dir, "lineitem")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     rows = lines.join(parts(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"))
     rows = rows.select("l_orderkey", "l_linenumber", "file_id", "dir", "path", "symbol_id", F.row_number().over(order).alias("rn"), F.lead("name").over(order).alias("callee"))
@@ -75,7 +77,7 @@ def decls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).select("file_id", "dir", "name", "symbol_id")
 
 
-def edges(spark: SparkSession, sf_dir: str, with_calls: bool = True) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All edges, distinct, with edge_seq: their order is that of (kind, src, dst, location), so no global numbering is needed."""
     li, o, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), parts(spark, sf_dir)
     touched = li.select("l_orderkey", "l_partkey").distinct().join(p, F.col("l_partkey") == F.col("p_partkey"))
@@ -89,11 +91,21 @@ def edges(spark: SparkSession, sf_dir: str, with_calls: bool = True) -> DataFram
         .unionByName(imports.select(*edge(F.col("file_id"), F.concat(F.lit("pkg:suppliers/"), F.col("l_suppkey").cast("string")), "IMPORTS", "syntactic")))
         .unionByName(hub.select(*edge(F.col("file_id"), F.lit("pkg:runtime"), "IMPORTS", "syntactic")))
     )
-    if with_calls:
-        out = out.unionByName(resolve.resolve_tiers(calls(spark, sf_dir), decls(spark, sf_dir)))
+    out = out.unionByName(resolve.resolve_tiers(calls(spark, sf_dir), decls(spark, sf_dir)))
     return out.withColumn("edge_seq", F.concat_ws("\x01", "kind", "src", "dst", F.coalesce("location", F.lit(""))))
 
 
+_graphs: dict[tuple[str, str], G.Graph] = {}
+
+
+def graph(spark: SparkSession, sf_dir: str) -> G.Graph:
+    """The graph, written once a session, as an index is built before it is asked; the queries read it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _graphs:
+        _graphs[key] = G.write(nodes(spark, sf_dir), edges(spark, sf_dir), scratch(spark, "graph"))
+    return _graphs[key]
+
+
 def file_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A File per document: repo, node_id, kind, name, path, content."""
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))

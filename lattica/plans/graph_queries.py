@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattica.functions import ids
 from lattica.operators import graph as G
@@ -17,17 +18,13 @@ ORIGIN = "pkg:suppliers/1"
 FILE_ORDER = "SELECT dst FROM edges WHERE kind = 'TOUCHES' GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1"
 
 
-def light(spark, d):
-    return X.edges(spark, d, with_calls=False)
-
-
 def busiest_file(edges: DataFrame) -> str:
-    return edges.where("kind = 'TOUCHES'").groupBy("dst").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dst").first()["dst"]
+    return edges.where("kind = 'TOUCHES'").groupBy("dst").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dst").first()["dst"]  # one row
 
 
 @query("g_node", V.graph(f"SELECT id, kind, name, path, committed_at FROM nodes WHERE id = '{ORIGIN}'"))
 def g_node(spark: SparkSession, d: str) -> DataFrame:
-    return G.node(X.nodes(spark, d), ORIGIN)
+    return G.node(X.graph(spark, d), ORIGIN)
 
 
 SUMMARY = """x0 AS (SELECT src AS id, 'out' AS direction, kind, provenance FROM edges UNION ALL SELECT dst, 'in', kind, provenance FROM edges),
@@ -37,8 +34,8 @@ SELECT id, direction, kind, CAST(sum(n) AS BIGINT) AS count, string_agg(provenan
 
 @query("g_edge_summary", V.graph(SUMMARY))
 def g_edge_summary(spark, d):
-    packages = X.nodes(spark, d).where("kind = 'Package'").select("id")
-    found = G.edge_summary(light(spark, d), packages)
+    graph = X.graph(spark, d)
+    found = G.edge_summary(graph, graph.nodes.where("kind = 'Package'").select("id"))
     return found.withColumn("provenance", F.array_join(F.transform(F.map_entries("provenance"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
 
 
@@ -79,16 +76,16 @@ def g_addressable(spark, d):
 
 @query("g_hydrate", V.graph("x0 AS (SELECT row_number() OVER (ORDER BY id DESC) AS ordinal, id FROM (SELECT id FROM nodes WHERE kind = 'File' ORDER BY id DESC LIMIT 50)) SELECT ordinal, n.id, n.kind, n.name, n.path FROM x0 JOIN nodes n ON n.id = x0.id"))
 def g_hydrate(spark, d):
-    nodes = X.nodes(spark, d)
-    wanted = [r["id"] for r in nodes.where("kind = 'File'").select("id").orderBy(F.desc("id")).limit(50).collect()]
-    page = spark.createDataFrame(list(enumerate(wanted, 1)), "ordinal long, id string")
-    return page.join(nodes.select("id", "kind", "name", "path"), "id", "left").withColumn("kind", F.coalesce("kind", F.raise_error(F.lit("a node of an edge is missing")).cast("string")))
+    graph = X.graph(spark, d)
+    page = graph.nodes.where("kind = 'File'").select("id").orderBy(F.desc("id")).limit(50)
+    return G.hydrate(graph, page.withColumn("ordinal", F.row_number().over(Window.orderBy(F.desc("id"))).cast("long"))).select("ordinal", "id", "kind", "name", "path")
 
 
 @query("g_incident_edges", V.graph("SELECT near AS id, CAST(count(*) AS BIGINT) AS n, min(edge_seq) AS first, max(edge_seq) AS last FROM (SELECT src AS near, edge_seq FROM edges UNION SELECT dst, edge_seq FROM edges) WHERE near LIKE 'pkg:suppliers/%' GROUP BY near"))
 def g_incident_edges(spark, d):
-    of = X.nodes(spark, d).where("kind = 'Package' AND name <> 'runtime'").select("id")
-    return G.incident_edges(light(spark, d), of).groupBy(F.col("near").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("edge_seq").alias("first"), F.max("edge_seq").alias("last"))
+    graph = X.graph(spark, d)
+    of = graph.nodes.where("kind = 'Package' AND name <> 'runtime'").select("id")
+    return G.incident_edges(graph, of).groupBy(F.col("near").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("edge_seq").alias("first"), F.max("edge_seq").alias("last"))
 
 
 HUB = "x0 AS (SELECT edge_seq, row_number() OVER (ORDER BY edge_seq) AS rn, count(*) OVER () AS total FROM edges WHERE dst = 'pkg:runtime') SELECT edge_seq, total > 1000 AS capped FROM x0 WHERE rn <= 1000"
@@ -96,13 +93,14 @@ HUB = "x0 AS (SELECT edge_seq, row_number() OVER (ORDER BY edge_seq) AS rn, coun
 
 @query("g_hub_cap", V.graph(HUB))
 def g_hub_cap(spark, d):
-    of = X.nodes(spark, d).where("id = 'pkg:runtime'").select("id")
-    return G.incident_edges(light(spark, d), of).select("edge_seq", "capped")
+    graph = X.graph(spark, d)
+    return G.incident_edges(graph, G.node(graph, "pkg:runtime").select("id")).select("edge_seq", "capped")
 
 
 @query("g_direction", V.graph(f"SELECT direction, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'in' AS direction FROM edges WHERE dst = '{ORIGIN}' UNION ALL SELECT 'out' FROM edges WHERE src = '{ORIGIN}' UNION ALL SELECT 'both' FROM edges WHERE src = '{ORIGIN}' OR dst = '{ORIGIN}') GROUP BY direction"))
 def g_direction(spark, d):
-    each = G.incident_edges(light(spark, d), X.nodes(spark, d).where(F.col("id") == ORIGIN).select("id"))
+    graph = X.graph(spark, d)
+    each = G.incident_edges(graph, G.node(graph, ORIGIN).select("id"))
     parts = [each.where(G.follows(x)).agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit(x).alias("direction"), "n") for x in ("in", "out", "both")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -111,12 +109,13 @@ def bfs_sql(depth: int, tail: str, kinds: str = "true") -> str:
     """Levels by unrolled steps, caps and budget as stated: per node the first 1000 edges by edge_seq, 10,000 examined in all."""
     q = f"':{X.REPO}:'"
     ext = lambda c: f"split_part({c}, ':', 1) || {q} || substr({c}, instr({c}, ':') + 1)"
-    out = [f"x0 AS (SELECT '{ORIGIN}' AS id, 0 AS depth, {ext(repr(ORIGIN))} AS ext, CAST(0 AS BIGINT) AS used)", f"k AS (SELECT * FROM edges WHERE {kinds})", f"u0 AS (SELECT CAST(0 AS BIGINT) AS used)", "s0 AS (SELECT id, depth, ext FROM x0)", "f0 AS (SELECT id, ext FROM x0)"]
+    out = [f"x0 AS (SELECT '{ORIGIN}' AS id, 0 AS depth, {ext(repr(ORIGIN))} AS ext, CAST(0 AS BIGINT) AS used)", f"k AS MATERIALIZED (SELECT * FROM edges WHERE {kinds})", f"u0 AS (SELECT CAST(0 AS BIGINT) AS used)", "s0 AS (SELECT id, depth, ext FROM x0)", "f0 AS (SELECT id, ext FROM x0)"]
     for i in range(1, depth + 1):
         out += [
-            f"a{i} AS (SELECT f.id AS near, f.ext AS near_ext, e.*, row_number() OVER (PARTITION BY f.id ORDER BY e.edge_seq) AS r, count(*) OVER (PARTITION BY f.id) AS deg FROM f{i - 1} f JOIN k e ON e.src = f.id OR e.dst = f.id)",
-            f"b{i} AS (SELECT *, u.used + row_number() OVER (ORDER BY near_ext, src, dst, kind, location NULLS FIRST, edge_seq) AS n, deg > 1000 AS capped FROM a{i}, u{i - 1} u WHERE r <= 1000)",
-            f"f{i} AS (SELECT id, {ext('id')} AS ext FROM (SELECT DISTINCT CASE WHEN src = near THEN dst ELSE src END AS id FROM b{i} WHERE n <= 10000) WHERE id NOT IN (SELECT id FROM s{i - 1}))",
+            f"c{i} AS (SELECT f.id AS near, f.ext AS near_ext, e.* FROM f{i - 1} f JOIN k e ON e.src = f.id UNION ALL SELECT f.id, f.ext, e.* FROM f{i - 1} f JOIN k e ON e.dst = f.id AND e.src <> e.dst)",
+            f"a{i} AS (SELECT *, row_number() OVER (PARTITION BY near ORDER BY edge_seq) AS r, count(*) OVER (PARTITION BY near) AS deg FROM c{i})",
+            f"b{i} AS MATERIALIZED (SELECT *, u.used + row_number() OVER (ORDER BY near_ext, src, dst, kind, location NULLS FIRST, edge_seq) AS n, deg > 1000 AS capped FROM a{i}, u{i - 1} u WHERE r <= 1000)",
+            f"f{i} AS MATERIALIZED (SELECT id, {ext('id')} AS ext FROM (SELECT DISTINCT CASE WHEN src = near THEN dst ELSE src END AS id FROM b{i} WHERE n <= 10000) WHERE id NOT IN (SELECT id FROM s{i - 1}))",
             f"s{i} AS (SELECT * FROM s{i - 1} UNION ALL SELECT id, {i}, ext FROM f{i})",
             f"u{i} AS (SELECT least((SELECT used FROM u{i - 1}) + count(*), 10000) AS used FROM b{i})",
         ]
@@ -127,47 +126,53 @@ PAGE = "SELECT s.depth, s.ext, s.id, n.kind, n.name, n.path FROM s{d} s JOIN nod
 
 
 def neighbors(spark, d, depth, kinds=None, after=None):
-    return G.neighbors(X.nodes(spark, d), light(spark, d), ORIGIN, "both", kinds, depth, 100, after, X.REPO).select("depth", "ext", "id", "kind", "name", "path")
+    return G.neighbors(X.graph(spark, d), ORIGIN, "both", kinds, depth, 100, after, X.REPO).select("depth", "ext", "id", "kind", "name", "path")
 
 
 for _n in (1, 2, 3):
-    query(f"g_neighbors_d{_n}", bfs_sql(_n, PAGE, "true" if _n < 3 else "kind IN ('IMPORTS', 'DEFINES')"))(lambda spark, d, n=_n: neighbors(spark, d, n, None if n < 3 else ["IMPORTS", "DEFINES"]))
+    query(f"g_neighbors_d{_n}", bfs_sql(_n, PAGE))(lambda spark, d, n=_n: neighbors(spark, d, n))
+
+
+@query("g_neighbors_kinds", bfs_sql(3, PAGE, "kind IN ('IMPORTS', 'DEFINES')"))
+def g_neighbors_kinds(spark, d):
+    return neighbors(spark, d, 3, ["IMPORTS", "DEFINES"])
+
+
+def reach(spark, d, depth, kinds=None):
+    graph = X.graph(spark, d)
+    return graph, G.discover(graph, G.node(graph, ORIGIN), kinds=kinds, depth=depth, repo=X.REPO)
 
 
 @query("g_bfs_order", bfs_sql(2, "SELECT id, depth, row_number() OVER (ORDER BY depth, ext) - 1 AS rank FROM s{d}"))
 def g_bfs_order(spark, d):
-    seen, _ = G.discover(light(spark, d), G.node(X.nodes(spark, d), ORIGIN), depth=2, repo=X.REPO)
-    from pyspark.sql.window import Window
-
-    return seen.select("id", "depth", (F.row_number().over(Window.orderBy("depth", "ext")) - 1).cast("long").alias("rank"))
+    return G.ranked(reach(spark, d, 2)[1].seen).select("id", "depth", F.col("rank").cast("long").alias("rank"))
 
 
 @query("g_neighbors_page2", bfs_sql(2, "SELECT depth, ext, id FROM s{d} WHERE depth > 0 ORDER BY depth, ext LIMIT 100 OFFSET 100"))
 def g_neighbors_page2(spark, d):
-    nodes, edges = X.nodes(spark, d), light(spark, d)
-    seen, _ = G.discover(edges, G.node(nodes, ORIGIN), depth=2, repo=X.REPO)
-    seen = seen.cache()
+    seen = reach(spark, d, 2)[1].seen
     last = G.page(seen, 100).agg(F.max(F.struct("depth", "ext")).alias("x")).first()["x"]
     return G.page(seen, 100, (last["depth"], last["ext"])).select("depth", "ext", "id")
 
 
-@query("g_budget", bfs_sql(3, "SELECT level, CAST(count(*) AS BIGINT) AS examined, bool_or(n > 10000) AS spent FROM (SELECT 1 AS level, n FROM b1 UNION ALL SELECT 2, n FROM b2 UNION ALL SELECT 3, n FROM b3) GROUP BY level", "kind IN ('IMPORTS', 'TOUCHES')"))
+@query("g_budget", bfs_sql(3, "SELECT level, count(*) FILTER (n <= 10000) AS examined, (SELECT max(n) > 10000 FROM (SELECT n FROM b1 UNION ALL SELECT n FROM b2 UNION ALL SELECT n FROM b3)) AS spent FROM (SELECT 1 AS level, n FROM b1 UNION ALL SELECT 2, n FROM b2 UNION ALL SELECT 3, n FROM b3) GROUP BY level HAVING count(*) FILTER (n <= 10000) > 0", "kind IN ('IMPORTS', 'TOUCHES')"))
 def g_budget(spark, d):
-    _, examined = G.discover(light(spark, d), G.node(X.nodes(spark, d), ORIGIN), kinds=["IMPORTS", "TOUCHES"], depth=3, repo=X.REPO)
-    return examined.groupBy("level").agg(F.count(F.lit(1)).alias("examined"), F.bool_or("spent").alias("spent"))
+    found = reach(spark, d, 3, ["IMPORTS", "TOUCHES"])[1]
+    return found.examined.groupBy("level").agg(F.count(F.lit(1)).alias("examined")).withColumn("spent", F.lit(found.spent))
 
 
 @query("g_truncated", bfs_sql(2, "SELECT bool_or(capped) OR bool_or(n > 10000) AS truncated FROM (SELECT capped, n FROM b1 UNION ALL SELECT capped, n FROM b2)"))
 def g_truncated(spark, d):
-    _, examined = G.discover(light(spark, d), G.node(X.nodes(spark, d), ORIGIN), depth=2, repo=X.REPO)
-    return examined.agg((F.bool_or("capped") | F.bool_or("spent")).alias("truncated"))
+    found = reach(spark, d, 2)[1]
+    return found.examined.agg((F.bool_or("capped") | F.lit(found.spent)).alias("truncated"))
 
 
-@query("g_page_edges", bfs_sql(1, """rk AS (SELECT id, row_number() OVER (ORDER BY depth, ext) - 1 AS rank FROM s{d}) SELECT e.edge_seq, greatest(1, a.rank, b.rank) AS rank FROM edges e JOIN rk a ON a.id = e.src JOIN rk b ON b.id = e.dst WHERE greatest(1, a.rank, b.rank) <= 100"""))
+@query("g_page_edges", bfs_sql(1, """rk AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY depth, ext) - 1 AS rank FROM s{d}),
+m AS MATERIALIZED (SELECT e.*, a.rank AS src_rank FROM edges e JOIN rk a ON a.id = e.src)
+SELECT edge_seq, greatest(1, src_rank, b.rank) AS rank FROM m JOIN rk b ON b.id = m.dst WHERE greatest(1, src_rank, b.rank) <= 100 ORDER BY greatest(1, src_rank, b.rank), src, dst, kind, location NULLS FIRST, edge_seq LIMIT 10000"""))
 def g_page_edges(spark, d):
-    edges = light(spark, d)
-    seen, _ = G.discover(edges, G.node(X.nodes(spark, d), ORIGIN), depth=1, repo=X.REPO)
-    return G.page_edges(edges, seen, G.page(seen, 100)).select("edge_seq", F.col("rank").cast("long").alias("rank"))
+    graph, found = reach(spark, d, 1)
+    return G.page_edges(graph, found.seen, G.page(found.seen, 100)).select("edge_seq", F.col("rank").cast("long").alias("rank"))
 
 
 HISTORY = """SELECT c.id, c.name, c.committed_at, strftime(to_timestamp(c.committed_at), '%Y-%m-%dT%H:%M:%SZ') AS date, a.src AS author_id, n.name AS author_name
@@ -177,16 +182,16 @@ LEFT JOIN edges a ON a.dst = c.id AND a.kind = 'AUTHORED' LEFT JOIN nodes n ON n
 
 @query("h_history", V.graph(HISTORY.format(f=FILE_ORDER, more="AND c.committed_at >= 852076800", n=51)))
 def h_history(spark, d):
-    edges = light(spark, d)
-    return H.history(X.nodes(spark, d), edges, busiest_file(edges), since=852076800)
+    graph = X.graph(spark, d)
+    return H.history(graph, busiest_file(graph.back), since=852076800)
 
 
 @query("h_history_page2", V.graph("x0 AS (SELECT c.id, c.committed_at, row_number() OVER (ORDER BY c.committed_at DESC, c.id) AS rn FROM edges e JOIN nodes c ON c.id = e.src WHERE e.kind = 'TOUCHES' AND e.dst = (" + FILE_ORDER + ")) SELECT id, committed_at FROM x0 WHERE rn BETWEEN 11 AND 21"))
 def h_history_page2(spark, d):
-    nodes, edges = X.nodes(spark, d), light(spark, d)
-    f = busiest_file(edges)
-    last = H.history(nodes, edges, f, limit=9).orderBy(F.desc("committed_at"), "id").collect()[-1]
-    return H.history(nodes, edges, f, limit=10, after=(last["committed_at"], last["id"])).select("id", "committed_at")
+    graph = X.graph(spark, d)
+    f = busiest_file(graph.back)
+    last = H.history(graph, f, limit=9).orderBy(F.desc("committed_at"), "id").collect()[-1]
+    return H.history(graph, f, limit=10, after=(last["committed_at"], last["id"])).select("id", "committed_at")
 
 
 @query("h_render_date", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS date FROM orders")
@@ -201,12 +206,12 @@ def h_parse_since(spark, d):
     return X.table(spark, d, "orders").select("o_orderkey", ids.parse_since(text).alias("since"))
 
 
-@query("x_resolve_simple_calls", V.graph("SELECT src, dst, confidence, location FROM calls", light=False))
+@query("x_resolve_simple_calls", V.graph("SELECT src, dst, confidence, location FROM calls"))
 def x_resolve_simple_calls(spark, d):
     return R.resolve_tiers(X.calls(spark, d), X.decls(spark, d)).select("src", "dst", "confidence", "location")
 
 
-@query("x_resolve_go_calls", V.graph("x0 AS (SELECT r.ref_id, r.caller_id AS src, d.symbol_id AS dst, r.location, CASE WHEN d.dir = r.dir THEN 0 ELSE 1 END AS tier FROM refs r JOIN p d ON d.name = r.callee WHERE d.dir = r.dir OR substr(r.file_id, -4, 1) <> '7'), x1 AS (SELECT * FROM x0 QUALIFY tier = min(tier) OVER (PARTITION BY ref_id)) SELECT src, dst, 0.9::DOUBLE / count(*) OVER (PARTITION BY ref_id) AS confidence, location FROM x1", light=False))
+@query("x_resolve_go_calls", V.graph("x0 AS (SELECT r.ref_id, r.caller_id AS src, d.symbol_id AS dst, r.location, CASE WHEN d.dir = r.dir THEN 0 ELSE 1 END AS tier FROM refs r JOIN p d ON d.name = r.callee WHERE d.dir = r.dir OR substr(r.file_id, -4, 1) <> '7'), x1 AS (SELECT * FROM x0 QUALIFY tier = min(tier) OVER (PARTITION BY ref_id)) SELECT src, dst, 0.9::DOUBLE / count(*) OVER (PARTITION BY ref_id) AS confidence, location FROM x1"))
 def x_resolve_go_calls(spark, d):
     # a package is a directory; a file whose number ends with 7 has a dot import, so that its names aren't looked up elsewhere
     refs = X.calls(spark, d).withColumn("file_id", F.col("file_id"))
@@ -214,13 +219,13 @@ def x_resolve_go_calls(spark, d):
     return R.resolve_tiers(refs, no_file, repo_wide=F.substring("file_id", -4, 1) != "7").select("src", "dst", "confidence", "location")
 
 
-@query("x_resolve_methods", V.graph("SELECT r.caller_id AS src, d.symbol_id AS dst, 0.9::DOUBLE / count(*) OVER (PARTITION BY ref_id) AS confidence, r.location FROM refs r JOIN p d ON d.name = r.callee WHERE d.p_partkey % 50 = 0", light=False))
+@query("x_resolve_methods", V.graph("SELECT r.caller_id AS src, r.location, count(*) AS n, min(d.symbol_id) AS first, max(d.symbol_id) AS last, 0.9::DOUBLE / count(*) AS confidence FROM refs r JOIN p d ON d.name = r.callee GROUP BY ref_id, r.caller_id, r.location"))
 def x_resolve_methods(spark, d):
-    methods = X.parts(spark, d).where("p_partkey % 50 = 0").select("name", "symbol_id")
-    return R.resolve_methods(X.calls(spark, d), methods).select("src", "dst", "confidence", "location")
+    found = R.resolve_methods(X.calls(spark, d), X.parts(spark, d).select("name", "symbol_id"))
+    return found.groupBy("src", "location").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("first"), F.max("dst").alias("last"), F.max("confidence").alias("confidence"))
 
 
-@query("x_spread_confidence", V.graph("SELECT ref_id, CAST(count(*) AS BIGINT) AS n, min(confidence) AS confidence FROM calls GROUP BY ref_id", light=False))
+@query("x_spread_confidence", V.graph("SELECT ref_id, CAST(count(*) AS BIGINT) AS n, min(confidence) AS confidence FROM calls GROUP BY ref_id"))
 def x_spread_confidence(spark, d):
     found = R.resolve_tiers(X.calls(spark, d), X.decls(spark, d))
     ref = F.concat_ws(":", F.element_at(F.split("location", ":"), -2), F.element_at(F.split("location", ":"), -1))
@@ -255,7 +260,7 @@ def x_import_edges(spark, d):
     return R.import_edges(rows, dirs, import_files(spark, d)).select("src", "dst", "confidence")
 
 
-@query("x_resolve_imported", V.graph("x0 AS (SELECT ref_id, caller_id, location, callee, 'parts/' || CASE WHEN hash_ % 2 = 0 THEN 'brand1' ELSE 'brand2' END AS d FROM (SELECT *, CAST(split_part(ref_id, ':', 1) AS BIGINT) // 10 AS hash_ FROM refs)) SELECT caller_id AS src, p.symbol_id AS dst, 0.9::DOUBLE / count(*) OVER (PARTITION BY ref_id) AS confidence, location FROM x0 JOIN p ON p.dir = d AND p.name = callee", light=False))
+@query("x_resolve_imported", V.graph("x0 AS (SELECT ref_id, caller_id, location, callee, 'parts/' || CASE WHEN hash_ % 2 = 0 THEN 'brand1' ELSE 'brand2' END AS d FROM (SELECT *, CAST(split_part(ref_id, ':', 1) AS BIGINT) // 10 AS hash_ FROM refs)) SELECT caller_id AS src, p.symbol_id AS dst, 0.9::DOUBLE / count(*) OVER (PARTITION BY ref_id) AS confidence, location FROM x0 JOIN p ON p.dir = d AND p.name = callee"))
 def x_resolve_imported(spark, d):
     even = F.floor(F.split_part("ref_id", F.lit(":"), F.lit(1)).cast("long") / 10) % 2 == 0
     refs = X.calls(spark, d).withColumn("import_path", F.when(even, "one").otherwise("two"))
@@ -263,11 +268,11 @@ def x_resolve_imported(spark, d):
     return R.resolve_imported(refs, dirs, X.decls(spark, d)).select("src", "dst", "confidence", "location")
 
 
-@query("x_implements", """WITH m AS (SELECT DISTINCT l_orderkey AS t, l_suppkey % 12 AS name FROM lineitem), i AS (SELECT DISTINCT s_nationkey AS iface, s_suppkey % 12 AS name FROM supplier WHERE s_suppkey < 60)
+@query("x_implements", """WITH m AS (SELECT DISTINCT l_orderkey AS t, l_suppkey % 12 AS name FROM lineitem), i AS (SELECT DISTINCT s_suppkey // 3 AS iface, (s_suppkey * 7 + s_nationkey) % 12 AS name FROM supplier)
 SELECT t AS type_id, iface AS iface_id FROM m JOIN i USING (name) GROUP BY t, iface HAVING count(*) = (SELECT count(*) FROM i j WHERE j.iface = i.iface)""")
 def x_implements(spark, d):
     methods = X.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("type_id"), (F.col("l_suppkey") % 12).alias("name"))
-    faces = X.table(spark, d, "supplier").where("s_suppkey < 60").select(F.col("s_nationkey").alias("iface_id"), (F.col("s_suppkey") % 12).alias("name"))
+    faces = X.table(spark, d, "supplier").select(F.floor(F.col("s_suppkey") / 3).alias("iface_id"), ((F.col("s_suppkey") * 7 + F.col("s_nationkey")) % 12).alias("name"))
     return R.implements(methods, faces).select(F.col("src").alias("type_id"), F.col("dst").alias("iface_id"))
 
 

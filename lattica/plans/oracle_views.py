@@ -4,11 +4,11 @@ PARTS = r"""parts AS (SELECT p_partkey, 'parts/' || lower(replace(p_brand, '#',
 p AS (SELECT p_partkey, path, name, 'file:' || path AS file_id, 'sym:' || path || '#' || name AS symbol_id, regexp_extract(path, '^(.*)/', 1) AS dir FROM parts)"""
 
 CALLS = r"""refs0 AS (SELECT l_orderkey, path, symbol_id, file_id, dir, row_number() OVER w AS rn, lead(name) OVER w AS callee
-  FROM lineitem JOIN p ON l_partkey = p_partkey WHERE l_orderkey % 10 = 0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
+  FROM lineitem JOIN p ON l_partkey = p_partkey WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
 refs AS (SELECT l_orderkey || ':' || rn AS ref_id, symbol_id AS caller_id, file_id, dir, callee, path || ':' || l_orderkey || ':' || rn AS location FROM refs0 WHERE callee IS NOT NULL),
 cand AS (SELECT r.*, d.symbol_id AS target, CASE WHEN d.file_id = r.file_id THEN 0 WHEN d.dir = r.dir THEN 1 ELSE 2 END AS tier FROM refs r JOIN p d ON d.name = r.callee),
 best AS (SELECT * FROM cand QUALIFY tier = min(tier) OVER (PARTITION BY ref_id)),
-calls AS (SELECT caller_id AS src, target AS dst, 0.9::DOUBLE / count(*) OVER (PARTITION BY ref_id) AS confidence, location, ref_id, tier FROM best)"""
+calls AS MATERIALIZED (SELECT caller_id AS src, target AS dst, 0.9::DOUBLE / count(*) OVER (PARTITION BY ref_id) AS confidence, location, ref_id, tier FROM best)"""
 
 NODES = r"""nodes AS (
   SELECT 'commit:' || sha1(CAST(o_orderkey AS VARCHAR)) AS id, 'Commit' AS kind, o_orderpriority || ' ' || o_orderstatus AS name, NULL::VARCHAR AS path, CAST(epoch(o_orderdate) AS BIGINT) AS committed_at FROM orders
@@ -23,13 +23,11 @@ EDGES0 = r"""edges0 AS (
   UNION ALL SELECT file_id, symbol_id, 'DEFINES', 'syntactic', 1.0, NULL FROM p
   UNION ALL SELECT DISTINCT file_id, 'pkg:suppliers/' || l_suppkey, 'IMPORTS', 'syntactic', 1.0, NULL FROM lineitem JOIN p ON l_partkey = p_partkey
   UNION ALL SELECT DISTINCT file_id, 'pkg:runtime', 'IMPORTS', 'syntactic', 1.0, NULL FROM lineitem JOIN p ON l_partkey = p_partkey WHERE l_returnflag = 'R'
-  {calls})"""
+  UNION ALL SELECT src, dst, 'CALLS', 'syntactic', confidence, location FROM calls)"""
 
-SEQ = r"edges AS (SELECT *, concat_ws(chr(1), kind, src, dst, coalesce(location, '')) AS edge_seq FROM edges0)"
+SEQ = r"edges AS MATERIALIZED (SELECT *, concat_ws(chr(1), kind, src, dst, coalesce(location, '')) AS edge_seq FROM edges0)"
 
-GRAPH = ",\n".join((PARTS, CALLS, NODES, EDGES0.format(calls="UNION ALL SELECT src, dst, 'CALLS', 'syntactic', confidence, location FROM calls"), SEQ))
-#: Without CALLS.
-LIGHT = ",\n".join((PARTS, NODES, EDGES0.format(calls=""), SEQ))
+GRAPH = ",\n".join((PARTS, CALLS, NODES, EDGES0, SEQ))
 
 CONTROL = r"""forges AS (SELECT CAST(r_regionkey AS BIGINT) AS forge_id, 'https://' || replace(lower(r_name), ' ', '-') || '.example' AS base_url, CAST(60 * (r_regionkey + 1) AS BIGINT) AS rate_budget FROM region),
 repos AS (SELECT c_custkey AS repo_id, forge_id, base_url, lower(n_name) || '/' || c_custkey AS slug, CASE c_custkey % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' ELSE 'private' END AS visibility,
@@ -49,8 +47,8 @@ def _joined(views: str, sql: str) -> str:
     return f"WITH {views}{chr(10) if sql.startswith('SELECT') else ',' + chr(10)}{sql}"
 
 
-def graph(sql: str, light: bool = True) -> str:
-    return _joined(LIGHT if light else GRAPH, sql)
+def graph(sql: str) -> str:
+    return _joined(GRAPH, sql)
 
 
 def control(sql: str) -> str:

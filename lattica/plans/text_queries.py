@@ -91,19 +91,22 @@ def t_window_clamp(spark, d):
     return X.table(spark, d, "orders").select(F.col("o_orderkey").alias("n"), (F.col("o_orderkey") % 1200 + 20 <= S.MAX_OFFSET).alias("ok"))
 
 
-SEARCH = f"""WITH {DOCS} f(field, boost) AS (VALUES ('name', 3.0), ('path', 1.0), ('content', 1.0)),
-ft AS (SELECT repo, node_id, field, boost, list_filter({TOKENS.format("CASE field WHEN 'name' THEN name WHEN 'path' THEN path ELSE content END")}, lambda x: x <> '') AS t FROM docs, f),
+WHOLE = r"string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+')"
+COLUMN = "CASE split_part(field, '_', 1) WHEN 'name' THEN name WHEN 'path' THEN path ELSE content END"
+SPLIT = f"list_filter(CASE WHEN suffix(field, '_whole') THEN {WHOLE.format(COLUMN)} ELSE {TOKENS.format(COLUMN)} END, lambda x: x <> '')"
+SEARCH = f"""WITH {DOCS} f(field, boost) AS (VALUES ('name', 3.0), ('path', 1.0), ('content', 1.0), ('name_whole', 3.0), ('path_whole', 1.0), ('content_whole', 1.0)),
+ft AS MATERIALIZED (SELECT repo, node_id, field, boost, {SPLIT} AS t FROM docs, f),
 st AS (SELECT repo, field, count(*) AS n, avg(len(t)) AS avgdl FROM ft GROUP BY ALL),
-tf AS (SELECT repo, node_id, field, boost, len(t) AS dl, w, len(list_filter(t, lambda x: x = w)) AS tf FROM ft, (SELECT unnest(['the', 'txt']) AS w)),
+tf AS MATERIALIZED (SELECT repo, node_id, field, boost, len(t) AS dl, w, len(list_filter(t, lambda x: x = w)) AS tf FROM ft, (SELECT unnest(['the', 'txt', 'which']) AS w)),
 hit AS (SELECT *, count(*) OVER (PARTITION BY repo, field, w) AS df FROM tf WHERE tf > 0),
-score AS (SELECT repo, node_id, sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score, bool_or(w = 'the') AS must FROM hit JOIN st USING (repo, field) GROUP BY repo, node_id),
+score AS (SELECT repo, node_id, sum(CASE WHEN w <> 'which' THEN boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END) AS score, bool_or(w = 'the') AND NOT bool_or(w = 'which') AS must FROM hit JOIN st USING (repo, field) GROUP BY repo, node_id),
 norm AS (SELECT repo, node_id, round(score / max(score) OVER (PARTITION BY repo), 6) AS score FROM score WHERE must)
 SELECT repo, node_id, score, row_number() OVER (ORDER BY score DESC, repo, node_id) AS rank FROM norm ORDER BY rank LIMIT 20"""
 
 
 @query("t_search", SEARCH)
 def t_search(spark, d):
-    return S.search(X.file_docs(spark, d), "+the txt").select("repo", "node_id", "score", F.col("rank").cast("long").alias("rank"))
+    return S.search(X.file_docs(spark, d), "+the txt -which").select("repo", "node_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("t_snippets")

@@ -1,43 +1,57 @@
-"""Sources and sinks: directory trees, git logs, published artifacts."""
+"""Sources and sinks: directory trees and published artifacts."""
 
 from __future__ import annotations
 
 import hashlib
 import json
 import os
-import subprocess
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import ids
+from lattica.functions.query import FIELDS
 from lattica.operators import build
 from lattica.operators.search import lengths, postings
 from lattica.schema import FILE_BYTES, SCHEMA_VERSION
 
+FILE_ROWS = 1_000_000  # of a segment, so that one task can hold a file to digest it
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; where that is unset, as in tests, in a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="lattica-")
-    return f"{folder.rstrip('/')}/lattica/{what}-{uuid.uuid4().hex}"
 
-
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path, symlink of every entry below a local root that is no directory, by path; names that aren't UTF-8 are skipped."""
-    rows = []
+def entries(root: str) -> Iterator[tuple[str, bool]]:
+    """path, symlink of every entry below a root that is no directory, by path within a folder; names that aren't UTF-8 are skipped."""
     for folder, dirs, names in os.walk(root):
-        links = [d for d in dirs if os.path.islink(os.path.join(folder, d))]
-        for name in [*names, *links]:
+        dirs.sort()
+        for name in sorted([*names, *(d for d in dirs if os.path.islink(os.path.join(folder, d)))]):
             full = os.path.join(folder, name)
             path = os.path.relpath(full, root)
             try:
                 path.encode()
             except UnicodeEncodeError:
                 continue
-            rows.append((path, os.path.islink(full)))
-    return spark.createDataFrame(sorted(rows), "path string, symlink boolean")
+            yield path, os.path.islink(full)
+
+
+def scan_trees(roots: DataFrame, batch: int = 10_000) -> DataFrame:
+    """repo, path, symlink of the entries below each root (repo, root), a folder that the executors see; each is walked where its row is."""
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for repo, root in zip(frame["repo"], frame["root"]):
+                found = entries(root)
+                while rows := list(islice(found, batch)):
+                    yield pd.DataFrame([(repo, *r) for r in rows], columns=["repo", "path", "symlink"])
+
+    return roots.select("repo", "root").mapInPandas(walk, "repo string, path string, symlink boolean")
+
+
+def scan_tree(spark: SparkSession, root: str) -> DataFrame:
+    """path, symlink of the entries below one root, by path."""
+    return scan_trees(spark.createDataFrame([("", root)], "repo string, root string")).select("path", "symlink").orderBy("path")
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -51,23 +65,9 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("path", ids.language(F.col("path")).alias("language"), "length", F.when(~F.col("symlink"), F.col("text")).alias("content"))
 
 
-#: The log's format and options.
-GIT_LOG = ("log", "--no-renames", "--name-only", "-z", "--pretty=%H%x00%ct%x00%an%x00%ae%x00%s%x00")
-
-
-def git_log(spark: SparkSession, git_dir: str, commit: str = "HEAD", timeout: int = 600) -> DataFrame:
-    """commits: sha, ct, author, email, subject, paths of a local repository's history."""
-    out = subprocess.run(["git", "-C", git_dir, *GIT_LOG, commit], capture_output=True, timeout=timeout, check=True).stdout.decode("utf-8", "replace")
-    return spark.createDataFrame(build.parse_history(out), "sha string, ct long, author string, email string, subject string, paths array<string>")
-
-
-def remote_head(url: str, timeout: int = 60) -> str | None:
-    out = subprocess.run(["git", "ls-remote", url, "HEAD"], capture_output=True, timeout=timeout, check=True).stdout.split()
-    return out[0].decode() if out else None
-
-
 class Store:
-    """Artifacts in ``<root>/shards/<repo>/<revision>/``: Parquet segments first, the manifest last and only if none is there."""
+    """Artifacts of ``<root>/shards/<repo>/<revision>/``: Parquet segments in a folder of each attempt's own, and, last and only if none is
+    there, the manifest, which names the attempt in force and has a digest of every segment's bytes."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -80,33 +80,46 @@ class Store:
     def revision(self, commit: str, source: str) -> str:
         return f"{commit}-{source}-v{SCHEMA_VERSION}"
 
-    def publish(self, repo: int, commit: str, nodes: DataFrame, edges: DataFrame, docs: DataFrame, source: str = "syntactic") -> dict:
-        """The manifest in force: this one's, or the one that was there first."""
+    def publish(self, repo: int, commit: str, nodes: DataFrame, edges: DataFrame, docs: DataFrame, source: str = "syntactic", wanted: Callable[[], bool] = lambda: True) -> dict | None:
+        """The manifest in force: this one's, or the one that was there first; what a loser wrote goes, never what the winner did.
+
+        wanted is asked again right before the manifest is written: if the repository is no longer to be published, nothing is, and null is returned.
+        """
         if build.edge_conflicts(edges).limit(1).count():
             raise ValueError("edges of one identity differ in their derivation")
         at = ["shards", str(repo), self.revision(commit, source)]
         if (old := self.manifest(repo, at[2])) is not None:
             return old
-        tables = {"nodes": nodes, "edges": edges, "docs": docs, "postings": postings(docs), "lengths": lengths(docs)}
-        segments = {}
+        attempt = f"attempt-{uuid.uuid4().hex}"
+        folder = "/".join([self.root, *at, attempt])
+        tables = {"nodes": nodes, "edges": edges, "docs": docs, "postings": postings(docs, list(FIELDS)), "lengths": lengths(docs, list(FIELDS))}
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet("/".join([self.root, *at, name]))
-            segments[name] = self._digest(*at, name)
-        n = build.counts(self.spark.read.parquet("/".join([self.root, *at, "nodes"])), self.spark.read.parquet("/".join([self.root, *at, "edges"]))).first()
-        manifest = {"schema_version": SCHEMA_VERSION, "commit": commit, "pass": source, "counts": {"nodes": n[0], "edges": n[1]}, "segments": segments}
+            df.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{folder}/{name}")
+        counts = build.counts(self.spark.read.parquet(f"{folder}/nodes"), self.spark.read.parquet(f"{folder}/edges")).first()
+        manifest = {"schema_version": SCHEMA_VERSION, "commit": commit, "pass": source, "attempt": attempt, "counts": {"nodes": counts[0], "edges": counts[1]}, "segments": self._digests(folder, sorted(tables))}
+        if not wanted():
+            self.fs.delete(self._path(*at, attempt), True)
+            return None
         try:
             out = self.fs.create(self._path(*at, "manifest.json"), False)
         except Exception:  # noqa: BLE001  a py4j error: another publisher was first
             if (old := self.manifest(repo, at[2])) is None:
                 raise
+            self.fs.delete(self._path(*at, attempt), True)
             return old
         out.write(bytearray(json.dumps(manifest, sort_keys=True, separators=(",", ":")).encode()))
         out.close()
         return manifest
 
-    def _digest(self, *parts: str) -> dict:
-        files = sorted((s.getPath().getName(), s.getLen()) for s in self.fs.listStatus(self._path(*parts)) if s.getPath().getName().startswith("part-"))
-        return {"sha256": hashlib.sha256(json.dumps(files).encode()).hexdigest(), "bytes": sum(n for _, n in files)}
+    def _digests(self, folder: str, names: list[str]) -> dict[str, dict]:
+        """For every segment its bytes and a digest of its files' names and contents, which the executors read; a row a file comes to the driver."""
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load([f"{folder}/{n}" for n in names])
+        rows = found.select(F.element_at(F.split("path", "/"), -2).alias("segment"), F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256")).collect()
+        out = {}
+        for name in names:
+            files = sorted((r["file"], r["sha256"]) for r in rows if r["segment"] == name)
+            out[name] = {"sha256": hashlib.sha256(json.dumps(files).encode()).hexdigest(), "bytes": sum(r["length"] for r in rows if r["segment"] == name)}
+        return out
 
     def manifest(self, repo: int, revision: str) -> dict | None:
         path = self._path("shards", str(repo), revision, "manifest.json")
@@ -115,20 +128,20 @@ class Store:
         return json.loads("\n".join(r["value"] for r in self.spark.read.text(path.toString()).collect()))
 
     def published(self, repo: int, commit: str, source: str = "syntactic") -> dict | None:
-        """The manifest if it agrees with its revision and every segment is there as it says."""
+        """The manifest if it agrees with its revision and every segment's bytes are what it says."""
         revision = self.revision(commit, source)
         m = self.manifest(repo, revision)
         if m is None or f"{m['commit']}-{m['pass']}-v{m['schema_version']}" != revision:
             return None
-        for name, s in m["segments"].items():
-            if not self.fs.exists(self._path("shards", str(repo), revision, name)) or self._digest("shards", str(repo), revision, name) != s:
-                return None
-        return m
+        at = ["shards", str(repo), revision, m["attempt"]]
+        if not all(self.fs.exists(self._path(*at, name)) for name in m["segments"]):
+            return None
+        return m if self._digests("/".join([self.root, *at]), sorted(m["segments"])) == m["segments"] else None
 
     def read(self, repo: int, revision: str, table: str) -> DataFrame:
-        if self.manifest(repo, revision) is None:
+        if (m := self.manifest(repo, revision)) is None:
             raise FileNotFoundError(f"{repo}/{revision} is not published")
-        return self.spark.read.parquet(f"{self.root}/shards/{repo}/{revision}/{table}")
+        return self.spark.read.parquet(f"{self.root}/shards/{repo}/{revision}/{m['attempt']}/{table}")
 
     def delete(self, repo: int, revision: str) -> None:
         """The manifest first, so that no reader finds half an artifact, then the rest, then a manifest that came meanwhile."""

@@ -33,7 +33,10 @@ def test_glob(spark, pattern, text, want):
     assert ids.glob_match_bytes(pattern, text) is want
 
 
-def test_glob_question_mark_is_a_byte():
+def test_glob_question_mark_is_a_byte(spark):
+    for pattern, text, want in (("a?c", "a\u00e9c", False), ("a??c", "a\u00e9c", True), ("a*c", "a\u00e9c", True), ("\u00e9?", "\u00e9x", True), ("a", "a\n", False), ("??", "\u00e9\u00e9", False)):
+        assert values(spark, [text], lambda x: ids.glob_matches(F.lit(pattern), x)) == [want]  # noqa: B023
+        assert ids.glob_match_bytes(pattern, text) is want
     assert not ids.glob_match_bytes("?", "é") and ids.glob_match_bytes("??", "é")
 
 
@@ -73,4 +76,7 @@ def test_guard(text, ok):
 
 def test_parse_query():
     c = query.Clause
-    assert query.parse('rateLimit +name:foo -"a b" c AND d NOT e') == [c(("rate", "limit")), c(("foo",), "name", "must"), c(("a", "b"), None, "must_not"), c(("c",), None, "must"), c(("d",), None, "must"), c(("e",), None, "must_not")]
+    short = [x._replace(whole=None) for x in query.parse('rateLimit +name:foo -"a b" c AND d NOT e')]
+    assert short == [c(("rate", "limit")), c(("foo",), "name", "must"), c(("a", "b"), None, "must_not"), c(("c",), None, "must"), c(("d",), None, "must"), c(("e",), None, "must_not")]
+    assert [x.whole for x in query.parse('rateLimit "a B"')] == [("ratelimit",), ("a", "b")]
+    assert query.parse("rateLimit")[0].sought("name") == ("rate", "limit") and query.parse("rateLimit")[0].sought("name_whole") == ("ratelimit",)

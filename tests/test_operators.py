@@ -1,5 +1,6 @@
 """Operators on hand-made graphs, histories, queues and sources."""
 
+import random
 import subprocess
 from collections import deque
 
@@ -10,6 +11,7 @@ from lattica.functions import ids
 from lattica.operators import build, control, graph, history, resolve, search
 from lattica.schema import VerbError
 from lattica.sources import extract, files
+from lattica.sources import git as repositories
 from lattica.streaming import stateful
 
 EDGE = "src string, dst string, kind string, provenance string, confidence double, location string"
@@ -24,10 +26,15 @@ def nodes(spark, names):
     return spark.createDataFrame([(n, "File", n, n, None) for n in names], "id string, kind string, name string, path string, committed_at long")
 
 
-def test_neighbors(spark):
+@pytest.mark.parametrize("written", [False, True])
+def test_neighbors(spark, tmp_path, written):
     e = edges(spark, [("file:a", "file:b", "IMPORTS"), ("file:b", "file:c", "IMPORTS"), ("file:d", "file:a", "CALLS"), ("file:a", "file:a", "CALLS")])
     n = nodes(spark, [f"file:{x}" for x in "abcd"])
-    ids_of = lambda **k: [r["id"] for r in graph.neighbors(n, e, "file:a", **k).orderBy("rank").collect()]
+    g = graph.write(n, e, f"file://{tmp_path}", parts=3) if written else graph.plain(n, e)
+    assert g.parts == (3 if written else None) and sorted(map(tuple, g.edges.collect())) == sorted(map(tuple, e.select(graph.EDGE).collect()))
+    summary = {(r["direction"], r["kind"]): (r["count"], r["provenance"]) for r in graph.edge_summary(g, graph.node(g, "file:a")).collect()}
+    assert summary == {("out", "IMPORTS"): (1, {"syntactic": 1}), ("out", "CALLS"): (1, {"syntactic": 1}), ("in", "CALLS"): (2, {"syntactic": 2})}
+    ids_of = lambda **k: [r["id"] for r in graph.neighbors(g, "file:a", **k).orderBy("rank").collect()]
     assert ids_of() == ["file:b", "file:d"]
     assert ids_of(direction="out", depth=2) == ["file:b", "file:c"]
     assert ids_of(direction="in", depth=3) == ["file:d"]
@@ -36,28 +43,72 @@ def test_neighbors(spark):
     assert ids_of(depth=2, after=(1, "file:bb")) == ["file:d", "file:c"]
     for bad in ({"direction": "up"}, {"kinds": []}, {"kinds": ["X"]}, {"depth": 4}, {"limit": 0}):
         with pytest.raises(VerbError):
-            graph.neighbors(n, e, "file:a", **bad)
+            graph.neighbors(g, "file:a", **bad)
+    lacking = graph.plain(n.where("id <> 'file:b'"), e)
+    with pytest.raises(Exception, match="missing"):
+        graph.neighbors(lacking, "file:a").collect()
 
 
 def test_hub(spark):
     e = edges(spark, [("hub", f"n{i:05d}", "IMPORTS") for i in range(1001)])
     hub = spark.createDataFrame([("hub",)], "id string")
-    got = graph.incident_edges(e, hub).collect()
+    got = graph.incident_edges(graph.plain(hub, e), hub).collect()
     assert len(got) == 1000 and all(r["capped"] for r in got) and max(r["dst"] for r in got) == "n00999"
-    assert not any(r["capped"] for r in graph.incident_edges(e.where("dst <> 'n00000'"), hub).collect())
+    assert not any(r["capped"] for r in graph.incident_edges(graph.plain(hub, e.where("dst <> 'n00000'")), hub).collect())
 
 
 def test_budget(spark):
     e = edges(spark, [("file:o", f"file:{i}", "IMPORTS") for i in range(30)])
-    seen, examined = graph.discover(e, nodes(spark, ["file:o"]), budget=10)
-    assert seen.count() == 11 and examined.where("spent").count() == 20
+    n = nodes(spark, ["file:o"])
+    found = graph.discover(graph.plain(n, e), n, budget=10)
+    assert found.seen.count() == 11 and found.examined.count() == 10 and found.spent
+    found = graph.discover(graph.plain(n, e), n, depth=2, budget=30)
+    assert found.seen.count() == 31 and found.examined.count() == 30 and found.spent  # the leaves' edges are beyond it
+    assert not graph.discover(graph.plain(n, e), n, depth=2, budget=60).spent
+
+
+def brute_reach(rows, origin, depth, budget, cap):
+    """Nodes with depths, the examined edges in order, and whether the budget was spent, by loops."""
+    seen, frontier, looked, spent = {origin: 0}, [origin], [], False
+    for level in range(1, depth + 1):
+        found = []
+        for x in sorted(frontier):
+            near = sorted((r for r in rows if x in r[:2]), key=lambda r: (r[2], r[0], r[1], r[5] or ""))[:cap]
+            for r in sorted(near, key=lambda r: (r[0], r[1], r[2], r[5] is not None, r[5] or "")):
+                if len(looked) == budget:
+                    spent = True
+                    continue
+                looked.append((level, *r[:3], r[5]))
+                found.append(r[1] if r[0] == x else r[0])
+        frontier = [x for x in dict.fromkeys(found) if x not in seen]
+        seen.update(dict.fromkeys(frontier, level))
+    return seen, looked, spent
+
+
+@pytest.mark.parametrize("budget,written", [(10_000, False), (60, False), (60, True), (25, False)])
+def test_discover_and_page_edges(spark, tmp_path, budget, written):
+    r = random.Random(budget)
+    rows = list({(f"file:{r.randrange(40)}", f"file:{int(40 * r.random() ** 2)}", r.choice(["CALLS", "IMPORTS"]), "syntactic", 1.0, r.choice([None, "a:1", "b:2"])): 0 for _ in range(120)})
+    e, n = edges(spark, rows), nodes(spark, [f"file:{i}" for i in range(40)])
+    g = graph.write(n, e, f"file://{tmp_path}", parts=4) if written else graph.plain(n, e)
+    found = graph.discover(g, graph.node(g, "file:1"), depth=3, budget=budget)
+    seen, looked, spent = brute_reach(rows, "file:1", 3, budget, 1000)
+    assert {x["id"]: x["depth"] for x in found.seen.collect()} == seen and found.spent == spent
+    assert [(x["level"], x["src"], x["dst"], x["kind"], x["location"]) for x in found.examined.orderBy("n").collect()] == looked
+    rank = {x: i for i, (_, x) in enumerate(sorted((d, x) for x, d in seen.items()))}
+    for after, span in ((None, range(1, 6)), ((1, sorted(x for x in seen if seen[x] == 1)[0]), range(2, 7))):
+        paged = graph.page(found.seen, 5, after)
+        got = sorted((x["edge_seq"], x["rank"]) for x in graph.page_edges(g, found.seen, paged).collect())
+        want = [(max(1, rank[x[0]], rank[x[1]]), x) for x in rows if x[0] in rank and x[1] in rank]
+        assert got == sorted(("\x01".join([x[2], x[0], x[1], x[5] or ""]), k) for k, x in want if k in span)
 
 
 def test_page_edges(spark):
     e = edges(spark, [("file:a", "file:b", "IMPORTS"), ("file:b", "file:c", "IMPORTS"), ("file:a", "file:a", "CALLS"), ("file:a", "file:c", "CALLS")])
-    seen, _ = graph.discover(e, nodes(spark, ["file:a"]), depth=1)
+    g = graph.plain(nodes(spark, ["file:a"]), e)
+    seen = graph.discover(g, g.nodes, depth=1).seen
     first, second = graph.page(seen, 1), graph.page(seen, 1, (1, "file:b"))
-    got = lambda p: {(r["src"], r["dst"]) for r in graph.page_edges(e, seen, p).collect()}
+    got = lambda p: {(r["src"], r["dst"]) for r in graph.page_edges(g, seen, p).collect()}
     assert got(first) == {("file:a", "file:b"), ("file:a", "file:a")} and got(second) == {("file:b", "file:c"), ("file:a", "file:c")}
 
 
@@ -110,14 +161,15 @@ def test_history_from_git(spark, tmp_path):
         env = {"GIT_AUTHOR_NAME": name, "GIT_AUTHOR_EMAIL": email, "GIT_COMMITTER_NAME": "c", "GIT_COMMITTER_EMAIL": "c@x", "GIT_AUTHOR_DATE": when, "GIT_COMMITTER_DATE": when, "PATH": "/usr/bin:/bin:/usr/local/bin", "HOME": str(tmp_path)}
         git("commit", "-q", "-m", f"subject {i}", env=env)
     git("-c", "user.name=c", "-c", "user.email=c@x", "commit", "-q", "--allow-empty", "-m", "empty")
-    commits = files.git_log(spark, str(tmp_path))
+    commits = repositories.git_log(spark, str(tmp_path))
     rows = commits.collect()
     assert [r["subject"] for r in rows] == ["empty", "subject 2", "subject 1", "subject 0"] and rows[0]["paths"] == [] and rows[1]["paths"] == ["f.txt", "é 2.txt"]
     n, e = build.history_graph(commits)
     n = n.withColumn("path", F.lit(None).cast("string"))
-    page = history.history(n, e, "file:f.txt").orderBy(F.desc("committed_at"), "id").collect()
+    g = graph.plain(n, e.withColumn("edge_seq", F.concat_ws(" ", "kind", "src", "dst")))
+    page = history.history(g, "file:f.txt").orderBy(F.desc("committed_at"), "id").collect()
     assert [r["committed_at"] for r in page] == [1_000_002_000, 1_000_001_000, 1_000_001_000] and page[0]["author_name"] == "B" and page[1]["id"] < page[2]["id"]
-    rest = history.history(n, e, "file:f.txt", after=(page[1]["committed_at"], page[1]["id"])).collect()
+    rest = history.history(g, "file:f.txt", after=(page[1]["committed_at"], page[1]["id"])).collect()
     assert [r["id"] for r in rest] == [page[2]["id"]]
 
 
@@ -172,9 +224,19 @@ def test_publish(spark, tmp_path):
     e, docs = edges(spark, [("file:a", "file:b", "IMPORTS")]), search.search_docs(n, spark.createDataFrame([("file:a", "hello world")], "node_id string, content string"))
     m = store.publish(7, "c" * 40, n, e, docs)
     rev = store.revision("c" * 40, "syntactic")
-    assert m["counts"] == {"nodes": 1, "edges": 1} and store.published(7, "c" * 40) == m and store.read(7, rev, "postings").count() == 2
+    assert m["counts"] == {"nodes": 1, "edges": 1} and store.published(7, "c" * 40) == m and store.read(7, rev, "postings").where("field = 'content'").count() == 2
     assert store.publish(7, "c" * 40, n.limit(0), e, docs) == m
-    subprocess.run(["rm", "-r", str(tmp_path / "shards/7" / rev / "edges")], check=True)
+    at = tmp_path / "shards/7" / rev / m["attempt"]
+    part = next((at / "nodes").glob("part-*.parquet"))
+    (part.parent / f".{part.name}.crc").unlink()  # the local file system's own check
+    raw = bytearray(part.read_bytes())
+    raw[10] ^= 1  # of equal length
+    part.write_bytes(raw)
+    assert store.published(7, "c" * 40) is None
+    raw[10] ^= 1
+    part.write_bytes(raw)
+    assert store.published(7, "c" * 40) == m
+    subprocess.run(["rm", "-r", str(at / "edges")], check=True)
     assert store.published(7, "c" * 40) is None
     store.delete(7, rev)
     with pytest.raises(FileNotFoundError):
@@ -183,6 +245,62 @@ def test_publish(spark, tmp_path):
         store.publish(8, "d" * 40, n, e.unionByName(e.withColumn("confidence", F.lit(0.5))), docs)
 
 
+def test_two_publishers(spark, tmp_path):
+    """Both begin before either has ended; the one that is last loses, and the winner's segments stay whole."""
+    first, second = files.Store(spark, f"file://{tmp_path}"), files.Store(spark, f"file://{tmp_path}")
+    n = nodes(spark, ["file:a"]).withColumn("repo", F.lit("r"))
+    e, docs, won = edges(spark, [("file:a", "file:b", "IMPORTS")]), search.search_docs(n, spark.createDataFrame([("file:a", "x")], "node_id string, content string")), []
+
+    def meanwhile():  # the second has written its segments; now the first publishes
+        won.append(first.publish(1, "e" * 40, n, e, docs))
+        return True
+
+    got = second.publish(1, "e" * 40, n.limit(0), e, docs, wanted=meanwhile)
+    assert got == won[0] and got["counts"]["nodes"] == 1 and first.published(1, "e" * 40) == got
+    rev = first.revision("e" * 40, "syntactic")
+    assert first.read(1, rev, "nodes").count() == 1 and len([x for x in (tmp_path / "shards/1" / rev).iterdir() if x.name.startswith("attempt-")]) == 1
+    assert first.publish(2, "f" * 40, n, e, docs, wanted=lambda: False) is None and first.manifest(2, first.revision("f" * 40, "syntactic")) is None
+
+
+def test_mirror_and_checkout(spark, tmp_path):
+    env = {"PATH": "/usr/bin:/bin:/usr/local/bin", "HOME": str(tmp_path), "GIT_AUTHOR_NAME": "a", "GIT_AUTHOR_EMAIL": "a@x", "GIT_COMMITTER_NAME": "a", "GIT_COMMITTER_EMAIL": "a@x"}
+    work, mirror, url = tmp_path / "work", str(tmp_path / "mirror.git"), f"file://{tmp_path}/work"
+    do = lambda *w: subprocess.run(["git", "-C", str(work), *w], check=True, env=env, capture_output=True)
+    work.mkdir()
+    do("init", "-q", "-b", "main")
+    assert repositories.remote_head(url) is None
+    (work / "a").mkdir()
+    (work / "a/x.py").write_text("x = 1\n")
+    (work / "link").symlink_to("a/x.py")
+    do("add", "-A")
+    do("commit", "-q", "-m", "one")
+    one = repositories.sync(url, mirror)
+    assert one == repositories.remote_head(url)
+    do("checkout", "-q", "-b", "next")
+    (work / "b.txt").write_text("b")
+    do("add", "-A")
+    do("commit", "-q", "-m", "two")
+    do("branch", "-q", "-D", "main")
+    two = repositories.sync(url, mirror)  # HEAD moved to another branch, the old one is gone
+    assert two == repositories.remote_head(url) != one and repositories.run("-C", mirror, "for-each-ref", "--format=%(refname)").split() == ["refs/heads/next"]
+    subprocess.run(["rm", "-r", f"{mirror}/objects"], check=True)
+    assert repositories.sync(url, mirror) == two  # healed
+    subprocess.run(["rm", "-r", mirror], check=True)
+    repositories.run("clone", "-q", "--bare", "--depth", "1", url, mirror)
+    assert repositories.sync(url, mirror) == two and repositories.run("-C", mirror, "rev-list", "--count", "HEAD").strip() == "2"
+    repositories.checkout(mirror, two, str(tmp_path / "tree"))
+    assert sorted(p for p, _ in files.entries(str(tmp_path / "tree"))) == ["a/x.py", "b.txt", "link"]
+    with pytest.raises(subprocess.CalledProcessError):
+        repositories.checkout(mirror, "0" * 40, str(tmp_path / "none"))
+    assert not list(tmp_path.glob("none*"))
+    with pytest.raises(ValueError):
+        repositories.checkout(mirror, "HEAD", str(tmp_path / "none"))
+    heads = repositories.remote_heads(spark.createDataFrame([("r", url), ("gone", f"file://{tmp_path}/gone")], "repo string, url string")).collect()
+    assert {(r["repo"], r["head"], r["error"]) for r in heads} == {("r", two, None), ("gone", None, "CalledProcessError")}
+    logs = repositories.git_logs(spark.createDataFrame([("r", mirror)], "repo string, git_dir string"), batch=1).collect()
+    assert [(r["repo"], r["subject"], r["paths"]) for r in logs] == [("r", "two", ["b.txt"]), ("r", "one", ["a/x.py", "link"])]
+
+
 def test_read_tree(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/x.py").write_text("def f():\n    return g()\n\n\ndef g():\n    pass\n")
