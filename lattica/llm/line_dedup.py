@@ -7,7 +7,8 @@ before the shuffle, so that a line that every document holds is one row a task.
   size, and the coarse logarithm of a word's counter, then its hash, is the order that all lines share;
 * prefix filter: sets with a Jaccard similarity of ``t`` share one of their first ``n - ceil(t * n) + 1`` tokens, the rarest;
 * length filter, positional filter (what is left behind the shared tokens must reach the overlap that is needed) and a
-  parity filter (each differing token flips one of 64 bits, of 128 for long lines) are conditions of that join;
+  parity filter (each differing token flips one of 64 bits, of 128 or 256 for longer lines, as few bits fill up and let
+  pairs through whose number grows with the square of the input) are conditions of that join;
 * postings of very frequent tokens are parted by the logarithm of their line's length, as similar lines are nearly as long;
 * what remains is verified on the words of the texts themselves, as 64-bit hashes, and no more of it than is needed to know
   whether a line has an earlier one: variants of one line aren't all paired with each other.
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window
 
 from lattica.llm.common import WORD, as_rows, marked, materialise, spread_join, text_key, words
 
-BUCKETS, LONG = 17, 96
+BUCKETS, LONG, LONGER = 15, 48, 112
 #: Quarter-logarithm of the occurrences from which a token's postings are parted by length.
 FREQUENT = 4 * 22
 ROW = ["doc_id", "text_key"]
@@ -40,24 +41,24 @@ def bucket(h: Column) -> Column:
 
 
 def levels_of(hashes: DataFrame) -> Column:
-    """For each hashed counter the quarter-logarithm of the occurrences (column h), as a literal array: 2 ** BUCKETS small numbers, whatever the input."""
+    """For each hashed counter the quarter-logarithm of the occurrences (column h), in the high bits, as a literal array: 2 ** BUCKETS numbers, whatever the input."""
     counts = hashes.groupBy(bucket(F.col("h")).alias("b")).agg(F.floor(4 * F.log2(F.count(F.lit(1)) + 1)).cast("int").alias("level"))
     out = [0] * (1 << BUCKETS)
     for b, level in counts.collect():
-        out[b] = min(level, 127)
-    return F.from_json(F.lit(str(out).replace(" ", "")), "array<int>")  # folded into a literal
+        out[b] = min(level, 126) << 56
+    return F.from_json(F.lit(str(out).replace(" ", "")), "array<bigint>")  # folded into a literal
 
 
 def ordered(hashes: Column, level: Column) -> Column:
     """Distinct hashes as tokens, rarest first: a level in the high bits, a hash below."""
-    token = lambda h: F.shiftleft(F.get(level, bucket(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
-    return F.sort_array(F.transform(hashes, token))
+    return F.sort_array(F.transform(hashes, lambda h: F.get(level, bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def prefix(t: Column, similarity: float) -> Column:
-    """The prefix of ordered tokens as 31 bits each; the sign marks frequent ones."""
+    """The prefix of ordered tokens as 31 bits each; the sign marks frequent ones. The lowest bits are left to the parity."""
     n = F.size(t)
-    small = lambda x: F.when(x >= F.lit(FREQUENT << 56), -1 - x.bitwiseAND(F.lit((1 << 31) - 1))).otherwise(x.bitwiseAND(F.lit((1 << 31) - 1))).cast("int")
+    low = lambda x: F.shiftright(x, 8).bitwiseAND(F.lit((1 << 31) - 1))
+    small = lambda x: F.when(x >= F.lit(FREQUENT << 56), -1 - low(x)).otherwise(low(x)).cast("int")
     return F.transform(F.slice(t, F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")), small)
 
 
@@ -79,60 +80,70 @@ class Positions(NamedTuple):
 
 
 def positions(docs: DataFrame) -> Positions:
-    low, high, most = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long")), F.max(F.octet_length("text"))).first()
+    low, high, most, n = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long")), F.max(F.octet_length("text")), F.count(F.lit(1))).first()
     low, high, bits = low or 0, high or 0, max(1, (most or 0).bit_length())
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key")).distinct()
-    shared = rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    shared = docs.select("doc_id").distinct().count() < n
+    if shared:  # by copies of rows, or by different texts
+        rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key")).distinct()
+        shared = rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     return Positions(low, bits, shared or (high - low + 2).bit_length() + bits > 62)
 
 
 def lines_of(docs: DataFrame, similarity: float, at: Positions) -> DataFrame:
-    """A row per line with a word: doc_id, text_key, place, pos, id (of its class), n (tokens), parity, wide (parity of long lines), prefix."""
+    """A row per line with a word: doc_id, text_key, place, pos, id (of its class), n (tokens), parity (1, 2 or 4 words of 64 bits), prefix."""
     level = levels_of(docs.select(F.explode(words(F.lower("text"))).alias("w")).select(F.xxhash64("w").alias("h")))
     rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.posexplode(F.split(F.lower("text"), "\n")).alias("place", "line")).where(F.col("line").rlike(WORD))
     hashes = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
     sets = rows.select(*ROW, "place", at.of(F.col("doc_id"), F.col("text_key"), F.col("place")).alias("pos"), ordered(hashes, level).alias("t"))
-    n = F.size("t")
-    flipped = lambda t: F.aggregate(t, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
-    # lines of many tokens would fill 64 bits: they have 128, whose halves fold into the 64
-    half = lambda k: flipped(F.filter("t", lambda t: t.bitwiseAND(F.lit(64)) == 64 * k))
-    wide = F.when(n > LONG, F.array(half(0), half(1)))
-    sets = sets.withColumn("wide", wide)
-    parity = F.when(n > LONG, F.get("wide", 0).bitwiseXOR(F.get("wide", 1))).otherwise(flipped("t"))
-    return sets.select(*ROW, "place", "pos", F.xxhash64("t").alias("id"), n.alias("n"), parity.alias("parity"), "wide", prefix(F.col("t"), similarity).alias("prefix"))
+    n, bit = F.size("t"), lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    flipped = lambda t: F.aggregate(t, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
+    part = lambda k, of: flipped(F.filter("t", lambda t: t.bitwiseAND(F.lit(64 * (of - 1))) == 64 * k))
+    parity = F.when(n <= LONG, F.array(flipped("t"))).when(n <= LONGER, F.array(*[part(k, 2) for k in range(2)])).otherwise(F.array(*[part(k, 4) for k in range(4)]))
+    return sets.select(*ROW, "place", "pos", F.xxhash64("t").alias("id"), n.alias("n"), parity.alias("parity"), prefix(F.col("t"), similarity).alias("prefix"))
 
 
-def postings(classes: DataFrame, similarity: float) -> DataFrame:
-    """A row per token of a prefix (id, n, parity, wide, prefix of classes): token, slot, at, n, parity, wide0, wide1, id.
+def postings(classes: DataFrame, similarity: float, frequent: bool) -> DataFrame:
+    """A row per token of a prefix (id, n, parity, prefix of classes) that is, or isn't, frequent: token, slot, span (n and the token's place), p0 to p3 (parity), id.
 
-    slot is 0; of frequent tokens it is the number of the span of lengths, in two rows, so that lengths within the similarity share one.
+    slot, of frequent tokens only, is the number of the span of lengths, in two rows, so that lengths within the similarity share one.
+    parity has 1, 2 or 4 words. p0 and p1 are its folds to two words, and p0 all of it if it has one; p2 and p3 are the last two of four.
     """
-    posts = classes.select(F.posexplode("prefix").alias("at", "token"), "n", "parity", *[F.get("wide", k).alias(f"wide{k}") for k in range(2)], "id")
-    span = F.floor(F.log("n") / -math.log(similarity) + 1e-9).cast("int") if similarity < 1 else F.col("n")
-    slots = F.when(F.col("token") >= 0, F.array(F.lit(0))).otherwise(F.array(span + 1, span + 2))
-    return posts.select("token", F.explode(slots).alias("slot"), "at", "n", "parity", "wide0", "wide1", "id")
+    p, two = lambda k: F.get("parity", k), F.size("parity") == 4
+    each = [F.when(two, p(k).bitwiseXOR(p(k + 2))).otherwise(p(k)).alias(f"p{k}") for k in range(2)] + [p(k).alias(f"p{k}") for k in (2, 3)]
+    posts = classes.select(F.posexplode("prefix").alias("at", "token"), "n", *each, "id").where(F.col("token") < 0 if frequent else F.col("token") >= 0)
+    width = F.floor(F.log("n") / -math.log(similarity) + 1e-9).cast("int") if similarity < 1 else F.col("n")
+    slot = [F.explode(F.array(width + 1, width + 2)).alias("slot")] if frequent else []
+    return posts.select("token", *slot, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("span"), "p0", "p1", "p2", "p3", "id")
 
 
 def passing(similarity: float) -> Column:
     """Whether a posting x and a posting y of one token pass the filters."""
-    overlap = F.ceil(similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9)
-    length = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
-    behind = 1 + F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at") - 1, F.col("y.n") - F.col("y.at") - 1)
-    bits = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
-    most = F.col("x.n") + F.col("y.n") - 2 * overlap
-    differ = (bits("parity") <= most) & (F.coalesce(bits("wide0") + bits("wide1"), F.lit(0)) <= most)
-    return (F.col("x.token") == F.col("y.token")) & (F.col("x.slot") == F.col("y.slot")) & (F.col("x.id") != F.col("y.id")) & length & (behind >= overlap) & differ
-
-
-def involved(posts: DataFrame, similarity: float) -> DataFrame:
+    n, at = lambda c: F.shiftright(f"{c}.span", 32), lambda c: F.col(f"{c}.span").bitwiseAND(F.lit((1 << 32) - 1))
+    overlap = F.ceil(similarity / (1 + similarity) * (n("x") + n("y")) - 1e-9)
+    length = F.least(n("x"), n("y")) >= similarity * F.greatest(n("x"), n("y")) - 1e-9
+    behind = 1 + F.least(at("x"), at("y")) + F.least(n("x") - at("x") - 1, n("y") - at("y") - 1)
+    most = n("x") + n("y") - 2 * overlap
+    p, none = lambda c, k: F.col(f"{c}.p{k}"), F.lit(0).cast("long")
+    one = lambda c: p(c, 0).bitwiseXOR(F.coalesce(p(c, 1), none))
+    bits = lambda k: F.bit_count(p("x", k).bitwiseXOR(p("y", k)))  # noqa: E731  null unless both have it
+    high = lambda k: F.bit_count(p("x", k).bitwiseXOR(p("x", k + 2)).bitwiseXOR(p("y", k)).bitwiseXOR(p("y", k + 2)))
+    differ = F.coalesce(high(0) + high(1) + bits(2) + bits(3), bits(0) + bits(1), F.bit_count(one("x").bitwiseXOR(one("y")))) <= most
+    return (F.col("x.token") == F.col("y.token")) & (F.col("x.id") != F.col("y.id")) & length & (behind >= overlap) & differ
+
+
+def involved(classes: DataFrame, similarity: float) -> DataFrame:
     """The postings that pass the filters with another: a semi-join, which gives each at most once however many it passes with."""
-    # under aliases, not new names: then both sides are one shuffle
-    return posts.alias("x").join(posts.alias("y"), passing(similarity), "left_semi").select("x.*")
+
+    rare, frequent = postings(classes, similarity, False), postings(classes, similarity, True)
+    # under aliases, not new names, and without a column that the condition doesn't need: then both sides are one shuffle
+    one = rare.alias("x").join(rare.alias("y"), passing(similarity), "left_semi").select("x.*").withColumn("slot", F.lit(0))
+    two = frequent.alias("x").join(frequent.alias("y"), passing(similarity) & (F.col("x.slot") == F.col("y.slot")), "left_semi").select("x.*")
+    return one.unionByName(two)
 
 
 def earlier(xs: DataFrame, ys: DataFrame, similarity: float, order: str) -> DataFrame:
     """a, b: ids of pairs that pass the filters, a before b by the column order."""
-    found = xs.alias("x").join(ys.alias("y"), passing(similarity) & (F.col(f"x.{order}") < F.col(f"y.{order}")))
+    found = xs.alias("x").join(ys.alias("y"), passing(similarity) & (F.col("x.slot") == F.col("y.slot")) & (F.col(f"x.{order}") < F.col(f"y.{order}")))
     return found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
@@ -166,9 +177,9 @@ def late_ids(posts: DataFrame, each: DataFrame, similarity: float, order: str, l
 
 def gone_lines(lines: DataFrame, docs: DataFrame, similarity: float, at: Positions) -> DataFrame:
     """doc_id, text_key, place, repeated (its words occur in an earlier line) and similar (it is its class's first line and an earlier one is similar) of the lines that go."""
-    grouped = lines.groupBy("id", "n", "parity", "wide", "prefix").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("rows"))
+    grouped = lines.groupBy("id", "n", "parity", "prefix").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("rows"))
     classes = materialise(grouped, "line-classes")
-    posts = materialise(involved(postings(classes.drop("id").withColumnRenamed("first", "id"), similarity), similarity), "line-postings")
+    posts = materialise(involved(classes.drop("id").withColumnRenamed("first", "id"), similarity), "line-postings")
     each = materialise(line_words(posts.select("id").distinct(), docs, at), "line-words")
     late = late_ids(posts, each, similarity, "id").select(F.col("id").alias("first"), F.lit(True).alias("late"))
     known = classes.select("id", "first", "rows").join(late, "first", "left").where("rows > 1 OR late").select("id", "first", "rows", F.coalesce("late", F.lit(False)).alias("late"))
