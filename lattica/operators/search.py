@@ -108,6 +108,15 @@ def merge_page(scores: DataFrame, offset: int, limit: int) -> DataFrame:
     return ranked.withColumn("has_more", F.max("rank").over(Window.partitionBy(F.lit(1))) > offset + limit).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
 
 
+def validate(query: str, kinds: Sequence[str] | None = None, repos: Sequence[str] | None = None) -> list[Clause]:
+    """The clauses of a request that may be made: a query that can be answered, known kinds, some repositories but not too many."""
+    if kinds is not None and (not kinds or set(kinds) - set(NODE_KINDS)):
+        raise VerbError("bad_request", "no kinds, or unknown ones")
+    if repos is not None and not 1 <= len(repos) <= 1000:
+        raise VerbError("bad_request", "between one and a thousand repositories")
+    return parse(query)
+
+
 def kind_filter(docs: DataFrame, kinds: Sequence[str] | None) -> DataFrame:
     if kinds is None:
         return docs
@@ -118,11 +127,9 @@ def kind_filter(docs: DataFrame, kinds: Sequence[str] | None) -> DataFrame:
 
 def search(docs: DataFrame, query: str, kinds: Sequence[str] | None = None, repos: Sequence[str] | None = None, offset: int = 0, limit: int = 20) -> DataFrame:
     """repo, node_id, score, rank, has_more, kind, name, path, snippet of a page; statistics are the repositories', whatever the kinds."""
+    clauses = validate(query, kinds, repos)
     if repos is not None:
-        if not repos or len(repos) > 1000:
-            raise VerbError("bad_request", "between one and a thousand repositories")
         docs = docs.where(F.col("repo").isin(list(repos)))
-    clauses = parse(query)
     scores = bm25(docs, clauses)
     if kinds is not None:
         scores = kind_filter(scores, kinds)

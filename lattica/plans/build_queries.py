@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lattica.functions import ids
@@ -14,7 +20,9 @@ from lattica.plans.registry import query
 from lattica.operators import search as S
 from lattica.sources import extract as E
 from lattica.sources import files as FS
-from lattica.sources.scratch import scratch
+from lattica.sources import git as GIT
+from lattica.sources import http as H
+from lattica.sources.scratch import scratch, settle
 from lattica.streaming import stateful as T
 
 
@@ -198,14 +206,41 @@ def second(c: str):
     return F.unix_micros(F.col(c).cast("timestamp")) / 1e6
 
 
-@query("s_token_bucket")
-def s_token_bucket(spark, d):
+BUCKET = """WITH RECURSIVE r AS (SELECT event_type AS forge, epoch_us(ts) / 1e6 AS ts, event_id AS id, CAST(props->>'$.k' AS DOUBLE) % 5 + 1 AS need, event_id % 97 = 0 AS cools, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT DISTINCT event_type AS forge, 0.0::DOUBLE AS ts, CAST(-1 AS BIGINT) AS id, CAST(0 AS BIGINT) AS n, 60.0::DOUBLE AS tokens, NULL::DOUBLE AS seen_at, 0.0::DOUBLE AS cooldown, false AS granted, 0.0::DOUBLE AS retry_after FROM events UNION ALL
+SELECT forge, ts, id, n, CASE WHEN granted THEN have - need ELSE have END, ts, cooldown, granted, CASE WHEN granted THEN 0.0 ELSE wait + greatest(need - have, 0.0) * 60.0 / 60.0 END FROM (
+SELECT *, wait = 0 AND have >= need AS granted FROM (
+SELECT *, least(least(tokens + greatest(0.0, ts - coalesce(seen_at, ts)) * 60.0 / 60.0, 60.0), 60.0) AS have, greatest(0.0, cooldown - ts) AS wait FROM (
+SELECT r.forge, r.ts, r.id, r.n, r.need, CASE WHEN cools THEN 0.0 ELSE f.tokens END AS tokens, CASE WHEN cools THEN greatest(r.ts, f.cooldown) ELSE f.seen_at END AS seen_at, CASE WHEN cools THEN greatest(f.cooldown, r.ts + 30.0) ELSE f.cooldown END AS cooldown FROM f JOIN r ON r.forge = f.forge AND r.n = f.n + 1))))
+SELECT forge, ts, id, granted, retry_after FROM f WHERE n > 0"""
+
+
+def bucket_requests(spark, d):
     e = X.table(spark, d, "events")
     need = (F.get_json_object("props", "$.k").cast("double") % 5 + 1).alias("need")
-    return T.token_bucket(e.select(F.col("event_type").alias("forge"), second("ts").alias("ts"), F.col("event_id").alias("id"), need, F.when(F.col("event_id") % 97 == 0, 30.0).alias("cool")), 60.0)
+    return e.select(F.col("event_type").alias("forge"), second("ts").alias("ts"), F.col("event_id").alias("id"), need, F.when(F.col("event_id") % 97 == 0, 30.0).alias("cool"))
+
+
+@query("s_token_bucket", BUCKET)
+def s_token_bucket(spark, d):
+    return T.token_bucket(bucket_requests(spark, d), 60.0)
 
 
-@query("s_sliding_limiter")
+@query("s_fallback_bucket")
+def s_fallback_bucket(spark, d):
+    return T.token_bucket(bucket_requests(spark, d).withColumn("reached", F.floor(F.col("id") / 50) % 3 != 1), 60.0)
+
+
+@query("s_auth_failures")
+def s_auth_failures(spark, d):
+    e = X.table(spark, d, "events")
+    return T.auth_failures(e.select(F.col("event_type").alias("service"), second("ts").alias("ts"), F.col("event_id").alias("id"), F.concat(F.lit("t"), (F.col("user_id") % 40).cast("string")).alias("token"), (F.col("user_id") % 4 == 0).alias("valid")), 5, 4 * 3600.0)
+
+
+@query("s_sliding_limiter", """WITH RECURSIVE r AS (SELECT user_id AS credential, epoch_us(ts) / 1e6 AS ts, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT DISTINCT user_id AS credential, 0.0::DOUBLE AS ts, CAST(-1 AS BIGINT) AS id, CAST(0 AS BIGINT) AS n, []::DOUBLE[] AS seen, false AS admitted, 0.0::DOUBLE AS retry_after FROM events UNION ALL
+SELECT credential, ts, id, n, CASE WHEN len(seen) < 3 THEN list_append(seen, ts) ELSE seen END, len(seen) < 3, CASE WHEN len(seen) < 3 THEN 0.0 ELSE 21600.0 - (ts - seen[1]) END FROM (
+SELECT r.credential, r.ts, r.id, r.n, list_filter(f.seen, lambda x: x > r.ts - 21600.0) AS seen FROM f JOIN r ON r.credential = f.credential AND r.n = f.n + 1)) SELECT credential, ts, id, admitted, retry_after FROM f WHERE n > 0""")
 def s_sliding_limiter(spark, d):
     e = X.table(spark, d, "events")
     return T.sliding_limiter(e.select(F.col("user_id").alias("credential"), second("ts").alias("ts"), F.col("event_id").alias("id")), 3, 6 * 3600.0)
@@ -277,3 +312,104 @@ def x_published_probe(spark, d):
     rows = [("whole", store.published(1, "a" * 40) is not None), ("other", store.published(1, "b" * 40) is not None)]
     store.delete(1, store.revision("a" * 40, "syntactic"))
     return spark.createDataFrame([*rows, ("gone", store.published(1, "a" * 40) is not None)], "state string, published boolean")
+
+
+def local(spark, what: str) -> str:
+    """A new local path in the shared folder, for trees and repositories, which git and the file system have to see."""
+    path = scratch(spark, what)
+    if "://" in path and not path.startswith("file://"):
+        raise RuntimeError("trees and repositories need a shared folder that is mounted")
+    return path.removeprefix("file://")
+
+
+@query("x_scan_tree", "SELECT CAST(s_nationkey AS VARCHAR) || '/' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '.py' ELSE '.go' END AS path, CASE WHEN s_suppkey % 2 = 0 THEN 'python' ELSE 'go' END AS language, CAST(length(s_name) AS BIGINT) AS length, s_name AS content FROM supplier")
+def x_scan_tree(spark, d):
+    root = local(spark, "tree")
+
+    def write(frames):
+        for frame in frames:
+            for nation, key, name in zip(frame["s_nationkey"], frame["s_suppkey"], frame["s_name"]):
+                os.makedirs(f"{root}/{nation}", exist_ok=True)
+                with open(f"{root}/{nation}/{key}.{'go' if key % 2 else 'py'}", "w") as f:
+                    f.write(name)
+            yield frame[["s_suppkey"]]
+
+    X.table(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_name").mapInPandas(write, "s_suppkey long").count()
+    return FS.read_tree(spark, root)
+
+
+def repository(spark, d, what: str, rows) -> str:
+    """A repository with a commit a row: seconds, author, subject, path."""
+    at, lines = local(spark, what), []
+    os.makedirs(at)
+    GIT.run("init", "-q", "--bare", "-b", "main", at)
+    for ts, author, subject, path in rows:
+        lines.append(f"commit refs/heads/main\nauthor {author} <{author.lower().replace('#', '.')}@example.com> {ts} +0000\ncommitter c <c@example.com> {ts} +0000\ndata {len(subject)}\n{subject}\nM 100644 inline {path}\ndata {len(path)}\n{path}\n")
+    subprocess.run(["git", "-C", at, "fast-import", "--quiet"], input="".join(lines).encode(), check=True, capture_output=True)
+    return at
+
+
+def supplier_repository(spark, d) -> str:
+    rows = X.table(spark, d, "supplier").orderBy("s_suppkey").toLocalIterator()
+    return repository(spark, d, "repository", ((1_000_000_000 + r["s_suppkey"], r["s_name"], f"add {r['s_suppkey']}", f"{r['s_nationkey']}/{r['s_suppkey']}.txt") for r in rows))
+
+
+@query("x_git_log_source", "SELECT 1000000000 + s_suppkey AS ct, s_name AS author, 'add ' || s_suppkey AS subject, s_nationkey || '/' || s_suppkey || '.txt' AS path FROM supplier")
+def x_git_log_source(spark, d):
+    return GIT.git_log(spark, supplier_repository(spark, d)).select("ct", "author", "subject", F.array_join("paths", " ").alias("path"))
+
+
+@query("x_mirror_checkout", "SELECT s_nationkey || '/' || s_suppkey || '.txt' AS path, s_nationkey || '/' || s_suppkey || '.txt' AS content FROM supplier")
+def x_mirror_checkout(spark, d):
+    mirror, tree = local(spark, "mirror"), local(spark, "checkout")
+    os.makedirs(os.path.dirname(mirror), exist_ok=True)
+    head = GIT.sync(f"file://{supplier_repository(spark, d)}", mirror)
+    GIT.checkout(mirror, head, tree)
+    return FS.read_tree(spark, tree).select("path", "content")
+
+
+@query("s_poll_head", "SELECT r_name AS repo, r_regionkey % 2 = 0 AS found, CASE WHEN r_regionkey % 2 = 1 THEN 'CalledProcessError' END AS error FROM region")
+def s_poll_head(spark, d):
+    url = lambda r: f"file://{repository(spark, d, 'head', [(1_000_000_000, 'A', r['r_name'], 'f')])}" if r["r_regionkey"] % 2 == 0 else "file:///nowhere/at/all"
+    made = [(r["r_name"], url(r)) for r in X.table(spark, d, "region").toLocalIterator()]
+    heads = GIT.remote_heads(spark.createDataFrame(made, "repo string, url string"))
+    return heads.select("repo", F.coalesce(ids.valid_sha(F.col("head")), F.lit(False)).alias("found"), "error")
+
+
+class _Pages(BaseHTTPRequestHandler):
+    """Answers /<name> with its name, and with 304 to who has it already."""
+
+    def do_GET(self) -> None:  # noqa: N802  the interface's name
+        body = self.path[1:].encode()
+        tag = f'"{len(body)}-{body.decode()}"'
+        have = self.headers.get("If-None-Match") == tag
+        self.send_response(304 if have else 200)
+        self.send_header("ETag", tag)
+        self.send_header("Content-Length", "0" if have else str(len(body)))
+        self.end_headers()
+        if not have:
+            self.wfile.write(body)
+
+    def log_message(self, *_: object) -> None:
+        pass
+
+
+@query("s_poll_http", "SELECT n_nationkey, true AS first, 'n' || n_nationkey AS body, false AS second, true AS free FROM nation")
+def s_poll_http(spark, d):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), _Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+
+    def ask(frames):
+        for frame in frames:
+            rows = []
+            for key in frame["n_nationkey"]:
+                one = H.poll(f"{base}/n{key}", {})
+                two = H.poll(f"{base}/n{key}", one.validators)
+                rows.append((key, one.changed, one.body.decode(), two.changed, two.free))
+            yield pd.DataFrame(rows, columns=["n_nationkey", "first", "body", "second", "free"])
+
+    found = X.table(spark, d, "nation").select("n_nationkey").mapInPandas(ask, "n_nationkey int, first boolean, body string, second boolean, free boolean")
+    out = settle(found, "polls")
+    server.shutdown()
+    return out

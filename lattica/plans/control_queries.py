@@ -203,3 +203,36 @@ def c_discovery_diff(spark, d):
     states = r.join(C.rule_precedence(r, X.rules(spark)), "repo_id").select("slug", F.col("state").alias("new_state"))
     registry = r.where("repo_id % 3 <> 0").withColumn("state", F.when(F.col("repo_id") % 2 == 0, "included").otherwise("excluded"))
     return C.discovery_diff(r.where("repo_id % 4 <> 0").select("forge_id", "slug", "visibility"), registry, states)
+
+
+RESULTS = """res AS (SELECT job_id, CASE WHEN job_id % 5 = 0 THEN lease_until - 1 ELSE lease_until END AS token, (['done', 'released', 'failed'])[1 + job_id % 3] AS outcome, 'e' || job_id AS error FROM jobs WHERE job_id % 4 <> 3)"""
+
+
+def results(spark, d):
+    jobs = X.jobs(spark, d).where("job_id % 4 <> 3")
+    token = F.when(F.col("job_id") % 5 == 0, F.col("lease_until") - 1).otherwise(F.col("lease_until"))
+    outcome = F.element_at(F.array(*map(F.lit, ("done", "released", "failed"))), (F.col("job_id") % 3 + 1).cast("int"))
+    return jobs.select("job_id", token.alias("token"), outcome.alias("outcome"), F.concat(F.lit("e"), F.col("job_id").cast("string")).alias("error"))
+
+
+@query("c_settle_jobs", V.control(RESULTS + f""", x0 AS (SELECT j.*, r.job_id AS r_id, outcome, error, coalesce(state = 'leased' AND lease_until = token, false) AS fits FROM jobs j LEFT JOIN res r ON r.job_id = j.job_id)
+SELECT job_id, CASE WHEN fits THEN CASE outcome WHEN 'done' THEN 'done' ELSE 'queued' END ELSE state END AS state, CASE WHEN NOT fits THEN attempts WHEN outcome = 'failed' THEN attempts + 1 WHEN outcome = 'released' THEN 0 ELSE attempts END AS attempts,
+CASE WHEN NOT fits THEN run_after WHEN outcome = 'failed' THEN {NOW} + CAST(least(30 * pow(2, least(attempts, 7)), 3600) AS BIGINT) ELSE {NOW} END AS run_after, CASE WHEN NOT fits THEN lease_until END AS lease_until,
+CASE WHEN fits AND outcome = 'failed' THEN error END AS last_error, CASE WHEN fits AND outcome = 'done' THEN CAST({NOW} AS BIGINT) END AS finished_at, CASE WHEN r_id IS NOT NULL THEN fits END AS applied FROM x0"""))
+def c_settle_jobs(spark, d):
+    none = F.lit(None)
+    jobs = X.jobs(spark, d).withColumns({"last_error": none.cast("string"), "finished_at": none.cast("long")})
+    return C.settle_jobs(jobs, results(spark, d), NOW).select("job_id", "state", "attempts", "run_after", "lease_until", "last_error", "finished_at", "applied")
+
+
+@query("c_renew_lease", V.control(RESULTS + f" SELECT j.job_id, CASE WHEN coalesce(state = 'leased' AND lease_until = token, false) THEN CAST({NOW} + 300 AS BIGINT) ELSE lease_until END AS lease_until, CASE WHEN r.job_id IS NOT NULL THEN coalesce(state = 'leased' AND lease_until = token, false) END AS applied FROM jobs j LEFT JOIN res r ON r.job_id = j.job_id"))
+def c_renew_lease(spark, d):
+    return C.renew(X.jobs(spark, d), results(spark, d).select("job_id", "token"), NOW).select("job_id", "lease_until", "applied")
+
+
+@query("c_reclaim", V.control(f"""x0 AS (SELECT *, CASE WHEN shard_id % 4 = 0 THEN 'reclaiming' ELSE 'published' END AS state, NOT is_current AS free, shard_id % 3 = 0 AS gone FROM shards)
+SELECT shard_id, CASE WHEN state = 'published' AND free AND coalesce(superseded_at, published_at) < {NOW} - 3600 THEN 'reclaiming' ELSE state END AS state FROM x0 WHERE NOT (state = 'reclaiming' AND free AND gone)"""))
+def c_reclaim(spark, d):
+    s = X.shards(spark, d)
+    states = s.withColumn("state", F.when(F.col("shard_id") % 4 == 0, "reclaiming").otherwise("published"))
+    return C.reclaim(states, s.where("is_current"), s.where("shard_id % 3 = 0").select("shard_id"), NOW).select("shard_id", "state")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,7 @@ from lattica.functions import ids
 from lattica.operators import graph as G
 from lattica.operators import history as H
 from lattica.operators import resolve as R
+from lattica.operators import verbs as VB
 from lattica.plans import fixtures as X
 from lattica.plans import oracle_views as V
 from lattica.plans.registry import query
@@ -175,6 +178,17 @@ def g_page_edges(spark, d):
     return G.page_edges(graph, found.seen, G.page(found.seen, 100)).select("edge_seq", F.col("rank").cast("long").alias("rank"))
 
 
+@query("g_cursor_pages", bfs_sql(1, "SELECT id, (row_number() OVER (ORDER BY depth, ext) - 1) // 100 AS page FROM s{d} WHERE depth > 0"))
+def g_cursor_pages(spark, d):
+    catalog = VB.Catalog()
+    catalog.put(X.REPO, "r1", X.graph(spark, d))
+    engine, pages, cursor = VB.Engine(catalog, b"a key of the fixture's"), [], None
+    while not pages or cursor:  # a page each
+        rows, cursor = engine.neighbors(f"pkg:{X.REPO}:{ORIGIN.split(':', 1)[1]}", cursor=cursor)
+        pages.append(rows.select("id", F.lit(len(pages)).cast("long").alias("page")))
+    return reduce(DataFrame.unionByName, pages)
+
+
 HISTORY = """SELECT c.id, c.name, c.committed_at, strftime(to_timestamp(c.committed_at), '%Y-%m-%dT%H:%M:%SZ') AS date, a.src AS author_id, n.name AS author_name
 FROM (SELECT c.id, c.name, c.committed_at FROM edges e JOIN nodes c ON c.id = e.src AND c.kind = 'Commit' WHERE e.kind = 'TOUCHES' AND e.dst = ({f}) {more} ORDER BY c.committed_at DESC, c.id LIMIT {n}) c
 LEFT JOIN edges a ON a.dst = c.id AND a.kind = 'AUTHORED' LEFT JOIN nodes n ON n.id = a.src"""

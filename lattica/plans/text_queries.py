@@ -150,3 +150,24 @@ def x_search_docs(spark, d):
     nodes = X.nodes(spark, d).withColumn("repo", F.lit(X.REPO))
     bodies = nodes.where("kind = 'File'").select(F.col("id").alias("node_id"), F.col("name").alias("content"))
     return S.search_docs(nodes, bodies).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
+
+
+#: kinds, repositories, query, and what comes of asking for them.
+ASKED = (
+    (None, None, "the", "ok"), (["File"], None, "the", "ok"), ([], None, "the", "bad_request"), (["Fil"], None, "the", "bad_request"), (None, [], "the", "bad_request"),
+    (None, ["r"] * 1001, "the", "bad_request"), (None, None, "", "bad_request"), (None, None, "[a TO b]", "bad_request"), (None, ["docs.example/corpus/none"], "the", "ok"),
+)
+
+
+@query("t_vocabulary", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x[3]}')" for i, x in enumerate(ASKED)) + ") t(n, outcome)")
+def t_vocabulary(spark, d):
+    docs = X.file_docs(spark, d)
+
+    def outcome(kinds, repos, text: str) -> str:
+        try:
+            S.validate(text, kinds, repos)
+        except VerbError as e:
+            return e.code
+        return "ok"
+
+    return docs.limit(0).select(F.lit(0).alias("n"), F.lit("").alias("outcome")).unionByName(spark.createDataFrame([(i, outcome(*x[:3])) for i, x in enumerate(ASKED)], "n int, outcome string"))

@@ -104,7 +104,7 @@ class ListingSource(DataSource):
 
 
 class PollSource(DataSource):
-    """spark.readStream.format("forge_poll").option("url", u): url, body of each change; the validators are the stream's offset."""
+    """spark.readStream.format("forge_poll").option("url", u): url, body of each change; the validators and the last body are the stream's offset."""
 
     @classmethod
     def name(cls) -> str:
@@ -121,11 +121,14 @@ class PollSource(DataSource):
                 return {}
 
             def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-                p = poll(url, start)
-                return iter([(url, p.body.decode("utf-8", "replace"))] if p.changed else []), p.validators
+                p = poll(url, {k: start[k] for k in ("etag", "last_modified") if k in start})
+                if not p.changed:
+                    return iter([]), start
+                body = p.body.decode("utf-8", "replace")
+                return iter([(url, body)]), {**p.validators, "body": body, "polls": start.get("polls", 0) + 1}
 
             def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-                p = poll(url, {})
-                return iter([(url, p.body.decode("utf-8", "replace"))] if p.changed else [])
+                """From the offset itself, so that a batch that is run again has the body it had."""
+                return iter([(url, end["body"])] if end.get("polls", 0) > start.get("polls", 0) else [])
 
         return Reader()

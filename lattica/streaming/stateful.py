@@ -6,7 +6,8 @@ bounded by one key's state however many rows the key has. The same step function
 
 from __future__ import annotations
 
-from collections import deque
+import hashlib
+from collections import OrderedDict, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,8 +38,38 @@ class Bucket:
         self.tokens, self.at, self.cooldown = 0.0, max(now, self.cooldown), max(self.cooldown, now + seconds)
 
 
-def token_bucket(requests: DataFrame, capacity: float = 60.0) -> DataFrame:
-    """requests (forge, ts in seconds, id, need, cool): forge, ts, id, granted, retry_after. cool is the seconds of a cooldown that a row reports, or null."""
+class Budget:
+    """A fleet's bucket and a worker's own, of at most fallback a minute, for the time that the fleet's can't be reached.
+
+    What the fleet grants is spent in the own one too, so that an outage doesn't begin with a full one; a cooldown that is reported
+    meanwhile holds at once for the own one and for the fleet's when it is back.
+    """
+
+    def __init__(self, capacity: float, fallback: float) -> None:
+        self.fleet, self.own, self.pending = Bucket(capacity), Bucket(min(capacity, fallback)), None
+
+    def take(self, now: float, need: float, cool: float | None, reached: bool) -> tuple[bool, float]:
+        if cool is not None:
+            self.own.cool(now, cool)
+            if not reached:
+                self.pending = max(self.pending or 0.0, now + cool)
+        if not reached:
+            return self.own.take(now, need)
+        if self.pending is not None:
+            if self.pending > now:
+                self.fleet.cool(now, self.pending - now)
+            self.pending = None
+        if cool is not None:
+            self.fleet.cool(now, cool)
+        granted, wait = self.fleet.take(now, need)
+        if granted:
+            self.own.tokens, self.own.at = max(0.0, self.own.available(now) - need), now
+        return granted, wait
+
+
+def token_bucket(requests: DataFrame, capacity: float = 60.0, fallback: float = 2.0) -> DataFrame:
+    """requests (forge, ts in seconds, id, need, cool, and maybe reached): forge, ts, id, granted, retry_after. cool is the seconds of a
+    cooldown that a row reports, or null; reached tells whether the fleet's bucket could be (without the column it always is)."""
 
     names = ["forge", "ts", "id", "granted", "retry_after"]
 
@@ -46,18 +77,58 @@ def token_bucket(requests: DataFrame, capacity: float = 60.0) -> DataFrame:
         at, state = object(), None
         for frame in frames:
             rows = []
-            for forge, ts, i, need, cool in frame.itertuples(index=False):
+            for forge, ts, i, need, cool, reached in frame.itertuples(index=False):
                 if forge != at:
-                    at, state = forge, Bucket(capacity)
-                if cool == cool and cool is not None:
-                    state.cool(ts, cool)
-                rows.append((forge, ts, i, *state.take(ts, need)))
+                    at, state = forge, Budget(capacity, fallback)
+                rows.append((forge, ts, i, *state.take(ts, need, cool if cool is not None and cool == cool else None, reached)))
             yield pd.DataFrame(rows, columns=names)
 
-    chosen = requests.select("forge", "ts", "id", "need", "cool")
+    reached = F.coalesce("reached", F.lit(True)) if "reached" in requests.columns else F.lit(True)
+    chosen = requests.select("forge", "ts", "id", "need", "cool", reached.alias("reached"))
     return chosen.repartition("forge").sortWithinPartitions("forge", "ts", "id").mapInPandas(run, "forge string, ts double, id long, granted boolean, retry_after double")
 
 
+def auth_failures(requests: DataFrame, most: int = 60, window: float = 60.0, remembered: int = 1024) -> DataFrame:
+    """requests (service, ts, id, token, valid): service, ts, id, outcome, retry_after of the guard before a look-up of tokens.
+
+    outcome is accepted, rejected (looked up and wrong: a failure), cached (rejected within the window: blocked without a look-up) or
+    limited (a token not known to be right, while the service has had most failures within the window). A service remembers the last
+    accepted and rejected tokens, by a digest, up to a number of each.
+    """
+    names = ["service", "ts", "id", "outcome", "retry_after"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = object()
+        for frame in frames:
+            rows = []
+            for service, ts, i, token, valid in frame.itertuples(index=False):
+                if service != at:
+                    at, failures, rejected, accepted = service, deque(), OrderedDict(), OrderedDict()
+                while failures and failures[0] <= ts - window:
+                    failures.popleft()
+                known, wait = hashlib.sha256(token.encode()).digest(), 0.0
+                if known in rejected and rejected[known] > ts - window:
+                    outcome, wait = "cached", window - (ts - rejected[known])
+                elif known in accepted:
+                    outcome = "accepted"
+                    accepted.move_to_end(known)
+                elif len(failures) >= most:
+                    outcome, wait = "limited", window - (ts - failures[0])
+                elif valid:
+                    outcome, accepted[known] = "accepted", ts
+                else:
+                    outcome, rejected[known] = "rejected", ts
+                    rejected.move_to_end(known)
+                    failures.append(ts)
+                for cache in (rejected, accepted):
+                    if len(cache) > remembered:
+                        cache.popitem(last=False)
+                rows.append((service, ts, i, outcome, wait))
+            yield pd.DataFrame(rows, columns=names)
+
+    return requests.select("service", "ts", "id", "token", "valid").repartition("service").sortWithinPartitions("service", "ts", "id").mapInPandas(run, "service string, ts double, id long, outcome string, retry_after double")
+
+
 def sliding_limiter(requests: DataFrame, most: int, window: float) -> DataFrame:
     """requests (credential, ts, id): admitted if fewer than most admitted ones lie within the window; a boundary one has left; rejected ones don't count."""
 
