@@ -14,27 +14,30 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go, and from the others the lines that too many of their host hold."""
+    """Documents that the quality rules reject go, and from the others the lines that too many of their host hold.
+
+    Defined cases, here and in each stage: those of the operator that it calls; an empty table stays empty; other columns stay.
+    """
     return counted(quality.keep_good(docs))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line, or nearly, go."""
+    """Lines that repeat an earlier line, or nearly, go; a text of which none is left is empty, a null one null."""
     return counted(line_dedup.remove_lines(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, that of the smallest doc_id, a null one being the largest; of wordless texts one stays."""
     return simhash.keep_one(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more that an earlier document holds go."""
+    """Passages of 50 words and more that an earlier document holds go; rows without a doc_id are compared with none."""
     return counted(substring_dedup.substring_dedup(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as packed token sequences."""
+    """What is left, as packed token sequences: a row a piece; a null or empty text is its end id alone."""
     return packing.pack_documents(docs)
 
 
