@@ -123,7 +123,7 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, pattern: str | None
             rows = []
             for text in frame["text"]:
                 ids = encode(text or "", path, pattern)
-                rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decode(ids, path, pattern)).hexdigest(), ids))
+                rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decode(ids, path, pattern)).hexdigest(), ids if with_ids else None))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
             out.insert(0, "doc_id", frame["doc_id"].astype("Int64"))
             yield out if with_ids else out.drop(columns="ids")

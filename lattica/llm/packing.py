@@ -153,13 +153,13 @@ def pack(examples: Iterable[Example], limits: Limits, cut: bool, partition: int)
         number += 1
 
 
-def packed(df: DataFrame, examples: Callable[[pd.DataFrame], Iterator[Example]], limits: Limits, cut: bool) -> DataFrame:
-    """PIECES of the examples that a function makes of a frame."""
+def packed(df: DataFrame, examples: Callable[[Iterator[pd.DataFrame]], Iterator[Example]], limits: Limits, cut: bool) -> DataFrame:
+    """PIECES of the examples that a function makes of frames."""
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, size = [], 0
-        for row in pack((x for frame in frames for x in examples(frame)), limits, cut, TaskContext.get().partitionId()):
+        for row in pack(examples(frames), limits, cut, TaskContext.get().partitionId()):
             rows.append(row)
             size += row[2]
             if size > 2_000_000 or len(rows) > 20_000:
@@ -181,11 +181,12 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 0, li
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
 
-    def examples(frame: pd.DataFrame) -> Iterator[Example]:
+    def examples(frames: Iterator[pd.DataFrame]) -> Iterator[Example]:
         of, end = tokenizer(path).encode, int(end_id).to_bytes(4, "little")
-        for doc_id, text in zip(frame["doc_id"].astype("Int64"), frame["text"]):
-            ids = np.frombuffer(of(text or "") + end, "<u4")
-            yield Example(None if doc_id is pd.NA else int(doc_id), ids, None, 0, len(ids))
+        for frame in frames:
+            for doc_id, text in zip(frame["doc_id"].astype("Int64"), frame["text"]):
+                ids = np.frombuffer(of(text or "") + end, "<u4")
+                yield Example(None if doc_id is pd.NA else int(doc_id), ids, None, 0, len(ids))
 
     return packed(docs.selectExpr("cast(doc_id as long) doc_id", "text"), examples, limits, True)
 
@@ -193,27 +194,40 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 0, li
 def pack_conversations(turns: DataFrame, path: str | None = None, end_id: int = 0, limits: Limits = Limits(2048, 16, 1536), answers: str = "assistant") -> DataFrame:
     """Instruction data: a conversation (conv_id, turn, role, text) is an example, its answers bear loss; a row a piece.
 
-    Conversations are kept whole where they fit in one sequence and are cut at the limits otherwise. Turns are ordered
-    by (turn, role, text). Defined cases: null texts are empty; a null conv_id is one conversation; an empty table gives no rows.
+    Conversations are kept whole where they fit in one sequence and are cut at the limits otherwise. Turns are ordered by (turn, role,
+    text) as they are dealt, and a conversation is held as ids only. Defined cases: null texts are empty; turns without a conv_id are
+    conversations of their own, wherever they are; repeated turns are repeated; an empty table gives no rows; other columns are ignored.
     """
     import public_tokenizers
     from pyspark.sql import functions as F
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    whole = turns.groupBy(F.col("conv_id").cast("long").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    flat = whole.select("doc_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
-
-    def examples(frame: pd.DataFrame) -> Iterator[Example]:
+    told = turns.select(F.col("conv_id").cast("long").alias("doc_id"), "turn", "role", "text")
+    alone = F.when(F.col("doc_id").isNull(), F.xxhash64("turn", "role", "text"))
+    flat = told.withColumn("alone", alone).repartition("doc_id", "alone").sortWithinPartitions("doc_id", "alone", "turn", "role", "text").select("doc_id", "role", "text")
+
+    def cut(doc_id: int | None, coded: list[np.ndarray], bears: list[bool]) -> Iterator[Example]:
+        ids = np.concatenate(coded)
+        x = Example(doc_id, ids, np.repeat(bears, [len(c) for c in coded]), 0, len(ids))
+        while (np.array(x.size()) > limits).any():
+            at = min(limits.tokens, int(np.searchsorted(np.cumsum(x.loss), limits.loss, side="right")))
+            head, x = x.split(at)
+            yield head
+        yield x
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[Example]:
         of, end = tokenizer(path).encode, int(end_id).to_bytes(4, "little")
-        for doc_id, roles, texts in zip(frame["doc_id"].astype("Int64"), frame["roles"], frame["texts"]):
-            coded = [np.frombuffer(of(t or "") + end, "<u4") for t in texts]
-            ids = np.concatenate(coded)
-            loss = np.concatenate([np.full(len(c), r == answers) for c, r in zip(coded, roles)])
-            x = Example(None if doc_id is pd.NA else int(doc_id), ids, loss, 0, len(ids))
-            while (np.array(x.size()) > limits).any():
-                at = min(limits.tokens, int(np.searchsorted(np.cumsum(x.loss), limits.loss, side="right")))
-                head, x = x.split(at)
-                yield head
-            yield x
-
-    return packed(flat, examples, limits, False)
+        at, coded, bears = None, [], []
+        for frame in frames:
+            for doc_id, role, text in zip(frame["doc_id"].astype("Int64"), frame["role"], frame["text"]):
+                doc_id = None if doc_id is pd.NA else int(doc_id)
+                if coded and (doc_id is None or doc_id != at):
+                    yield from cut(at, coded, bears)
+                    coded, bears = [], []
+                at = doc_id
+                coded.append(np.frombuffer(of(text or "") + end, "<u4"))
+                bears.append(role == answers)
+        if coded:
+            yield from cut(at, coded, bears)
+
+    return packed(flat, run, limits, False)

@@ -60,7 +60,7 @@ def test_every_row_once_and_empty_tables(name, docs, empty, texts):
     assert FUNCTIONS[name](empty).count() == 0
 
 
-@pytest.mark.parametrize("f", [quality.keep_good, simhash.keep_one, packing.pack_documents])
+@pytest.mark.parametrize("f", [quality.keep_good, line_dedup.remove_lines, simhash.keep_one, packing.pack_documents])
 def test_empty_tables(f, empty):
     assert f(empty).count() == 0
 
@@ -309,6 +309,10 @@ def test_packing_conversations(spark):
     out = packing.pack_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).toPandas()
     assert set(out["doc_id"]) == {*range(40), 99} and (out.groupby("sequence_id")["length"].sum() <= 2048).all() and (out.groupby("sequence_id").size() <= 16).all()
     assert (out.groupby("doc_id")["length"].sum() == out.groupby("doc_id")["doc_tokens"].max()).all()
+    alone = [(None, t, "user", words(t, 20)) for t in range(6)] + [(None, 0, "user", None)]
+    out = packing.pack_conversations(spark.createDataFrame(alone, "conv_id long, turn long, role string, text string")).toPandas()
+    assert len(out) == 7 and out["doc_id"].isna().all()
+    assert packing.pack_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
 def test_blocks():
