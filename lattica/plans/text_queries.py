@@ -60,7 +60,7 @@ def t_plain_snippet(spark, d):
 
 
 def body_scores(spark, d):
-    return S.bm25(X.file_docs(spark, d), CLAUSES, BODY)
+    return S.bm25(X.file_docs(spark, d), CLAUSES, BODY).drop("kind")
 
 
 @query("t_bm25", f"WITH {BM25} SELECT repo, node_id, round(score, 6) AS score FROM score")
