@@ -206,7 +206,7 @@ def second(c: str):
     return F.unix_micros(F.col(c).cast("timestamp")) / 1e6
 
 
-BUCKET = """WITH RECURSIVE r AS (SELECT event_type AS forge, epoch_us(ts) / 1e6 AS ts, event_id AS id, CAST(props->>'$.k' AS DOUBLE) % 5 + 1 AS need, event_id % 97 = 0 AS cools, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+BUCKET = """WITH RECURSIVE r AS MATERIALIZED (SELECT event_type AS forge, epoch_us(ts) / 1e6 AS ts, event_id AS id, CAST(props->>'$.k' AS DOUBLE) % 5 + 1 AS need, event_id % 97 = 0 AS cools, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
 f AS (SELECT DISTINCT event_type AS forge, 0.0::DOUBLE AS ts, CAST(-1 AS BIGINT) AS id, CAST(0 AS BIGINT) AS n, 60.0::DOUBLE AS tokens, NULL::DOUBLE AS seen_at, 0.0::DOUBLE AS cooldown, false AS granted, 0.0::DOUBLE AS retry_after FROM events UNION ALL
 SELECT forge, ts, id, n, CASE WHEN granted THEN have - need ELSE have END, ts, cooldown, granted, CASE WHEN granted THEN 0.0 ELSE wait + greatest(need - have, 0.0) * 60.0 / 60.0 END FROM (
 SELECT *, wait = 0 AND have >= need AS granted FROM (
@@ -237,7 +237,7 @@ def s_auth_failures(spark, d):
     return T.auth_failures(e.select(F.col("event_type").alias("service"), second("ts").alias("ts"), F.col("event_id").alias("id"), F.concat(F.lit("t"), (F.col("user_id") % 40).cast("string")).alias("token"), (F.col("user_id") % 4 == 0).alias("valid")), 5, 4 * 3600.0)
 
 
-@query("s_sliding_limiter", """WITH RECURSIVE r AS (SELECT user_id AS credential, epoch_us(ts) / 1e6 AS ts, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+@query("s_sliding_limiter", """WITH RECURSIVE r AS MATERIALIZED (SELECT user_id AS credential, epoch_us(ts) / 1e6 AS ts, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 f AS (SELECT DISTINCT user_id AS credential, 0.0::DOUBLE AS ts, CAST(-1 AS BIGINT) AS id, CAST(0 AS BIGINT) AS n, []::DOUBLE[] AS seen, false AS admitted, 0.0::DOUBLE AS retry_after FROM events UNION ALL
 SELECT credential, ts, id, n, CASE WHEN len(seen) < 3 THEN list_append(seen, ts) ELSE seen END, len(seen) < 3, CASE WHEN len(seen) < 3 THEN 0.0 ELSE 21600.0 - (ts - seen[1]) END FROM (
 SELECT r.credential, r.ts, r.id, r.n, list_filter(f.seen, lambda x: x > r.ts - 21600.0) AS seen FROM f JOIN r ON r.credential = f.credential AND r.n = f.n + 1)) SELECT credential, ts, id, admitted, retry_after FROM f WHERE n > 0""")
