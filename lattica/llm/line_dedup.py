@@ -128,7 +128,9 @@ def passing(similarity: float) -> Column:
     bits = lambda k: F.bit_count(p("x", k).bitwiseXOR(p("y", k)))  # noqa: E731  null unless both have it
     high = lambda k: F.bit_count(p("x", k).bitwiseXOR(p("x", k + 2)).bitwiseXOR(p("y", k)).bitwiseXOR(p("y", k + 2)))
     differ = F.coalesce(high(0) + high(1) + bits(2) + bits(3), bits(0) + bits(1), F.bit_count(one("x").bitwiseXOR(one("y")))) <= most
-    return (F.col("x.token") == F.col("y.token")) & (F.col("x.id") != F.col("y.id")) & length & (behind >= overlap) & differ
+    # cheap and rejecting nearly all pairs, so first: the first words alone, where both have as many, differ in no more bits than a share of both sizes
+    first = (F.bit_count(p("x", 0).bitwiseXOR(p("y", 0))) * (1 + similarity) <= (n("x") + n("y")) * (1 - similarity) + 1e-6) | (p("x", 1).isNull() != p("y", 1).isNull())
+    return (F.col("x.token") == F.col("y.token")) & (F.col("x.id") != F.col("y.id")) & first & length & (behind >= overlap) & differ
 
 
 def involved(classes: DataFrame, similarity: float) -> DataFrame:
