@@ -6,8 +6,12 @@ repeated rows get the same verdict, rows that only share an id don't get each ot
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +41,40 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/lattica/{what}-{uuid.uuid4().hex}"
 
 
+_kept = threading.local()
+
+
+@contextlib.contextmanager
+def noted() -> Iterator[list[str]]:
+    """Collects the paths of the tables that this thread materialises meanwhile."""
+    before, _kept.paths = getattr(_kept, "paths", None), []
+    try:
+        yield _kept.paths
+    finally:
+        if before is not None:
+            before += _kept.paths
+        _kept.paths = before
+
+
+def forget(spark: SparkSession, paths: Sequence[str], read: DataFrame | None = None) -> list[str]:
+    """Deletes materialised tables once what was made of them is written; those that read still depends on stay, and are returned."""
+    needed = [unquote(f).removeprefix("file:").lstrip("/") for f in read.inputFiles()] if read is not None else []
+    jvm, conf, left = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        if any(f.startswith(at.toUri().getPath().lstrip("/") + "/") or f.startswith(path + "/") for f in needed):
+            left.append(path)
+        else:
+            at.getFileSystem(conf).delete(at, True)
+    return left
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, which cuts its lineage: a lost executor costs tasks, not the plan."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
+    if getattr(_kept, "paths", None) is not None:
+        _kept.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,8 @@
 3. The candidates are counted exactly, with partial sums before the shuffle; those verified as frequent are the winners,
    with the smallest id of each. There are at most ``top`` of them, so they are broadcast, and rows of frequent digests
    are decided where they are read, without a shuffle.
-4. The remaining digests are grouped by an ordinary shuffle. No group there is large: its digest would have been found.
+4. The remaining digests are grouped by an ordinary shuffle, with partial sums before it, and joined back to their rows. A group there
+   can still be of many rows (one of more than ``top`` frequent digests); none is gathered in one place, and the join of one can be split.
 
 DataFrame functions only.
 """
@@ -16,7 +17,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lattica.llm.common import SPACES, materialise
 
@@ -46,9 +46,9 @@ def exact_dedup(docs: DataFrame, top: int = 1024, counters: int = 16384, at_leas
     """
     marks = materialise(digests(docs), "digests")
     winners = materialise(frequent(marks, top, counters, at_least), "frequent")
-    same = Window.partitionBy("text_sha256")
     hot = marks.join(F.broadcast(winners), "text_sha256")
-    cold = marks.join(F.broadcast(winners), "text_sha256", "left_anti").withColumns(
-        {"keep_id": F.min("doc_id").over(same), "group_size": F.count(F.lit(1)).over(same)})
+    rest = marks.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    groups = rest.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    cold = rest.join(groups, "text_sha256")
     columns = ("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return cold.select(*columns).unionByName(hot.select(*columns))

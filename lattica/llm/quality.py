@@ -1,12 +1,12 @@
 """Quality rules: base counts of a text, and the cross-document frequency of lines.
 
-Lines are normalised (lower case, white space as one space, digits as 0) and hashed. Per host the distinct texts that hold
-a line are counted, and the host's distinct texts: copies of one document are no reason to take its lines for boilerplate.
-A line in more documents than the limit is removed, and a document that is depleted by that is rejected.
+Lines are normalised (lower case, white space as one space, digits as 0) and hashed. Per host the distinct documents (by
+doc_id, whatever their texts) that hold a line are counted, and the host's distinct documents. A line in more documents
+than the limit is removed, and a document that is depleted by that is rejected.
 
 DataFrame functions only. All counts of a text are made in its row; what is shuffled are hashes of lines. A line's count
-is summed by (host, line, text) and then by (host, line), each with partial sums before the shuffle, so that a line that a
-third of all documents hold is spread over its texts.
+is summed by (host, line, document) and then by (host, line), each with partial sums before the shuffle, so that a line
+that a third of all documents hold is spread over these.
 """
 
 from __future__ import annotations
@@ -69,10 +69,10 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(each: DataFrame, docs: DataFrame, share: float, least: int) -> DataFrame:
-    """host, line of the lines that more documents hold than least and than share of the host's; copies of a text count once in both."""
-    held = each.select("host", "line", "text_key").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
-    texts = docs.select(F.col("source").alias("of_host"), text_key(F.col("text")).alias("text_key")).distinct()
-    hosts = texts.groupBy("of_host").agg(F.count(F.lit(1)).alias("n_host"))
+    """host, line of the lines that more documents hold than least and than share of the host's; rows that share a doc_id are one document, as are those without."""
+    held = each.select("host", "line", "doc_id").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    known = docs.select(F.col("source").alias("of_host"), "doc_id").distinct()
+    hosts = known.groupBy("of_host").agg(F.count(F.lit(1)).alias("n_host"))
     return held.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("n") > share * F.col("n_host")).select("host", "line")
 
 
@@ -97,14 +97,18 @@ def quality_rules(docs: DataFrame, share: float = 0.1, least: int = 20, rest: fl
     without the lines above the limits (in more than ``least`` documents and in more than ``share`` of the host's
     documents), less than ``rest`` of the words are left.
 
-    Defined cases: a null text is empty and fails; a null source is a host of its own; a null doc_id stays null; rows
-    that repeat doc_id and text get the same row; an empty table gives no rows; other columns are ignored.
+    Defined cases: a null text is empty and fails; a null source is a host of its own; a null doc_id stays null, and all
+    rows without one are one document; rows that repeat doc_id and text get the same row; an empty table gives no rows; other columns are ignored.
     """
     return judged(docs, share, least, rest).drop("removed_lines")
 
 
 def keep_good(docs: DataFrame, share: float = 0.1, least: int = 20, rest: float = 0.2) -> DataFrame:
-    """The rows of docs, with all their columns, that quality_rules keeps, the texts without the lines above the limits; texts that lose none are unchanged."""
+    """The rows of docs, with all their columns, that quality_rules keeps, the texts without the lines above the limits; texts that lose none are unchanged.
+
+    Defined cases: a null text is empty and goes; a null source is a host of its own; a null doc_id stays null, all of them being one document;
+    rows that repeat doc_id and text go or stay together; an empty table stays empty; other columns stay, whatever their names.
+    """
     good = judged(docs, share, least, rest).where("kept").select(*ROW, "removed_lines").dropDuplicates(ROW)
     rows, text = as_rows(docs), F.col("row.text")
     joined = rows.join(good, F.col("row.doc_id").eqNullSafe(good["doc_id"]) & (text_key(text) == good["text_key"])).withColumn("parts", F.split(text, "\n"))

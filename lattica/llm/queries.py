@@ -101,10 +101,10 @@ r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i + 4]) AS n FR
 c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM r WHERE n > 1) GROUP BY doc_id),
 b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)),
-k AS MATERIALIZED (SELECT doc_id, source, text, md5(coalesce('t' || text, '')) AS tk FROM documents),
-l AS MATERIALIZED (SELECT doc_id, source, tk, unnest(list_filter(list_transform(string_split(lower(coalesce(text, '')), chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'))), lambda x: x <> '')) AS line FROM k),
-h AS (SELECT source, count(DISTINCT tk) AS n_host FROM k GROUP BY source),
-m AS (SELECT source, line, count(DISTINCT tk) AS n FROM l GROUP BY source, line HAVING count(DISTINCT tk) > 20),
+k AS (SELECT doc_id, source, text FROM documents),
+l AS MATERIALIZED (SELECT doc_id, source, unnest(list_filter(list_transform(string_split(lower(coalesce(text, '')), chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'))), lambda x: x <> '')) AS line FROM k),
+h AS (SELECT source, count(DISTINCT doc_id) AS n_host FROM k GROUP BY source),
+m AS (SELECT source, line, count(DISTINCT doc_id) AS n FROM l GROUP BY source, line HAVING count(DISTINCT doc_id) > 20),
 f AS (SELECT m.source, m.line FROM m JOIN h ON m.source IS NOT DISTINCT FROM h.source WHERE n > 0.1 * n_host),
 g AS (SELECT doc_id, sum(len(string_split(l.line, ' '))) AS n FROM l JOIN f ON l.source IS NOT DISTINCT FROM f.source AND l.line = f.line GROUP BY doc_id)
 SELECT b.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT n_words - coalesce(g.n, 0) < 0.2 * n_words AS kept, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed_words

@@ -1,12 +1,13 @@
 """URL filters: a list of rules for hosts and paths, and behind it rules mined from labelled URLs.
 
 A URL is a set of tokens (scheme, host, each suffix of the host, path segments with digits as #, extension, query keys).
-FP-growth mines the token sets that are frequent among the URLs labelled bad. The sets of n tokens within one URL number
-``2 ** n``, so what a URL gives to the mining is bounded: of its tokens that are frequent enough for a rule at all the
-``most`` that point to bad labels most. Support and confidence of every set found are then counted over all labelled URLs
-with all their tokens, and of the association rules (set -> bad) those stay that have the support, the confidence, a lower
-99 % bound of it above the labels' own share of bad by a margin, and no shorter rule within them of at least their
-confidence.
+FP-growth mines the token sets of at most ``longest`` tokens that are frequent among the URLs labelled bad. Tokens that occur
+in the same labelled URLs are one, the first of them by name. The sets of n tokens within one URL number ``2 ** n``, so a
+URL of more frequent tokens than ``basket`` gives several baskets: its tokens are cut into ``longest`` times as many groups as
+fit, and each ``longest`` of these groups are a basket, so that every set that may be a rule is whole in one. That counts some sets
+too often, never too rarely: support and confidence of every set found are then counted over all labelled URLs with all
+their tokens. Of the association rules (set -> bad) those stay that have the support, the confidence, a lower 99 % bound
+of it above the labels' own share of bad by a margin, and no shorter rule within them of at least their confidence.
 
 A URL is matched by an inverted index: it meets a rule at the rule's rarest token, and the rule fires if the URL has the
 rule's other tokens too.
@@ -71,12 +72,28 @@ def lower_bound(k: Column, n: Column, z: float = 2.58) -> Column:
     return (p + z * z / (2 * n) - z * F.sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)
 
 
-def mined_rules(labelled: DataFrame, support: float = 0.004, confidence: float = 0.8, least: int = 10, margin: float = 0.1, most: int = 10) -> DataFrame:
-    """The pruned rules; labelled: url, bad (boolean, null counts as false).
+def split_baskets(items: Column, longest: int, basket: int) -> Column:
+    """Arrays of at most ``basket`` tokens that between them hold every set of at most ``longest`` of the array items whole."""
+    size = basket // longest
+    groups = F.transform(F.sequence(F.lit(0), F.ceil((F.size(items) - 1) / size).cast("int")), lambda i: F.slice(items, i * size + 1, size))
+
+    def chosen(n: int, after: Column) -> Column:
+        """Unions of n groups behind a place."""
+        rest = F.when(after < F.size(groups), F.sequence(after, F.size(groups) - 1)).otherwise(F.array().cast("array<int>"))
+        if n == 1:
+            return F.transform(rest, lambda i: F.get(groups, i))
+        return F.flatten(F.transform(rest, lambda i: F.transform(chosen(n - 1, i + 1), lambda tail: F.concat(F.get(groups, i), tail))))
+
+    return F.when(F.size(items) <= basket, F.array(items)).otherwise(chosen(longest, F.lit(0)))
+
+
+def mined_rules(labelled: DataFrame, support: float = 0.004, confidence: float = 0.8, least: int = 10, margin: float = 0.1, longest: int = 3, basket: int = 12) -> DataFrame:
+    """The pruned rules of at most ``longest`` tokens; labelled: url, bad (boolean, null counts as false).
 
     rule_id, tokens (sorted), rarest (of its tokens), n and n_bad (labelled rows that have them all), confidence. A rule has
     at least ``least`` bad rows and ``support`` of all labelled rows, and a token in it at least as many, so that there are
-    at most (tokens of a URL) / ``support`` such tokens. Rows with a null url are left out.
+    at most (tokens of a URL) / ``support`` such tokens. Rows with a null url are left out. ``basket`` (at least ``longest``) decides on the
+    work only: FP-growth finds at most 2 ** basket sets in a basket, and a URL of n frequent tokens gives about (n * longest / basket) ** longest / 6 of them.
     """
     spark = labelled.sparkSession
     urls = labelled.where("url IS NOT NULL").groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("bad", F.lit(False))).alias("n_bad"))
@@ -88,13 +105,17 @@ def mined_rules(labelled: DataFrame, support: float = 0.004, confidence: float =
     if bad < floor:
         return spark.createDataFrame([], RULE)
     each = urls.select("url", "n", "n_bad", F.explode("url_tokens").alias("token"))
-    known = each.groupBy("token").agg(F.sum("n").alias("t_n"), F.sum("n_bad").alias("t_bad")).where(F.col("t_bad") >= floor)
+    # tokens of the same URLs: as many, and the same sums of two hashes
+    marks = [F.sum(F.xxhash64("url", F.lit(k)).cast("decimal(38,0)")).alias(f"m{k}") for k in (1, 2)]
+    known = each.groupBy("token").agg(F.sum("n").alias("t_n"), F.sum("n_bad").alias("t_bad"), *marks).where(F.col("t_bad") >= floor)
     known = materialise(known, "url-tokens")
-    best = F.sort_array(F.collect_list(F.struct((-F.col("t_bad") / F.col("t_n")).alias("share"), (-F.col("t_bad")).alias("t_bad"), "token")))
-    picked = each.where("n_bad > 0").join(known, "token").groupBy("url").agg(F.first("n_bad").alias("n_bad"), F.slice(best, 1, most)["token"].alias("items"))
-    baskets = picked.select("items", F.explode(F.sequence(F.lit(1).cast("long"), "n_bad"))).select("items")
-    sets = FPGrowth(itemsCol="items", minSupport=(floor - 0.5) / bad, numPartitions=labelled.sparkSession.sparkContext.defaultParallelism).fit(baskets.repartition("items")).freqItemsets
-    sets = sets.select(F.sort_array("items").alias("tokens")).withColumn("rule_id", F.xxhash64("tokens"))
+    single = known.groupBy("t_n", "t_bad", "m1", "m2").agg(F.min("token").alias("token")).select("token")
+    picked = each.where("n_bad > 0").join(single, "token").groupBy("url").agg(F.first("n_bad").alias("n_bad"), F.sort_array(F.collect_list("token")).alias("items"))
+    split = picked.select("n_bad", F.explode(split_baskets(F.col("items"), longest, basket)).alias("items"))
+    baskets = materialise(split.select("items", F.explode(F.sequence(F.lit(1).cast("long"), "n_bad"))).select("items"), "url-baskets")
+    tasks = spark.sparkContext.defaultParallelism
+    sets = FPGrowth(itemsCol="items", minSupport=(floor - 0.5) / max(1, baskets.count()), numPartitions=tasks).fit(baskets.repartition(tasks)).freqItemsets
+    sets = sets.where(F.size("items") <= longest).select(F.sort_array("items").alias("tokens")).withColumn("rule_id", F.xxhash64("tokens"))
     rarest = sets.select("rule_id", "tokens", F.explode("tokens").alias("token")).join(known, "token").groupBy("rule_id", "tokens").agg(F.min_by("token", F.struct("t_n", "token")).alias("rarest"))
     rarest = materialise(rarest, "url-sets")
     counted = matches(urls.select("n", "n_bad", "url_tokens"), rarest).groupBy("rule_id").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
@@ -107,7 +128,7 @@ def mined_rules(labelled: DataFrame, support: float = 0.004, confidence: float =
 
 
 def fired(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """page_id, url_key of the pages for which a rule fires."""
+    """page_id, url_key of the pages for which a rule fires, each once; a null url has the tokens of nothing, a null page_id stays null, no rules fire for none."""
     urls = pages.select("page_id", text_key(F.col("url")).alias("url_key"), url_tokens(F.col("url")).alias("url_tokens"))
     return matches(urls, rules).select("page_id", "url_key").distinct()
 
@@ -126,6 +147,8 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """url, bad of the pages whose URL names a labelled document. Bad is what is of no quality or toxic.
 
     An assumption, as labels are of documents and no table ties pages to these: the first number that starts a path segment is a doc_id.
+    Defined cases: a null url, one without such a number or with one that no label has gives no row; of a doc_id with several labels one that
+    is bad decides; labels that are null are not bad.
     """
     _, path = host_and_path(F.col("url"))
     of = pages.select("url", F.regexp_extract(path, r"/(\d{1,18})", 1).alias("x")).selectExpr("url", "try_cast(x as long) doc_id")

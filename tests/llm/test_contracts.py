@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -77,3 +78,29 @@ def check_packing(pieces, docs, name="byte_bpe_50k.json", end=0, limit=1024):
 
 def test_op1(spark, docs):
     check_packing(queries.op1_packing(spark, SF).toPandas(), docs)
+
+
+def test_op9(spark):
+    """The query against a loop over its tables."""
+    from .test_edges import brute_rules, brute_tokens, host_path, verdict
+
+    pages = [tuple(r) for r in common.table(spark, SF, "pages").select("page_id", "url").collect()]
+    bad = {}
+    for r in common.table(spark, SF, "labels").collect():
+        bad[r["doc_id"]] = bad.get(r["doc_id"], False) or r["quality"] == 0 or r["toxic"] == 1
+    named = [(u, re.search(r"/([0-9]{1,18})", host_path(u)[1])) for _, u in pages]
+    labelled = [(u, bad[int(m[1])]) for u, m in named if m and int(m[1]) in bad]
+    mined, want = brute_rules(labelled), set()
+    for i, u in pages:
+        rule, said = verdict(*host_path(u))
+        want.add((i, *host_path(u), rule, said or ("block" if any(s <= brute_tokens(u or "") for s in mined) else "allow")))
+    assert labelled and rows(queries.op9_url_rules(spark, SF), "page_id", "host", "path", "rule", "verdict") == want
+
+
+def test_op10(spark, docs):
+    from .test_edges import brute_lines
+
+    gone = brute_lines(docs)
+    got = {r["doc_id"]: r for r in queries.op10_line_dedup(spark, SF).collect()}
+    assert set(got) == {d for d, _ in docs}
+    assert {d: sorted(r["removed_lines"] or []) for d, r in got.items()} == {d: sorted(gone[d]) for d, _ in docs}

@@ -162,27 +162,33 @@ def test_quality(spark, docs, texts):
     assert got == brute.op8(plain(texts))
 
 
-def test_quality_removes_boilerplate_but_spares_copies(spark):
+def test_quality_removes_boilerplate(spark):
     common = "subscribe to our letter and never miss any of the news we bring to you today"
     good = [(i, f"{words(i, 60)}\n{common}\n{words(i + 500, 40)}", "s", True) for i in range(60)]
     poor = [(100 + i, f"{common}\nown {i}", "s", False) for i in range(5)]
-    copies = [(200 + i, f"{words(9, 30)}\n{words(10, 30)}", "s", True) for i in range(40)]
-    rows = good + poor + copies
+    few = [(200 + i, f"{words(9, 30)}\n{words(10, 30)}", "s", True) for i in range(20)]  # no more than the least
+    rows = good + poor + few
     df = spark.createDataFrame([x[:3] for x in rows], "doc_id long, text string, source string")
     got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(df).collect()}
     assert got == {d: k for d, _, _, k in rows}
 
 
-def test_quality_counts_documents_of_boilerplate_blocks(spark):
+def test_quality_counts_documents(spark):
     block = [f"{words(20 + k, 12)} line {k}" for k in range(4)]
     poor = [(i, "\n".join([*block, f"own {words(i, 3)}"]), "s", False) for i in range(40)]
     good = [(100 + i, f"{words(600 + i, 60)}\n{words(900 + i, 40)}", "s", True) for i in range(60)]
-    # many copies of one text must not lift the host's limit above what its other documents hold
-    copies = [(1000 + i, f"{words(9, 30)}\n{words(10, 30)}", "s", True) for i in range(900)]
-    rows = poor + good + copies
-    df = spark.createDataFrame([x[:3] for x in rows], "doc_id long, text string, source string")
+    df = spark.createDataFrame([x[:3] for x in poor + good], "doc_id long, text string, source string")
     got = {r["doc_id"]: (r["kept"], r["n_removed_words"]) for r in quality.quality_rules(df).collect()}
-    assert got == {d: (k, 0 if k else sum(len(x.split()) for x in block)) for d, _, _, k in rows}
+    assert got == {d: (k, 0 if k else sum(len(x.split()) for x in block)) for d, _, _, k in poor + good}
+
+
+def test_quality_finds_the_footer_of_equal_texts(spark):
+    """40 of 100 documents have one text; of another host as many rows repeat one doc_id, which is one document."""
+    text = f"{words(3, 30)}\nthe footer of the site"
+    rows = [(i, text, "s") for i in range(40)] + [(100 + i, f"{words(600 + i, 60)}\n{words(900 + i, 40)}", "s") for i in range(60)]
+    rows += [(7000, text, "t")] * 40 + [(8000 + i, words(i, 70), "t") for i in range(60)]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["doc_id"] for r in got if r["n_removed_words"]} == set(range(40)) == {r["doc_id"] for r in got if not r["kept"]}
 
 
 def test_quality_stage_cuts_lines_above_the_limits(spark):
@@ -430,19 +436,25 @@ def brute_tokens(url):
     return out | {"query:" + x.split("=")[0] for x in query.split("&") if x}
 
 
-def brute_rules(labelled, support, confidence, least, margin, most):
-    """The mined rules by counting every set of every URL's picked tokens."""
+def brute_rules(labelled, support=0.004, confidence=0.8, least=10, margin=0.1, longest=3, basket=None):
+    """The mined rules by counting every set of at most longest of every URL's tokens, of tokens in the same URLs the first."""
     rows = [(brute_tokens(u), b) for u, b in labelled]
     total, bad = len(rows), sum(b for _, b in rows)
     floor = max(least, math.ceil(support * total - 1e-9))
     if bad < floor:
         return {}
-    n, n_bad = Counter(t for ts, _ in rows for t in ts), Counter(t for ts, b in rows if b for t in ts)
-    sets = Counter()
+    n_bad, where = Counter(t for ts, b in rows if b for t in ts), {}
+    for u, _ in labelled:
+        for t in brute_tokens(u):
+            where.setdefault(t, set()).add(u)
+    first = {}
+    for t in sorted(where):
+        if n_bad[t] >= floor:
+            first.setdefault(frozenset(where[t]), t)
+    known, sets = set(first.values()), Counter()
     for ts, b in rows:
         if b:
-            items = sorted((t for t in ts if n_bad[t] >= floor), key=lambda t: (-n_bad[t] / n[t], -n_bad[t], t))[:most]
-            sets.update(frozenset(c) for k in range(1, len(items) + 1) for c in combinations(items, k))
+            sets.update(frozenset(c) for k in range(1, longest + 1) for c in combinations(sorted(ts & known), k))
     found = {}
     for s, freq in sets.items():
         if freq >= floor:
@@ -465,10 +477,10 @@ def labelled_sample(n, seed=3):
     return out + out[:20]
 
 
-@pytest.mark.parametrize("most", [10, 3])
-def test_mined_rules_and_verdicts(spark, most):
+@pytest.mark.parametrize("longest,basket", [(3, 12), (2, 4), (3, 3)])
+def test_mined_rules_and_verdicts(spark, longest, basket):
     labelled = labelled_sample(500)
-    parameters = dict(support=0.02, confidence=0.6, least=8, margin=0.1, most=most)
+    parameters = dict(support=0.02, confidence=0.6, least=8, margin=0.1, longest=longest, basket=basket)
     want = brute_rules(labelled, **parameters)
     frame = spark.createDataFrame(labelled, "url string, bad boolean")
     got = {frozenset(r["tokens"]): r["confidence"] for r in url_rules.mined_rules(frame, **parameters).collect()}
@@ -488,11 +500,32 @@ def test_mined_rules_of_noise_and_of_very_long_urls(spark):
     frame = spark.createDataFrame([(long, True)] * 30 + [(f"http://h.example.com/{i}", False) for i in range(60)], "url string, bad boolean")
     began = time.time()
     rules = url_rules.mined_rules(frame).collect()
-    assert {len(x["tokens"]) for x in rules} == {1} and len(rules) == 10 and time.time() - began < 60
+    assert [x["tokens"] for x in rules] == [["path:seg"]] and time.time() - began < 60
     n, bad, hits, right = url_rules.held_out(spark.createDataFrame(labelled_sample(800), "url string, bad boolean"), least=8)
     assert n > 100 and hits > 0.3 * bad and right > 0.7 * hits
 
 
+def test_a_rule_of_tokens_that_no_ten_best_hold(spark):
+    """Many tokens of a URL point to bad labels more than the two that make the rule together; each URL has another sample of them."""
+    r = random.Random(5)
+    tokens = [f"t{chr(97 + k)}" for k in range(26)]
+    labelled = [("http://h.example/" + "/".join(sorted(r.sample(tokens, 16)) + ["ya", "yb"]), True) for _ in range(30)] + [(f"http://h.example/{x}/{i}", False) for i in range(40) for x in ("ya", "yb")]
+    got = {frozenset(x["tokens"]): x["confidence"] for x in url_rules.mined_rules(spark.createDataFrame(labelled, "url string, bad boolean"), basket=9).collect()}
+    assert got == brute_rules(labelled) and frozenset({"path:ya", "path:yb"}) in got
+
+
+def test_split_baskets(spark):
+    for n, longest, basket in ((5, 3, 3), (13, 3, 6), (20, 2, 6), (7, 1, 2), (12, 3, 12)):
+        items = [f"i{k:02}" for k in range(n)]
+        out = [set(r[0]) for r in spark.createDataFrame([(items,)], "items array<string>").select(url_rules.F.explode(url_rules.split_baskets(url_rules.F.col("items"), longest, basket))).collect()]
+        assert all(len(x) <= basket for x in out) and all(any(set(c) <= x for x in out) for c in combinations(items, longest))
+
+
+def test_clashing_columns_of_pages(spark):
+    df = spark.createDataFrame([(1, "http://a.net/x", "t", 2, "k", True, "h")], "page_id long, url string, token string, rule_id int, url_key string, hit boolean, host string")
+    assert [tuple(r) for r in url_rules.url_verdicts(df, spark.createDataFrame(labelled_sample(100), "url string, bad boolean")).select("page_id", "host", "path", "rule", "verdict").collect()] == [(1, "a.net", "/x", "net/", "block")]
+
+
 def test_mined_urls(spark):
     labelled = [(f"http://h{i % 5}.example/{'casino' if i % 4 == 0 else 'news'}/{i}?{'ref' if i % 2 else 'page'}=1", i % 4 == 0 and i % 5 < 3) for i in range(400)]
     rules = url_rules.mined_rules(spark.createDataFrame(labelled, "url string, bad boolean"), 0.02, 0.9).collect()

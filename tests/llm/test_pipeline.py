@@ -98,3 +98,18 @@ def test_run_with_nulls_repeats_and_clashing_columns(spark, tmp_path):
 def test_packing(steps):
     before, after = steps["packing"]
     check_packing(after.toPandas(), list(texts(before).items()))
+
+
+def test_tables_behind_are_deleted(spark, tmp_path, monkeypatch):
+    """Stages written one by one leave the last one's intermediate tables only; one that is chained without being written keeps what it reads."""
+    monkeypatch.setattr(common, "scratch", lambda spark, what: f"{tmp_path}/scratch/{what}-{len(list(tmp_path.rglob('*')))}")
+    docs = spark.createDataFrame([(i, f"{' '.join(f'w{i * 31 % 17}x{k}' for k in range(60))}\nline of its own {i}", "en", "s", 1) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
+    names = lambda: {p.name.rsplit("-", 1)[0] for p in (tmp_path / "scratch").iterdir()}
+    seen = []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        stage(spark, docs, "").write.parquet(f"{tmp_path}/out{i}")
+        docs = spark.read.parquet(f"{tmp_path}/out{i}")
+        seen.append(names())
+    assert "base-counts" in seen[0] and "base-counts" not in seen[1] and "lines" in seen[1] and "lines" not in seen[2] and docs.count() == 12
+    lazily = corpus_pipeline.STAGES[0][1](spark, docs, "")
+    assert corpus_pipeline.STAGES[1][1](spark, lazily, "").count() == 12
