@@ -1,7 +1,14 @@
-"""The corpus pipeline: each stage calls one operator and takes what its predecessor kept, written as Parquet."""
+"""The corpus pipeline: each stage calls one operator and takes what its predecessor kept, written as Parquet.
+
+A stage returns a frame that reads intermediate tables; the next stage deletes these, and run() the outputs that no stage reads any more.
+"""
 
 from __future__ import annotations
 
+import functools
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +48,27 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality", quality_stage), ("lines", line_stage), ("near", near_stage), ("substrings", substring_stage), ("packing", packing_stage)]
+_behind = threading.local()
+
+
+def freeing(stage: Callable) -> Callable:
+    """A stage that deletes the intermediate tables of the stages before it, which are written by then; what docs still reads stays.
+
+    Tables are known by thread, so that pipelines that run side by side don't meet.
+    """
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        left = common.forget(spark, getattr(_behind, "paths", []), docs)
+        with common.noted() as made:
+            out = stage(spark, docs, sf_dir)
+        _behind.paths = left + made
+        return out
+
+    return run_stage
+
+
+STAGES = [(name, freeing(f)) for name, f in (("quality", quality_stage), ("lines", line_stage), ("near", near_stage), ("substrings", substring_stage), ("packing", packing_stage))]
 
 #: Packing, tokens and near duplicates are beyond SQL; the tests hold every stage against loops.
 ORACLE_SQL = None
@@ -49,6 +76,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
+    before: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        out = stage(spark, docs, sf_dir)
+        with common.noted() as made:
+            docs = common.materialise(out, f"stage-{name}")
+        common.forget(spark, before)  # the output of the stage before, of which this one's is made
+        before = made
     return STAGES[-1][1](spark, docs, sf_dir)
