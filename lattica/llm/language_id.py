@@ -22,7 +22,7 @@ from lattica.llm.common import materialise
 
 #: n-grams from the longest down; 0 stands for whole words, which are at most LONGEST characters.
 SIZES, LONGEST = (4, 3, 2, 1), 40
-#: Entries of a task's dictionary, after which it is handed on; unknown words whose values a task remembers.
+#: Entries of a task's dictionary, after which it is handed on; unknown words whose values a task remembers at most.
 ENTRIES, REMEMBERED = 300_000, 100_000
 _RUNS, _LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 
@@ -30,10 +30,11 @@ _RUNS, _LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 def words(text: str | None) -> Counter:
     """How often a text's words, runs of letters in lower case, occur."""
     found = Counter(_RUNS.findall((text or "").lower()))
-    for run in [w for w in found if not w.isalpha()]:  # numerals that are no decimal digits
-        n = found.pop(run)
-        for w in _LETTERS.findall(run):
-            found[w] += n
+    if not "".join(found).isalpha():
+        for run in [w for w in found if not w.isalpha()]:  # numerals that are no decimal digits
+            n = found.pop(run)
+            for w in _LETTERS.findall(run):
+                found[w] += n
     return found
 
 
@@ -48,25 +49,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """lang, size, gram, n: partial counts over docs (lang, text)."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """lang, word, n of docs (lang, text): partial counts, of at most ENTRIES words at a time in a task."""
 
     def flushed(known: dict[str, Counter]) -> Iterator[pd.DataFrame]:
         for lang, seen in known.items():
-            out: Counter = Counter()
-            for w, n in seen.items():
-                if len(w) <= LONGEST:
-                    out[0, w] += n
-                for size in SIZES:
-                    for g in grams(w, size):
-                        out[size, g] += n
-                if len(out) >= ENTRIES:
-                    yield frame(lang, out)
-                    out = Counter()
-            yield frame(lang, out)
-
-    def frame(lang: str, out: Counter) -> pd.DataFrame:
-        return pd.DataFrame({"lang": lang, "size": [k[0] for k in out], "gram": [k[1] for k in out], "n": list(out.values())}).astype({"lang": object, "size": np.int32, "gram": object, "n": np.int64})
+            yield pd.DataFrame({"lang": lang, "word": list(seen), "n": list(seen.values())}).astype({"lang": object, "word": object, "n": np.int64})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, Counter] = {}
@@ -82,12 +70,38 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     known, size = {}, 0
         yield from flushed(known)
 
-    return docs.select("lang", "text").mapInPandas(run, "lang string, size int, gram string, n long")
+    return docs.select("lang", "text").mapInPandas(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def gram_counts(counted: DataFrame) -> DataFrame:
+    """lang, size, gram, n of the distinct words (lang, word, n) of all texts."""
+
+    def flushed(lang: str, size: int, seen: dict[str, int]) -> pd.DataFrame:
+        return pd.DataFrame({"lang": lang, "size": size, "gram": list(seen), "n": list(seen.values())}).astype({"lang": object, "size": np.int32, "gram": object, "n": np.int64})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple[str, int], dict[str, int]] = {}
+        entries = 0
+        for each in frames:
+            for lang, word, n in zip(each["lang"], each["word"], each["n"].tolist()):
+                for size in SIZES:
+                    seen = known.setdefault((lang, size), {})
+                    before = len(seen)
+                    for g in grams(word, size):
+                        seen[g] = seen.get(g, 0) + n
+                    entries += len(seen) - before
+                if entries >= ENTRIES:
+                    yield from (flushed(*key, seen) for key, seen in known.items())
+                    known, entries = {}, 0
+        yield from (flushed(*key, seen) for key, seen in known.items())
+
+    found = counted.mapInPandas(run, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
+    return found.unionByName(counted.where(F.length("word") <= LONGEST).select("lang", F.lit(0).alias("size"), F.col("word").alias("gram"), "n"))
 
 
 class Model(NamedTuple):
     langs: list[str]  # in order of their bytes
-    places: dict[tuple[int, str], int]  # of a (size, gram), its row in scores
+    places: dict[int, dict[str, int]]  # by size, of a gram its row in scores
     scores: np.ndarray  # log frequencies, gram by language
     usual: int  # the language of most words, for texts of which nothing is known
 
@@ -97,12 +111,12 @@ def fit(docs: DataFrame, most: int = 40_000, smoothing: float = 0.5) -> Model:
 
     Counts cover all rows; only the model is bounded, to at most 5 * most rows of a value a language.
     """
-    counts = materialise(gram_counts(docs).groupBy("size", "gram", "lang").agg(F.sum("n").alias("n")), "gram-counts")
+    counts = materialise(gram_counts(materialise(word_counts(docs), "word-counts")), "gram-counts")
     totals = counts.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()  # at most five rows a language
     langs = sorted({r["lang"] for r in totals}, key=str.encode)
     at = {lang: i for i, lang in enumerate(langs)}
     each = counts.groupBy("size", "gram").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    each, places, rows = materialise(each, "grams"), {}, []
+    each, places, rows = materialise(each, "grams"), {size: {} for size in (0, *SIZES)}, []
     for size in (0, *SIZES):
         n = np.full(len(langs), smoothing)
         for r in totals:
@@ -112,7 +126,7 @@ def fit(docs: DataFrame, most: int = 40_000, smoothing: float = 0.5) -> Model:
             row = np.full(len(langs), smoothing)
             for lang, count in r["by"]:
                 row[at[lang]] += count
-            places[size, r["gram"]] = len(rows)
+            places[size][r["gram"]] = len(rows)
             rows.append(np.log(row / n).astype(np.float32))
     words_of = np.zeros(len(langs))
     for r in totals:
@@ -121,43 +135,66 @@ def fit(docs: DataFrame, most: int = 40_000, smoothing: float = 0.5) -> Model:
 
 
 def backoff(model: Model, word: str) -> np.ndarray | None:
-    """The log frequencies of a word; None if not even a letter of it is known."""
-    if (at := model.places.get((0, word))) is not None:
-        return model.scores[at]
+    """The log frequencies of an unknown word: the mean of its longest n-grams that are known; None if not even a letter is."""
     for size in SIZES:
-        if found := [at for g in grams(word, size) if (at := model.places.get((size, g))) is not None]:
+        places = model.places[size]
+        if found := [at for g in grams(word, size) if (at := places.get(g)) is not None]:
             return model.scores[found].mean(axis=0)
     return None
 
 
-def judge(model: Model, text: str | None, remembered: dict[str, np.ndarray | None]) -> tuple[str, float]:
-    """The language of a text and its share of the likelihood, und for one without letters or with nothing learned."""
-    seen = words(text)
-    if not seen or not model.langs:
-        return "und", 0.0
-    total, known = np.zeros(len(model.langs)), False
-    whole = [(at, n) for w, n in seen.items() if (at := model.places.get((0, w))) is not None]
-    if whole:
-        at, n = np.array(whole).T
-        total, known = n @ model.scores[at].astype(np.float64), True
-    for w, n in seen.items():
-        if (0, w) in model.places:
-            continue
-        if w not in remembered:
-            if len(remembered) >= REMEMBERED:
-                remembered.clear()
-            value = backoff(model, w)
-            if len(w) > LONGEST:  # may be of any length
-                total, known = (total + n * value, True) if value is not None else (total, known)
-                continue
-            remembered[w] = value
-        if (value := remembered[w]) is not None:
-            total, known = total + n * value, True
-    if not known:
-        return model.langs[model.usual], round(1 / len(model.langs), 6)
-    share = np.exp(total - total.max())
-    best = int(share.argmax())
-    return model.langs[best], round(float(share[best] / share.sum()), 6)
+class Judge:
+    """A model with the unknown words that a task has met: each has a row beside the model's, the last row being nothing."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.size = model, len(model.scores)
+        self.most = max(1000, min(REMEMBERED, (1 << 24) // max(1, len(model.langs))))
+        self.rows = np.zeros((self.size + self.most + 1, len(model.langs)))
+        self.rows[: self.size] = model.scores
+        self.nothing = len(self.rows) - 1
+        self.known = dict(model.places[0])
+        self.next = self.size
+
+    def _met(self, word: str) -> int:
+        """A row for a word that has none yet; of very long ones a row that the next long one takes."""
+        value = backoff(self.model, word)
+        if value is None:
+            return self.nothing
+        self.rows[self.next] = value
+        self.known[word] = self.next
+        self.next += 1
+        return self.next - 1
+
+    def verdict(self, text: str | None) -> tuple[str, float]:
+        """The language of a text and its share of the likelihood, and und for one without letters or with nothing learned."""
+        seen, langs = words(text), self.model.langs
+        if not seen or not langs:
+            return "und", 0.0
+        at = list(map(self.known.get, seen))
+        total = np.zeros(len(langs))
+        if None in at:
+            for i, w in enumerate(seen):
+                if at[i] is None:
+                    if len(w) > LONGEST:  # of any length, so not remembered
+                        value = backoff(self.model, w)
+                        at[i] = self.nothing
+                        if value is not None:
+                            total += seen[w] * value.astype(np.float64)
+                        continue
+                    if self.next >= self.nothing:  # full: what is behind counts, the rest starts anew
+                        total += np.fromiter(seen.values(), np.float64, i) @ self.rows[at[:i]]
+                        at[:i] = [self.nothing] * i
+                        self.known, self.next = dict(self.model.places[0]), self.size
+                        at[i:] = map(self.known.get, list(seen)[i:])
+                        if at[i] is not None:
+                            continue
+                    at[i] = self._met(w)
+        total += np.fromiter(seen.values(), np.float64, len(at)) @ self.rows[at]
+        if not total.any():  # log frequencies are below zero
+            return langs[self.model.usual], round(1 / len(langs), 6)
+        share = np.exp(total - total.max())
+        best = int(share.argmax())
+        return langs[best], round(float(share[best] / share.sum()), 6)
 
 
 def language_id(docs: DataFrame, most: int = 40_000) -> DataFrame:
@@ -171,9 +208,9 @@ def language_id(docs: DataFrame, most: int = 40_000) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(rows.where("NOT held_out AND lang IS NOT NULL"), most))  # of bounded size
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        remembered: dict[str, np.ndarray | None] = {}
+        judge = Judge(model.value)
         for each in frames:
-            found = [judge(model.value, text, remembered) for text in each["text"]]
+            found = [judge.verdict(text) for text in each["text"]]
             out = pd.DataFrame(found, columns=["lang_pred", "score"])
             out.insert(0, "held_out", each["held_out"].astype(bool))
             out.insert(0, "doc_id", each["doc_id"].astype("Int64"))

@@ -231,7 +231,7 @@ def test_language_of_the_table(spark):
 
 def test_language_falls_back_to_shorter_grams(spark):
     docs = [(i, t, lang) for i, (t, lang) in enumerate([("the thing thinks", "en"), ("der ding denkt", "de"), ("это слово", "ru")] * 8)]
-    asked = [(100 + i, t, None) for i, t in enumerate(["thinking", "dingen", "словом", "qqq thing", "THE 123", "٣٤٥", "", None, "½ ² Ⅷ", "漢字", "th" * 50_000, "ж" * 41])]
+    asked = [(100 + i, t, None) for i, t in enumerate(["thinking", "dingen", "словом", "qqq thing", "THE 123", "٣٤٥", "", None, "½ ² Ⅷ", "漢字", "th" * 50_000, "о" * 41])]
     df = spark.createDataFrame([(*d, 1, "z", 2) for d in docs + asked + [(None, "the thing", "xx"), (None, None, None)]], "doc_id long, text string, lang string, size int, gram string, n int")
     got = {r["doc_id"]: r for r in language_id.language_id(df).collect()}
     said = [got[100 + i]["lang_pred"] for i in range(len(asked))]
@@ -241,6 +241,22 @@ def test_language_falls_back_to_shorter_grams(spark):
     assert small.count() == df.count() and {r["lang_pred"] for r in small.collect()} <= {"en", "de", "ru", "und"}
 
 
+def test_language_of_more_unknown_words_than_are_remembered():
+    model = language_id.Model(["de", "en"], {0: {"the": 0}, 4: {}, 3: {}, 2: {}, 1: {c: 1 + i for i, c in enumerate("abcdef")}}, -np.arange(14, dtype=np.float32).reshape(7, 2) / 7 - 0.01, 0)
+    r = np.random.default_rng(4)
+    texts = ["".join(r.choice(list("abcdef "), 3000)) + " the zz" for _ in range(4)]
+    full, small = language_id.Judge(model), language_id.Judge(model)
+    small.nothing = small.size + 5  # rows behind it stay empty
+    small.rows[small.nothing :] = 0
+    for text in texts:
+        total = np.zeros(2)
+        for w, n in language_id.words(text).items():
+            value = model.scores[0] if w == "the" else language_id.backoff(model, w)
+            total = total if value is None else total + n * value.astype(float)
+        want = ("de", "en")[int(total.argmax())]
+        assert full.verdict(text)[0] == small.verdict(text)[0] == want and full.verdict(text) == small.verdict(text)
+
+
 def test_language_never_sees_the_lang_it_predicts(spark):
     """Other values of lang, source and n_chars where documents are held out change nothing."""
     docs = common.table(spark, SF, "documents")
