@@ -3,6 +3,11 @@
 A graph is read in two layouts of its edges, by source and by target, and by the nodes' ids. Written ones are dealt to
 directories by a hash of that key, and sorted by it within, so that a read of a few nodes opens only their directories;
 the files of a node of very many edges are split by the edges' order.
+
+CALLS stay factorised as they were resolved: references by caller and by class, members of classes by class and by symbol. A read expands
+those of its nodes, up to a cap where it has one; the graph grows with the references, not with what they may mean. Beside the edges a graph
+has their number by node, kind and side, so that a level knows which nodes its budget reaches before any edge is read, and TOUCHES by file and
+time with what a page of history shows of their commits.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.functions import ids
+from lattica.operators.resolve import References
 from lattica.schema import BUDGET, DIRECTIONS, EDGE_KINDS, MAX_DEPTH, MAX_LIMIT, NODE_CAP, PAGE_EDGE_CAP, VerbError
 from lattica.sources.scratch import settle
 
@@ -24,35 +30,63 @@ NODE = ["id", "kind", "name", "path", "committed_at"]
 MAX_PARTS, ROWS_A_PART = 4096, 2_000_000
 
 
+#: What a history shows of a commit that touches a file (near).
+TOUCH = ["near", "committed_at", "id", "name"]
+
+
+class Calls(NamedTuple):
+    """Factorised CALLS: by_caller and by_class: near (the caller), cls, n, confidence, location; of_class and of_symbol: cls, near (a member)."""
+
+    by_caller: DataFrame
+    by_class: DataFrame
+    of_class: DataFrame
+    of_symbol: DataFrame
+
+
 class Graph(NamedTuple):
     """nodes; out and back: a row per edge with near (its source or its target), far, out (whether near is the source) and the edge.
 
-    parts: into how many directories they are dealt; None for frames that are not written.
+    parts: into how many directories they are dealt; None for frames that are not written. degrees: id, kind, outs, ins, loops. A
+    graph without calls has its CALLS among its edges.
     """
 
     nodes: DataFrame
     out: DataFrame
     back: DataFrame
     parts: int | None = None
+    calls: Calls | None = None
+    degrees: DataFrame | None = None
+    touches: DataFrame | None = None
 
     @property
     def edges(self) -> DataFrame:
-        return self.out.select(*EDGE)
+        """All edges, factorised ones expanded."""
+        found = self.out.select(*EDGE)
+        if self.calls is None:
+            return found
+        pairs = self.calls.by_caller.select(F.col("near").alias("src"), "cls", "confidence", "location").join(self.calls.of_class.select("cls", F.col("near").alias("dst")), "cls")
+        return found.unionByName(_call(pairs, "src").select(*EDGE))
 
     def of_kinds(self, kinds: Sequence[str] | None) -> Graph:
         if kinds is None:
             return self
         chosen = F.col("kind").isin(list(kinds))
-        return self._replace(out=self.out.where(chosen), back=self.back.where(chosen))
+        return self._replace(out=self.out.where(chosen), back=self.back.where(chosen), calls=self.calls if "CALLS" in kinds else None, degrees=self.degrees.where(chosen) if self.degrees is not None else None)
 
-    def at(self, frame: DataFrame, wanted: DataFrame) -> DataFrame:
-        """frame without the directories in which no node of wanted (column id) can be; at most MAX_PARTS numbers come to the driver."""
+    def at(self, frame: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
+        """frame without the directories in which nothing of wanted (column key) can be; at most MAX_PARTS numbers come to the driver."""
         if self.parts is None:
             return frame.drop("part")
-        hit = [r[0] for r in wanted.select(part(F.col("id"), self.parts)).distinct().collect()]
+        hit = [r[0] for r in wanted.select(part(F.col(key), self.parts)).distinct().collect()]
         return (frame if len(hit) == self.parts else frame.where(F.col("part").isin(hit))).drop("part")
 
 
+def _call(pairs: DataFrame, near: str) -> DataFrame:
+    """CALLS with near, far, out and the edge of pairs src, dst, confidence, location; near is src or dst."""
+    edge = pairs.select("src", "dst", F.lit("CALLS").alias("kind"), F.lit("syntactic").alias("provenance"), "confidence", "location")
+    return _sided(edge.withColumn("edge_seq", F.concat_ws("\x01", "kind", "src", "dst", F.coalesce("location", F.lit("")))), near, "dst" if near == "src" else "src")
+
+
 def part(key: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")
 
@@ -66,17 +100,45 @@ def plain(nodes: DataFrame, edges: DataFrame) -> Graph:
     return Graph(nodes, _sided(edges, "src", "dst"), _sided(edges, "dst", "src"))
 
 
-def write(nodes: DataFrame, edges: DataFrame, folder: str, parts: int | None = None) -> Graph:
-    """Writes a graph and reads it; the number of directories follows the number of edges."""
+def _degrees(edges: DataFrame, calls: References | None) -> DataFrame:
+    """id, kind, outs, ins, loops: how many edges a node has on either side, and how many of these on both."""
+    loop = (F.col("src") == F.col("dst")).cast("long")
+    side = lambda c, outs, ins: edges.select(F.col(c).alias("id"), "kind", F.lit(outs).alias("outs"), F.lit(ins).alias("ins"), (loop if outs else F.lit(0)).alias("loops"))
+    rows = side("src", 1, 0).unionByName(side("dst", 0, 1))
+    if calls is not None:
+        refs, members = calls.refs.select(F.col("caller_id").alias("id"), "cls", "n"), calls.members.select(F.col("symbol_id").alias("id"), "cls")
+        none, kind = F.lit(0).cast("long"), F.lit("CALLS").alias("kind")
+        outs = refs.groupBy("id").agg(F.sum("n").alias("outs")).select("id", kind, "outs", none.alias("ins"), none.alias("loops"))
+        named = refs.groupBy("cls").agg(F.count(F.lit(1)).alias("ins"))
+        ins = members.join(named, "cls").groupBy("id").agg(F.sum("ins").alias("ins")).select("id", kind, none.alias("outs"), "ins", none.alias("loops"))
+        loops = refs.join(members, ["id", "cls"]).groupBy("id").agg(F.count(F.lit(1)).alias("loops")).select("id", kind, none.alias("outs"), none.alias("ins"), "loops")
+        rows = rows.unionByName(outs).unionByName(ins).unionByName(loops)
+    return rows.groupBy("id", "kind").agg(*[F.sum(c).cast("long").alias(c) for c in ("outs", "ins", "loops")])
+
+
+def write(nodes: DataFrame, edges: DataFrame, folder: str, parts: int | None = None, calls: References | None = None) -> Graph:
+    """Writes a graph and reads it; the number of directories follows the number of edges and references. calls: CALLS that aren't among edges."""
     spark, edges = nodes.sparkSession, settle(edges.select(*EDGE), "edges")
-    parts = parts or min(MAX_PARTS, max(8, edges.count() // ROWS_A_PART))
-    tables = {"nodes": (nodes.select(*NODE), ["id"]), "out": (_sided(edges, "src", "dst"), ["near", "edge_seq"]), "back": (_sided(edges, "dst", "src"), ["near", "edge_seq"])}
-    found = []
-    for name, (df, order) in tables.items():
-        dealt = df.withColumn("part", part(F.col(order[0]), parts)).repartitionByRange(parts, "part", *order).sortWithinPartitions("part", *order)
+    if calls is not None:
+        calls = References(settle(calls.refs.select("caller_id", "cls", "n", "confidence", "location"), "references"), settle(calls.members, "members"))
+    size = edges.count() + (calls.refs.count() if calls is not None else 0)
+    parts = parts or min(MAX_PARTS, max(8, size // ROWS_A_PART))
+    commits = nodes.where("kind = 'Commit'").select("id", "name", "committed_at")
+    touches = edges.where("kind = 'TOUCHES'").select(F.col("dst").alias("near"), F.col("src").alias("id")).join(commits, "id").select(*TOUCH)
+    tables = {
+        "nodes": (nodes.select(*NODE), "id", ["id"]), "out": (_sided(edges, "src", "dst"), "near", ["near", "edge_seq"]), "back": (_sided(edges, "dst", "src"), "near", ["near", "edge_seq"]),
+        "degrees": (_degrees(edges, calls), "id", ["id", "kind"]), "touches": (touches, "near", ["near", F.desc("committed_at"), "id"]),
+    }
+    if calls is not None:
+        refs, members = calls.refs.withColumnRenamed("caller_id", "near"), calls.members.withColumnRenamed("symbol_id", "near")
+        tables |= {"by_caller": (refs, "near", ["near", "cls", "location"]), "by_class": (refs, "cls", ["cls", "near", "location"]), "of_class": (members, "cls", ["cls", "near"]), "of_symbol": (members, "near", ["near", "cls"])}
+    found = {}
+    for name, (df, key, order) in tables.items():
+        dealt = df.withColumn("part", part(F.col(key), parts)).repartitionByRange(parts, "part", *order).sortWithinPartitions("part", *order)
         dealt.write.partitionBy("part").parquet(f"{folder}/{name}")
-        found.append(spark.read.schema(dealt.schema).parquet(f"{folder}/{name}"))
-    return Graph(*found, parts)
+        found[name] = spark.read.schema(dealt.schema).parquet(f"{folder}/{name}")
+    kept = Calls(*[found[c] for c in Calls._fields]) if calls is not None else None
+    return Graph(found["nodes"], found["out"], found["back"], parts, kept, found["degrees"], found["touches"])
 
 
 def validate(direction: str, kinds: Sequence[str] | None, depth: int, limit: int) -> None:
@@ -100,16 +162,54 @@ def hydrate(graph: Graph, page: DataFrame) -> DataFrame:
     return page.join(found, "id", "left").withColumn("kind", F.coalesce("kind", lost))
 
 
-def sides(graph: Graph, of: DataFrame) -> DataFrame:
-    """Edges on either side of the nodes of (column id): near, far, out and the edge; a self-loop has two rows."""
-    both = graph.at(graph.out, of).unionByName(graph.at(graph.back, of))
-    return both.join(of.select(F.col("id").alias("near")), "near", "left_semi")
+def sides(graph: Graph, of: DataFrame, cap: int | None = None, far: DataFrame | None = None) -> DataFrame:
+    """Edges on either side of the nodes of (column id): near, far, out and the edge; a self-loop has two rows.
+
+    With cap, of the factorised ones at least each node's first cap by edge_seq on either side; with far (column id), of these only those to its nodes.
+    """
+    both = graph.at(graph.out, of).unionByName(graph.at(graph.back, of)).join(of.select(F.col("id").alias("near")), "near", "left_semi")
+    return both if graph.calls is None else both.unionByName(_calls_of(graph, of, cap, far))
+
+
+def _first(rows: DataFrame, by: Sequence[str], order: Sequence[str], cap: int | None) -> DataFrame:
+    if cap is None:
+        return rows
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= cap).drop("r")
+
+
+def _calls_of(graph: Graph, of: DataFrame, cap: int | None, far: DataFrame | None) -> DataFrame:
+    """CALLS of the nodes of, expanded. All edges of a node with a class are in the order of the class's members, those of a member with it in that
+    of its references, so that each list is cut at the cap before it is expanded."""
+    calls, near = graph.calls, of.select(F.col("id").alias("near"))
+    only = (lambda rows, c: rows) if far is None else lambda rows, c: rows.join(far.select(F.col("id").alias(c)), c, "left_semi")
+    mine = graph.at(calls.by_caller, of).join(near, "near", "left_semi").select(F.col("near").alias("src"), "cls", "confidence", "location")
+    classes = mine.select("cls").distinct()
+    to = only(graph.at(calls.of_class, classes, "cls").join(classes, "cls", "left_semi").select("cls", F.col("near").alias("dst")), "dst")
+    out = mine.join(_first(to, ["cls"], ["dst"], cap), "cls")
+    held = graph.at(calls.of_symbol, of).join(near, "near", "left_semi").select("cls", F.col("near").alias("dst"))
+    classes = held.select("cls").distinct()
+    named = graph.at(calls.by_class, classes, "cls").join(classes, "cls", "left_semi").select("cls", F.col("near").alias("src"), "confidence", "location")
+    back = held.join(_first(only(named, "src"), ["cls"], ["src", F.asc_nulls_first("location")], cap), "cls")
+    return _call(out, "src").unionByName(_call(back, "dst"))
+
+
+def counts(graph: Graph, of: DataFrame) -> DataFrame:
+    """id, kind, outs, ins, loops of the nodes of; a written graph has them, of another they are counted."""
+    ids_ = of.select("id")
+    if graph.degrees is not None:
+        return graph.at(graph.degrees, of).join(ids_, "id", "left_semi")
+    each = sides(graph, of).groupBy(F.col("near").alias("id"), "kind")
+    return each.agg(F.count_if("out").alias("outs"), F.count_if(~F.col("out")).alias("ins"), F.count_if(F.col("out") & (F.col("src") == F.col("dst"))).alias("loops"))
 
 
 def edge_summary(graph: Graph, of: DataFrame) -> DataFrame:
-    """id, direction, kind, count, provenance (a map from provenance to count) of the nodes of."""
-    each = sides(graph, of).groupBy(F.col("near").alias("id"), F.when(F.col("out"), "out").otherwise("in").alias("direction"), "kind", "provenance").agg(F.count(F.lit(1)).alias("n"))
-    return each.groupBy("id", "direction", "kind").agg(F.sum("n").alias("count"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("provenance", "n")))).alias("provenance"))
+    """id, direction, kind, count, provenance (a map from provenance to count) of the nodes of; factorised CALLS, all of one provenance, are counted, not expanded."""
+    told = sides(graph._replace(calls=None), of).groupBy(F.col("near").alias("id"), F.when(F.col("out"), "out").otherwise("in").alias("direction"), "kind", "provenance").agg(F.count(F.lit(1)).alias("n"))
+    if graph.calls is not None:
+        calls = counts(graph, of).where("kind = 'CALLS'")
+        rows = F.explode(F.array(F.struct(F.lit("out").alias("direction"), F.col("outs").alias("n")), F.struct(F.lit("in").alias("direction"), F.col("ins").alias("n")))).alias("x")
+        told = told.unionByName(calls.select("id", "kind", F.lit("syntactic").alias("provenance"), rows).select("id", "x.direction", "kind", "provenance", "x.n").where("n > 0"))
+    return told.groupBy("id", "direction", "kind").agg(F.sum("n").alias("count"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("provenance", "n")))).alias("provenance"))
 
 
 def incident_edges(graph: Graph, of: DataFrame, cap: int = NODE_CAP) -> DataFrame:
@@ -117,7 +217,7 @@ def incident_edges(graph: Graph, of: DataFrame, cap: int = NODE_CAP) -> DataFram
 
     The cut by row number is made before the shuffle too, so that of a node of very many edges each task sends at most cap + 1.
     """
-    each = sides(graph, of).where("out OR src <> dst")
+    each = sides(graph, of, cap + 1).where("NOT out OR src <> dst")  # a self-loop from its target: lists of references are cut with it in them
     first = each.withColumn("r", F.row_number().over(Window.partitionBy("near").orderBy("edge_seq"))).where(F.col("r") <= cap + 1)
     return first.withColumn("capped", F.max("r").over(Window.partitionBy("near")) > cap).where(F.col("r") <= cap).drop("r")
 
@@ -139,23 +239,24 @@ def discover(graph: Graph, origin: DataFrame, direction: str = "both", kinds: Se
     """Breadth-first levels, at most three, each written: a frontier has at most budget nodes and is broadcast.
 
     Each level examines the incident edges of its frontier in the order of (frontier, src, dst, kind, location, edge_seq) until the budget is
-    spent. Where a node's edges start in that order are sums over the frontier's counts; only nodes that start within the budget are numbered.
+    spent. Where a node's edges start in that order are sums over the frontier's degrees, so that only nodes that start within the budget
+    are read: at most the budget and one node's cap of edges a level.
     """
     graph = graph.of_kinds(kinds)
     ext = lambda c: ids.qualify(F.col(c), F.lit(repo)) if repo else F.col(c)
     frontier = settle(origin.select("id", F.lit(0).alias("depth")).withColumn("ext", ext("id")), "frontier")
     seen, levels, used, spent = [frontier], [], 0, False
     for level in range(1, depth + 1):
-        of = F.broadcast(frontier.select("id"))
-        names = F.broadcast(frontier.select(F.col("id").alias("near"), F.col("ext").alias("near_ext")))
-        each = settle(incident_edges(graph, of).join(names, "near"), "incident")
+        sizes = counts(graph, F.broadcast(frontier)).groupBy("id").agg(F.least(F.lit(NODE_CAP), F.sum(F.col("outs") + F.col("ins") - F.col("loops"))).alias("size"))
         # a row a node of the frontier, at most budget
-        starts = each.groupBy("near", "near_ext").agg(F.count(F.lit(1)).alias("size")).withColumn("start", F.sum("size").over(Window.orderBy("near_ext")) - F.col("size"))
+        starts = frontier.join(sizes, "id").withColumn("start", F.sum("size").over(Window.orderBy("ext")) - F.col("size"))
+        starts = settle(starts.select(F.col("id").alias("near"), F.col("ext").alias("near_ext"), "size", "start"), "starts")
+        total = starts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        chosen = starts.where(F.col("start") < budget - used)
+        within = incident_edges(graph, F.broadcast(chosen.select(F.col("near").alias("id")))).join(F.broadcast(chosen.select("near", "near_ext", "start")), "near")
         order = Window.partitionBy("near").orderBy("src", "dst", "kind", F.asc_nulls_first("location"), "edge_seq")
-        within = each.join(F.broadcast(starts.where(F.col("start") < budget - used).select("near", "start")), "near")
         numbered = within.withColumn("n", used + F.col("start") + F.row_number().over(order)).where(F.col("n") <= budget).drop("start")
         looked = settle(numbered.withColumn("level", F.lit(level)), "examined")
-        total = each.count()
         spent, used = spent or used + total > budget, min(budget, used + total)
         levels.append(looked)
         found = looked.where(follows(direction)).select(F.col("far").alias("id")).distinct()
@@ -189,7 +290,7 @@ def page_edges(graph: Graph, seen: DataFrame, paged: DataFrame, kinds: Sequence[
     rank = settle(ranked(seen).select("id", "rank"), "ranks")
     origin = rank.where("rank = 0").join(paged.where("rank = 1").select(F.lit(True)), how="left_semi")
     of = settle(paged.select("id", "rank").unionByName(origin), "page")
-    each = sides(graph.of_kinds(kinds), F.broadcast(of)).where("out OR src <> dst")
+    each = sides(graph.of_kinds(kinds), F.broadcast(of), far=F.broadcast(rank)).where("out OR src <> dst")
     near, far = (F.broadcast(x.withColumnsRenamed({"id": k, "rank": f"{k}_rank"})) for x, k in ((of, "near"), (rank, "far")))
     mine = each.join(near, "near").join(far, "far").where("near_rank > far_rank OR src = dst").withColumn("rank", F.greatest(F.lit(1), "near_rank"))
     return mine.orderBy("rank", "src", "dst", "kind", F.asc_nulls_first("location"), "edge_seq").limit(cap).select(*EDGE, "rank")

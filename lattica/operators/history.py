@@ -13,17 +13,22 @@ from lattica.sources.scratch import settle
 def history(graph: Graph, file_id: str, limit: int = 50, since: int | None = None, after: tuple[int, str] | None = None) -> DataFrame:
     """The commits that touch a file, newest first, ids breaking ties: id, name, committed_at, date, author_id, author_name, one more row than limit if there are more.
 
-    Only the file's edges, the page's and its authors' are read where the graph is written.
+    A written graph has the commits of a file in this order with all that a page shows but their authors, so a page reads the file's
+    directory, and the page's edges to authors and their names.
     """
-    commits = graph.nodes.where("kind = 'Commit'").select("id", "name", "committed_at")
+    touches = graph.touches
+    if touches is None:
+        commits = graph.nodes.where("kind = 'Commit'").select("id", "name", "committed_at")
+        touches = graph.back.where("kind = 'TOUCHES'").select("near", F.col("far").alias("id")).join(commits, "id")
+    else:
+        touches = touches.where(F.col("part") == part(F.lit(file_id), graph.parts))
+    touches = touches.where(F.col("near") == file_id)
     if since is not None:
-        commits = commits.where(F.col("committed_at") >= since)
+        touches = touches.where(F.col("committed_at") >= since)
     if after is not None:
         at, last = after
-        commits = commits.where((F.col("committed_at") < at) | ((F.col("committed_at") == at) & (F.col("id") > last)))
-    back = graph.back if graph.parts is None else graph.back.where(F.col("part") == part(F.lit(file_id), graph.parts))
-    touched = back.where((F.col("kind") == "TOUCHES") & (F.col("near") == file_id)).select(F.col("far").alias("id"))
-    page = settle(touched.join(commits, "id").orderBy(F.desc("committed_at"), "id").limit(limit + 1), "history")
+        touches = touches.where((F.col("committed_at") < at) | ((F.col("committed_at") == at) & (F.col("id") > last)))
+    page = settle(touches.select("id", "name", "committed_at").orderBy(F.desc("committed_at"), "id").limit(limit + 1), "history")
     authors = graph.at(graph.back.where("kind = 'AUTHORED'"), page).select(F.col("near").alias("id"), F.col("far").alias("author_id"))
     told = settle(page.join(authors, "id", "left"), "history")  # a page's rows
     people = graph.at(graph.nodes.where("kind = 'Contributor'"), told.where("author_id IS NOT NULL").select(F.col("author_id").alias("id")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,24 +20,47 @@ def spread(ref: str = "ref_id") -> Column:
     return F.lit(SPREAD) / F.count(F.lit(1)).over(Window.partitionBy(ref))
 
 
-def resolve_tiers(refs: DataFrame, decls: DataFrame, repo_wide: Column | None = None) -> DataFrame:
-    """CALLS to the candidates of the nearest scope that has any: the file, else its directory, else (where repo_wide holds) the repository.
+class References(NamedTuple):
+    """References and what they may mean, factorised: a reference names a class of candidates, whose members stand beside it.
 
-    Scopes are counted per (name, scope) first, so that only the winning scope's candidates are joined: the repository's
-    candidates of a common name meet only those references that nothing nearer resolves.
+    refs: ref_id, caller_id, location, cls, n (the class's size), confidence; members: cls, symbol_id.
+    """
+
+    refs: DataFrame
+    members: DataFrame
+
+    def edges(self) -> DataFrame:
+        """CALLS of every reference to every candidate: as many rows as references times candidates."""
+        found = self.refs.join(self.members, "cls")
+        return _edges(found, F.col("confidence"))
+
+
+def references(refs: DataFrame, decls: DataFrame, repo_wide: Column | None = None) -> References:
+    """References by the nearest scope that declares their name: the file, else its directory, else (where repo_wide holds) the repository.
+
+    A class is a name in a scope, so that references and declarations are joined by counts only, a row for each name and scope: what is
+    made has at most as many rows as there are references, and three times as many as declarations.
     """
     wide = F.lit(True) if repo_wide is None else repo_wide
-    d = decls.select(F.col("name").alias("callee"), F.col("file_id").alias("d_file"), F.col("dir").alias("d_dir"), "symbol_id")
-    in_file = d.select("callee", F.col("d_file").alias("file_id")).distinct().withColumn("f", F.lit(True))
-    in_dir = d.select("callee", F.col("d_dir").alias("dir")).distinct().withColumn("g", F.lit(True))
-    told = refs.withColumn("__wide", wide).join(in_file, ["callee", "file_id"], "left").join(in_dir, ["callee", "dir"], "left")
-    tier = F.when(F.col("f"), 0).when(F.col("g"), 1).when(F.col("__wide"), 2)
-    told = told.withColumn("tier", tier).drop("f", "g", "__wide")
-    near = told.where("tier = 0").join(d.withColumnRenamed("d_file", "file_id").drop("d_dir"), ["callee", "file_id"])
-    mid = told.where("tier = 1").join(d.withColumnRenamed("d_dir", "dir").drop("d_file"), ["callee", "dir"])
-    far = told.where("tier = 2").join(d.drop("d_file", "d_dir"), "callee")
-    columns = ["ref_id", "caller_id", "symbol_id", "location"]
-    return _edges(near.select(columns).unionByName(mid.select(columns)).unionByName(far.select(columns)), spread())
+    scope = {0: "file_id", 1: "dir", 2: None}
+    name = lambda tier, of, callee: F.concat_ws("\x01", F.lit(tier), *([of] if of is not None else []), callee)
+    members = [decls.select(name(t, F.col(c) if c else None, F.col("name")).alias("cls"), "symbol_id") for t, c in scope.items()]
+    members = members[0].unionByName(members[1]).unionByName(members[2])
+    sizes = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    told = refs.withColumn("__wide", wide)
+    for t, c in scope.items():
+        of = sizes.select(F.col("cls").alias(f"cls_{t}"), F.col("n").alias(f"n_{t}"))
+        key = name(t, F.col(c) if c else None, F.col("callee"))
+        told = told.withColumn(f"key_{t}", key if t < 2 else F.when(F.col("__wide"), key))
+        told = told.join(of, F.col(f"key_{t}") == F.col(f"cls_{t}"), "left")
+    n = F.coalesce("n_0", "n_1", "n_2")
+    out = told.where(n.isNotNull()).select("ref_id", "caller_id", "location", F.coalesce("cls_0", "cls_1", "cls_2").alias("cls"), n.alias("n"), (F.lit(SPREAD) / n).alias("confidence"))
+    return References(out, members)
+
+
+def resolve_tiers(refs: DataFrame, decls: DataFrame, repo_wide: Column | None = None) -> DataFrame:
+    """CALLS to the candidates of the nearest scope that has any, all of them, a row each."""
+    return references(refs, decls, repo_wide).edges()
 
 
 def resolve_imported(refs: DataFrame, import_dirs: DataFrame, decls: DataFrame) -> DataFrame:
@@ -71,18 +96,45 @@ def import_edges(imports: DataFrame, dirs: DataFrame, files: DataFrame) -> DataF
     return rows.where("src <> dst").select("src", "dst", F.lit("IMPORTS").alias("kind"), F.lit("syntactic").alias("provenance"), (SPREAD / F.greatest(F.lit(1), "n_dirs")).alias("confidence"), F.lit(None).cast("string").alias("location")).distinct()
 
 
-def implements(methods: DataFrame, interfaces: DataFrame) -> DataFrame:
-    """IMPLEMENTS by relational division: types whose method set (type_id, name) holds all of an interface's (iface_id, name); empty interfaces match nothing.
+class Matches(NamedTuple):
+    """IMPLEMENTS in classes: types: type_id, type_set; interfaces: iface_id, iface_set; pairs: type_set, iface_set, of which one holds the other."""
+
+    types: DataFrame
+    interfaces: DataFrame
+    pairs: DataFrame
+
+    def edges(self) -> DataFrame:
+        found = self.pairs.join(self.types, "type_set").join(self.interfaces, "iface_set")
+        return found.select(F.col("type_id").alias("src"), F.col("iface_id").alias("dst"), F.lit("IMPLEMENTS").alias("kind"), F.lit("syntactic").alias("provenance"), F.lit(IMPLEMENTS_CONFIDENCE).alias("confidence"), F.lit(None).cast("string").alias("location"))
+
+
+def signatures(rows: DataFrame, key: str, name: str = "name") -> tuple[DataFrame, DataFrame]:
+    """key, set of every owner of names, and set, names (sorted, distinct) of every distinct set; set is their digest."""
+    owned = rows.groupBy(key).agg(F.sort_array(F.collect_set(F.col(name).cast("string"))).alias("names"))
+    owned = owned.withColumn("set", F.sha2(F.to_json("names"), 256))
+    return owned.select(key, "set"), owned.groupBy("set").agg(F.first("names").alias("names"))
 
-    An interface's rarest method is joined first; only types that have it are counted on the others.
+
+def matches(methods: DataFrame, interfaces: DataFrame) -> Matches:
+    """Which method sets of types (type_id, name) hold which of interfaces (iface_id, name), by their distinct sets; empty interfaces match nothing.
+
+    Sets meet in an index at an interface's rarest method, counted over distinct sets; equal sets are compared once, however many own them.
     """
-    m, i = methods.select("type_id", "name").distinct(), interfaces.select("iface_id", "name").distinct()
-    need = i.groupBy("iface_id").agg(F.count(F.lit(1)).alias("need"))
-    common = m.groupBy("name").agg(F.count(F.lit(1)).alias("types"))
-    rare = i.join(common, "name").groupBy("iface_id").agg(F.min(F.struct("types", "name")).alias("rare")).select("iface_id", F.col("rare.name").alias("name"))
-    seeds = rare.join(m, "name").select("iface_id", "type_id")
-    have = seeds.join(i, "iface_id").join(m, ["type_id", "name"], "left_semi").groupBy("iface_id", "type_id").agg(F.count(F.lit(1)).alias("have"))
-    return have.join(need, "iface_id").where("have = need").select(F.col("type_id").alias("src"), F.col("iface_id").alias("dst"), F.lit("IMPLEMENTS").alias("kind"), F.lit("syntactic").alias("provenance"), F.lit(IMPLEMENTS_CONFIDENCE).alias("confidence"), F.lit(None).cast("string").alias("location"))
+    types, kinds = signatures(methods.where("name IS NOT NULL"), "type_id")
+    faces, wanted = signatures(interfaces.where("name IS NOT NULL"), "iface_id")
+    types, faces, kinds, wanted = (settle(x, "signatures") for x in (types, faces, kinds, wanted))
+    index = kinds.select(F.col("set").alias("type_set"), F.col("names").alias("has"), F.explode("names").alias("name"))
+    common = index.groupBy("name").agg(F.count(F.lit(1)).alias("sets"))
+    each = wanted.select(F.col("set").alias("iface_set"), F.col("names").alias("needs"), F.explode("names").alias("name")).join(common, "name")
+    rarest = each.groupBy("iface_set").agg(F.first("needs").alias("needs"), F.min(F.struct("sets", "name")).alias("r"), F.count(F.lit(1)).alias("known"))
+    rarest = rarest.where(F.col("known") == F.size("needs")).select("iface_set", "needs", F.col("r.name").alias("name"))  # a method that no type has: none
+    pairs = rarest.join(index, "name").where(F.size(F.array_except("needs", "has")) == 0).select("type_set", "iface_set")
+    return Matches(types.withColumnRenamed("set", "type_set"), faces.withColumnRenamed("set", "iface_set"), settle(pairs, "matches"))
+
+
+def implements(methods: DataFrame, interfaces: DataFrame) -> DataFrame:
+    """IMPLEMENTS of types whose method set (type_id, name) holds all of an interface's (iface_id, name), a row each."""
+    return matches(methods, interfaces).edges()
 
 
 def interface_closure(direct: DataFrame, embeds: DataFrame, blocked: DataFrame, rounds: int = 32) -> DataFrame:

@@ -1,21 +1,18 @@
-"""Lexical search: postings, BM25 per repository, normalised scores, merged pages, snippets, symbol look-up."""
+"""Lexical search over an index: normalised scores, merged pages, snippets, symbol look-up."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.functions.query import FIELDS, Clause, parse
-from lattica.functions.tokenize import code_tokens, whole_tokens
+from lattica.functions.query import AnyOf, Group, Leaf, Node, leaves, parse
+from lattica.operators import postings as P
+from lattica.operators.postings import Index
 from lattica.schema import FUZZY_CAP, MAX_OFFSET, NODE_KINDS, SPREAD, TOP_K, UNADDRESSABLE, VerbError
-from lattica.sources.scratch import settle
-
-K1, B = 1.2, 0.75
+from lattica.sources.scratch import scratch, settle
 
 
 def search_docs(nodes: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -25,66 +22,21 @@ def search_docs(nodes: DataFrame, bodies: DataFrame) -> DataFrame:
     return joined.select("repo", "node_id", "kind", "name", "path", F.when(F.col("kind") == "File", F.coalesce("body", F.lit(""))).otherwise("").alias("content"))
 
 
-def tokens(field: str) -> Column:
-    """The tokens of a field: its column's parts of identifiers, or (``_whole``) its whole words."""
-    text = F.coalesce(F.col(field.removesuffix("_whole")), F.lit(""))
-    return whole_tokens(text) if field.endswith("_whole") else code_tokens(text)
-
-
-def postings(docs: DataFrame, fields: Sequence[str] = ("content",)) -> DataFrame:
-    """repo, node_id, field, pos, tok."""
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(f).alias("t")) for f in fields])).alias("x")
-    return docs.select("repo", "node_id", each).select("repo", "node_id", "x.field", F.posexplode("x.t").alias("pos", "tok"))
-
-
-def lengths(docs: DataFrame, fields: Sequence[str] = ("content",)) -> DataFrame:
-    """repo, node_id, field, dl."""
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(tokens(f)).cast("long").alias("dl")) for f in fields])).alias("x")
-    return docs.select("repo", "node_id", each).select("repo", "node_id", "x.*")
-
-
-def occurrences(t: Column, words: Sequence[str]) -> Column:
-    """How often the words occur in an array of tokens, side by side if several."""
-    if len(words) == 1:
-        return F.size(t) - F.size(F.array_remove(t, words[0]))
-    hit = lambda i: F.array(*[F.get(t, i + k) for k in range(len(words))]) == F.array(*map(F.lit, words))
-    return F.when(F.array_contains(t, words[0]), F.size(F.filter(F.sequence(F.lit(0), F.size(t) - 1), hit))).otherwise(0)
-
-
-def term_counts(docs: DataFrame, clauses: Sequence[Clause], fields: Sequence[str]) -> DataFrame:
-    """A row per document, in one pass over its text: repo, node_id, kind if there is one, dl_<field>, and tf_<i>_<field> of the clauses that apply to it."""
-    keys = [c for c in ("repo", "node_id", "kind") if c in docs.columns]
-    split = docs.select(*keys, *[tokens(f).alias(f"t_{f}") for f in fields])
-    tf = [occurrences(F.col(f"t_{f}"), c.sought(f)).alias(f"tf_{i}_{f}") for i, c in enumerate(clauses) for f in fields if c.field in (None, f)]
-    return split.select(*keys, *[F.size(f"t_{f}").alias(f"dl_{f}") for f in fields], *tf)
-
+def indexed(docs: DataFrame | Index) -> Index:
+    """An index as it is, of documents one written for the purpose."""
+    return docs if isinstance(docs, Index) else P.build(docs, scratch(docs.sparkSession, "index"))
 
-def bm25(docs: DataFrame, clauses: Sequence[Clause], fields: dict[str, float] | None = None) -> DataFrame:
-    """repo, node_id, score (and kind): BM25 with exact lengths per field and repository, boosted and summed; must and must_not clauses restrict.
 
-    Texts are tokenised once: counts and lengths of all documents are written. Statistics (documents, mean lengths, document
-    frequencies) are one aggregate by repository, written too, so that a repository of very many documents can be split in the join.
-    """
-    fields = {f: b for f, b in (fields or FIELDS).items() if any(c.field in (None, f) for c in clauses)}
-    if not fields:
-        raise VerbError("bad_request", "no field of the query is searched")
-    counted = settle(term_counts(docs, clauses, list(fields)), "term-counts")
-    terms = [(i, f) for i, c in enumerate(clauses) for f in fields if c.field in (None, f)]
-    stats = settle(counted.groupBy("repo").agg(F.count(F.lit(1)).alias("n_docs"), *[F.avg(f"dl_{f}").alias(f"avg_{f}") for f in fields], *[F.count_if(F.col(f"tf_{i}_{f}") > 0).alias(f"df_{i}_{f}") for i, f in terms]), "term-stats")
-    got = lambda i: reduce(or_, [F.col(f"tf_{j}_{f}") > 0 for j, f in terms if j == i], F.lit(False))
-    asked = [i for i, c in enumerate(clauses) if c.occur != "must_not"]
-    held = reduce(or_, map(got, asked), F.lit(False))
-    for i, c in enumerate(clauses):
-        held = held & (got(i) if c.occur == "must" else ~got(i) if c.occur == "must_not" else F.lit(True))
+def bm25(index: DataFrame | Index, tree: Group, fields: dict[str, float] | None = None) -> DataFrame:
+    """repo, node_id, kind, score of all documents that match."""
+    index = indexed(index)
+    return P.scores(index, tree, fields).join(index.docs.select("doc", "node_id", "kind"), "doc").select("repo", "node_id", "kind", "score")
 
-    def part(i: int, f: str) -> Column:
-        tf, df, dl, mean = (F.col(f"{x}_{f}") for x in (f"tf_{i}", f"df_{i}", "dl", "avg"))
-        idf = F.log(1 + (F.col("n_docs") - df + 0.5) / (df + 0.5))
-        norm = F.when(mean > 0, dl / mean).otherwise(1.0)
-        return F.when(tf > 0, fields[f] * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * norm))).otherwise(0.0)
 
-    score = reduce(add, [part(i, f) for i, f in terms if i in asked], F.lit(0.0))
-    return counted.where(held).join(stats, "repo").select(*[c for c in ("repo", "node_id", "kind") if c in counted.columns], score.alias("score"))
+def phrase_counts(index: Index, phrase: str, field: str) -> DataFrame:
+    """repo, node_id, n: how often the tokens of a phrase stand side by side in a field."""
+    found = P.phrase(index, field, Leaf(phrase).sought(field))
+    return found.join(index.docs.select("doc", "node_id"), "doc").select("repo", "node_id", "n")
 
 
 def top_k(scores: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -108,8 +60,8 @@ def merge_page(scores: DataFrame, offset: int, limit: int) -> DataFrame:
     return ranked.withColumn("has_more", F.max("rank").over(Window.partitionBy(F.lit(1))) > offset + limit).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
 
 
-def validate(query: str, kinds: Sequence[str] | None = None, repos: Sequence[str] | None = None) -> list[Clause]:
-    """The clauses of a request that may be made: a query that can be answered, known kinds, some repositories but not too many."""
+def validate(query: str, kinds: Sequence[str] | None = None, repos: Sequence[str] | None = None) -> Group:
+    """The tree of a request that may be made: a query that can be answered, known kinds, some repositories but not too many."""
     if kinds is not None and (not kinds or set(kinds) - set(NODE_KINDS)):
         raise VerbError("bad_request", "no kinds, or unknown ones")
     if repos is not None and not 1 <= len(repos) <= 1000:
@@ -117,6 +69,16 @@ def validate(query: str, kinds: Sequence[str] | None = None, repos: Sequence[str
     return parse(query)
 
 
+def known(index: Index, repos: Sequence[str]) -> set[str]:
+    """Which of at most some thousand repositories the index has."""
+    return {r["repo"] for r in index.stats.where(F.col("repo").isin(list(repos))).select("repo").collect()}
+
+
+def refuse_unknown(repos: Sequence[str], found: set[str]) -> None:
+    if lost := set(repos) - found:
+        raise VerbError("not_found", f"no repository {min(lost)}")
+
+
 def kind_filter(docs: DataFrame, kinds: Sequence[str] | None) -> DataFrame:
     if kinds is None:
         return docs
@@ -125,18 +87,36 @@ def kind_filter(docs: DataFrame, kinds: Sequence[str] | None) -> DataFrame:
     return docs.where(F.col("kind").isin(list(kinds)))
 
 
-def search(docs: DataFrame, query: str, kinds: Sequence[str] | None = None, repos: Sequence[str] | None = None, offset: int = 0, limit: int = 20) -> DataFrame:
+def hits(index: Index, tree: Group, kinds: Sequence[str] | None = None) -> DataFrame:
+    """repo, doc, score: the TOP_K of each repository, over its best score."""
+    scored = P.scores(index, tree, None, kinds, TOP_K).withColumnRenamed("doc", "node_id")  # numbers are in the order of ids
+    return normalize(top_k(scored.select("repo", "node_id", "score")), 6).withColumnRenamed("node_id", "doc")
+
+
+def told(page: DataFrame, index: Index, tree: Group) -> DataFrame:
+    """A page's rows (doc and others) with node_id, kind, name, path and a snippet; only its documents meet their texts."""
+    words = sorted({w for x, excluded in leaves(tree) if not excluded for f in ("content", "content_whole") for w in _words(x, f)})
+    page = settle(page, "page")
+    at = [r["doc"] for r in page.select("doc").collect()]  # a page, so that the documents' files are read by number
+    docs = index.docs.where(F.col("doc").isin(at)).drop("repo")
+    return page.join(docs, "doc").withColumn("snippet", snippet(F.coalesce("content", F.lit("")), words)).drop("content", "doc")
+
+
+def _words(x: Node, field: str) -> tuple[str, ...]:
+    if isinstance(x, AnyOf):
+        return x.words if x.field == field else ()
+    return x.sought(field) if isinstance(x, Leaf) and x.field in (None, field) else ()
+
+
+def search(docs: DataFrame | Index, query: str, kinds: Sequence[str] | None = None, repos: Sequence[str] | None = None, offset: int = 0, limit: int = 20) -> DataFrame:
     """repo, node_id, score, rank, has_more, kind, name, path, snippet of a page; statistics are the repositories', whatever the kinds."""
-    clauses = validate(query, kinds, repos)
+    tree = validate(query, kinds, repos)
+    index = indexed(docs)
     if repos is not None:
-        docs = docs.where(F.col("repo").isin(list(repos)))
-    scores = bm25(docs, clauses)
-    if kinds is not None:
-        scores = kind_filter(scores, kinds)
-    page = merge_page(normalize(top_k(scores.select("repo", "node_id", "score")), 6), offset, limit)
-    words = sorted({w for c in clauses if c.occur != "must_not" for f in ("content", "content_whole") for w in c.sought(f)})
-    # late: only the page's documents meet their texts
-    return page.join(docs, ["repo", "node_id"]).withColumn("snippet", snippet(F.coalesce("content", F.lit("")), words)).drop("content")
+        refuse_unknown(repos, known(index, repos))
+        index = index.of(repos)
+    page = merge_page(hits(index, tree, kinds).withColumnRenamed("doc", "node_id"), offset, limit)
+    return told(page.withColumnRenamed("node_id", "doc"), index, tree)
 
 
 def snippet(text: Column, words: Sequence[str], width: int = 150) -> Column:

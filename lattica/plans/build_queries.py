@@ -282,15 +282,15 @@ def x_parse_history(spark, d):
 
 @query("x_write_graph", V.graph("SELECT kind, CAST(count(*) AS BIGINT) AS n, count(DISTINCT src) AS n_src FROM edges GROUP BY kind"))
 def x_write_graph(spark, d):
-    return X.graph(spark, d).back.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src").alias("n_src"))
+    return X.graph(spark, d).degrees.groupBy("kind").agg(F.sum("outs").alias("n"), F.count_if(F.col("outs") > 0).alias("n_src"))
 
 
 @query("x_write_fts", f"""WITH {T0.DOCS} f(field) AS (VALUES ('name'), ('path'), ('content'), ('name_whole'), ('path_whole'), ('content_whole')),
 t AS (SELECT field, node_id, unnest({T0.SPLIT}) AS tok FROM docs, f) SELECT field, tok, CAST(count(*) AS BIGINT) AS n, count(DISTINCT node_id) AS df FROM t GROUP BY ALL""")
 def x_write_fts(spark, d):
-    path = scratch(spark, "postings")
-    S.postings(X.file_docs(spark, d), list(FIELDS)).write.parquet(path)
-    return spark.read.parquet(path).groupBy("field", "tok").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("node_id").alias("df"))
+    docs = F.explode(F.arrays_zip("docs.tf", "docs.doc")).alias("x")
+    rows = X.index(spark, d).blocks.where(F.col("field").isin(list(FIELDS))).select("field", F.col("token").alias("tok"), docs)
+    return rows.groupBy("field", "tok").agg(F.sum("x.tf").alias("n"), F.count_distinct("x.doc").alias("df"))
 
 
 def published(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lattica.functions import ids
 from lattica.operators import graph as G
+from lattica.operators import postings as P
 from lattica.operators import resolve
 from lattica.sources.scratch import scratch
 
@@ -77,7 +78,11 @@ def decls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).select("file_id", "dir", "name", "symbol_id")
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def references(spark: SparkSession, sf_dir: str) -> resolve.References:
+    return resolve.references(calls(spark, sf_dir), decls(spark, sf_dir))
+
+
+def edges(spark: SparkSession, sf_dir: str, with_calls: bool = True) -> DataFrame:
     """All edges, distinct, with edge_seq: their order is that of (kind, src, dst, location), so no global numbering is needed."""
     li, o, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), parts(spark, sf_dir)
     touched = li.select("l_orderkey", "l_partkey").distinct().join(p, F.col("l_partkey") == F.col("p_partkey"))
@@ -91,7 +96,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(imports.select(*edge(F.col("file_id"), F.concat(F.lit("pkg:suppliers/"), F.col("l_suppkey").cast("string")), "IMPORTS", "syntactic")))
         .unionByName(hub.select(*edge(F.col("file_id"), F.lit("pkg:runtime"), "IMPORTS", "syntactic")))
     )
-    out = out.unionByName(resolve.resolve_tiers(calls(spark, sf_dir), decls(spark, sf_dir)))
+    if with_calls:
+        out = out.unionByName(references(spark, sf_dir).edges())
     return out.withColumn("edge_seq", F.concat_ws("\x01", "kind", "src", "dst", F.coalesce("location", F.lit(""))))
 
 
@@ -102,10 +108,21 @@ def graph(spark: SparkSession, sf_dir: str) -> G.Graph:
     """The graph, written once a session, as an index is built before it is asked; the queries read it."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _graphs:
-        _graphs[key] = G.write(nodes(spark, sf_dir), edges(spark, sf_dir), scratch(spark, "graph"))
+        _graphs[key] = G.write(nodes(spark, sf_dir), edges(spark, sf_dir, False), scratch(spark, "graph"), calls=references(spark, sf_dir))
     return _graphs[key]
 
 
+_indexes: dict[tuple[str, str], P.Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> P.Index:
+    """The index of file_docs, written once a session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes:
+        _indexes[key] = P.build(file_docs(spark, sf_dir), scratch(spark, "index"))
+    return _indexes[key]
+
+
 def file_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A File per document: repo, node_id, kind, name, path, content."""
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from lattica.functions import ids
-from lattica.functions.query import Clause, guard
+from lattica.functions.query import guard, parse
 from lattica.functions.tokenize import code_tokens, whole_tokens
 from lattica.operators import search as S
 from lattica.plans import fixtures as X
@@ -22,7 +25,7 @@ st AS (SELECT repo, count(*) AS n, avg(dl) AS avgdl FROM dl GROUP BY repo),
 tf AS (SELECT repo, node_id, tok, count(*) AS tf FROM toks WHERE tok IN ('the', 'are', 'which') GROUP BY ALL),
 df AS (SELECT repo, tok, count(*) AS df FROM tf GROUP BY ALL),
 score AS (SELECT repo, node_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN df USING (repo, tok) JOIN dl USING (repo, node_id) JOIN st USING (repo) GROUP BY repo, node_id)"""
-CLAUSES = [Clause((w,)) for w in ("the", "are", "which")]
+CLAUSES = parse("the are which")
 BODY = {"content": 1.0}
 
 
@@ -60,7 +63,7 @@ def t_plain_snippet(spark, d):
 
 
 def body_scores(spark, d):
-    return S.bm25(X.file_docs(spark, d), CLAUSES, BODY).drop("kind")
+    return S.bm25(X.index(spark, d), CLAUSES, BODY).drop("kind")
 
 
 @query("t_bm25", f"WITH {BM25} SELECT repo, node_id, round(score, 6) AS score FROM score")
@@ -106,12 +109,12 @@ SELECT repo, node_id, score, row_number() OVER (ORDER BY score DESC, repo, node_
 
 @query("t_search", SEARCH)
 def t_search(spark, d):
-    return S.search(X.file_docs(spark, d), "+the txt -which").select("repo", "node_id", "score", F.col("rank").cast("long").alias("rank"))
+    return S.search(X.index(spark, d), "+the txt -which").select("repo", "node_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("t_snippets")
 def t_snippets(spark, d):
-    return S.search(X.file_docs(spark, d), "the").select("node_id", "snippet")
+    return S.search(X.index(spark, d), "the").select("node_id", "snippet")
 
 
 def symbol_docs(spark, d):
@@ -152,22 +155,104 @@ def x_search_docs(spark, d):
     return S.search_docs(nodes, bodies).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
 
 
-#: kinds, repositories, query, and what comes of asking for them.
-ASKED = (
-    (None, None, "the", "ok"), (["File"], None, "the", "ok"), ([], None, "the", "bad_request"), (["Fil"], None, "the", "bad_request"), (None, [], "the", "bad_request"),
-    (None, ["r"] * 1001, "the", "bad_request"), (None, None, "", "bad_request"), (None, None, "[a TO b]", "bad_request"), (None, ["docs.example/corpus/none"], "the", "ok"),
-)
+#: What each name of a repository is asked with.
+KINDS = {"ok": None, "no_kind": [], "unknown_kind": ["Fil"], "a_kind": ["File"]}
 
 
-@query("t_vocabulary", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x[3]}')" for i, x in enumerate(ASKED)) + ") t(n, outcome)")
+@query("t_vocabulary", """WITH r AS (SELECT DISTINCT 'docs.example/corpus/' || source AS repo, true AS there FROM documents UNION ALL SELECT DISTINCT 'docs.example/corpus/' || lang, false FROM documents)
+SELECT repo, k AS kinds, CASE WHEN k IN ('no_kind', 'unknown_kind') THEN 'bad_request' WHEN there THEN 'ok' ELSE 'not_found' END AS outcome FROM r, (VALUES ('ok'), ('no_kind'), ('unknown_kind'), ('a_kind')) t(k)""")
 def t_vocabulary(spark, d):
-    docs = X.file_docs(spark, d)
+    """Asks every repository of the index, and as many names as there are languages, which are of none."""
+    index, docs = X.index(spark, d), X.table(spark, d, "documents")
+    names = [r[0] for c in ("source", "lang") for r in docs.select(F.concat(F.lit("docs.example/corpus/"), c)).distinct().collect()]  # some dozens
+    found = S.known(index, names)
 
-    def outcome(kinds, repos, text: str) -> str:
+    def outcome(kinds, repo: str) -> str:
         try:
-            S.validate(text, kinds, repos)
+            S.validate("the", kinds, [repo])
+            S.refuse_unknown([repo], found)
         except VerbError as e:
             return e.code
         return "ok"
 
-    return docs.limit(0).select(F.lit(0).alias("n"), F.lit("").alias("outcome")).unionByName(spark.createDataFrame([(i, outcome(*x[:3])) for i, x in enumerate(ASKED)], "n int, outcome string"))
+    return spark.createDataFrame([(r, k, outcome(v, r)) for r in names for k, v in KINDS.items()], "repo string, kinds string, outcome string")
+
+
+#: Words and phrases of the queries below: tokens in the code fields, in the _whole fields.
+LEAVES = {
+    "the": ("the", "the"), "txt": ("txt", "txt"), "which": ("which", "which"), "are": ("are", "are"), "of": ("of", "of"), "king": ("king", "king"), "und": ("und", "und"), "des": ("des", "des"),
+    "of_the": ("of the", "of the"), "is_on": ("is on", "is on"), "of_the_by": ("of the by", "of the by"), "isOn": ("is on", "ison"),
+}
+#: query, whether a document matches (m), its score (s): written apart from the parser. m(x) and s(x) are of the leaves above.
+ASKED = (
+    ("(the OR of) AND are", "({the} OR {of}) AND {are}", "s.the + s.of + s.are"),
+    ("are -(the of)", "{are} AND NOT ({the} OR {of})", "s.are"),
+    ("the AND of OR und", "({the} AND {of}) OR {und}", "if({the} AND {of}, s.the + s.of, 0) + s.und"),
+    ("the AND of und", "({the} AND {of}) OR {und}", "if({the} AND {of}, s.the + s.of, 0) + s.und"),
+    ("+the txt -which", "{the} AND NOT {which}", "s.the + s.txt"),
+    ("(the AND NOT (of are)) OR (des king)", "({the} AND NOT ({of} OR {are})) OR {des} OR {king}", "if({the} AND NOT ({of} OR {are}), s.the, 0) + s.des + s.king"),
+    ("content:the^2 des", "m.the.content OR {des}", "2 * coalesce(s.the_content, 0) + s.des"),
+    ("(the of)^3 king", "{the} OR {of} OR {king}", "3 * (s.the + s.of) + s.king"),
+    ("body:IN [king which] +are", "{are}", "s.are + if(m.king.content OR m.which.content, 1, 0)"),
+    ("+content:IN [king which]^0.5 are", "m.king.content OR m.which.content", "0.5 + s.are"),
+    ('"of the"', "{of_the}", "s.of_the"),
+    ('isOn -"of the"', "{isOn} AND NOT {of_the}", "s.isOn"),
+    ('+"is on" "of the by" (which)', "{is_on}", "s.is_on + s.of_the_by + s.which"),
+    ("NOT which AND the", "{the} AND NOT {which}", "s.the"),
+    ("*^2 -the", "NOT {the}", "2.0"),
+    ("kind:File +und", "{und}", "s.und + s.file"),
+    ("+(+the +are) +(des OR which)", "{the} AND {are} AND ({des} OR {which})", "s.the + s.are + s.des + s.which"),
+)
+
+
+def _asked() -> str:
+    leaf = lambda text: re.sub(r"\{(\w+)\}", r"m.\1.any", text)
+    score = lambda text: re.sub(r"s\.(\w+?)_content", r"s.\1.content", re.sub(r"s\.(\w+)(?<!_content)\b(?!_)", r"coalesce(s.\1.any, 0)", leaf(text)))
+    return "\nUNION ALL ".join(f"SELECT {i} AS q, repo, node_id, {score(s)} AS score FROM w WHERE {leaf(m)}" for i, (_, m, s) in enumerate(ASKED))
+
+
+def _leaf_rows(docs: str, each: str, leaves: str) -> str:
+    """Views up to w: a row a document with structs m and s, which for each leaf have any and content."""
+    return f"""WITH {docs} f(field, boost) AS (VALUES ('name', 3.0), ('path', 1.0), ('content', 1.0), ('name_whole', 3.0), ('path_whole', 1.0), ('content_whole', 1.0)),
+ft AS MATERIALIZED (SELECT repo, node_id, field, boost, {each} AS t FROM docs, f),
+st AS (SELECT repo, field, count(*) AS n, avg(len(t)) AS avgdl FROM ft GROUP BY ALL),
+lf(leaf, code, whole) AS (VALUES {leaves}),
+lw AS (SELECT leaf, field, string_split(CASE WHEN suffix(field, '_whole') THEN whole ELSE code END, ' ') AS ws FROM lf, f),
+tok AS MATERIALIZED (SELECT repo, node_id, field, w, pos FROM (SELECT repo, node_id, field, unnest(t) AS w, generate_subscripts(t, 1) AS pos FROM ft) WHERE w IN (SELECT unnest(ws) FROM lw)),
+df AS (SELECT repo, field, w, count(DISTINCT node_id) AS df FROM tok GROUP BY ALL),
+hit AS (SELECT a.repo, a.node_id, leaf, a.field, len(ws) AS size, count(*) AS tf FROM lw JOIN tok a ON a.field = lw.field AND a.w = ws[1] LEFT JOIN tok b ON b.repo = a.repo AND b.node_id = a.node_id AND b.field = a.field AND b.w = ws[2] AND b.pos = a.pos + 1
+  LEFT JOIN tok c ON c.repo = a.repo AND c.node_id = a.node_id AND c.field = a.field AND c.w = ws[3] AND c.pos = a.pos + 2 WHERE (len(ws) < 2 OR b.pos IS NOT NULL) AND (len(ws) < 3 OR c.pos IS NOT NULL) GROUP BY ALL),
+idf AS (SELECT repo, leaf, field, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) AS idf FROM (SELECT leaf, field, unnest(ws) AS w FROM lw) JOIN df USING (field, w) JOIN st USING (repo, field) GROUP BY ALL),
+sc AS (SELECT repo, node_id, leaf, field, boost * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / avgdl)) AS score FROM hit JOIN idf USING (repo, leaf, field) JOIN ft USING (repo, node_id, field) JOIN st USING (repo, field)),
+by_leaf AS (SELECT repo, node_id, leaf, sum(score) AS score, sum(score) FILTER (field = 'content') AS content FROM sc GROUP BY ALL),"""
+
+
+def _wide() -> str:
+    rows = ", ".join(f"('{k}', '{c}', '{w}')" for k, (c, w) in LEAVES.items())
+    pick = lambda k, c: f"max(l.{c}) FILTER (leaf = '{k}')"
+    m = ", ".join(f"'{k}': {{'any': coalesce({pick(k, 'score')}, 0) > 0, 'content': coalesce({pick(k, 'content')}, 0) > 0}}" for k in LEAVES)
+    s = ", ".join(f"'{k}': {{'any': {pick(k, 'score')}, 'content': {pick(k, 'content')}}}" for k in LEAVES)
+    return f"{_leaf_rows(DOCS, SPLIT, rows)}\nw AS MATERIALIZED (SELECT d.repo, d.node_id, {{{m}}} AS m, {{{s}, 'file': {{'any': max(ln(1 + 0.5 / (n_repo + 0.5)))}}}} AS s FROM docs d JOIN (SELECT repo, count(*) AS n_repo FROM docs GROUP BY repo) USING (repo) LEFT JOIN by_leaf l ON l.repo = d.repo AND l.node_id = d.node_id GROUP BY d.repo, d.node_id),"
+
+
+@query("t_boolean", f"""{_wide()}
+r AS ({_asked()}),
+norm AS (SELECT q, repo, node_id, round(score / max(score) OVER (PARTITION BY q, repo), 6) AS score FROM r)
+SELECT q, repo, node_id, score FROM norm""")
+def t_boolean(spark, d):
+    """Every query with all its matches."""
+    index = X.index(spark, d)
+    each = [S.normalize(S.bm25(index, parse(text)), 6).select(F.lit(i).alias("q"), "repo", "node_id", "score") for i, (text, _, _) in enumerate(ASKED)]
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
+PHRASES = ("of the", "the by", "rateLimit", "is on the", "thEof", "en le la")
+
+
+@query("t_phrases", "WITH " + DOCS + f"""p(phrase, ws) AS (VALUES ('of the', ['of', 'the']), ('the by', ['the', 'by']), ('rateLimit', ['rate', 'limit']), ('is on the', ['is', 'on', 'the']), ('thEof', ['th', 'eof']), ('en le la', ['en', 'le', 'la'])),
+tok AS MATERIALIZED (SELECT node_id, w, pos FROM (SELECT node_id, unnest(t) AS w, generate_subscripts(t, 1) AS pos FROM (SELECT node_id, list_filter({TOKENS.format("content")}, lambda x: x <> '') AS t FROM docs)) WHERE w IN (SELECT unnest(ws) FROM p))
+SELECT phrase, a.node_id, count(*) AS n FROM p JOIN tok a ON a.w = ws[1] JOIN tok b ON b.node_id = a.node_id AND b.w = ws[2] AND b.pos = a.pos + 1 LEFT JOIN tok c ON c.node_id = a.node_id AND c.w = ws[3] AND c.pos = a.pos + 2 WHERE len(ws) < 3 OR c.pos IS NOT NULL GROUP BY ALL""")
+def t_phrases(spark, d):
+    index = X.index(spark, d)
+    each = [S.phrase_counts(index, p, "content").select(F.lit(p).alias("phrase"), "node_id", "n") for p in PHRASES]
+    return reduce(lambda a, b: a.unionByName(b), each)

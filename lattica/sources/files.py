@@ -12,11 +12,10 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattica.functions import ids
-from lattica.functions.query import FIELDS
-from lattica.operators import build
-from lattica.operators.search import lengths, postings
+from lattica.operators import build, postings
 from lattica.schema import FILE_BYTES, SCHEMA_VERSION
 
 FILE_ROWS = 1_000_000  # of a segment, so that one task can hold a file to digest it
@@ -66,8 +65,13 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 class Store:
-    """Artifacts of ``<root>/shards/<repo>/<revision>/``: Parquet segments in a folder of each attempt's own, and, last and only if none is
-    there, the manifest, which names the attempt in force and has a digest of every segment's bytes."""
+    """Artifacts of ``<root>/shards/<repo>/<revision>/``: Parquet segments in a folder of each attempt's own, and, last, the manifest, which
+    names the attempt in force and has the lengths and digests of every segment's files.
+
+    What is put in force (a manifest, a version of a pointer) is written whole under another name and then linked or renamed to its own if
+    that isn't taken: it is there with all its content or not at all, and one of two publishers wins. On object stores that is as atomic as
+    their connector's rename. A manifest that can't be read, of whatever cause, is none: it is moved aside, and the next publisher's takes its place.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -80,10 +84,47 @@ class Store:
     def revision(self, commit: str, source: str) -> str:
         return f"{commit}-{source}-v{SCHEMA_VERSION}"
 
+    def put(self, value: dict, *at: str) -> bool:
+        """Writes a value where nothing is; whether it was the first. Nobody sees a part of it."""
+        path = self._path(*at)
+        draft = self._path(*at[:-1], f".{at[-1]}-{uuid.uuid4().hex}")
+        out = self.fs.create(draft, False)
+        out.write(bytearray(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()))
+        out.close()
+        try:
+            if self.fs.getUri().getScheme() == "file":  # a rename would replace what is there
+                try:
+                    os.link(draft.toUri().getPath(), path.toUri().getPath())
+                except FileExistsError:
+                    return False
+                return True
+            return not self.fs.exists(path) and self.fs.rename(draft, path)
+        finally:
+            self.fs.delete(draft, False)
+
+    def value(self, *at: str) -> dict | None:
+        """What put has written; None if nothing is there or it can't be read."""
+        path = self._path(*at)
+        if not self.fs.exists(path):
+            return None
+        text = "\n".join(r["value"] for r in self.spark.read.text(path.toString()).collect())
+        try:
+            found = json.loads(text)
+        except ValueError:
+            return None
+        return found if isinstance(found, dict) else None
+
+    def _set_aside(self, *at: str) -> None:
+        """Moves something unreadable out of the way; if it has become readable meanwhile it is put back."""
+        aside = f".torn-{uuid.uuid4().hex}"
+        if self.fs.rename(self._path(*at), self._path(*at[:-1], aside)) and (whole := self.value(*at[:-1], aside)) is not None:
+            self.put(whole, *at)
+
     def publish(self, repo: int, commit: str, nodes: DataFrame, edges: DataFrame, docs: DataFrame, source: str = "syntactic", wanted: Callable[[], bool] = lambda: True) -> dict | None:
         """The manifest in force: this one's, or the one that was there first; what a loser wrote goes, never what the winner did.
 
-        wanted is asked again right before the manifest is written: if the repository is no longer to be published, nothing is, and null is returned.
+        wanted is asked again right before the manifest is put in force: if the repository is no longer to be published, nothing is, and null is
+        returned; and once more after it, so that of a repository that is given up in between no artifact stays.
         """
         if build.edge_conflicts(edges).limit(1).count():
             raise ValueError("edges of one identity differ in their derivation")
@@ -92,56 +133,71 @@ class Store:
             return old
         attempt = f"attempt-{uuid.uuid4().hex}"
         folder = "/".join([self.root, *at, attempt])
-        tables = {"nodes": nodes, "edges": edges, "docs": docs, "postings": postings(docs, list(FIELDS)), "lengths": lengths(docs, list(FIELDS))}
-        for name, df in tables.items():
+        for name, df in (("nodes", nodes), ("edges", edges)):
             df.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{folder}/{name}")
+        index = postings.build(docs, folder)
         counts = build.counts(self.spark.read.parquet(f"{folder}/nodes"), self.spark.read.parquet(f"{folder}/edges")).first()
-        manifest = {"schema_version": SCHEMA_VERSION, "commit": commit, "pass": source, "attempt": attempt, "counts": {"nodes": counts[0], "edges": counts[1]}, "segments": self._digests(folder, sorted(tables))}
+        manifest = {"schema_version": SCHEMA_VERSION, "commit": commit, "pass": source, "attempt": attempt, "counts": {"nodes": counts[0], "edges": counts[1]}, "parts": index.parts, "segments": self._digests(folder, ["blocks", "docs", "edges", "nodes", "stats"])}
         if not wanted():
             self.fs.delete(self._path(*at, attempt), True)
             return None
-        try:
-            out = self.fs.create(self._path(*at, "manifest.json"), False)
-        except Exception:  # noqa: BLE001  a py4j error: another publisher was first
-            if (old := self.manifest(repo, at[2])) is None:
-                raise
-            self.fs.delete(self._path(*at, attempt), True)
-            return old
-        out.write(bytearray(json.dumps(manifest, sort_keys=True, separators=(",", ":")).encode()))
-        out.close()
+        while not self.put(manifest, *at, "manifest.json"):
+            if (old := self.manifest(repo, at[2])) is not None:
+                self.fs.delete(self._path(*at, attempt), True)
+                return old
+            self._set_aside(*at, "manifest.json")
+        if not wanted():
+            self.delete(repo, at[2])
+            return None
         return manifest
 
+    def _files(self, folder: str) -> list[tuple[str, int]]:
+        """Names (below folder) and lengths of a segment's data files, from a listing."""
+        found, each = [], self.fs.listFiles(self.jvm.org.apache.hadoop.fs.Path(folder), True)
+        base = self.jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/") + "/"
+        while each.hasNext():
+            status = each.next()
+            name = status.getPath().toUri().getPath().removeprefix(base)
+            if name.rpartition("/")[2].startswith("part-"):
+                found.append((name, status.getLen()))
+        return sorted(found)
+
     def _digests(self, folder: str, names: list[str]) -> dict[str, dict]:
-        """For every segment its bytes and a digest of its files' names and contents, which the executors read; a row a file comes to the driver."""
-        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load([f"{folder}/{n}" for n in names])
-        rows = found.select(F.element_at(F.split("path", "/"), -2).alias("segment"), F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256")).collect()
+        """For every segment its bytes, a digest of its files' names and lengths, and one of their names and contents, which the executors read; a row a file comes to the driver."""
         out = {}
         for name in names:
-            files = sorted((r["file"], r["sha256"]) for r in rows if r["segment"] == name)
-            out[name] = {"sha256": hashlib.sha256(json.dumps(files).encode()).hexdigest(), "bytes": sum(r["length"] for r in rows if r["segment"] == name)}
+            files = self._files(f"{folder}/{name}")
+            found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{folder}/{name}")
+            told = sorted((r["file"], r["sha256"]) for r in found.select(F.element_at(F.split("path", f"/{name}/"), -1).alias("file"), F.sha2("content", 256).alias("sha256")).collect())
+            out[name] = {"sha256": _digest(told), "files": _digest(files), "bytes": sum(n for _, n in files)}
         return out
 
     def manifest(self, repo: int, revision: str) -> dict | None:
-        path = self._path("shards", str(repo), revision, "manifest.json")
-        if not self.fs.exists(path):
-            return None
-        return json.loads("\n".join(r["value"] for r in self.spark.read.text(path.toString()).collect()))
+        return self.value("shards", str(repo), revision, "manifest.json")
 
-    def published(self, repo: int, commit: str, source: str = "syntactic") -> dict | None:
-        """The manifest if it agrees with its revision and every segment's bytes are what it says."""
+    def published(self, repo: int, commit: str, source: str = "syntactic", contents: bool = False) -> dict | None:
+        """The manifest if it agrees with its revision and every segment's files are there in the lengths that it says; with contents, in its bytes too."""
         revision = self.revision(commit, source)
         m = self.manifest(repo, revision)
-        if m is None or f"{m['commit']}-{m['pass']}-v{m['schema_version']}" != revision:
+        if m is None or f"{m.get('commit')}-{m.get('pass')}-v{m.get('schema_version')}" != revision:
             return None
-        at = ["shards", str(repo), revision, m["attempt"]]
-        if not all(self.fs.exists(self._path(*at, name)) for name in m["segments"]):
-            return None
-        return m if self._digests("/".join([self.root, *at]), sorted(m["segments"])) == m["segments"] else None
+        folder = "/".join([self.root, "shards", str(repo), revision, m["attempt"]])
+        for name, told in m["segments"].items():
+            if not self.fs.exists(self._path("shards", str(repo), revision, m["attempt"], name)) or _digest(self._files(f"{folder}/{name}")) != told["files"]:
+                return None
+        return m if not contents or self._digests(folder, sorted(m["segments"])) == m["segments"] else None
 
-    def read(self, repo: int, revision: str, table: str) -> DataFrame:
+    def _folder(self, repo: int, revision: str) -> tuple[dict, str]:
         if (m := self.manifest(repo, revision)) is None:
             raise FileNotFoundError(f"{repo}/{revision} is not published")
-        return self.spark.read.parquet(f"{self.root}/shards/{repo}/{revision}/{m['attempt']}/{table}")
+        return m, f"{self.root}/shards/{repo}/{revision}/{m['attempt']}"
+
+    def read(self, repo: int, revision: str, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self._folder(repo, revision)[1]}/{table}")
+
+    def index(self, repo: int, revision: str) -> postings.Index:
+        m, folder = self._folder(repo, revision)
+        return postings.load(self.spark, folder, m["parts"])
 
     def delete(self, repo: int, revision: str) -> None:
         """The manifest first, so that no reader finds half an artifact, then the rest, then a manifest that came meanwhile."""
@@ -149,3 +205,42 @@ class Store:
         self.fs.delete(self._path(*at, "manifest.json"), False)
         self.fs.delete(self._path(*at), True)
         self.fs.delete(self._path(*at, "manifest.json"), False)
+
+    def pointer(self, repo: int) -> dict | None:
+        """The version in force of a repository's pointer: version, revision, fence. Versions are files of their own, each put once."""
+        at = self._path("pointers", str(repo))
+        if not self.fs.exists(at):
+            return None
+        versions = sorted((int(f.getPath().getName().removesuffix(".json")) for f in self.fs.listStatus(at) if not f.getPath().getName().startswith(".")), reverse=True)
+        return next((found for v in versions if (found := self.value("pointers", str(repo), f"{v:012d}.json")) is not None), None)
+
+    def point(self, repo: int, revision: str, expected: int, fence: int) -> bool:
+        """Compare and swap: the pointer goes to a published revision if its version is still the expected one (0 for none) and nobody with a higher fence was here."""
+        if self.manifest(repo, revision) is None:
+            raise FileNotFoundError(f"{repo}/{revision} is not published")
+        now = self.pointer(repo)
+        if (now["version"] if now else 0) != expected or now and now["fence"] > fence:
+            return False
+        at = ["pointers", str(repo), f"{expected + 1:012d}.json"]
+        while not self.put({"version": expected + 1, "revision": revision, "fence": fence, "repo": repo}, *at):
+            if self.value(*at) is not None:
+                return False
+            self._set_aside(*at)
+        return True
+
+    def pointers(self) -> DataFrame:
+        """repo, version, revision, fence of all pointers in force."""
+        log = self.spark.read.schema("repo long, version long, revision string, fence long").option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").json(f"{self.root}/pointers")
+        return current(log)
+
+
+def current(log: DataFrame) -> DataFrame:
+    """repo, version, revision, fence in force of a log of pointers (those columns): of each repository the last version that no earlier one had fenced off; rows without a version are torn."""
+    whole = log.where("version IS NOT NULL AND revision IS NOT NULL")
+    before = F.max("fence").over(Window.partitionBy("repo").orderBy("version").rowsBetween(Window.unboundedPreceding, -1))
+    held = whole.withColumn("before", before).where(F.col("before").isNull() | (F.col("fence") >= F.col("before")))
+    return held.groupBy("repo").agg(F.max(F.struct("version", "revision", "fence")).alias("x")).select("repo", "x.*")
+
+
+def _digest(value: object) -> str:
+    return hashlib.sha256(json.dumps(value).encode()).hexdigest()

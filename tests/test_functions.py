@@ -74,9 +74,48 @@ def test_guard(text, ok):
             query.guard(text)
 
 
-def test_parse_query():
-    c = query.Clause
-    short = [x._replace(whole=None) for x in query.parse('rateLimit +name:foo -"a b" c AND d NOT e')]
-    assert short == [c(("rate", "limit")), c(("foo",), "name", "must"), c(("a", "b"), None, "must_not"), c(("c",), None, "must"), c(("d",), None, "must"), c(("e",), None, "must_not")]
-    assert [x.whole for x in query.parse('rateLimit "a B"')] == [("ratelimit",), ("a", "b")]
-    assert query.parse("rateLimit")[0].sought("name") == ("rate", "limit") and query.parse("rateLimit")[0].sought("name_whole") == ("ratelimit",)
+L, G, A, ALL = query.Leaf, query.Group, query.AnyOf, query.Everything
+
+
+def either(*nodes):
+    return G(tuple(("should", x) for x in nodes))
+
+
+def both(*nodes):
+    return G(tuple(("must", x) for x in nodes))
+
+
+@pytest.mark.parametrize("text,tree", [
+    ("rateLimit", either(L("rateLimit"))),
+    ("a b", either(L("a"), L("b"))),
+    ("a AND b", both(L("a"), L("b"))),
+    ("a OR b", either(L("a"), L("b"))),
+    ("(alpha OR beta) AND gamma", both(either(L("alpha"), L("beta")), L("gamma"))),
+    ("gamma -(alpha beta)", G((("should", L("gamma")), ("must_not", either(L("alpha"), L("beta")))))),
+    ("alpha AND beta OR gamma", either(both(L("alpha"), L("beta")), L("gamma"))),
+    ("a b AND c d", either(L("a"), both(L("b"), L("c")), L("d"))),
+    ("+a b AND -c", G((("must", L("a")), ("should", G((("must", L("b")), ("must_not", L("c")))))))),
+    ("NOT a AND b", G((("must_not", L("a")), ("must", L("b"))))),
+    ("name:foo terms:foo body:\"a b\"", either(L("foo", "name"), L("foo", "name"), L("a b", "content"))),
+    ("(a b)^2 c^0.5 'd e'", either(either(L("a"), L("b"))._replace(boost=2.0), L("c", boost=0.5), L("d e"))),
+    ("content: IN [king \"the\"] x", either(A(("king", "the"), "content"), L("x"))),
+    ("* -a", G((("should", ALL()), ("must_not", L("a"))))),
+    ("a->b Vec<T> x\\:y", either(L("a->b"), L("Vec<T>"), L("x:y"))),
+    ("ANDroid ORacle NOTe INto", either(L("ANDroid"), L("ORacle"), L("NOTe"), L("INto"))),
+    ("() a", either(G(()), L("a"))),
+])
+def test_parse_query(text, tree):
+    assert query.parse(text) == tree
+
+
+@pytest.mark.parametrize("text", ["title:alpha", "http://x", "(a", "a)", "a AND", "AND a", "a AND OR b", '"a', "-a", "NOT a", "-a -b", "IN [a b]", "content:IN [a-b]", "content:IN [a", "name:", "a:b:c", '"a b"~2', "+", "NOT"])
+def test_parse_refuses(text):
+    with pytest.raises(VerbError) as e:
+        query.parse(text)
+    assert e.value.code == "bad_request"
+
+
+def test_tokens_of_a_leaf():
+    assert L("rateLimit").sought("name") == ("rate", "limit") and L("rateLimit").sought("name_whole") == ("ratelimit",) and L("a B").sought("content_whole") == ("a", "b")
+    assert L("File").sought("kind") == ("File",) and L("--").sought("content") == ()
+    assert [(x.text, out) for x, out in query.leaves(query.parse("a -(b +c) d"))] == [("a", False), ("b", True), ("c", True), ("d", False)]

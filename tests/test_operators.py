@@ -3,12 +3,14 @@
 import random
 import subprocess
 from collections import deque
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import ids
-from lattica.operators import build, control, graph, history, resolve, search
+from lattica.functions.query import parse
+from lattica.operators import build, control, graph, history, postings, resolve, search
 from lattica.schema import VerbError
 from lattica.sources import extract, files
 from lattica.sources import git as repositories
@@ -224,7 +226,7 @@ def test_publish(spark, tmp_path):
     e, docs = edges(spark, [("file:a", "file:b", "IMPORTS")]), search.search_docs(n, spark.createDataFrame([("file:a", "hello world")], "node_id string, content string"))
     m = store.publish(7, "c" * 40, n, e, docs)
     rev = store.revision("c" * 40, "syntactic")
-    assert m["counts"] == {"nodes": 1, "edges": 1} and store.published(7, "c" * 40) == m and store.read(7, rev, "postings").where("field = 'content'").count() == 2
+    assert m["counts"] == {"nodes": 1, "edges": 1} and store.published(7, "c" * 40) == m and store.index(7, rev).blocks.where("field = 'content'").count() == 2
     assert store.publish(7, "c" * 40, n.limit(0), e, docs) == m
     at = tmp_path / "shards/7" / rev / m["attempt"]
     part = next((at / "nodes").glob("part-*.parquet"))
@@ -232,10 +234,14 @@ def test_publish(spark, tmp_path):
     raw = bytearray(part.read_bytes())
     raw[10] ^= 1  # of equal length
     part.write_bytes(raw)
-    assert store.published(7, "c" * 40) is None
+    assert store.published(7, "c" * 40, contents=True) is None and store.published(7, "c" * 40) == m  # lengths alone don't tell
     raw[10] ^= 1
     part.write_bytes(raw)
-    assert store.published(7, "c" * 40) == m
+    assert store.published(7, "c" * 40, contents=True) == m
+    part.write_bytes(raw[:-1])
+    assert store.published(7, "c" * 40) is None
+    part.write_bytes(raw)
+    assert {r["node_id"] for r in search.search(store.index(7, rev), "hello").collect()} == {"file:a"}
     subprocess.run(["rm", "-r", str(at / "edges")], check=True)
     assert store.published(7, "c" * 40) is None
     store.delete(7, rev)
@@ -262,6 +268,72 @@ def test_two_publishers(spark, tmp_path):
     assert first.publish(2, "f" * 40, n, e, docs, wanted=lambda: False) is None and first.manifest(2, first.revision("f" * 40, "syntactic")) is None
 
 
+class Dies(BaseException):
+    """A publisher that is killed."""
+
+
+@pytest.mark.parametrize("step", ["segments", "index", "counts", "digests", "draft", "after the draft"])
+def test_a_publisher_that_dies_blocks_nobody(spark, tmp_path, monkeypatch, step):
+    store, n = files.Store(spark, f"file://{tmp_path}"), nodes(spark, ["file:a"]).withColumn("repo", F.lit("r"))
+    e, docs = edges(spark, [("file:a", "file:b", "IMPORTS")]), search.search_docs(n, spark.createDataFrame([("file:a", "x")], "node_id string, content string"))
+    rev = store.revision("a" * 40, "syntactic")
+
+    def dies(*_, **__):
+        raise Dies
+
+    with monkeypatch.context() as m:
+        if step == "segments":
+            m.setattr(files.build, "edge_conflicts", dies)
+        elif step == "index":
+            m.setattr(files.postings, "build", dies)
+        elif step == "counts":
+            m.setattr(files.build, "counts", dies)
+        elif step == "digests":
+            m.setattr(files.Store, "_digests", dies)
+        elif step == "draft":
+            m.setattr(files.Store, "put", dies)
+        else:
+            m.setattr(files.os, "link", dies)
+        with pytest.raises(Dies):
+            store.publish(1, "a" * 40, n, e, docs)
+    assert store.manifest(1, rev) is None and store.published(1, "a" * 40) is None
+    done = store.publish(1, "a" * 40, n, e, docs)
+    assert store.published(1, "a" * 40, contents=True) == done and done["counts"]["nodes"] == 1
+
+
+@pytest.mark.parametrize("torn", ["", '{"commit": "aa', "[]", "null"])
+def test_a_torn_manifest_is_none(spark, tmp_path, torn):
+    store, n = files.Store(spark, f"file://{tmp_path}"), nodes(spark, ["file:a"]).withColumn("repo", F.lit("r"))
+    e, docs = edges(spark, [("file:a", "file:b", "IMPORTS")]), search.search_docs(n, spark.createDataFrame([("file:a", "x")], "node_id string, content string"))
+    at = tmp_path / "shards/1" / store.revision("a" * 40, "syntactic")
+    at.mkdir(parents=True)
+    (at / "manifest.json").write_text(torn)
+    assert store.published(1, "a" * 40) is None
+    done = store.publish(1, "a" * 40, n, e, docs)
+    assert store.published(1, "a" * 40) == done == store.publish(1, "a" * 40, n.limit(0), e, docs)
+
+
+def test_put_is_whole_and_first(spark, tmp_path):
+    store = files.Store(spark, f"file://{tmp_path}")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: store.put({"i": i}, "x", "v.json"), range(8)))
+    assert sum(won) == 1 and store.value("x", "v.json") == {"i": won.index(True)}
+    assert [p.name for p in (tmp_path / "x").iterdir() if not p.name.startswith(".")] == ["v.json"]
+
+
+def test_pointer_by_compare_and_swap(spark, tmp_path, monkeypatch):
+    store = files.Store(spark, f"file://{tmp_path}")
+    monkeypatch.setattr(files.Store, "manifest", lambda self, repo, revision: {} if revision != "gone" else None)
+    assert store.pointer(1) is None and store.point(1, "a", 0, fence=5) and not store.point(1, "b", 0, fence=5)
+    assert store.pointer(1)["revision"] == "a" and not store.point(1, "b", 1, fence=4)  # an older worker's fence
+    with pytest.raises(FileNotFoundError):
+        store.point(1, "gone", 1, fence=5)
+    (tmp_path / "pointers/1/000000000002.json").write_text("{")  # torn
+    assert store.pointer(1)["version"] == 1 and store.point(1, "b", 1, fence=6) and store.pointer(1)["revision"] == "b"
+    assert store.point(2, "z", 0, fence=1)
+    assert {tuple(r) for r in store.pointers().select("repo", "version", "revision", "fence").collect()} == {(1, 2, "b", 6), (2, 1, "z", 1)}
+
+
 def test_mirror_and_checkout(spark, tmp_path):
     env = {"PATH": "/usr/bin:/bin:/usr/local/bin", "HOME": str(tmp_path), "GIT_AUTHOR_NAME": "a", "GIT_AUTHOR_EMAIL": "a@x", "GIT_COMMITTER_NAME": "a", "GIT_COMMITTER_EMAIL": "a@x"}
     work, mirror, url = tmp_path / "work", str(tmp_path / "mirror.git"), f"file://{tmp_path}/work"
@@ -329,6 +401,56 @@ def test_search(spark):
     assert search.search(docs, "foo", repos=["r2"]).count() == 0
     with pytest.raises(VerbError):
         search.search(docs, "foo", offset=990, limit=20)
+    with pytest.raises(VerbError) as e:
+        search.search(docs, "foo", repos=["r1", "r3"])
+    assert e.value.code == "not_found"
+
+
+DOC = "repo string, node_id string, kind string, name string, path string, content string"
+
+
+@pytest.fixture(scope="module")
+def greek(spark, tmp_path_factory):
+    texts = {"a": "alpha", "b": "beta", "ab": "alpha beta", "ag": "alpha gamma", "bg": "beta gamma", "abg": "alpha beta gamma", "g": "gamma", "none": "", "gx": "gammaX ray", "nul": None}
+    return postings.build(spark.createDataFrame([("r", f"file:{k}", "File", k.upper(), None, v) for k, v in texts.items()], DOC), f"file://{tmp_path_factory.mktemp('index')}")
+
+
+@pytest.mark.parametrize("text,want", [
+    ("(alpha OR beta) AND gamma", "ag bg abg"), ("gamma -(alpha beta)", "g gx"), ("alpha AND beta OR gamma", "ab abg ag bg g gx"), ("alpha AND beta gamma", "ab abg ag bg g gx"),
+    ("+alpha -beta", "a ag"), ("alpha AND NOT (beta OR gamma)", "a"), ("content:IN [alpha ray]", "a ab ag abg gx"), ("+gamma +(alpha OR ray)", "ag abg gx"), ("* -alpha", "b bg g none gx nul"),
+    ('"alpha beta"', "ab abg"), ('gamma -"beta gamma"', "ag g gx"), ("gammaX", "gx"), ("gammax", "gx"), ("name:g", "g"), ("terms:ABG", "abg"), ("kind:File AND ray", "gx"), ("node_id:file\\:ab", "ab"), ('"--" alpha', "a ab ag abg"), ('+"--" alpha', ""), ("((-alpha) beta)", "b ab bg abg"), ("nothing", ""), ("!!", ""),
+])
+def test_boolean_search(greek, text, want):
+    got = {r["node_id"].removeprefix("file:") for r in search.bm25(greek, parse(text)).collect()}
+    assert got == set(want.split())
+
+
+def test_segments_that_cannot_reach_the_best_are_left_out(spark, tmp_path, monkeypatch):
+    """A repository of many segments: the best by the pruned way are the best of all, and most segments aren't unpacked."""
+    monkeypatch.setattr(postings, "SEGMENT", 8)
+    r = random.Random(2)
+    rows = [("big", f"file:{i:04}", "File", "n", "p", " ".join(r.choices(["alpha", "beta"] + ["x", "y", "z"] * 6, k=r.randrange(3, 60)))) for i in range(600)]
+    rows += [("small", f"file:{i}", "File", "n", "p", "alpha " * i) for i in range(5)]
+    index = postings.build(spark.createDataFrame(rows, DOC), f"file://{tmp_path}")
+    for text in ("alpha", "content:alpha^3 content:beta", "(alpha beta)^2 x"):
+        tree = parse(text)
+        whole = {(x["repo"], x["doc"]): round(x["score"], 9) for x in postings.scores(index, tree).collect()}
+        some = {(x["repo"], x["doc"]): round(x["score"], 9) for x in postings.scores(index, tree, most=10).collect()}
+        assert all(whole[k] == v for k, v in some.items())
+        for repo in ("big", "small"):
+            best = sorted((-v, k) for k, v in whole.items() if k[0] == repo)[:10]
+            assert sorted((-v, k) for k, v in some.items() if k[0] == repo)[:10] == best
+    assert len([k for k in some if k[0] == "big"]) <= len([k for k in whole if k[0] == "big"])
+    few = postings.scores(index, parse("content:alpha"), most=10).count()
+    assert few < 0.7 * postings.scores(index, parse("content:alpha")).count()
+
+
+def test_search_kinds_keep_statistics(spark):
+    rows = [("r", f"file:{i}", "File", f"n{i}", f"p{i}", "alpha") for i in range(3)] + [("r", "sym:x", "Symbol", "alpha", "q", "")]
+    index = search.indexed(spark.createDataFrame(rows, DOC))
+    whole = {r["node_id"]: r["score"] for r in search.bm25(index, parse("alpha")).collect()}
+    only = {r["doc"]: r["score"] for r in postings.scores(index, parse("alpha"), kinds=["Symbol"]).collect()}
+    assert list(only.values()) == [whole["sym:x"]]
 
 
 def test_fuzzy(spark):
