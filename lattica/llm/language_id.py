@@ -23,7 +23,7 @@ from lattica.llm.common import materialise
 #: n-grams from the longest down; 0 stands for whole words, which are at most LONGEST characters.
 SIZES, LONGEST = (4, 3, 2, 1), 40
 #: Entries of a task's dictionary, after which it is handed on; unknown words whose values a task remembers at most.
-ENTRIES, REMEMBERED = 300_000, 100_000
+ENTRIES, REMEMBERED = 300_000, 300_000
 _RUNS, _LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 
 
@@ -106,10 +106,10 @@ class Model(NamedTuple):
     usual: int  # the language of most words, for texts of which nothing is known
 
 
-def fit(docs: DataFrame, most: int = 40_000, smoothing: float = 0.5) -> Model:
-    """The model of docs (lang, text): the ``most`` most frequent grams of each of the five kinds, ties by the gram.
+def fit(docs: DataFrame, most: int = 40_000, most_words: int = 100_000, smoothing: float = 0.5) -> Model:
+    """The model of docs (lang, text): the ``most_words`` most frequent words and the ``most`` most frequent grams of each size, ties by the gram.
 
-    Counts cover all rows; only the model is bounded, to at most 5 * most rows of a value a language.
+    Counts cover all rows; only the model is bounded, to that many rows of a value a language.
     """
     counts = materialise(gram_counts(materialise(word_counts(docs), "word-counts")), "gram-counts")
     totals = counts.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()  # at most five rows a language
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, most: int = 40_000, smoothing: float = 0.5) -> Model:
         for r in totals:
             if r["size"] == size:
                 n[at[r["lang"]]] += r["n"]
-        for r in each.where(F.col("size") == size).orderBy(F.desc("all"), "gram").limit(most).select("gram", "by").toLocalIterator():
+        for r in each.where(F.col("size") == size).orderBy(F.desc("all"), "gram").limit(most if size else most_words).select("gram", "by").toLocalIterator():
             row = np.full(len(langs), smoothing)
             for lang, count in r["by"]:
                 row[at[lang]] += count
@@ -134,13 +134,25 @@ def fit(docs: DataFrame, most: int = 40_000, smoothing: float = 0.5) -> Model:
     return Model(langs, places, np.array(rows, np.float32).reshape(len(rows), len(langs)), int(words_of.argmax()) if langs else -1)
 
 
-def backoff(model: Model, word: str) -> np.ndarray | None:
-    """The log frequencies of an unknown word: the mean of its longest n-grams that are known; None if not even a letter is."""
+def backoff(model: Model, asked: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The log frequencies of unknown words: the mean of a word's longest n-grams that are known. Which words have any, and theirs in this order."""
+    where, flat, lengths = [], [], []
+    left = list(enumerate(asked))
     for size in SIZES:
-        places = model.places[size]
-        if found := [at for g in grams(word, size) if (at := places.get(g)) is not None]:
-            return model.scores[found].mean(axis=0)
-    return None
+        get, missed = model.places[size].get, []
+        for i, w in left:
+            padded = w if size == 1 else f" {w} "
+            if found := [at for at in map(get, [padded[k : k + size] for k in range(len(padded) - size + 1)]) if at is not None]:
+                where.append(i)
+                flat += found
+                lengths.append(len(found))
+            else:
+                missed.append((i, w))
+        left = missed
+    if not where:
+        return np.zeros(0, np.int64), np.zeros((0, len(model.langs)))
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    return np.array(where), np.add.reduceat(model.scores[flat].astype(np.float64), starts, axis=0) / np.array(lengths)[:, None]
 
 
 class Judge:
@@ -151,45 +163,38 @@ class Judge:
         self.most = max(1000, min(REMEMBERED, (1 << 24) // max(1, len(model.langs))))
         self.rows = np.zeros((self.size + self.most + 1, len(model.langs)))
         self.rows[: self.size] = model.scores
-        self.nothing = len(self.rows) - 1
-        self.known = dict(model.places[0])
-        self.next = self.size
-
-    def _met(self, word: str) -> int:
-        """A row for a word that has none yet; of very long ones a row that the next long one takes."""
-        value = backoff(self.model, word)
-        if value is None:
-            return self.nothing
-        self.rows[self.next] = value
-        self.known[word] = self.next
-        self.next += 1
-        return self.next - 1
+        self._start()
+
+    def _start(self) -> None:
+        self.known, self.next = dict(self.model.places[0]), self.size
+
+    def _places(self, asked: list[str]) -> list[int]:
+        """The rows of at most self.most words."""
+        at = list(map(self.known.get, asked))
+        if None not in at:
+            return at
+        if self.next + at.count(None) > self.size + self.most:
+            self._start()
+            at = list(map(self.known.get, asked))
+        new = [i for i, x in enumerate(at) if x is None]
+        there, values = backoff(self.model, [asked[i] for i in new])
+        first, self.next = self.next, self.next + len(new)
+        self.rows[first : self.next] = 0  # nothing for words of which no letter is known
+        self.rows[first + there] = values
+        for k, i in enumerate(new, first):
+            at[i] = k
+            if len(asked[i]) <= LONGEST:  # longer ones may be of any length, so they aren't remembered
+                self.known[asked[i]] = k
+        return at
 
     def verdict(self, text: str | None) -> tuple[str, float]:
         """The language of a text and its share of the likelihood, and und for one without letters or with nothing learned."""
         seen, langs = words(text), self.model.langs
         if not seen or not langs:
             return "und", 0.0
-        at = list(map(self.known.get, seen))
-        total = np.zeros(len(langs))
-        if None in at:
-            for i, w in enumerate(seen):
-                if at[i] is None:
-                    if len(w) > LONGEST:  # of any length, so not remembered
-                        value = backoff(self.model, w)
-                        at[i] = self.nothing
-                        if value is not None:
-                            total += seen[w] * value.astype(np.float64)
-                        continue
-                    if self.next >= self.nothing:  # full: what is behind counts, the rest starts anew
-                        total += np.fromiter(seen.values(), np.float64, i) @ self.rows[at[:i]]
-                        at[:i] = [self.nothing] * i
-                        self.known, self.next = dict(self.model.places[0]), self.size
-                        at[i:] = map(self.known.get, list(seen)[i:])
-                        if at[i] is not None:
-                            continue
-                    at[i] = self._met(w)
-        total += np.fromiter(seen.values(), np.float64, len(at)) @ self.rows[at]
+        total, asked, n = np.zeros(len(langs)), list(seen), np.fromiter(seen.values(), np.float64, len(seen))
+        for i in range(0, len(asked), self.most):
+            total += n[i : i + self.most] @ self.rows[self._places(asked[i : i + self.most])]
         if not total.any():  # log frequencies are below zero
             return langs[self.model.usual], round(1 / len(langs), 6)
         share = np.exp(total - total.max())
@@ -197,7 +202,7 @@ class Judge:
         return langs[best], round(float(share[best] / share.sum()), 6)
 
 
-def language_id(docs: DataFrame, most: int = 40_000) -> DataFrame:
+def language_id(docs: DataFrame, most: int = 40_000, most_words: int = 100_000) -> DataFrame:
     """A row a document: doc_id, held_out, lang_pred, score. Learned from the text and lang of the documents that aren't held out and have a lang.
 
     Defined cases: a null text, or one without a letter, is und with score 0, as is every text if nothing was learned; a text of whose letters
@@ -205,7 +210,7 @@ def language_id(docs: DataFrame, most: int = 40_000) -> DataFrame:
     out; rows that repeat doc_id and text get the same verdict; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang", "text")
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows.where("NOT held_out AND lang IS NOT NULL"), most))  # of bounded size
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows.where("NOT held_out AND lang IS NOT NULL"), most, most_words))  # of bounded size
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = Judge(model.value)
