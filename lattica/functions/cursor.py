@@ -53,6 +53,11 @@ def shape(node: str, direction: str = "both", kinds: Sequence[str] | None = None
     return {"node": node, "direction": direction, "kinds": None if chosen == sorted(EDGE_KINDS) else chosen, "depth": depth, "since": since}
 
 
+def searched(query: str, kinds: Sequence[str] | None, repos: Sequence[str] | None) -> dict:
+    """What a search asks for; kinds and repositories in any order."""
+    return {"query": query, "kinds": sorted(set(kinds)) if kinds is not None else None, "repos": sorted(set(repos)) if repos is not None else None}
+
+
 def agree(cursor: dict, request: dict) -> None:
     """A cursor goes on with its own request only; what may differ is the size of the page."""
     if cursor.get("request") != request:

@@ -36,6 +36,7 @@ class Index(NamedTuple):
     stats: DataFrame
     blocks: DataFrame
     parts: int
+    key: str = ""  # its folder, which tells indexes apart
 
     def of(self, repos: Sequence[str]) -> Index:
         """Only some repositories."""
@@ -96,7 +97,7 @@ def build(docs: DataFrame, folder: str) -> Index:
 
 def load(spark, folder: str, parts: int) -> Index:
     read = lambda name: spark.read.parquet(f"{folder}/{name}")
-    return Index(read("docs"), read("stats"), read("blocks"), parts)
+    return Index(read("docs"), read("stats"), read("blocks"), parts, folder)
 
 
 class Term(NamedTuple):

@@ -11,6 +11,7 @@ from lattica.functions import ids
 from lattica.functions.query import guard, parse
 from lattica.functions.tokenize import code_tokens, whole_tokens
 from lattica.operators import search as S
+from lattica.operators import verbs as VB
 from lattica.plans import fixtures as X
 from lattica.plans import oracle_views as V
 from lattica.plans.registry import query
@@ -112,6 +113,24 @@ def t_search(spark, d):
     return S.search(X.index(spark, d), "+the txt -which").select("repo", "node_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+ALL_HITS = SEARCH.replace("SELECT repo, node_id, score, row_number() OVER (ORDER BY score DESC, repo, node_id) AS rank FROM norm ORDER BY rank LIMIT 20", """top AS (SELECT * FROM norm QUALIFY row_number() OVER (PARTITION BY repo ORDER BY score DESC, node_id) <= 1000)
+SELECT (rank - 1) // 300 AS page, repo, node_id, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, repo, node_id) AS rank FROM top) WHERE rank <= 1000""")
+
+
+@query("t_search_pages", ALL_HITS)
+def t_search_pages(spark, d):
+    """All pages of a search over all repositories; what is found is written once, and one of them is published anew after the first page."""
+    index, catalog = X.index(spark, d), VB.Catalog()
+    for r in index.stats.select("repo").collect():  # some dozens
+        catalog.put(r["repo"], "r1", None, index)
+    engine, pages, cursor = VB.Engine(catalog, b"a key of the fixture's"), [], None
+    while not pages or cursor:
+        rows, cursor = engine.search("+the txt -which", limit=300, cursor=cursor)
+        pages.append(rows.select(F.lit(len(pages)).cast("long").alias("page"), "repo", "node_id", "score", F.col("rank").cast("long").alias("rank")))
+        catalog.put("docs.example/corpus/src1", "r2", None, index._replace(blocks=index.blocks.limit(0)))
+    return reduce(lambda a, b: a.unionByName(b), pages)
+
+
 @query("t_snippets")
 def t_snippets(spark, d):
     return S.search(X.index(spark, d), "the").select("node_id", "snippet")

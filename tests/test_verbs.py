@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import cursor
-from lattica.operators import graph, resolve, verbs
+from lattica.operators import graph, postings, resolve, verbs
 from lattica.schema import EDGE_KINDS, VerbError
+from lattica.sources import files
 from lattica.streaming import stateful, worker
 
 from .test_operators import edges, nodes
@@ -147,3 +148,45 @@ def test_deep_closure(spark):
     assert resolve.interface_closure(direct, embeds, none).where("iface_id = 0").count() == n
     with pytest.raises(RuntimeError):
         resolve.interface_closure(direct, embeds, none, rounds=3)
+
+
+DOC = "repo string, node_id string, kind string, name string, path string, content string"
+
+
+def test_search_by_cursor_over_pinned_revisions(spark, tmp_path):
+    rows = [(f"h.example/{r}", f"file:{i}", "File", f"n{i}", f"p{i}", "alpha beta" if i % 3 else "alpha") for r in "ab" for i in range(7)]
+    both = postings.build(spark.createDataFrame(rows, DOC), f"file://{tmp_path}/both")
+    other = postings.build(spark.createDataFrame([("h.example/c", "file:x", "File", "n", "p", "alpha"), ("h.example/c", "sym:y", "Symbol", "alpha", "p", None)], DOC), f"file://{tmp_path}/other")
+    catalog = verbs.Catalog()
+    for r in "ab":
+        catalog.put(f"h.example/{r}", "1", None, both)
+    catalog.put("h.example/c", "1", None, other)
+    e, seen, at = verbs.Engine(catalog, b"key"), [], None
+    whole = [(r["repo"], r["node_id"], r["score"]) for r in e.search("alpha", limit=100).rows.orderBy("rank").collect()]
+    assert len(whole) == 16 and whole == sorted(whole, key=lambda x: (-x[2], x[0], x[1])) and len({x[2] for x in whole}) < 8  # ties
+    while not seen or at:
+        page = e.search("alpha", limit=5, cursor=at)
+        seen += [(r["repo"], r["node_id"], r["score"]) for r in page.rows.orderBy("rank").collect()]
+        at = page.next
+        catalog.put("h.example/a", "2", None, other)  # published anew: pages go on with what the first read
+        e.found.clear()
+    assert seen == whole
+    first = e.search("alpha", repos=["h.example/b", "h.example/c"], limit=2).next
+    assert code(e.search, "beta", repos=["h.example/b", "h.example/c"], cursor=first) == "invalid_cursor" == code(e.search, "alpha", cursor=first)
+    assert e.search("alpha", repos=["h.example/c", "h.example/b"], cursor=first).rows.count() == 7
+    catalog.drop("h.example/c", "1")
+    assert code(e.search, "alpha", repos=["h.example/b", "h.example/c"], cursor=first) == "gone"
+    assert code(e.search, "alpha", repos=["h.example/none"]) == "not_found" and code(e.search, "alpha", limit=0) == "bad_request" and code(e.search, "title:alpha") == "bad_request"
+    assert [r["node_id"] for r in e.search("alpha", kinds=["Symbol"], repos=["h.example/b"]).rows.collect()] == []
+
+
+def test_catalog_of_published_artifacts(spark, tmp_path):
+    store = files.Store(spark, f"file://{tmp_path}")
+    n, e = nodes(spark, ["file:a", "file:b"]).withColumn("repo", F.lit("x")), edges(spark, [("file:a", "file:b", "IMPORTS")])
+    docs = spark.createDataFrame([("x", "file:a", "File", "a", "a", "hello world"), ("x", "file:b", "File", "b", "b", "world")], DOC)
+    store.publish(7, "c" * 40, n, e, docs)
+    assert store.point(7, store.revision("c" * 40, "syntactic"), 0, fence=1)
+    engine = verbs.Engine(verbs.Catalog.of(store, {7: REPO, 8: "h.example/unpublished"}), b"key")
+    assert [(r["repo"], r["node_id"]) for r in engine.search("hello").rows.collect()] == [(REPO, "file:a")]
+    assert [r["id"] for r in engine.neighbors(f"file:{REPO}:a").rows.collect()] == ["file:b"]
+    assert code(engine.search, "hello", repos=["h.example/unpublished"]) == "not_found"
