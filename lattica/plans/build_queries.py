@@ -9,10 +9,12 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattica.functions import ids
 from lattica.functions.query import FIELDS
 from lattica.operators import build as B
+from lattica.operators import dataflow as DF
 from lattica.plans import fixtures as X
 from lattica.plans import oracle_views as V
 from lattica.plans import text_queries as T0
@@ -413,3 +415,75 @@ def s_poll_http(spark, d):
     out = settle(found, "polls")
     server.shutdown()
     return out
+
+
+def facts(spark, d):
+    """Parts as functions of four repositories, several in a file; customers as types with their orders' keys as methods; suppliers as interfaces
+    that embed the fourth before them; an order's next part is called by the one before, if of its repository."""
+    p, c, s = (X.table(spark, d, t) for t in ("part", "customer", "supplier"))
+    repo = lambda key: F.concat(F.lit("r"), (F.col(key) % 4).cast("string")).alias("repo")
+    at = lambda folder, key, many: F.concat(F.lit(folder), F.lit("/"), F.floor(F.col(key) / many).cast("string"), F.lit(".go")).alias("path")
+    part_at = F.concat(F.lit("parts/"), (F.col("p_size") % 5).cast("string"), F.lit("/"), F.floor(F.col("p_partkey") / 40).cast("string"), F.lit(".go")).alias("path")
+    named = p.select("p_partkey", repo("p_partkey"), part_at, X.symbol_name().alias("name"), F.col("p_partkey").alias("pos"))
+    symbols = (
+        named.select("repo", "path", "name", "pos", F.lit("function").alias("form"))
+        .unionByName(c.select(repo("c_custkey"), at("types", "c_custkey", 100), F.concat(F.lit("T"), (F.col("c_custkey") % 500).cast("string")).alias("name"), F.col("c_custkey").alias("pos"), F.lit("type").alias("form")))
+        .unionByName(s.select(repo("s_suppkey"), at("faces", "s_suppkey", 20), F.concat(F.lit("I"), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_suppkey").alias("pos"), F.lit("interface").alias("form")))
+    )
+    lines = X.table(spark, d, "lineitem")
+    imports = lines.select("l_partkey", "l_suppkey").distinct().join(named, F.col("l_partkey") == F.col("p_partkey")).groupBy("repo", "path", F.concat(F.lit("suppliers/"), F.col("l_suppkey").cast("string")).alias("import_path")).agg(F.min("p_partkey").alias("site"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    called = lines.join(named, F.col("l_partkey") == F.col("p_partkey")).select("repo", "path", F.col("pos").alias("caller_pos"), F.lead("name").over(order).alias("callee"), (F.col("l_orderkey") * 100 + F.row_number().over(order)).alias("site"))
+    own = X.table(spark, d, "orders").select(repo("o_custkey"), at("types", "o_custkey", 100), F.col("o_custkey").alias("pos"), F.concat(F.lit("m"), (F.col("o_orderkey") % 12).cast("string")).alias("name"))
+    asked = s.select(repo("s_suppkey"), at("faces", "s_suppkey", 20), F.col("s_suppkey").alias("pos"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("s_suppkey") % 3)).alias("k"))
+    asked = asked.select("repo", "path", "pos", F.concat(F.lit("m"), ((F.col("pos") * 7 + F.col("k")) % 12).cast("string")).alias("name"))
+    embeds = s.where("s_suppkey % 16 >= 4").select(repo("s_suppkey"), at("faces", "s_suppkey", 20), F.col("s_suppkey").alias("pos"), F.concat(F.lit("I"), (F.col("s_suppkey") - 4).cast("string")).alias("name"), F.col("s_suppkey").alias("site"))
+    return DF.Facts(symbols, imports, called.where("callee IS NOT NULL"), own.unionByName(asked), embeds, s.where("s_suppkey % 11 = 5").select(repo("s_suppkey"), at("faces", "s_suppkey", 20), F.col("s_suppkey").alias("pos")))
+
+
+BUILD = """sy AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY repo, path, name ORDER BY pos) AS n FROM (
+  SELECT 'r' || p_partkey % 4 AS repo, 'parts/' || p_size % 5 || '/' || p_partkey // 40 || '.go' AS path, replace(p_name, ' ', '_') AS name, p_partkey AS pos, 'function' AS form FROM part
+  UNION ALL SELECT 'r' || c_custkey % 4, 'types/' || c_custkey // 100 || '.go', 'T' || c_custkey % 500, c_custkey, 'type' FROM customer
+  UNION ALL SELECT 'r' || s_suppkey % 4, 'faces/' || s_suppkey // 20 || '.go', 'I' || s_suppkey, s_suppkey, 'interface' FROM supplier)),
+s AS MATERIALIZED (SELECT repo, path, regexp_extract(path, '^(.*)/', 1) AS dir, name, pos, form, 'sym:' || path || '#' || name || CASE WHEN n > 1 THEN '~' || n ELSE '' END AS id FROM sy),
+im AS MATERIALIZED (SELECT repo, path, 'suppliers/' || l_suppkey AS import_path, min(pos) AS site FROM s JOIN lineitem ON form = 'function' AND pos = l_partkey GROUP BY ALL),
+ca AS MATERIALIZED (SELECT * FROM (SELECT repo, path, dir, id, lead(name) OVER w AS callee, path || ':' || l_orderkey * 100 + row_number() OVER w AS location FROM lineitem JOIN s ON form = 'function' AND pos = l_partkey WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)) WHERE callee IS NOT NULL),
+cd AS (SELECT c.*, t.id AS target, CASE WHEN t.path = c.path THEN 0 WHEN t.dir = c.dir THEN 1 ELSE 2 END AS tier FROM ca c JOIN s t ON t.repo = c.repo AND t.form = 'function' AND t.name = c.callee QUALIFY tier = min(tier) OVER (PARTITION BY c.repo, c.location)),
+i AS (SELECT * FROM s WHERE form = 'interface'),
+ex AS MATERIALIZED (SELECT a.repo, a.id AS src, b.id AS dst, a.path || ':' || a.pos AS location, a.pos AS a, b.pos AS b FROM i a JOIN i b ON b.pos = a.pos - 4 WHERE a.pos % 16 >= 4),
+rc AS (SELECT a, b FROM ex UNION SELECT rc.a, ex.b FROM rc JOIN ex ON ex.a = rc.b),
+di AS (SELECT s_suppkey AS pos, 'm' || (s_suppkey * 7 + unnest(range(s_suppkey % 3 + 1))) % 12 AS name FROM supplier),
+cl AS MATERIALIZED (SELECT DISTINCT pos, name FROM (SELECT pos, name FROM di UNION ALL SELECT rc.a, name FROM rc JOIN di ON di.pos = rc.b) WHERE pos % 11 <> 5 AND pos NOT IN (SELECT a FROM rc WHERE b % 11 = 5)),
+ty AS MATERIALIZED (SELECT DISTINCT o_custkey AS pos, 'm' || o_orderkey % 12 AS name FROM orders),
+need AS (SELECT pos, count(*) AS n FROM cl GROUP BY pos),
+mt AS (SELECT t, i FROM (SELECT ty.pos AS t, cl.pos AS i, count(*) AS have FROM cl JOIN ty ON ty.name = cl.name AND ty.pos % 4 = cl.pos % 4 GROUP BY ALL) JOIN need ON need.pos = i WHERE have = n),
+e AS (SELECT repo, 'file:' || path AS src, id AS dst, 'DEFINES' AS kind, 1.0::DOUBLE AS confidence, NULL AS location, '0' AS block, '' AS path, '' AS step FROM s
+  UNION ALL SELECT repo, 'file:' || path, 'pkg:' || import_path, 'IMPORTS', 1.0, path || ':' || site, '1', path, '0' FROM im
+  UNION ALL SELECT repo, id, target, 'CALLS', 0.9::DOUBLE / count(*) OVER (PARTITION BY repo, location), location, '1', path, '1' FROM cd
+  UNION ALL SELECT repo, src, dst, 'EXTENDS', 0.9, location, '1', regexp_extract(location, '^(.*):', 1), '2' FROM ex
+  UNION ALL SELECT t.repo, t.id, i.id, 'IMPLEMENTS', 0.5, NULL, '2', '', '' FROM mt JOIN s t ON t.form = 'type' AND t.pos = mt.t JOIN i ON i.pos = mt.i),
+nd AS (SELECT DISTINCT repo, 'file:' || path AS id, 'File' AS kind FROM s UNION ALL SELECT repo, id, 'Symbol' FROM s UNION ALL SELECT DISTINCT repo, 'pkg:' || import_path, 'Package' FROM im)
+SELECT repo, kind, id AS src, NULL AS dst, NULL::DOUBLE AS confidence, NULL AS location, NULL AS edge_seq FROM nd
+UNION ALL SELECT repo, kind, src, dst, confidence, location, concat_ws(chr(1), block, path, step, CASE WHEN location IS NULL THEN '' ELSE lpad(regexp_extract(location, ':([0-9]+)$', 1), 12, '0') END, src, dst) FROM e"""
+
+
+@query("x_build_graph", "WITH RECURSIVE " + BUILD)
+def x_build_graph(spark, d):
+    """Nodes, and edges of all phases."""
+    built = DF.build_graph(facts(spark, d))
+    none = F.lit(None).cast("string")
+    nodes = built.nodes.select("repo", "kind", F.col("id").alias("src"), none.alias("dst"), F.lit(None).cast("double").alias("confidence"), none.alias("location"), none.alias("edge_seq"))
+    return nodes.unionByName(built.all_edges().select("repo", "kind", "src", "dst", "confidence", "location", "edge_seq"))
+
+
+@query("x_pointer_log", """WITH o AS (SELECT o_custkey AS repo, o_orderkey % 9 AS fence, CASE WHEN o_orderkey % 13 <> 0 THEN row_number() OVER w END AS version, sha1(CAST(o_orderkey AS VARCHAR)) AS revision FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+b AS (SELECT *, max(fence) OVER (PARTITION BY repo ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o WHERE version IS NOT NULL)
+SELECT repo, version, revision, fence FROM b WHERE before IS NULL OR fence >= before QUALIFY row_number() OVER (PARTITION BY repo ORDER BY version DESC) = 1""")
+def x_pointer_log(spark, d):
+    """Customers' orders as versions of a pointer, written as a store's log; some are torn, some of workers that were fenced off."""
+    line = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = X.table(spark, d, "orders").select(F.col("o_custkey").alias("repo"), F.row_number().over(line).cast("long").alias("version"), F.sha1(F.col("o_orderkey").cast("string")).alias("revision"), (F.col("o_orderkey") % 9).alias("fence"), (F.col("o_orderkey") % 13 == 0).alias("torn"))
+    text = F.to_json(F.struct("repo", "version", "revision", "fence"))
+    store = FS.Store(spark, scratch(spark, "store"))
+    o.select(F.when(F.col("torn"), F.substring(text, 1, 20)).otherwise(text)).write.text(f"{store.root}/pointers")
+    return store.pointers()
