@@ -141,3 +141,52 @@ def poll_schedule(repos: DataFrame, now: int, default: int = 300) -> DataFrame:
 
 def visibility(private: Column, internal: Column) -> Column:
     return F.when(internal, "internal").when(private, "private").otherwise("public")
+
+
+def discover(listing: DataFrame, registry: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """What complete listings change: org_id, slug, action, repo_id, with_forge, with_slug, enqueue, remove.
+
+    listing: org_id, forge_id, slug, qualifier, state (what the rules give); registry: repo_id, forge_id, slug, qualifier, state; conflicts: org_id,
+    slug, the records of earlier sweeps. A full outer merge by the repository's own key and by its name:
+
+    update: it is registered (repo_id); insert: neither it nor its name is. conflict: another repository has its name, a registered one
+    (repo_id) or one of the same sweep (with_forge, with_slug), of which the first by (org_id, slug) is inserted. resolved: a record whose
+    repository isn't listed any more, or has come in. Each listed repository is a row of its own, so that a conflict holds up no other. enqueue:
+    it is included now and wasn't; remove: it was and isn't.
+    """
+    mine = registry.select("forge_id", "slug", F.col("repo_id").alias("own_id"), F.col("state").alias("old_state"))
+    names = registry.select("qualifier", F.col("repo_id").alias("other_id"))
+    told = listing.join(mine, ["forge_id", "slug"], "left").join(names, "qualifier", "left")
+    free = F.col("own_id").isNull() & F.col("other_id").isNull()
+    first = told.where(free).groupBy("qualifier").agg(F.min(F.struct("org_id", "slug", "forge_id")).alias("first"))
+    told = told.join(first, "qualifier", "left")
+    wins = (F.col("first.org_id") == F.col("org_id")) & (F.col("first.slug") == F.col("slug")) & (F.col("first.forge_id") == F.col("forge_id"))
+    action = F.when(F.col("own_id").isNotNull(), "update").when(F.col("other_id").isNotNull() | ~wins, "conflict").otherwise("insert")
+    of_sweep = (F.col("action") == "conflict") & F.col("other_id").isNull()
+    now_in, was_in = (F.col("action") != "conflict") & (F.col("state") == "included"), F.coalesce(F.col("old_state") == "included", F.lit(False))
+    rows = told.withColumn("action", action).select(
+        "org_id", "slug", "action", F.coalesce("own_id", F.when(F.col("action") == "conflict", F.col("other_id"))).alias("repo_id"),
+        F.when(of_sweep, F.col("first.forge_id")).alias("with_forge"), F.when(of_sweep, F.col("first.slug")).alias("with_slug"),
+        (now_in & ~was_in).alias("enqueue"), ((F.col("action") == "update") & was_in & (F.col("state") != "included")).alias("remove"))
+    still = rows.where("action = 'conflict'").select("org_id", "slug")
+    gone = conflicts.select("org_id", "slug").distinct().join(still, ["org_id", "slug"], "left_anti")
+    none, no = F.lit(None), F.lit(False)
+    return rows.unionByName(gone.select("org_id", "slug", F.lit("resolved").alias("action"), none.cast("long").alias("repo_id"), none.cast("long").alias("with_forge"), none.cast("string").alias("with_slug"), no.alias("enqueue"), no.alias("remove")))
+
+
+def reachable(repos: DataFrame, rules: DataFrame) -> DataFrame:
+    """The repositories whose slug begins as a pattern does before its first wildcard: all that its rule can concern. Joined by equality, once for each length of such a beginning."""
+    starts = rules.select(F.regexp_extract("pattern", r"^([^*?]*)", 1).alias("start")).distinct()
+    lengths = sorted(r[0] for r in starts.select(F.length("start")).distinct().collect())  # of a rule list's patterns
+    if not lengths:
+        return repos.limit(0)
+    each = repos.select("repo_id", F.explode(F.array(*[F.substring("slug", 1, n) for n in lengths])).alias("start"))
+    return repos.join(each.join(F.broadcast(starts), "start", "left_semi").select("repo_id").distinct(), "repo_id", "left_semi")
+
+
+def rule_delta(repos: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """repo_id, old_state, state of the repositories whose state another rule list changes. Only those that a rule which isn't in both lists can reach are judged again."""
+    changed = before.exceptAll(after).unionByName(after.exceptAll(before))
+    reached = reachable(repos, changed)
+    old, new = (rule_precedence(reached, rules).select("repo_id", F.col("state").alias(name)) for rules, name in ((before, "old_state"), (after, "state")))
+    return old.join(new, "repo_id").where("old_state <> state")

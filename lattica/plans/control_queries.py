@@ -236,3 +236,45 @@ def c_reclaim(spark, d):
     s = X.shards(spark, d)
     states = s.withColumn("state", F.when(F.col("shard_id") % 4 == 0, "reclaiming").otherwise("published"))
     return C.reclaim(states, s.where("is_current"), s.where("shard_id % 3 = 0").select("shard_id"), NOW).select("shard_id", "state")
+
+
+#: A sweep in which nations are organisations: three of four repositories are listed, a seventh under a second forge of the same host, a tenth under both.
+SWEEP = """li AS (SELECT c_nationkey AS org_id, forge_id + CASE WHEN c_custkey % 7 = 0 THEN 100 ELSE 0 END AS forge_id, slug, qualifier, st.state FROM repos JOIN customer ON c_custkey = repo_id JOIN st USING (repo_id) WHERE repo_id % 4 <> 0
+  UNION ALL SELECT c_nationkey + 1000, forge_id + 200, slug, qualifier, st.state FROM repos JOIN customer ON c_custkey = repo_id JOIN st USING (repo_id) WHERE repo_id % 10 = 0),
+re AS (SELECT repo_id, forge_id, slug, qualifier, CASE WHEN repo_id % 2 = 0 THEN 'included' ELSE 'excluded' END AS state FROM repos WHERE repo_id % 3 <> 0),
+cf AS (SELECT c_nationkey AS org_id, slug FROM repos JOIN customer ON c_custkey = repo_id WHERE repo_id % 5 = 0),
+j AS (SELECT li.*, o.repo_id AS own, n.repo_id AS other, o.state AS old FROM li LEFT JOIN re o ON o.forge_id = li.forge_id AND o.slug = li.slug LEFT JOIN re n ON n.qualifier = li.qualifier),
+f AS (SELECT qualifier, org_id AS f_org, slug AS f_slug, forge_id AS f_forge FROM j WHERE own IS NULL AND other IS NULL QUALIFY row_number() OVER (PARTITION BY qualifier ORDER BY org_id, slug, forge_id) = 1),
+a AS (SELECT j.*, f_org, f_slug, f_forge, CASE WHEN own IS NOT NULL THEN 'update' WHEN other IS NOT NULL OR (f_org, f_slug, f_forge) <> (j.org_id, j.slug, j.forge_id) THEN 'conflict' ELSE 'insert' END AS action FROM j LEFT JOIN f USING (qualifier))
+SELECT org_id, slug, action, CASE WHEN action = 'update' THEN own WHEN action = 'conflict' THEN other END AS repo_id, CASE WHEN action = 'conflict' AND other IS NULL THEN f_forge END AS with_forge, CASE WHEN action = 'conflict' AND other IS NULL THEN f_slug END AS with_slug,
+  action <> 'conflict' AND state = 'included' AND coalesce(old, '') <> 'included' AS enqueue, action = 'update' AND coalesce(old, '') = 'included' AND state <> 'included' AS remove FROM a
+UNION ALL SELECT org_id, slug, 'resolved', NULL, NULL, NULL, false, false FROM cf WHERE (org_id, slug) NOT IN (SELECT (org_id, slug) FROM a WHERE action = 'conflict')"""
+
+
+@query("c_discovery_conflicts", V.control(PRECEDENCE + ",\n" + SWEEP))
+def c_discovery_conflicts(spark, d):
+    r = X.repos(spark, d)
+    states = C.rule_precedence(r, X.rules(spark)).select("repo_id", "state")
+    org = X.table(spark, d, "customer").select(F.col("c_custkey").alias("repo_id"), F.col("c_nationkey").cast("long").alias("org_id"))
+    rows = r.join(org, "repo_id").join(states, "repo_id")
+    one = rows.where("repo_id % 4 <> 0").withColumn("forge_id", F.col("forge_id") + F.when(F.col("repo_id") % 7 == 0, 100).otherwise(0))
+    two = rows.where("repo_id % 10 = 0").withColumns({"forge_id": F.col("forge_id") + 200, "org_id": F.col("org_id") + 1000})
+    columns = ["org_id", "forge_id", "slug", "qualifier", "state"]
+    registry = r.where("repo_id % 3 <> 0").select("repo_id", "forge_id", "slug", "qualifier", F.when(F.col("repo_id") % 2 == 0, "included").otherwise("excluded").alias("state"))
+    return C.discover(one.select(columns).unionByName(two.select(columns)), registry, rows.where("repo_id % 5 = 0").select("org_id", "slug"))
+
+
+NEW_RULES = (*X.RULES[:4], (7, "nation_3/1?", "exclude", True, 500), (6, "nation_?/*", "include", True, 350))
+
+
+def _state_sql(rules: tuple, name: str) -> str:
+    values = ", ".join(f"({i}, '{p}', '{a}', {str(x).lower()}, {t})" for i, p, a, x, t in rules)
+    return f"""{name}_r(rule_id, pattern, action, applies_to_private, created_at) AS (VALUES {values}),
+{name} AS (SELECT repo_id, CASE action WHEN 'include' THEN 'included' WHEN 'exclude' THEN 'excluded' ELSE CASE WHEN visibility = 'private' THEN 'discovered' ELSE 'included' END END AS state FROM (SELECT p.repo_id, p.visibility, action FROM repos p LEFT JOIN {name}_r r ON regexp_full_match(slug, replace(replace(pattern, '*', '.*'), '?', '.'), 's') AND (visibility <> 'private' OR applies_to_private)
+  QUALIFY row_number() OVER (PARTITION BY p.repo_id ORDER BY length(pattern) DESC, created_at DESC, rule_id DESC) = 1))"""
+
+
+@query("c_rule_delta", V.control(f"{_state_sql(X.RULES, 'ra')},\n{_state_sql(NEW_RULES, 'rb')}\nSELECT ra.repo_id, ra.state AS old_state, rb.state FROM ra JOIN rb USING (repo_id) WHERE ra.state <> rb.state"))
+def c_rule_delta(spark, d):
+    after = spark.createDataFrame(NEW_RULES, X.rules(spark).schema)
+    return C.rule_delta(X.repos(spark, d), X.rules(spark), after)
