@@ -25,6 +25,7 @@ from lattica.sources import files as FS
 from lattica.sources import git as GIT
 from lattica.sources import http as H
 from lattica.sources.scratch import scratch, settle
+from lattica.streaming import leases as LS
 from lattica.streaming import stateful as T
 
 
@@ -487,3 +488,22 @@ def x_pointer_log(spark, d):
     store = FS.Store(spark, scratch(spark, "store"))
     o.select(F.when(F.col("torn"), F.substring(text, 1, 20)).otherwise(text)).write.text(f"{store.root}/pointers")
     return store.pointers()
+
+
+LEASE = 12 * 3600
+
+
+@query("s_lease_log", f"""WITH RECURSIVE r AS MATERIALIZED (SELECT user_id AS job, epoch_us(ts) AS ts, event_id AS id, event_id % 3 AS worker, event_type = 'purchase' AS settles, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT job, ts, id, n, worker AS asks, 'claimed' AS op, worker AS holder, ts + {LEASE * 1000000}::BIGINT AS until, CAST(1 AS BIGINT) AS fence FROM r WHERE n = 1 UNION ALL
+SELECT r.job, r.ts, r.id, r.n, r.worker, CASE WHEN holder IS NULL OR r.ts >= until THEN 'claimed' WHEN holder <> r.worker THEN 'refused' WHEN settles THEN 'settled' ELSE 'renewed' END,
+  CASE WHEN holder IS NULL OR r.ts >= until THEN r.worker WHEN holder = r.worker AND settles THEN NULL ELSE holder END,
+  CASE WHEN holder IS NULL OR r.ts >= until OR (holder = r.worker AND NOT settles) THEN r.ts + {LEASE * 1000000}::BIGINT ELSE until END, fence + CASE WHEN holder IS NULL OR r.ts >= until THEN 1 ELSE 0 END FROM f JOIN r ON r.job = f.job AND r.n = f.n + 1),
+x AS (SELECT *, lead(ts) OVER (PARTITION BY job ORDER BY n) AS next FROM f)
+SELECT job, ts, id, op, asks AS worker, fence FROM f UNION ALL SELECT job, until, NULL, 'expired', holder, fence FROM x WHERE holder IS NOT NULL AND (next IS NULL OR next >= until)""")
+def s_lease_log(spark, d):
+    return LS.lease_log(lease_requests(X.table(spark, d, "events")), LEASE)
+
+
+def lease_requests(events):
+    """Users as jobs that three workers ask for; a purchase settles."""
+    return events.select(F.col("user_id").alias("job"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("id"), (F.col("event_id") % 3).alias("worker"), (F.col("event_type") == "purchase").alias("settles"))
