@@ -113,7 +113,8 @@ def t_search(spark, d):
     return S.search(X.index(spark, d), "+the txt -which").select("repo", "node_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-ALL_HITS = SEARCH.replace("SELECT repo, node_id, score, row_number() OVER (ORDER BY score DESC, repo, node_id) AS rank FROM norm ORDER BY rank LIMIT 20", """top AS (SELECT * FROM norm QUALIFY row_number() OVER (PARTITION BY repo ORDER BY score DESC, node_id) <= 1000)
+ALL_HITS = SEARCH.replace(")\nSELECT repo, node_id, score, row_number() OVER (ORDER BY score DESC, repo, node_id) AS rank FROM norm ORDER BY rank LIMIT 20", """),
+top AS (SELECT * FROM norm QUALIFY row_number() OVER (PARTITION BY repo ORDER BY score DESC, node_id) <= 1000)
 SELECT (rank - 1) // 300 AS page, repo, node_id, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, repo, node_id) AS rank FROM top) WHERE rank <= 1000""")
 
 
