@@ -169,7 +169,11 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 1,
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """A row a document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """A row a document of the files (rows of write_token_files: file, before): doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    Defined cases: a document written without a doc_id has null; no files give no rows; a file that is cut short or is none is an error; other
+    columns of files are ignored.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
