@@ -19,7 +19,8 @@ def history(graph: Graph, file_id: str, limit: int = 50, since: int | None = Non
     touches = graph.touches
     if touches is None:
         commits = graph.nodes.where("kind = 'Commit'").select("id", "name", "committed_at")
-        touches = graph.back.where("kind = 'TOUCHES'").select("near", F.col("far").alias("id")).join(commits, "id")
+        mine = graph.back.where((F.col("kind") == "TOUCHES") & (F.col("near") == file_id)).select("near", F.col("far").alias("id"))
+        touches = graph.few(mine, "touches").join(commits, "id")
     else:
         touches = touches.where(F.col("part") == part(F.lit(file_id), graph.parts))
     touches = touches.where(F.col("near") == file_id)
@@ -29,8 +30,9 @@ def history(graph: Graph, file_id: str, limit: int = 50, since: int | None = Non
         at, last = after
         touches = touches.where((F.col("committed_at") < at) | ((F.col("committed_at") == at) & (F.col("id") > last)))
     page = settle(touches.select("id", "name", "committed_at").orderBy(F.desc("committed_at"), "id").limit(limit + 1), "history")
-    authors = graph.at(graph.back.where("kind = 'AUTHORED'"), page).select(F.col("near").alias("id"), F.col("far").alias("author_id"))
+    authors = graph.at(graph.back.where("kind = 'AUTHORED'"), page).join(F.broadcast(page.select(F.col("id").alias("near"))), "near", "left_semi").select(F.col("near").alias("id"), F.col("far").alias("author_id"))
     told = settle(page.join(authors, "id", "left"), "history")  # a page's rows
-    people = graph.at(graph.nodes.where("kind = 'Contributor'"), told.where("author_id IS NOT NULL").select(F.col("author_id").alias("id")))
+    writers = told.where("author_id IS NOT NULL").select(F.col("author_id").alias("id")).distinct()
+    people = graph.at(graph.nodes.where("kind = 'Contributor'"), writers).join(F.broadcast(writers), "id", "left_semi")
     names = people.select(F.col("id").alias("author_id"), F.col("name").alias("author_name"))
     return told.join(names, "author_id", "left").select("id", "name", "committed_at", ids.render_date(F.col("committed_at")).alias("date"), "author_id", "author_name")
