@@ -21,11 +21,10 @@ from pyspark.sql.window import Window
 from lattica.functions.query import EXACT, FIELDS, AnyOf, Everything, Group, Leaf, Node, leaves
 from lattica.functions.tokenize import code_tokens, whole_tokens
 from lattica.schema import NODE_KINDS
-from lattica.sources.scratch import settle
 
 K1, B = 1.2, 0.75
 SEGMENT, BEST = 1024, 8
-MAX_PARTS, ROWS_A_PART = 1024, 20_000_000
+MAX_PARTS, ROWS_A_PART, FILES = 1024, 20_000_000, 20_000
 DOC = ["doc", "repo", "node_id", "kind", "name", "path"]
 
 
@@ -61,37 +60,40 @@ def part(field: Column, token: Column, parts: int) -> Column:
 def build(docs: DataFrame, folder: str) -> Index:
     """Writes the index of documents (repo, node_id, kind, name, path, content) and reads it.
 
-    Texts are tokenised once and their tokens shuffled once, by (field, token, repo, segment): a token that a third of all texts hold is
-    spread over its segments. An impact needs the mean length of its field in the repository, which is summed before.
+    Documents, not tokens, are shuffled, by segment: all postings of a segment's blocks are made where its texts are. They are tokenised twice,
+    first for the mean length of a field in a repository, which an impact needs, as texts are smaller than their tokens.
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("repo", "node_id", "kind", "name", "path", "content").repartitionByRange(tasks, "repo", "node_id").sortWithinPartitions("repo", "node_id")
-    ordered.withColumn("doc", F.monotonically_increasing_id()).write.parquet(f"{folder}/docs")
+    ordered.withColumn("doc", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{folder}/docs")
     docs = spark.read.parquet(f"{folder}/docs")
     names = (*FIELDS, *EXACT)
     # two fields of one column differ in the length only where identifiers have parts
-    split = docs.select("doc", "repo", F.coalesce(F.array_position(F.array(*map(F.lit, NODE_KINDS)), F.col("kind")), F.lit(0)).cast("byte").alias("kind_no"), F.array(*[tokens(f) for f in names]).alias("all"))
-    split = settle(split, "tokens")
-    mean = [F.avg(F.size(F.get("all", i))).alias(f"avg_{f}") for i, f in enumerate(FIELDS)]
-    split.groupBy("repo").agg(F.count(F.lit(1)).alias("n_docs"), *mean).write.parquet(f"{folder}/stats")
+    mean = [F.avg(F.size(tokens(f))).alias(f"avg_{f}") for f in FIELDS]
+    docs.groupBy("repo").agg(F.count(F.lit(1)).alias("n_docs"), *mean).write.parquet(f"{folder}/stats")
     stats = spark.read.parquet(f"{folder}/stats")
     lengths = F.transform("all", lambda t: F.size(t))
     means = stats.select("repo", F.array(*[F.col(f"avg_{f}") for f in FIELDS]).alias("means"))
-    told = split.join(means, "repo").select("doc", "repo", "kind_no", "all", "means", lengths.alias("lengths"))
-    field = told.select("doc", "repo", "kind_no", "means", "lengths", F.posexplode("all").alias("field_no", "t"))
+    size = docs.count()
+    # a task makes the blocks of some segments and writes them; a repository's row is joined before the texts are dealt
+    makers = max(1, min(tasks, size // 256), size // (4 * SEGMENT))
+    placed = docs.withColumn("segment", F.shiftright("doc", SEGMENT.bit_length() - 1)).join(F.broadcast(means), "repo").repartition(makers, "segment")
+    split = placed.select("doc", "repo", "segment", "means", F.coalesce(F.array_position(F.array(*map(F.lit, NODE_KINDS)), F.col("kind")), F.lit(0)).cast("byte").alias("kind_no"), F.array(*[tokens(f) for f in names]).alias("all"))
+    told = split.select("segment", "doc", "repo", "kind_no", "all", "means", lengths.alias("lengths"))
+    field = told.select("segment", "doc", "repo", "kind_no", "means", "lengths", F.posexplode("all").alias("field_no", "t"))
     norm = F.when(F.col("field_no") >= len(FIELDS), 1.0).when(F.get("means", "field_no") > 0, F.get("lengths", "field_no") / F.get("means", "field_no")).otherwise(1.0)
-    each = field.select("doc", "repo", "kind_no", "field_no", (K1 * (1 - B + B * norm)).alias("norm"), F.posexplode("t").alias("pos", "token"))
-    each = each.withColumns({"segment": F.shiftright("doc", SEGMENT.bit_length() - 1), "field": F.element_at(F.array(*map(F.lit, names)), F.col("field_no") + 1)})
+    each = field.select("segment", "doc", "repo", "kind_no", "field_no", (K1 * (1 - B + B * norm)).alias("norm"), F.posexplode("t").alias("pos", "token"))
+    each = each.withColumn("field", F.element_at(F.array(*map(F.lit, names)), F.col("field_no") + 1))
     key = ["field", "token", "repo", "segment"]
-    held = each.repartition(*key).groupBy(*key, "doc").agg(F.first("kind_no").alias("kind_no"), F.first("norm").alias("norm"), F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("pos"))
+    held = each.groupBy(*key, "doc").agg(F.first("kind_no").alias("kind_no"), F.first("norm").alias("norm"), F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("pos"))
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))
     grouped = held.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_list(impact), asc=False), 1, BEST).alias("best"), F.sort_array(F.collect_list(F.struct("doc", "tf", "norm", "kind_no", "pos"))).alias("x"))
     slim = F.transform("x", lambda x: F.struct(x["doc"].alias("doc"), x["tf"].alias("tf"), x["norm"].alias("norm"), x["kind_no"].alias("kind_no")))
-    parts = int(min(MAX_PARTS, max(8, split.count() * 500 // ROWS_A_PART)))
+    parts = int(min(MAX_PARTS, max(8, size * 500 // ROWS_A_PART), max(8, FILES // makers)))
     blocks = grouped.select(*key, "n", "best", slim.alias("docs"), F.col("x.pos").alias("positions")).withColumn("part", part(F.col("field"), F.col("token"), parts))
-    dealt = blocks.repartitionByRange(min(parts, tasks), "part", "field", "token", "repo", "segment").sortWithinPartitions("part", "field", "token", "repo", "segment")
-    dealt.write.partitionBy("part").parquet(f"{folder}/blocks")
+    dealt = blocks.sortWithinPartitions("part", "field", "token", "repo", "segment")
+    dealt.write.option("compression", "zstd").partitionBy("part").parquet(f"{folder}/blocks")
     return load(spark, folder, parts)
 
 
