@@ -514,3 +514,8 @@ def test_http_sources(spark, server, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["body"] for r in spark.table("polls").collect()] == ["head"]
+
+
+def test_extraction_is_dealt_to_tasks(spark):
+    one = spark.createDataFrame([(f"{i}.py", "python", "import os") for i in range(40)], "path string, language string, content string").coalesce(1)
+    assert extract.extract(one).where("name = 'os'").select(F.spark_partition_id()).distinct().count() > 1
