@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.functions import ids
+from lattica.operators.resolve import References
 from lattica.schema import BODY_BYTES, FILE_BYTES
 
 IDENTITY = ["src", "dst", "kind", "location"]
@@ -84,6 +85,14 @@ def edge_conflicts(edges: DataFrame) -> DataFrame:
     return edges.groupBy(*IDENTITY).agg(F.count_distinct("provenance", "confidence").alias("n")).where("n > 1")
 
 
+def call_conflicts(calls: References) -> DataFrame:
+    """edge_conflicts of factorised CALLS. Only references that share caller and location can have any, so that these alone are expanded; the others
+    are told from them by a hash, of which a clash costs work but changes nothing."""
+    same = F.xxhash64("caller_id", "location")
+    twice = calls.refs.groupBy(same.alias("h")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    return edge_conflicts(calls._replace(refs=calls.refs.withColumn("h", same).join(twice, "h", "left_semi").drop("h")).edges())
+
+
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Ends of edges that are no nodes."""
     ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()

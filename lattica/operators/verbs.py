@@ -46,9 +46,10 @@ class Catalog:
         """What the pointers of a store have in force, of the repositories that have a qualifier."""
         out = cls()
         for r in store.pointers().where(F.col("repo").isin(list(qualifiers))).collect():  # a row a repository that is served
-            nodes, edges, index = store.read(r["repo"], r["revision"], "nodes"), store.read(r["repo"], r["revision"], "edges"), store.index(r["repo"], r["revision"])
+            at = r["repo"], r["revision"]
+            nodes, edges, calls, index = store.read(*at, "nodes"), store.rows(*at), store.calls(*at), store.index(*at)
             own = index._replace(**{x: getattr(index, x).withColumn("repo", F.lit(qualifiers[r["repo"]])) for x in ("docs", "stats", "blocks")})
-            out.put(qualifiers[r["repo"]], r["revision"], G.plain(nodes, edges), own)
+            out.put(qualifiers[r["repo"]], r["revision"], G.plain(nodes, edges, calls), own)
         return out
 
     def searched(self, repos: Sequence[str] | None, revisions: dict[str, str] | None) -> tuple[dict[str, str], list[P.Index]]:

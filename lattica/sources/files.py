@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 
 from lattica.functions import ids
 from lattica.operators import build, postings
+from lattica.operators.graph import sequence
+from lattica.operators.resolve import References
 from lattica.schema import FILE_BYTES, SCHEMA_VERSION
 
 FILE_ROWS = 1_000_000  # of a segment, so that one task can hold a file to digest it
@@ -120,11 +122,14 @@ class Store:
         if self.fs.rename(self._path(*at), self._path(*at[:-1], aside)) and (whole := self.value(*at[:-1], aside)) is not None:
             self.put(whole, *at)
 
-    def publish(self, repo: int, commit: str, nodes: DataFrame, edges: DataFrame, docs: DataFrame, source: str = "syntactic", wanted: Callable[[], bool] = lambda: True) -> dict | None:
+    def publish(self, repo: int, commit: str, nodes: DataFrame, edges: DataFrame, docs: DataFrame, source: str = "syntactic", wanted: Callable[[], bool] = lambda: True, calls: References | None = None) -> dict | None:
         """The manifest in force: this one's, or the one that was there first; what a loser wrote goes, never what the winner did.
 
         wanted is asked again right before the manifest is put in force: if the repository is no longer to be published, nothing is, and null is
         returned; and once more after it, so that of a repository that is given up in between no artifact stays.
+
+        calls: CALLS that aren't among edges. They stay factorised in the segment of the edges, which has three folders then (rows, references,
+        members), so that what is written grows with the references; the manifest counts them as the edges that they are, and read expands them.
         """
         if build.edge_conflicts(edges).limit(1).count():
             raise ValueError("edges of one identity differ in their derivation")
@@ -133,11 +138,22 @@ class Store:
             return old
         attempt = f"attempt-{uuid.uuid4().hex}"
         folder = "/".join([self.root, *at, attempt])
-        for name, df in (("nodes", nodes), ("edges", edges)):
+        rows = "edges" if calls is None else "edges/rows"
+        tables = {"nodes": nodes, rows: edges}
+        if calls is not None:
+            tables |= {"edges/references": calls.refs.select("ref_id", "caller_id", "location", "cls", "n", "confidence"), "edges/members": calls.members.select("cls", "symbol_id")}
+        for name, df in tables.items():
             df.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{folder}/{name}")
+        counts = build.counts(self.spark.read.parquet(f"{folder}/nodes"), self.spark.read.parquet(f"{folder}/{rows}")).first()
+        n_edges = counts[1]
+        if calls is not None:
+            kept = self._calls(folder)
+            if build.call_conflicts(kept).limit(1).count() or self.spark.read.parquet(f"{folder}/{rows}").where("kind = 'CALLS'").limit(1).count():
+                self.fs.delete(self._path(*at, attempt), True)
+                raise ValueError("edges of one identity differ in their derivation, or CALLS are among the edges and beside them")
+            n_edges += kept.number()
         index = postings.build(docs, folder)
-        counts = build.counts(self.spark.read.parquet(f"{folder}/nodes"), self.spark.read.parquet(f"{folder}/edges")).first()
-        manifest = {"schema_version": SCHEMA_VERSION, "commit": commit, "pass": source, "attempt": attempt, "counts": {"nodes": counts[0], "edges": counts[1]}, "parts": index.parts, "segments": self._digests(folder, ["blocks", "docs", "edges", "nodes", "stats"])}
+        manifest = {"schema_version": SCHEMA_VERSION, "commit": commit, "pass": source, "attempt": attempt, "counts": {"nodes": counts[0], "edges": n_edges}, "parts": index.parts, "segments": self._digests(folder, ["blocks", "docs", "edges", "nodes", "stats"])}
         if not wanted():
             self.fs.delete(self._path(*at, attempt), True)
             return None
@@ -192,8 +208,26 @@ class Store:
             raise FileNotFoundError(f"{repo}/{revision} is not published")
         return m, f"{self.root}/shards/{repo}/{revision}/{m['attempt']}"
 
+    def _calls(self, folder: str) -> References:
+        return References(self.spark.read.parquet(f"{folder}/edges/references"), self.spark.read.parquet(f"{folder}/edges/members"))
+
+    def calls(self, repo: int, revision: str) -> References | None:
+        """The CALLS that were published factorised, if they were."""
+        folder = self._folder(repo, revision)[1]
+        return self._calls(folder) if self.fs.exists(self._path("shards", str(repo), revision, folder.rpartition("/")[2], "edges", "references")) else None
+
     def read(self, repo: int, revision: str, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._folder(repo, revision)[1]}/{table}")
+        """A published table; edges with all CALLS, a row each."""
+        folder = self._folder(repo, revision)[1]
+        if table != "edges" or (calls := self.calls(repo, revision)) is None:
+            return self.spark.read.parquet(f"{folder}/{table}")
+        rows = self.rows(repo, revision)
+        return rows.unionByName(calls.edges().withColumn("edge_seq", sequence()).select(rows.columns))
+
+    def rows(self, repo: int, revision: str) -> DataFrame:
+        """The edges that were published as rows: all but those of calls."""
+        folder = self._folder(repo, revision)[1]
+        return self.spark.read.parquet(f"{folder}/edges" if self.calls(repo, revision) is None else f"{folder}/edges/rows")
 
     def index(self, repo: int, revision: str) -> postings.Index:
         m, folder = self._folder(repo, revision)
