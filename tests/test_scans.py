@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import graph, resolve
+from lattica.operators import build, graph, resolve
 from lattica.plans import fixtures, graph_queries
 from tests.test_operators import DECLS, REFS, edges, nodes
 
@@ -45,3 +45,18 @@ def test_a_question_makes_only_the_kinds_that_it_reads(spark):
     graph_queries.h_history(spark, SF)
     graph_queries.g_budget(spark, SF).collect()
     assert {k for a, _, k in fixtures._edges if a == app} == {"TOUCHES", "AUTHORED", "IMPORTS"} and not fixtures._references and not fixtures._graphs
+
+
+def test_conflicts_group_only_the_identities_that_may_have_any(spark, monkeypatch):
+    one, nan = ("a", "b", "CALLS", "syntactic", 0.9, None), float("nan")
+    rows = [one, one, ("a", "b", "CALLS", "syntactic", 0.5, "f:1"), ("c", "b", "CALLS", "syntactic", nan, None), ("c", "b", "CALLS", "syntactic", nan, None)]
+    rows += [("d", "b", "CALLS", "syntactic", 0.0, None), ("d", "b", "CALLS", "syntactic", -0.0, None), ("e", "b", "CALLS", None, 0.1, None), ("e", "b", "CALLS", "precise", 0.2, None)]
+    rows += [("f", "b", "CALLS", "precise", 0.2, None), ("f", "b", "CALLS", "inferred", 0.2, None), ("g", "b", "CALLS", "made up", 0.2, None), ("g", "b", "CALLS", "made too", 0.2, None), ("g", "b", "CALLS", "made up", 0.3, None)]
+    rows += [("h", "b", "CALLS", "made up", 0.2, None), ("h", "b", "CALLS", "made up", 0.2, None), ("i", None, "CALLS", "precise", 0.2, "x"), ("i", None, "CALLS", "precise", nan, "x")]
+    kept, settle = {}, build.settle
+    monkeypatch.setattr(build, "settle", lambda df, what: kept.setdefault(what, settle(df, what)))
+    e = edges(spark, rows)
+    want = e.groupBy(*build.IDENTITY).agg(F.count_distinct("provenance", "confidence").alias("n")).where("n > 1")
+    told = lambda df: sorted(map(str, df.collect()))
+    assert told(build.edge_conflicts(e)) == told(want) and want.count() == 3
+    assert kept["hashes"].count() == len(rows) - 1 and kept["conflicts"].count() == 4  # f, g, i, and h, whose provenance isn't known
