@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import resolve
+from lattica.operators import dataflow, resolve
+from lattica.plans import build_queries
 
 
 @pytest.fixture
@@ -30,3 +31,18 @@ def test_imports_of_files_in_several_directories(spark, small):
     want = {(f, g, 0.9 / n[p]) for f, p in {tuple(r) for r in imports.collect()} for q, d in {tuple(r) for r in dirs.collect()} if p == q for g, at in where if at == d and f and g and f != g}
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_calls_of_a_build_are_made_in_blocks(spark, monkeypatch):
+    built = dataflow.build_graph(build_queries.facts(spark, "/root/testdata/sf0.001"))
+    keys, product = [], resolve.product
+    monkeypatch.setattr(resolve, "product", lambda left, right, key: keys.append(key) or product(left, right, key))
+    monkeypatch.setattr(resolve, "TASK_ROWS", 2000)
+    monkeypatch.setattr(resolve, "BLOCK", 3)
+    told = ("repo", "src", "dst", "location", "confidence", "edge_seq")
+    got = sorted(tuple(r[c] for c in told) for r in built.all_edges().where("kind = 'CALLS'").collect())
+    want = []
+    for r in built.calls.edges().collect():
+        (repo, src), (_, dst), (path, site) = r["src"].split("\x02"), r["dst"].split("\x02"), r["location"].rsplit(":", 1)
+        want.append((repo, src, dst, r["location"], r["confidence"], "\x01".join(("1", path, "1", site.zfill(12), src, dst))))
+    assert got == sorted(want) and len(got) > 2000 and "cls" in keys
