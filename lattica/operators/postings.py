@@ -3,29 +3,36 @@
 Documents are numbered in the order of (repo, node_id), so that a number stands for both and breaks ties as they do. A block holds the
 postings of a field's token within a range of SEGMENT numbers: for each document its term frequency, the length norm of BM25, its kind and its
 positions. Blocks are dealt to directories by a hash of (field, token), so that a query opens its terms' directories only. Beside its
-postings a block has how many they are and its best impacts. These alone decide which segments are unpacked: not those in which a part of
+postings a block has how many they are and, of more than BEST, its best impacts. These alone decide which segments are unpacked: not those in which a part of
 the query that must match occurs nowhere, nor those whose best possible score is below what the k-th document of its repository has at least.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import contextlib
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import pairwise
 from operator import add, and_, or_
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.functions.query import EXACT, FIELDS, AnyOf, Everything, Group, Leaf, Node, leaves
-from lattica.functions.tokenize import code_tokens, whole_tokens
+from lattica.functions.tokenize import parted, spaced
 from lattica.schema import NODE_KINDS
 
 K1, B = 1.2, 0.75
 SEGMENT, BEST = 1024, 8
-MAX_PARTS, ROWS_A_PART, FILES = 1024, 20_000_000, 20_000
+#: Directories of blocks; segments in a file of documents, whose blocks one task makes.
+PARTS, FILE = 8, 4
 DOC = ["doc", "repo", "node_id", "kind", "name", "path"]
+BLOCK = "field string, token string, repo string, segment long, n long, best array<double>, docs array<struct<doc: long, tf: int, norm: double, kind_no: byte>>, positions array<array<int>>, whole_norm array<double>, whole_best array<double>"
 
 
 class Index(NamedTuple):
@@ -44,62 +51,167 @@ class Index(NamedTuple):
 
 
 def tokens(field: str) -> Column:
-    """The tokens of a field: its column's parts of identifiers, or (``_whole``) its whole words, or its value."""
-    if field in EXACT:
-        value = F.col("name") if field == "raw_name" else F.col(field)
-        there = value.isNotNull() & ((F.col("kind") == "Symbol") if field == "raw_name" else F.lit(True))
-        return F.when(there, F.array(value)).otherwise(F.array().cast("array<string>"))
+    """The tokens of a field, joined by spaces: its column's parts of identifiers, or (``_whole``) its whole words. Null if there are none."""
     text = F.coalesce(F.col(field.removesuffix("_whole")), F.lit(""))
-    return whole_tokens(text) if field.endswith("_whole") else code_tokens(text)
+    return F.nullif(spaced(text if field.endswith("_whole") else parted(text)), F.lit(""))
+
+
+def value(field: str) -> Column:
+    """The one token of a field of EXACT, or null."""
+    return F.when(F.col("kind") == "Symbol", F.col("name")) if field == "raw_name" else F.col(field)
 
 
 def part(field: Column, token: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(field, token), F.lit(parts)).cast("int").alias("part")
+    """Both fields of one text lie together."""
+    return F.pmod(F.xxhash64(F.regexp_replace(field, "_whole$", ""), token), F.lit(parts)).cast("int").alias("part")
+
+
+@contextlib.contextmanager
+def whole_files(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile a scan gives each file to a task of its own."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    for n in names:
+        spark.conf.set(n, str(1 << 40))
+    try:
+        yield
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
 
 
 def build(docs: DataFrame, folder: str) -> Index:
     """Writes the index of documents (repo, node_id, kind, name, path, content) and reads it.
 
-    Documents, not tokens, are shuffled, by segment: all postings of a segment's blocks are made where its texts are. They are tokenised twice,
-    first for the mean length of a field in a repository, which an impact needs, as texts are smaller than their tokens.
+    Texts are shuffled once, by range, and written in files of whole segments; a task makes and writes the blocks of one file, of a segment at a
+    time, so neither tokens nor postings are shuffled or sorted in bulk. A block that is alike in both fields of a text is written once. Texts are tokenised twice, first for the mean length of a field in a
+    repository, which an impact needs, as they are smaller than their tokens.
     """
     spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("repo", "node_id", "kind", "name", "path", "content").repartitionByRange(tasks, "repo", "node_id").sortWithinPartitions("repo", "node_id")
-    ordered.withColumn("doc", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{folder}/docs")
+    ordered = docs.select("repo", "node_id", "kind", "name", "path", "content").repartitionByRange("repo", "node_id").sortWithinPartitions("repo", "node_id")
+    written = ordered.withColumn("doc", F.monotonically_increasing_id()).write.option("compression", "zstd")
+    written.option("maxRecordsPerFile", FILE * SEGMENT).parquet(f"{folder}/docs")
     docs = spark.read.parquet(f"{folder}/docs")
-    names = (*FIELDS, *EXACT)
     # two fields of one column differ in the length only where identifiers have parts
-    mean = [F.avg(F.size(tokens(f))).alias(f"avg_{f}") for f in FIELDS]
-    docs.groupBy("repo").agg(F.count(F.lit(1)).alias("n_docs"), *mean).write.parquet(f"{folder}/stats")
+    told = docs.select("repo", *[tokens(f).alias(f) for f in FIELDS])
+    mean = [F.avg(F.coalesce(F.length(f) - F.length(F.replace(f, F.lit(" "), F.lit(""))) + 1, F.lit(0))).alias(f"avg_{f}") for f in FIELDS]
+    told.groupBy("repo").agg(F.count(F.lit(1)).alias("n_docs"), *mean).write.parquet(f"{folder}/stats")
     stats = spark.read.parquet(f"{folder}/stats")
-    lengths = F.transform("all", lambda t: F.size(t))
     means = stats.select("repo", F.array(*[F.col(f"avg_{f}") for f in FIELDS]).alias("means"))
-    size = docs.count()
-    # a task makes the blocks of some segments and writes them; a repository's row is joined before the texts are dealt
-    makers = max(1, min(tasks, size // 256), size // (4 * SEGMENT))
-    placed = docs.withColumn("segment", F.shiftright("doc", SEGMENT.bit_length() - 1)).join(F.broadcast(means), "repo").repartition(makers, "segment")
-    split = placed.select("doc", "repo", "segment", "means", F.coalesce(F.array_position(F.array(*map(F.lit, NODE_KINDS)), F.col("kind")), F.lit(0)).cast("byte").alias("kind_no"), F.array(*[tokens(f) for f in names]).alias("all"))
-    told = split.select("segment", "doc", "repo", "kind_no", "all", "means", lengths.alias("lengths"))
-    field = told.select("segment", "doc", "repo", "kind_no", "means", "lengths", F.posexplode("all").alias("field_no", "t"))
-    norm = F.when(F.col("field_no") >= len(FIELDS), 1.0).when(F.get("means", "field_no") > 0, F.get("lengths", "field_no") / F.get("means", "field_no")).otherwise(1.0)
-    each = field.select("segment", "doc", "repo", "kind_no", "field_no", (K1 * (1 - B + B * norm)).alias("norm"), F.posexplode("t").alias("pos", "token"))
-    each = each.withColumn("field", F.element_at(F.array(*map(F.lit, names)), F.col("field_no") + 1))
-    key = ["field", "token", "repo", "segment"]
-    held = each.groupBy(*key, "doc").agg(F.first("kind_no").alias("kind_no"), F.first("norm").alias("norm"), F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("pos"))
-    impact = F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))
-    grouped = held.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_list(impact), asc=False), 1, BEST).alias("best"), F.sort_array(F.collect_list(F.struct("doc", "tf", "norm", "kind_no", "pos"))).alias("x"))
-    slim = F.transform("x", lambda x: F.struct(x["doc"].alias("doc"), x["tf"].alias("tf"), x["norm"].alias("norm"), x["kind_no"].alias("kind_no")))
-    parts = int(min(MAX_PARTS, max(8, size * 500 // ROWS_A_PART), max(8, FILES // makers)))
-    blocks = grouped.select(*key, "n", "best", slim.alias("docs"), F.col("x.pos").alias("positions")).withColumn("part", part(F.col("field"), F.col("token"), parts))
+    kind_no = F.coalesce(F.array_position(F.array(*map(F.lit, NODE_KINDS)), F.col("kind")), F.lit(0)).cast("byte")
+    split = [*[tokens(f).alias(f) for f in FIELDS], *[value(f).alias(f) for f in EXACT]]
+    placed = docs.join(F.broadcast(means), "repo").select("doc", F.shiftright("doc", SEGMENT.bit_length() - 1).alias("segment"), "repo", kind_no.alias("kind_no"), "means", *split)
+    blocks = placed.mapInArrow(by_segment, BLOCK).withColumn("part", part(F.col("field"), F.col("token"), PARTS))
     dealt = blocks.sortWithinPartitions("part", "field", "token", "repo", "segment")
-    dealt.write.option("compression", "zstd").partitionBy("part").parquet(f"{folder}/blocks")
-    return load(spark, folder, parts)
+    with whole_files(spark):
+        # tokens are sorted, so their common beginnings are left out, which the second version of the format does
+        packed = dealt.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#token", "false")
+        packed.partitionBy("part").parquet(f"{folder}/blocks")
+    return load(spark, folder, PARTS)
+
+
+def by_segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of each segment of documents, which come in the order of their numbers."""
+    held, at = [], None
+    for batch in batches:
+        segments = batch.column("segment").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(segments)) + 1), len(segments)]
+        for a, b in pairwise(cuts):
+            if b > a and segments[a] != at:
+                if held:
+                    yield blocks_of(pa.Table.from_batches(held).combine_chunks())
+                held, at = [], segments[a]
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield blocks_of(pa.Table.from_batches(held).combine_chunks())
+
+
+def blocks_of(docs: pa.Table) -> pa.RecordBatch:
+    """The blocks of a segment's documents: its tokens' numbers are sorted by (field, repo, token), and stay in the order of documents and places."""
+    whole = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    names, n_docs = (*FIELDS, *EXACT), docs.num_rows
+    lists = [whole(pc.split_pattern(docs[f], " ")) for f in FIELDS]
+    values = [x.flatten() for x in lists] + [whole(docs[f].drop_null()) for f in EXACT]
+    lengths = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in lists] + [pc.is_valid(whole(docs[f])).to_numpy(zero_copy_only=False).astype(np.int32) for f in EXACT]
+    lengths = np.stack(lengths).astype(np.int64)  # a row a field
+    found = pa.concat_arrays(values).dictionary_encode()
+    repos = whole(docs["repo"]).dictionary_encode()
+    n_repos, n_tokens = len(repos.dictionary), max(1, len(found.dictionary))
+    row = np.repeat(np.tile(np.arange(n_docs), len(names)), lengths.ravel())  # of each token
+    starts = np.cumsum(lengths.ravel()) - lengths.ravel()
+    pos = (np.arange(len(row)) - np.repeat(starts, lengths.ravel())).astype(np.int32)
+    field_no = np.repeat(np.arange(len(names)), lengths.sum(axis=1))
+    key = (field_no * n_repos + repos.indices.to_numpy()[row]) * n_tokens + found.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    key, row, pos = key[order], row[order], pos[order]
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    post_at = np.flatnonzero(new | np.append(True, row[1:] != row[:-1])[: len(key)])  # the first token of each posting
+    block_at = np.flatnonzero(new[post_at])  # the first posting of each block
+    n = np.diff(np.append(block_at, len(post_at)))
+    tf, of, kinds = np.diff(np.append(post_at, len(key))), row[post_at], whole(docs["kind_no"]).to_numpy()
+    block_field, rest = np.divmod(key[post_at][block_at], n_repos * n_tokens)
+    mean = np.ones((len(names), n_docs))
+    mean[: len(FIELDS)] = whole(docs["means"]).flatten().to_numpy().reshape(n_docs, len(FIELDS)).T
+    share = np.divide(lengths, mean, out=np.ones_like(mean), where=mean > 0)
+    share[len(FIELDS) :] = 1.0
+    norm = (K1 * (1 - B + B * share))[np.repeat(block_field, n), of]
+    impact = tf * (K1 + 1) / (tf + norm)
+    block = np.repeat(np.arange(len(n)), n)
+    top = np.lexsort((-impact, block))[(np.arange(len(block)) - block_at[block] < BEST) & (n[block] > BEST)]
+    twins, others = [], []  # the blocks of a field that the text's other field has alike: its documents, frequencies and places
+    for f in range(0, len(FIELDS), 2):
+        ours, theirs = np.flatnonzero(block_field == f), np.flatnonzero(block_field == f + 1)
+        _, x, y = np.intersect1d(rest[ours], rest[theirs], assume_unique=True, return_indices=True)
+        x, y = alike(ours[x], theirs[y], block_at, n, of, tf)
+        size = np.add.reduceat(tf, block_at) if len(n) else n
+        x, y = alike(x, y, post_at[block_at], size, pos)
+        twins, others = [*twins, x], [*others, y]
+    twins, others = np.concatenate(twins), np.concatenate(others)
+    twinned, kept = np.isin(np.arange(len(n)), twins), ~np.isin(np.arange(len(n)), others)
+    long_twins = twinned & (n > BEST)
+    other_best = np.searchsorted(block[top], others[n[others] > BEST])
+    listed = lambda counts, x, none=None: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), x, mask=none)
+    posts = {"doc": whole(docs["doc"]).to_numpy()[of], "tf": tf.astype(np.int32), "norm": norm, "kind_no": kinds[of]}
+    made = pa.RecordBatch.from_pydict({
+        "field": pa.array(names).take(pa.array(block_field)), "token": found.dictionary.take(pa.array(rest % n_tokens)), "repo": repos.dictionary.take(pa.array(rest // n_tokens)),
+        "segment": np.full(len(n), docs["segment"][0].as_py(), np.int64), "n": n.astype(np.int64), "best": listed(np.where(n > BEST, BEST, 0), pa.array(impact[top]), pa.array(n <= BEST)),
+        "docs": listed(n, pa.StructArray.from_arrays([pa.array(x) for x in posts.values()], list(posts))), "positions": listed(n, listed(tf, pa.array(pos))),
+        "whole_norm": listed(np.where(twinned, n, 0), pa.array(norm[spans(block_at[others], n[others])]), pa.array(~twinned)),
+        "whole_best": listed(np.where(long_twins, BEST, 0), pa.array(impact[top][spans(other_best, np.full(len(other_best), BEST))]), pa.array(~long_twins)),
+    })
+    return made.filter(pa.array(kept))
+
+
+def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of spans, one after the other."""
+    return np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
+def alike(x: np.ndarray, y: np.ndarray, starts: np.ndarray, counts: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of pairs of blocks whose spans have the same values."""
+    same = counts[x] == counts[y]
+    x, y = x[same], y[same]
+    if not len(x):
+        return x, y
+    a, b = spans(starts[x], counts[x]), spans(starts[y], counts[y])
+    equal = np.logical_and.reduce([v[a] == v[b] for v in values])
+    same = np.logical_and.reduceat(equal, np.cumsum(counts[x]) - counts[x])
+    return x[same], y[same]
 
 
 def load(spark, folder: str, parts: int) -> Index:
     read = lambda name: spark.read.parquet(f"{folder}/{name}")
-    return Index(read("docs"), read("stats"), read("blocks"), parts, folder)
+    return Index(read("docs"), read("stats"), unfolded(read("blocks")), parts, folder)
+
+
+def unfolded(blocks: DataFrame) -> DataFrame:
+    """A row a block of written ones, of which one may stand for both fields of a text."""
+    own = F.struct("field", "best", "docs")
+    docs = F.zip_with("docs", "whole_norm", lambda d, norm: d.withField("norm", norm))
+    whole = F.struct(F.concat("field", F.lit("_whole")).alias("field"), F.col("whole_best").alias("best"), docs.alias("docs"))
+    each = F.explode(F.when(F.col("whole_norm").isNull(), F.array(own)).otherwise(F.array(own, whole)))
+    return blocks.select("part", "token", "repo", "segment", "n", "positions", each.alias("x")).select("part", "x.field", "token", "repo", "segment", "n", "x.best", "x.docs", "positions")
 
 
 class Term(NamedTuple):
@@ -108,12 +220,14 @@ class Term(NamedTuple):
 
 
 def opened(index: Index, terms: Sequence[Term]) -> DataFrame:
-    """The blocks of terms, with i, the term's number; only the directories that can have them are read."""
+    """The blocks of terms, with i, the term's number; only the directories that can have them are read. Short blocks tell their best by their postings."""
     joined = lambda f, t: F.concat_ws("\0", f, t)
     number = F.create_map(*[c for i, t in enumerate(terms) for c in (joined(*map(F.lit, t)), F.lit(i))])
     hit = index.docs.sparkSession.range(1).select(F.array(*[part(*map(F.lit, t), index.parts) for t in terms])).first()[0]
     blocks = index.blocks.where(F.col("part").isin(sorted(set(hit))) & F.col("field").isin(sorted({t.field for t in terms})) & F.col("token").isin(sorted({t.token for t in terms})))
-    return blocks.withColumn("i", F.try_element_at(number, joined(F.col("field"), F.col("token")))).where("i IS NOT NULL").drop("field", "token")
+    told = blocks.withColumn("i", F.try_element_at(number, joined(F.col("field"), F.col("token")))).where("i IS NOT NULL").drop("field", "token")
+    impacts = F.transform("docs", lambda d: d["tf"] * (K1 + 1) / (d["tf"] + d["norm"]))
+    return told.withColumn("best", F.coalesce("best", F.sort_array(impacts, asc=False)))
 
 
 def phrase(index: Index, field: str, words: Sequence[str]) -> DataFrame:
