@@ -222,7 +222,7 @@ class Store:
         if table != "edges" or (calls := self.calls(repo, revision)) is None:
             return self.spark.read.parquet(f"{folder}/{table}")
         rows = self.rows(repo, revision)
-        return rows.unionByName(calls.edges().withColumn("edge_seq", sequence()).select(rows.columns))
+        return rows.unionByName(calls.edges(kept=True).withColumn("edge_seq", sequence()).select(rows.columns))
 
     def rows(self, repo: int, revision: str) -> DataFrame:
         """The edges that were published as rows: all but those of calls."""

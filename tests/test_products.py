@@ -46,3 +46,15 @@ def test_calls_of_a_build_are_made_in_blocks(spark, monkeypatch):
         (repo, src), (_, dst), (path, site) = r["src"].split("\x02"), r["dst"].split("\x02"), r["location"].rsplit(":", 1)
         want.append((repo, src, dst, r["location"], r["confidence"], "\x01".join(("1", path, "1", site.zfill(12), src, dst))))
     assert got == sorted(want) and len(got) > 2000 and "cls" in keys
+
+
+def test_calls_of_one_name_are_dealt_to_many_tasks(spark, small):
+    decls = spark.createDataFrame([(f"f{i}", "a", "m", f"s{i:02}") for i in range(60)] + [("g", "b", "n", "t")], "file_id string, dir string, name string, symbol_id string")
+    refs = spark.createDataFrame([(f"r{i}", f"c{i}", "f", "a", "m", f"l:{i}", "p") for i in range(90)] + [("r", "c", "f", "x", "n", None, "p")], "ref_id string, caller_id string, file_id string, dir string, callee string, location string, import_path string")
+    many = {(f"c{i}", f"s{j:02}", f"l:{i}", 0.9 / 60) for i in range(90) for j in range(60)}
+    dirs = spark.createDataFrame([("p", "a"), ("p", "b")], "import_path string, dir string")
+    for found in (resolve.resolve_tiers(refs, decls), resolve.resolve_imported(refs, dirs, decls), resolve.resolve_methods(refs, decls)):
+        rows = [tuple(r) for r in found.select("src", "dst", "location", "confidence").collect()]
+        assert len(rows) == 90 * 60 + 1 and set(rows) == many | {("c", "t", None, 0.9)}
+        tasks = found.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) > 4 and max(r["count"] for r in tasks) < 90 * 60 / 2
