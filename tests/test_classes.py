@@ -1,6 +1,10 @@
 """Candidates by class: what is made before the last join grows with references and declarations, not with their product."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from lattica.operators import resolve
+from lattica.plans import catalog
 from tests.test_operators import DECLS, REFS
 
 
@@ -23,3 +27,16 @@ def test_imported_names_expand_last(spark):
     assert got == sorted([("l:1", s, 0.9 / 3) for s in ("s1", "s2", "s3")] + [("l:2", "s4", 0.9)] + [("None", s, 0.9 / 3) for s in ("s1", "s2", "s3")])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.index("Join") < plan.index("Aggregate")  # nothing is grouped behind the join that makes candidates
+
+
+@pytest.fixture
+def unexpanded(monkeypatch):
+    def expand(*_, **__):
+        raise AssertionError("calls are expanded")
+
+    monkeypatch.setattr(resolve.References, "edges", expand)
+
+
+def test_confidences_expand_nothing(spark, unexpanded):
+    told = catalog.QUERIES["x_spread_confidence"](spark, "/root/testdata/sf0.001").agg(F.sum("n").alias("n"), F.count_distinct("ref_id").alias("d"), F.count("ref_id").alias("c")).first()
+    assert told["n"] > told["c"] == told["d"] > 0
