@@ -145,8 +145,12 @@ def emit(*phases: DataFrame) -> DataFrame:
     return out
 
 
-def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))
+def counts(nodes: DataFrame, edges: DataFrame, calls: References | None = None) -> DataFrame:
+    """How many nodes and edges; calls: CALLS that aren't among edges, counted by their references, as many each as its class has members."""
+    rows = edges.agg(F.count(F.lit(1)).alias("edges"))
+    if calls is not None:
+        rows = rows.unionByName(calls.refs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges"))).agg(F.sum("edges").alias("edges"))
+    return nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(rows)
 
 
 def cap_body(body: bytes | None, limit: int = BODY_BYTES) -> str | None:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import resolve
+from lattica.operators import build, resolve
 from lattica.plans import catalog
 from tests.test_operators import DECLS, REFS
 
@@ -40,3 +40,12 @@ def unexpanded(monkeypatch):
 def test_confidences_expand_nothing(spark, unexpanded):
     told = catalog.QUERIES["x_spread_confidence"](spark, "/root/testdata/sf0.001").agg(F.sum("n").alias("n"), F.count_distinct("ref_id").alias("d"), F.count("ref_id").alias("c")).first()
     assert told["n"] > told["c"] == told["d"] > 0
+
+
+def test_counts_expand_nothing(spark, unexpanded):
+    n = catalog.QUERIES["x_counts"](spark, "/root/testdata/sf0.001").first()
+    assert n["nodes"] > 0 and n["edges"] > 0
+    none = spark.range(0).selectExpr("'' AS cls", "'' AS symbol_id", "1L AS n")
+    assert build.counts(spark.range(2), spark.range(3), resolve.References(none, none)).first()[:] == (2, 3)
+    some = none.unionByName(spark.range(4).selectExpr("'a' AS cls", "'b' AS symbol_id", "5L AS n"))
+    assert build.counts(spark.range(2), spark.range(3), resolve.References(some, none)).first()[:] == (2, 23)
