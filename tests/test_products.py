@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import dataflow, resolve
+from lattica.operators import build, dataflow, resolve
 from lattica.plans import build_queries
 
 
@@ -58,3 +58,14 @@ def test_calls_of_one_name_are_dealt_to_many_tasks(spark, small):
         assert len(rows) == 90 * 60 + 1 and set(rows) == many | {("c", "t", None, 0.9)}
         tasks = found.groupBy(F.spark_partition_id()).count().collect()
         assert len(tasks) > 4 and max(r["count"] for r in tasks) < 90 * 60 / 2
+
+
+def test_calls_are_emitted_in_blocks(spark, small):
+    none = spark.createDataFrame([("f", 3, "f", "pkg:x", None)], "path string, site int, src string, dst string, location string")
+    refs = spark.createDataFrame([("f", i, f"c{i}", f"f:{i}", "k", 60, 0.015) for i in range(90)], "path string, site int, caller_id string, location string, cls string, n int, confidence double")
+    members = spark.createDataFrame([("k", f"s{j:02}") for j in range(60)], "cls string, symbol_id string")
+    found = build.emit(none, resolve.References(refs, members))
+    got = sorted(tuple(r) for r in found.select("src", "dst", "location", "edge_seq").collect() if r["dst"] != "pkg:x")
+    assert got == sorted((f"c{i}", f"s{j:02}", f"f:{i}", f"001\x01f\x01{i:010}\x01s{j:02}") for i in range(90) for j in range(60))
+    assert [r["edge_seq"] for r in found.where("dst = 'pkg:x'").collect()] == ["000\x01f\x010000000003\x01pkg:x"]
+    assert max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < 90 * 60 / 2
