@@ -139,11 +139,11 @@ class Store:
         attempt = f"attempt-{uuid.uuid4().hex}"
         folder = "/".join([self.root, *at, attempt])
         rows = "edges" if calls is None else "edges/rows"
-        tables = {"nodes": nodes, rows: edges}
+        tables = {"nodes": nodes, rows: _packed(edges)}
         if calls is not None:
             tables |= {"edges/references": calls.refs.select("ref_id", "caller_id", "location", "cls", "n", "confidence"), "edges/members": calls.members.select("cls", "symbol_id")}
         for name, df in tables.items():
-            df.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{folder}/{name}")
+            df.write.option("maxRecordsPerFile", FILE_ROWS).option("compression", "zstd").parquet(f"{folder}/{name}")
         counts = build.counts(self.spark.read.parquet(f"{folder}/nodes"), self.spark.read.parquet(f"{folder}/{rows}")).first()
         n_edges = counts[1]
         if calls is not None:
@@ -219,15 +219,18 @@ class Store:
     def read(self, repo: int, revision: str, table: str) -> DataFrame:
         """A published table; edges with all CALLS, a row each."""
         folder = self._folder(repo, revision)[1]
-        if table != "edges" or (calls := self.calls(repo, revision)) is None:
+        if table != "edges":
             return self.spark.read.parquet(f"{folder}/{table}")
         rows = self.rows(repo, revision)
+        if (calls := self.calls(repo, revision)) is None:
+            return rows
         return rows.unionByName(calls.edges(kept=True).withColumn("edge_seq", sequence()).select(rows.columns))
 
     def rows(self, repo: int, revision: str) -> DataFrame:
-        """The edges that were published as rows: all but those of calls."""
+        """The edges that were published as rows: all but those of calls. An edge_seq that follows from the rest isn't written but made here."""
         folder = self._folder(repo, revision)[1]
-        return self.spark.read.parquet(f"{folder}/edges" if self.calls(repo, revision) is None else f"{folder}/edges/rows")
+        rows = self.spark.read.parquet(f"{folder}/edges" if self.calls(repo, revision) is None else f"{folder}/edges/rows")
+        return rows.withColumn("edge_seq", F.coalesce("edge_seq", sequence())) if "edge_seq" in rows.columns else rows
 
     def index(self, repo: int, revision: str) -> postings.Index:
         m, folder = self._folder(repo, revision)
@@ -276,5 +279,10 @@ def current(log: DataFrame) -> DataFrame:
     return held.groupBy("repo").agg(F.max(F.struct("version", "revision", "fence")).alias("x")).select("repo", "x.*")
 
 
+def _packed(edges: DataFrame) -> DataFrame:
+    """edges with edge_seq only where it isn't that of sequence()."""
+    return edges.withColumn("edge_seq", F.when(F.col("edge_seq") != sequence(), F.col("edge_seq"))) if "edge_seq" in edges.columns else edges
+
+
 def _digest(value: object) -> str:
     return hashlib.sha256(json.dumps(value).encode()).hexdigest()

@@ -46,3 +46,12 @@ def test_calls_that_clash(spark, tmp_path):
             assert store.published(1, commit) is None
         else:
             assert store.publish(1, commit, n, e, docs, calls=calls)["counts"]["edges"] == 1 + calls.edges().count()
+
+
+def test_an_order_that_follows_is_not_written(spark, tmp_path):
+    store, n = files.Store(spark, f"file://{tmp_path}"), nodes(spark, ["file:a", "sym:0", "sym:1"]).withColumn("repo", F.lit(REPO))
+    e, docs = edges(spark, [("file:a", "sym:0", "DEFINES"), ("file:a", "sym:1", "DEFINES")]), search.search_docs(n, spark.createDataFrame([("file:a", "x")], "node_id string, content string"))
+    e = e.withColumn("edge_seq", F.when(F.col("dst") == "sym:0", "own").otherwise(graph.sequence()))
+    m, rev = store.publish(7, "c" * 40, n, e, docs), store.revision("c" * 40, "syntactic")
+    assert {(r["dst"], r["edge_seq"]) for r in spark.read.parquet(f"file://{tmp_path}/shards/7/{rev}/{m['attempt']}/edges").collect()} == {("sym:0", "own"), ("sym:1", None)}
+    assert sorted(map(str, store.read(7, rev, "edges").select(e.columns).collect())) == sorted(map(str, e.collect()))
